@@ -1,17 +1,21 @@
 """Language ID by compression: the dictionary that shortens a text most names its language.
 
-For each label a raw-content zstandard dictionary is cut from a bounded sample of labelled training
-texts. A text is encoded block by block with every dictionary; the smallest total wins. The score is
-the share of bytes that the best dictionary saves over the second best. A margin below ``min_margin``
-marks the row as rejected; the query still reports the best label.
+For each label raw-content zstandard dictionaries are cut from a bounded sample of labelled training
+texts. A text is lower-cased, everything but letters becomes a space, and it is encoded block by block
+with each label's dictionary; the smallest total wins. Texts under ``SHORT_BYTES`` are encoded with all
+``SHARDS`` dictionaries of a label, since one gives too coarse a size. The score is the share of bytes
+that the best label saves over the second best. A margin of at most ``MIN_MARGIN`` marks a
+text of ``SURE_BYTES`` letters or more as rejected (sizes of shorter ones are too coarse to call it
+narrow, and they stay); the query still reports the best label.
 
 Bounds of the fit (the only thing that is sampled): ``SAMPLE_TEXTS`` texts for each label, chosen by
 a hash of doc_id, at most ``SAMPLE_CHARS`` characters of each, ``DICTIONARY_BYTES`` for each
 dictionary, ``MAX_LABELS`` labels.
 
 Cases: null text or text without a letter gives ``und`` with score 0 and counts as rejected; ties go
-to the label that sorts first; repeated rows are predicted alike; a table without labelled training
-rows predicts ``und`` everywhere; an empty table gives an empty result. A null doc_id is never held out.
+to the label with more training rows, then to the one that sorts first; repeated rows are predicted
+alike; a table without labelled training rows predicts ``und`` everywhere; an empty table gives an
+empty result. A null doc_id is never held out.
 """
 
 from __future__ import annotations
@@ -21,14 +25,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_TEXTS = 160
+SAMPLE_TEXTS = 640
 SAMPLE_CHARS = 16_384
+SHARDS = 4
 DICTIONARY_BYTES = 96 << 10
 MAX_LABELS = 500
-BLOCK_BYTES = 8 << 10
-LEVEL = 3
+BLOCK_BYTES = 2 << 10
+SHORT_BYTES = 512
+SURE_BYTES = 64
+LEVEL = 9
+MIN_MARGIN = 0.001
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"\P{L}+")
+
+
+def plain(text: str) -> bytes:
+    return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
 def held_out(buckets: int, bucket: int):
@@ -37,8 +50,8 @@ def held_out(buckets: int, bucket: int):
     return F.coalesce(crc % buckets == bucket, F.lit(False))
 
 
-def fit(docs: DataFrame, train: str = "_train", label: str = "lang", text: str = "text") -> dict[str, bytes]:
-    """Dictionary of each label, from a sample of the rows in which ``train`` holds."""
+def fit(docs: DataFrame, train: str = "_train", label: str = "lang", text: str = "text") -> list[tuple[str, list[bytes]]]:
+    """Labels and their dictionaries, most frequent first, from a sample of the rows in which ``train`` holds."""
     rows = docs.filter(F.col(train) & F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(label).count().orderBy(label).limit(MAX_LABELS + 1).collect()
     if len(counts) > MAX_LABELS:
@@ -54,45 +67,52 @@ def fit(docs: DataFrame, train: str = "_train", label: str = "lang", text: str =
     for r in drawn.orderBy("_order", "_text").collect():
         if len(samples[r[label]]) < SAMPLE_TEXTS:
             samples[r[label]].append(r["_text"])
-    out = {}
-    for name, texts in sorted(samples.items()):
-        # An equal share of each text, so that many texts speak for their language.
-        parts, room = [], DICTIONARY_BYTES
-        for i, t in enumerate(texts):
-            part = t.encode()[: max(1, room // (len(texts) - i))]
-            parts.append(part)
-            room -= len(part)
-        content = b"\n".join(parts)[:DICTIONARY_BYTES]
-        if len(content) >= 8:
-            out[name] = content
+    out = []
+    for r in sorted(counts, key=lambda r: (-r["count"], r[label])):
+        texts = [plain(t) for t in samples[r[label]]]
+        shards = [c for c in (_cut(texts[k::SHARDS]) for k in range(SHARDS)) if len(c) >= 8]
+        if shards:
+            out.append((r[label], shards))
     return out
 
 
+def _cut(texts: list[bytes]) -> bytes:
+    """An equal share of each text, so that many texts speak for their language."""
+    parts, room = [], DICTIONARY_BYTES
+    for i, t in enumerate(texts):
+        parts.append(t[: max(1, room // (len(texts) - i))])
+        room -= len(parts[-1])
+    return b" ".join(parts)[:DICTIONARY_BYTES]
+
+
 class Predictor:
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, dictionaries: list[tuple[str, list[bytes]]]):
         import zstandard as zstd
 
-        self.labels = sorted(dictionaries)
-        self.encoders = []
-        for name in self.labels:
-            d = zstd.ZstdCompressionDict(dictionaries[name], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        def encoder(content: bytes):
+            d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.encoders.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+        # A label with few texts lacks some shards; its first ones stand in, so that sums compare.
+        self.labels = [name for name, _ in dictionaries]
+        self.encoders = [[encoder(c) for c in (shards * SHARDS)[:SHARDS]] for _, shards in dictionaries]
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, float, int]:
         if text is None or not self.labels or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        data = text.encode()
+            return UNKNOWN, 0.0, 0
+        data = plain(text)
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        sizes = [sum(len(f(b)) for b in blocks) for f in self.encoders]
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.labels[i]))
+        shards = SHARDS if len(data) < SHORT_BYTES else 1
+        sizes = [sum(len(f(b)) for f in own[:shards] for b in blocks) for own in self.encoders]
+        best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
-            return self.labels[0], 1.0
+            return self.labels[0], 1.0, len(data)
         second = min(s for i, s in enumerate(sizes) if i != best)
-        return self.labels[best], (second - sizes[best]) / second
+        return self.labels[best], (second - sizes[best]) / second, len(data)
 
 
-def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = 0.0) -> DataFrame:
+def predict(df: DataFrame, dictionaries: list[tuple[str, list[bytes]]], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """``df`` with lang_pred, score and rejected (columns of these names are replaced)."""
     from pyspark.sql import types as T
 
@@ -106,7 +126,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", m
             texts = batch.column(batch.schema.get_field_index(text))
             found = [predictor(t.as_py()) for t in texts]
             names, scores = [x[0] for x in found], [x[1] for x in found]
-            out = [n == UNKNOWN or s <= min_margin for n, s in found]
+            out = [n == UNKNOWN or (s <= min_margin and size >= SURE_BYTES) for n, s, size in found]
             new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
