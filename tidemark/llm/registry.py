@@ -31,6 +31,12 @@ def language(spark, sf_dir):
     return identify(_documents(spark, sf_dir))
 
 
+def substrings(spark, sf_dir):
+    from tidemark.llm.substrings import report
+
+    return report(_documents(spark, sf_dir))
+
+
 def secrets(spark, sf_dir):
     from tidemark.llm.secrets import report
 
@@ -41,6 +47,7 @@ def queries():
     return {
         "op2_bpe": bpe,
         "op3_language": language,
+        "op5_substrings": substrings,
         "op9_secrets": secrets,
     }
 

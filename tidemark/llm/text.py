@@ -136,6 +136,17 @@ def inside(first: np.ndarray, n: int) -> np.ndarray:
     return np.arange(words - n + 1) + n <= ends[: words - n + 1]
 
 
+def least(value: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of each ``span`` consecutive values, the first of equals."""
+    place, width = np.arange(len(value)), 1
+    while width < span:
+        step = min(width, span - width)
+        left, right = place[: len(place) - step], place[step:]
+        place = np.where(value[right] < value[left], right, left)
+        width += step
+    return place
+
+
 def key128(data: bytes) -> bytes:
     """A 16-byte name of a byte string."""
     import xxhash
