@@ -43,12 +43,19 @@ def secrets(spark, sf_dir):
     return report(_documents(spark, sf_dir))
 
 
+def suffixes(spark, sf_dir):
+    from tidemark.llm.suffixes import report
+
+    return report(_documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op2_bpe": bpe,
         "op3_language": language,
         "op5_substrings": substrings,
         "op9_secrets": secrets,
+        "op10_suffixes": suffixes,
     }
 
 
