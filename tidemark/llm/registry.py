@@ -43,6 +43,12 @@ def secrets(spark, sf_dir):
     return report(_documents(spark, sf_dir))
 
 
+def jaccard(spark, sf_dir):
+    from tidemark.llm.jaccard import join
+
+    return join(_documents(spark, sf_dir))
+
+
 def suffixes(spark, sf_dir):
     from tidemark.llm.suffixes import report
 
@@ -53,6 +59,7 @@ def queries():
     return {
         "op2_bpe": bpe,
         "op3_language": language,
+        "op4_jaccard": jaccard,
         "op5_substrings": substrings,
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,

@@ -37,25 +37,37 @@ from tidemark.scratch import keep
 WINDOW = 35
 MINIMISER = 6
 FREQUENT = 1e-5
+#: Runs that are counted before a task reports; few reports keep rare runs out of them.
+ROUND_RUNS = 4_000_000
 _TOP = np.uint64(1 << 63)
 _OTHER_BASE = np.uint64(0xA24BAED4963EE407)
 
 
-def frequent_runs(docs: DataFrame, n: int = MINIMISER, share: float = FREQUENT) -> np.ndarray:
-    """Sorted hashes of word runs that make up at least ``share`` of all runs; at most 1 / share of them."""
+def frequent_runs(docs: DataFrame, n: int = MINIMISER, share: float = FREQUENT, lower: bool = False) -> np.ndarray:
+    """Sorted hashes of word runs that make up at least ``share`` of all runs; at most 1 / share of them.
+
+    ``lower`` takes A-Z as a-z.
+    """
 
     def work(batches):
         for batch in batches:
-            for _, texts in rounds(batch, "text"):
-                words = Words(texts)
-                runs = grams(words.hashes(), n)[inside(words.first, n)]
-                found, counts = np.unique(runs, return_counts=True)
-                much = counts >= max(4, share / 2 * len(runs))
-                found, counts = np.append(found[much], np.uint64(0)), np.append(counts[much], len(runs))
-                total = np.append(np.zeros(much.sum(), bool), True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(found)), pa.array(counts.astype(np.int64)), pa.array(total)], names=["run", "n", "total"]
-                )
+            held, size = [], 0
+            for part, texts in rounds(batch, "text"):
+                words = Words(texts, lower)
+                held.append(grams(words.hashes(), n)[inside(words.first, n)])
+                size += len(held[-1])
+                if size >= ROUND_RUNS:
+                    yield told(np.concatenate(held))
+                    held, size = [], 0
+            if held:
+                yield told(np.concatenate(held))
+
+    def told(runs: np.ndarray) -> pa.RecordBatch:
+        found, counts = np.unique(runs, return_counts=True)
+        much = counts >= max(4, share / 2 * len(runs))
+        found, counts = np.append(found[much], np.uint64(0)), np.append(counts[much], len(runs))
+        total = np.append(np.zeros(much.sum(), bool), True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(counts.astype(np.int64)), pa.array(total)], names=["run", "n", "total"])
 
     seen = docs.select("text").mapInArrow(work, "run long, n long, total boolean").groupBy("run", "total").agg(F.sum("n").alias("n"))
     seen = keep(seen, "frequent-runs")
