@@ -49,6 +49,18 @@ def jaccard(spark, sf_dir):
     return join(_documents(spark, sf_dir))
 
 
+def neardup(spark, sf_dir):
+    from tidemark.llm.neardup import classes
+
+    return classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def nearest(spark, sf_dir):
+    from tidemark.llm.nearest import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def suffixes(spark, sf_dir):
     from tidemark.llm.suffixes import report
 
@@ -61,6 +73,8 @@ def queries():
         "op3_language": language,
         "op4_jaccard": jaccard,
         "op5_substrings": substrings,
+        "op6_neardup": neardup,
+        "op7_nearest": nearest,
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,
     }
