@@ -124,7 +124,8 @@ class Anchors:
         far = powers(_STEP, half + 1)[half] if length == 2 * half else None
         ends = self._full(ranks, a, half, far, data), self._full(ranks, b, half, far, data)
         stretch = mix(mix(ends[0]) * np.uint64(0x9E3779B97F4A7C15) + ends[1] + (b - a).astype(np.uint64))
-        return doc, a - offsets[doc], b - offsets[doc], names[at[a]], stretch
+        # Least names crowd at the low end: mixed again, they fill the buckets evenly.
+        return doc, a - offsets[doc], b - offsets[doc], mix(names[at[a]] + _STEP), stretch
 
     def _full(self, ranks, at, half, far, data):
         """Names of the strings that start at ``at``: the pair of ranks ``half`` apart, and an odd byte."""
@@ -410,7 +411,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = with_keys(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     size = min(max(CHUNK_BYTES[0], total // 2000), CHUNK_BYTES[1])
-    chunks, buckets = max(1, -(-total // size)), max(8, -(-total // BUCKET_BYTES))
+    chunks, buckets = max(1, -(-total // size)), max(64, -(-total // BUCKET_BYTES))
     texts = _by_chunk(rows, chunks)
     answers: DataFrame | None = None
     for step, judge in enumerate([_count, _settle, _smaller, None]):
