@@ -61,6 +61,12 @@ def nearest(spark, sf_dir):
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def suffixtree(spark, sf_dir):
+    from tidemark.llm.suffixtree import score
+
+    return score(_documents(spark, sf_dir))
+
+
 def suffixes(spark, sf_dir):
     from tidemark.llm.suffixes import report
 
@@ -75,6 +81,7 @@ def queries():
         "op5_substrings": substrings,
         "op6_neardup": neardup,
         "op7_nearest": nearest,
+        "op8_suffixtree": suffixtree,
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,
     }
