@@ -67,6 +67,12 @@ def suffixtree(spark, sf_dir):
     return score(_documents(spark, sf_dir))
 
 
+def mixing(spark, sf_dir):
+    from tidemark.llm.mixing import mix
+
+    return mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def suffixes(spark, sf_dir):
     from tidemark.llm.suffixes import report
 
@@ -75,6 +81,7 @@ def suffixes(spark, sf_dir):
 
 def queries():
     return {
+        "op1_mixing": mixing,
         "op2_bpe": bpe,
         "op3_language": language,
         "op4_jaccard": jaccard,
