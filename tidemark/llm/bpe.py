@@ -212,12 +212,13 @@ def decode(df: DataFrame, content: str, ids: str = "ids", out: str = "decoded")
     return kept.mapInArrow(work, schema)
 
 
-def digest(docs: DataFrame, content: str) -> DataFrame:
-    """Per document the number of ids and digests of the ids and of the decoded text."""
-    coded = encode(docs.select("doc_id", "text"), content).select("doc_id", "ids")
+def digest(docs: DataFrame, content: str, carried: list[str] | None = None) -> DataFrame:
+    """Per document the carried columns, the number of ids and digests of the ids and of the decoded text."""
+    carried = carried or ["doc_id"]
+    coded = encode(docs.select(*carried, "text"), content).select(*carried, "ids")
     back = decode(coded, content)
     return back.select(
-        "doc_id",
+        *carried,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

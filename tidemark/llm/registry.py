@@ -79,6 +79,12 @@ def suffixes(spark, sf_dir):
     return report(_documents(spark, sf_dir))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_mixing": mixing,
@@ -91,6 +97,7 @@ def queries():
         "op8_suffixtree": suffixtree,
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,
+        "pipeline": pipeline,
     }
 
 
