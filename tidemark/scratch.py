@@ -34,7 +34,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a reader of what was written."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._tidemark_path = path
     return kept
