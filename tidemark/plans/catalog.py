@@ -1,9 +1,530 @@
-"""Registry of the named queries and their SQL."""
+"""Named queries over the test tables, and the SQL each one must agree with."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import datetime as dt
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tidemark.functions import convert, tuning, types
+from tidemark.model import TABLES, ParquetCatalog, columns_of
+from tidemark.operators import constraints, merge, partition, scan, verify
+from tidemark.plans.config import glob_regex
+from tidemark.streaming import state as states
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+MARK = dt.datetime(2024, 1, 15)
+ORDER_MARK = dt.datetime(1999, 1, 1)
+KEYED = [t for t in TABLES.values() if t.key]
+ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- scans ----
+
+
+@query("keyset_first_page", "SELECT * FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 500")
+def _(spark, d):
+    return scan.keyset_page(_t(spark, d, "orders"), "o_orderkey", 500, start=100)
+
+
+@query("keyset_next_page", "SELECT * FROM orders WHERE o_orderkey > 599 AND o_orderkey <= 900 ORDER BY o_orderkey LIMIT 500")
+def _(spark, d):
+    return scan.keyset_page(_t(spark, d, "orders"), "o_orderkey", 500, after=599, upper=900)
+
+
+@query("keyset_bounded_range", "SELECT * FROM orders WHERE o_orderkey > 250 AND o_orderkey <= 4000")
+def _(spark, d):
+    return scan.key_range(_t(spark, d, "orders"), "o_orderkey", after=250, upper=4000)
+
+
+@query("offset_page_composite", "SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 50 OFFSET 30")
+def _(spark, d):
+    return scan.offset_page(_t(spark, d, "conversations"), ["conv_id", "turn"], 50, 30)
+
+
+@query("full_scan_projection", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("where_pushdown", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 10 AND (o_orderstatus = 'F')")
+def _(spark, d):
+    return scan.key_range(_t(spark, d, "orders"), "o_orderkey", after=10).filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "row_number_slice",
+    "SELECT p_partkey, p_name, CAST(row_num AS INTEGER) AS row_num FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS row_num FROM part) WHERE row_num BETWEEN 21 AND 120",
+)
+def _(spark, d):
+    return scan.row_slice(_t(spark, d, "part").select("p_partkey", "p_name"), ["p_partkey"], 21, 120)
+
+
+@query("watermark_incremental", f"SELECT * FROM events WHERE ts > TIMESTAMP '{MARK}' OR ts IS NULL")
+def _(spark, d):
+    return scan.watermark_filter(_t(spark, d, "events"), "ts", MARK)
+
+
+@query(
+    "watermark_null_inclusive",
+    f"SELECT event_id, stamp FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS stamp FROM events) WHERE stamp > TIMESTAMP '{MARK}' OR stamp IS NULL",
+)
+def _(spark, d):
+    stamped = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("ts")).alias("stamp"))
+    return scan.watermark_filter(stamped, "stamp", MARK)
+
+
+# ---- partitions ----
+
+_NTILE = "SELECT CAST(b AS INTEGER) AS partition_id, min(k) AS min_key, max(k) AS max_key, count(*) AS row_count FROM (SELECT {k} AS k, ntile({n}) OVER (ORDER BY {k}) AS b FROM {t}) GROUP BY b"
+
+
+@query("ntile_partition_bounds", _NTILE.format(k="o_orderkey", n=7, t="orders"))
+def _(spark, d):
+    return partition.ntile_bounds(_t(spark, d, "orders"), "o_orderkey", 7)
+
+
+@query("ntile_partition_bounds_single", _NTILE.format(k="c_custkey", n=4, t="customer"))
+def _(spark, d):
+    return partition.ntile_bounds_single(_t(spark, d, "customer"), "c_custkey", 4)
+
+
+_WIDTH = "WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), r AS (SELECT i, lo, hi - lo + 1 AS w FROM b, range(0, 6) AS t(i))"
+
+
+@query(
+    "equal_width_ranges",
+    f"{_WIDTH} SELECT CAST(i + 1 AS INTEGER) AS partition_id, CAST(lo + i * (w // 6) + least(i, w % 6) AS BIGINT) AS range_start, CAST(lo + (i + 1) * (w // 6) + least(i + 1, w % 6) AS BIGINT) AS range_end FROM r",
+)
+def _(spark, d):
+    return partition.equal_width_ranges(_t(spark, d, "orders"), "o_orderkey", 6)
+
+
+@query(
+    "range_row_counts",
+    "WITH r AS (SELECT i, i * 250 AS a, (i + 1) * 250 AS b FROM range(0, 8) AS t(i)) SELECT CAST(i + 1 AS INTEGER) AS partition_id, count(doc_id) AS row_count FROM r LEFT JOIN labels ON doc_id >= a AND doc_id < b GROUP BY i",
+)
+def _(spark, d):
+    return partition.range_row_counts(_t(spark, d, "labels"), "doc_id", partition.equal_width(0, 1999, 8))
+
+
+# ---- counts and keys ----
+
+
+@query("table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ALL))
+def _(spark, d):
+    return verify.table_counts({n: _t(spark, d, n) for n in ALL})
+
+
+@query("max_primary_keys", " UNION ALL ".join(f"SELECT '{t.name}' AS table_name, CAST(max({t.key[0]}) AS BIGINT) AS max_key FROM {t.name}" for t in KEYED))
+def _(spark, d):
+    parts = [_t(spark, d, t.name).agg(F.max(t.key[0]).cast("long").alias("max_key")).select(F.lit(t.name).alias("table_name"), "max_key") for t in KEYED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("min_max_pk", "SELECT min(o_orderkey) AS min_key, max(o_orderkey) AS max_key, count(*) AS row_count FROM orders")
+def _(spark, d):
+    return _t(spark, d, "orders").agg(F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key"), F.count("*").alias("row_count"))
+
+
+@query("next_sequence_values", " UNION ALL ".join(f"SELECT '{t.name}' AS table_name, CAST(coalesce(max({t.key[0]}), 0) + 1 AS BIGINT) AS next_value FROM {t.name}" for t in KEYED))
+def _(spark, d):
+    parts = [constraints.next_sequence(_t(spark, d, t.name), t.key[0]).select(F.lit(t.name).alias("table_name"), "next_value") for t in KEYED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---- merges: orders below 9/10 of the keys is the target, above 1/2 the source, every seventh row changed ----
+
+_SPLIT = "WITH n AS (SELECT max(o_orderkey) AS top FROM orders), t AS (SELECT orders.* FROM orders, n WHERE o_orderkey * 10 < top * 9), s AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders, n WHERE o_orderkey * 2 >= top)"
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    orders = _t(spark, d, "orders")
+    top = orders.agg(F.max("o_orderkey")).first()[0]
+    status = F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))
+    target = orders.filter(F.col("o_orderkey") < F.lit(-(-top * 9 // 10)))
+    return target, orders.filter(F.col("o_orderkey") >= F.lit(-(-top // 2))).withColumn("o_orderstatus", status)
+
+
+_MERGED = "SELECT * FROM {s} UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {s})"
+
+
+@query("upsert_full", f"{_SPLIT} {_MERGED.format(s='s')}")
+def _(spark, d):
+    return merge.upsert(*_sides(spark, d), ["o_orderkey"])
+
+
+@query("upsert_incremental", f"{_SPLIT}, i AS (SELECT * FROM s WHERE o_orderdate > TIMESTAMP '{ORDER_MARK}' OR o_orderdate IS NULL) {_MERGED.format(s='i')}")
+def _(spark, d):
+    target, source = _sides(spark, d)
+    return merge.upsert(target, scan.watermark_filter(source, "o_orderdate", ORDER_MARK), ["o_orderkey"])
+
+
+@query(
+    "upsert_null_overwrite",
+    "WITH s AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0)"
+    " SELECT * FROM s UNION ALL SELECT * FROM customer WHERE c_custkey % 2 <> 0",
+)
+def _(spark, d):
+    customer = _t(spark, d, "customer")
+    source = customer.filter("c_custkey % 2 = 0").withColumns({"c_acctbal": F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")), "c_mktsegment": F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))})
+    return merge.upsert(customer, source, ["c_custkey"])
+
+
+@query("upsert_pk_only", "SELECT n_nationkey FROM nation")
+def _(spark, d):
+    keys = _t(spark, d, "nation").select("n_nationkey")
+    return merge.upsert(keys.filter("n_nationkey < 15"), keys.filter("n_nationkey >= 10"), ["n_nationkey"])
+
+
+@query("upsert_composite_pk", "SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 AND conv_id % 3 = 0 THEN upper(role) ELSE text END AS text FROM conversations")
+def _(spark, d):
+    c = _t(spark, d, "conversations")
+    return merge.upsert(c, c.filter("turn % 2 = 0 AND conv_id % 3 = 0").withColumn("text", F.upper("role")), ["conv_id", "turn"])
+
+
+@query(
+    "merge_change_actions",
+    f"{_SPLIT} SELECT CASE WHEN s.o_orderkey IS NULL THEN 'keep' WHEN t.o_orderkey IS NULL THEN 'insert' WHEN s.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus THEN 'noop' ELSE 'update' END AS action, count(*) AS row_count FROM s FULL JOIN t ON s.o_orderkey = t.o_orderkey GROUP BY 1",
+)
+def _(spark, d):
+    return merge.classify(*_sides(spark, d), ["o_orderkey"]).groupBy("action").agg(F.count("*").alias("row_count"))
+
+
+@query("merge_noop_filtered", f"{_SPLIT} SELECT s.*, CASE WHEN t.o_orderkey IS NULL THEN 'insert' ELSE 'update' END AS action FROM s LEFT JOIN t ON s.o_orderkey = t.o_orderkey WHERE t.o_orderkey IS NULL OR s.o_orderstatus IS DISTINCT FROM t.o_orderstatus")
+def _(spark, d):
+    return merge.changed_rows(*_sides(spark, d), ["o_orderkey"])
+
+
+_ITEM = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query(
+    "dedupe_latest_by_key",
+    f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in _ITEM)}) AS n FROM lineitem) WHERE n = 1",
+)
+def _(spark, d):
+    return merge.dedupe_latest(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc(c) for c in _ITEM])
+
+
+# ---- constraints ----
+
+
+@query("pk_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(spark, d):
+    return constraints.pk_duplicates(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def _orphans(child: str, column: str, parent: str, key: str, part: str):
+    @query(f"fk_orphans_{child}_{column}", f"SELECT {column}, count(*) AS row_count FROM {child} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent} WHERE {part}) GROUP BY 1")
+    def _(spark, d):
+        bad = constraints.fk_orphans(_t(spark, d, child), [column], _t(spark, d, parent).filter(part), [key])
+        return bad.groupBy(column).agg(F.count("*").alias("row_count"))
+
+
+for _table in TABLES.values():
+    for _f in _table.foreign_keys:
+        _orphans(_table.name, _f.columns[0], _f.parent, _f.parent_columns[0], f"{_f.parent_columns[0]} % 4 <> 1")
+
+
+@query(
+    "null_violations",
+    "SELECT 'c_acctbal' AS column_name, count(*) FILTER (c_custkey % 3 = 0) AS null_count FROM customer UNION ALL SELECT 'c_name', count(*) FILTER (c_name IS NULL) FROM customer",
+)
+def _(spark, d):
+    c = _t(spark, d, "customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")))
+    return constraints.null_violations(c, ["c_acctbal", "c_name"])
+
+
+@query("check_violations", "SELECT o_orderkey, o_totalprice FROM orders WHERE NOT (o_totalprice > 100000 AND o_orderdate <= now())")
+def _(spark, d):
+    return constraints.check_violations(_t(spark, d, "orders"), "([o_totalprice] > 100000 AND [o_orderdate] <= getdate())").select("o_orderkey", "o_totalprice")
+
+
+_EDGES = [(t.name, f.parent) for t in TABLES.values() for f in t.foreign_keys]
+
+
+@query(
+    "fk_dependency_levels",
+    f"WITH RECURSIVE e(child, parent) AS (VALUES {', '.join(f'{e}' for e in _EDGES)}), l(name, level) AS (SELECT n, 0 FROM (VALUES {', '.join(f'({t!r})' for t in TABLES)}) AS t(n) UNION SELECT e.child, l.level + 1 FROM l JOIN e ON e.parent = l.name) SELECT name AS table_name, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY name",
+)
+def _(spark, d):
+    rows = [(n, i) for i, level in enumerate(constraints.fk_levels(list(TABLES.values()))) for n in level]
+    return spark.createDataFrame(rows, "table_name string, level int")
+
+
+# ---- state ----
+
+_RANGES = [(None, 100), (100, 200), (150, 260), (300, 400), (260, 280)]
+_STATE_COLUMNS = "run_id, run_status, run_started_at, table_name, table_status, rows_transferred, rows_skipped, last_sync_timestamp, updated_at"
+_STATE = [
+    ("r1", "completed", "2024-01-01 00:00:00", "orders", "completed", 100, 1, "2024-01-01 00:00:00", "2024-01-01 01:00:00"),
+    ("r1", "completed", "2024-01-01 00:00:00", "part", "completed", 50, 0, "2024-01-01 00:10:00", "2024-01-01 01:00:00"),
+    ("r2", "failed", "2024-01-02 00:00:00", "orders", "completed", 20, 2, "2024-01-02 00:00:00", "2024-01-02 01:00:00"),
+    ("r2", "failed", "2024-01-02 00:00:00", "part", "failed", 7, 0, None, "2024-01-02 01:00:00"),
+    ("r2", "failed", "2024-01-02 00:00:00", "nation", "pending", 0, 0, None, "2024-01-02 01:00:00"),
+]
+_STATE_SQL = f"WITH st({_STATE_COLUMNS}) AS (VALUES {', '.join('(' + ', '.join('NULL' if v is None else repr(v) for v in r) + ')' for r in _STATE)})"
+
+
+def _state(spark: SparkSession) -> DataFrame:
+    names = _STATE_COLUMNS.split(", ")
+    df = spark.createDataFrame(_STATE, ", ".join(f"{n} {'long' if n.startswith('rows') else 'string'}" for n in names))
+    for c in ("run_started_at", "last_sync_timestamp", "updated_at"):
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@query("resume_point", "SELECT CAST(280 AS BIGINT) AS resume_key")
+def _(spark, d):
+    return states.resume_point(spark.createDataFrame(_RANGES, "range_start long, range_end long"))
+
+
+@query("partition_progress_by_table", "SELECT table_name, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS partitions, arg_min(error, id) FILTER (error IS NOT NULL) AS error FROM (VALUES ('a', 1, 10, NULL), ('a', 2, 20, 'late'), ('a', 3, 5, 'later'), ('b', 1, 7, NULL)) AS p(table_name, id, n, error) GROUP BY table_name")
+def _(spark, d):
+    parts = spark.createDataFrame([("a", 1, 10, None), ("a", 2, 20, "late"), ("a", 3, 5, "later"), ("b", 1, 7, None)], "table_name string, partition_id int, row_count long, error string")
+    return states.table_progress(parts)
+
+
+@query("latest_run_state", f"{_STATE_SQL} SELECT table_name, table_status FROM st WHERE run_id = (SELECT run_id FROM st ORDER BY run_started_at DESC LIMIT 1)")
+def _(spark, d):
+    return states.latest_run(_state(spark)).select("table_name", "table_status")
+
+
+@query("last_sync_timestamp", f"{_STATE_SQL} SELECT table_name, CAST(arg_max(last_sync_timestamp, updated_at) AS TIMESTAMP) AS last_sync_timestamp FROM st WHERE table_status = 'completed' AND last_sync_timestamp IS NOT NULL GROUP BY table_name")
+def _(spark, d):
+    return states.last_sync(_state(spark))
+
+
+@query("pending_tables", f"{_STATE_SQL} SELECT DISTINCT table_name FROM st WHERE run_id = 'r2' AND table_status <> 'completed'")
+def _(spark, d):
+    own = _state(spark).filter("run_id = 'r2'")
+    return states.pending_tables(own.select("table_name").distinct(), own, "upsert")
+
+
+@query(
+    "run_summary",
+    f"{_STATE_SQL} SELECT run_id, count(*) FILTER (table_status = 'completed') AS tables_success, count(*) FILTER (table_status = 'failed') AS tables_failed, CAST(coalesce(sum(rows_transferred) FILTER (table_status = 'completed'), 0) AS BIGINT) AS rows_transferred, CAST(coalesce(sum(rows_skipped) FILTER (table_status = 'completed'), 0) AS BIGINT) AS rows_skipped FROM st GROUP BY run_id",
+)
+def _(spark, d):
+    return states.run_summary(_state(spark))
+
+
+# ---- verification ----
+
+_LESS = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 3"
+_WHOLE = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"
+_COMPARED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _perturbed(spark, d) -> tuple[DataFrame, DataFrame]:
+    source = _t(spark, d, "orders").select(*_COMPARED)
+    status = F.when(F.col("o_orderkey") % 50 == 0, "Z").otherwise(F.col("o_orderstatus"))
+    return source, source.filter("o_orderkey % 97 <> 3").withColumn("o_orderstatus", status)
+
+
+@query(
+    "count_reconciliation",
+    "SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS source_count, (SELECT count(*) FROM orders WHERE o_orderkey % 97 <> 3) AS target_count, FALSE AS is_match"
+    " UNION ALL SELECT 'nation', count(*), count(*), TRUE FROM nation UNION ALL SELECT 'part', count(*), NULL, FALSE FROM part",
+)
+def _(spark, d):
+    source, target = _perturbed(spark, d)
+    nation = _t(spark, d, "nation")
+    return verify.reconcile(verify.table_counts({"orders": source, "nation": nation, "part": _t(spark, d, "part")}), verify.table_counts({"orders": target, "nation": nation}))
+
+
+@query("bucket_count_diff", f"WITH s AS ({_WHOLE}), t AS ({_LESS}), a AS (SELECT o_orderkey // 500 AS bucket, count(*) AS n FROM s GROUP BY 1), b AS (SELECT o_orderkey // 500 AS bucket, count(*) AS n FROM t GROUP BY 1) SELECT a.bucket, a.n AS source_count, coalesce(b.n, 0) AS target_count FROM a LEFT JOIN b ON a.bucket = b.bucket WHERE a.n <> coalesce(b.n, 0)")
+def _(spark, d):
+    return verify.bucket_diff(*_perturbed(spark, d), "o_orderkey", 500)
+
+
+_DIFF = f"WITH s AS ({_WHOLE}), t AS ({_LESS}) SELECT s.o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'missing' ELSE 'different' END AS status FROM s LEFT JOIN t ON s.o_orderkey = t.o_orderkey WHERE t.o_orderkey IS NULL OR s.o_orderstatus IS DISTINCT FROM t.o_orderstatus"
+
+
+@query("row_hash_diff", _DIFF)
+def _(spark, d):
+    return verify.hash_diff(*_perturbed(spark, d), ["o_orderkey"], _COMPARED)
+
+
+@query("tiered_diff", _DIFF)
+def _(spark, d):
+    return verify.tiered(*_perturbed(spark, d), ["o_orderkey"], _COMPARED, 500)
+
+
+@query("row_md5", "SELECT o_orderkey, md5(concat_ws('|', coalesce('v' || CAST(o_orderkey AS VARCHAR), 'n'), coalesce('v' || o_orderstatus, 'n'))) AS row_md5 FROM orders")
+def _(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", verify.row_hash(["o_orderkey", "o_orderstatus"]).alias("row_md5"))
+
+
+# ---- names, types, values ----
+
+_NAMES = ["dbo.Users", "dbo.UserLogs", "TempData", "log_2024", "dbo.Posts"]
+_IN, _OUT = ["user*", "p?sts", "log*"], ["*logs"]
+
+
+@query(
+    "table_glob_filter",
+    f"SELECT table_name FROM (VALUES {', '.join(f'({n!r})' for n in _NAMES)}) AS t(table_name) WHERE (" + " OR ".join(f"regexp_matches(lower(split_part(table_name, '.', -1)), '{glob_regex(p)}')" for p in _IN) + ") AND NOT (" + " OR ".join(f"regexp_matches(lower(split_part(table_name, '.', -1)), '{glob_regex(p)}')" for p in _OUT) + ")",
+)
+def _(spark, d):
+    from tidemark.plans.config import keeps
+
+    return spark.createDataFrame([(n,) for n in _NAMES if keeps(n, _IN, _OUT)], "table_name string")
+
+
+# Types of each database with length, digits and scale, and what they become under the profile direct.
+_TYPES = {
+    ("mssql", "postgres"): "bit,0,0,0,boolean,f tinyint,0,0,0,smallint,f int,0,0,0,integer,f decimal,0,10,2,numeric(10;2),f decimal,0,0,0,numeric,f nvarchar,100,0,0,varchar(100),f nvarchar,-1,0,0,text,f datetime2,0,0,0,timestamp,f datetimeoffset,0,0,0,timestamptz,f uniqueidentifier,0,0,0,uuid,f money,0,0,0,numeric(19;4),f",
+    ("postgres", "mssql"): "bool,0,0,0,bit,f int4,0,0,0,int,f numeric,0,10,2,decimal(10;2),f numeric,0,0,0,decimal(38;10),f varchar,100,0,0,nvarchar(100),f text,0,0,0,nvarchar(max),f date,0,0,0,datetime2,t jsonb,0,0,0,nvarchar(max),t _int4,0,0,0,nvarchar(max),t uuid,0,0,0,uniqueidentifier,f inet,0,0,0,varchar(50),t",
+    ("mysql", "postgres"): "tinyint,1,0,0,boolean,f tinyint,4,0,0,smallint,f json,0,0,0,jsonb,f enum,0,0,0,text,t year,0,0,0,smallint,f bit,8,0,0,bit varying,f longblob,0,0,0,bytea,f double,0,0,0,double precision,f varchar,0,0,0,text,f",
+    ("postgres", "mysql"): "bool,0,0,0,TINYINT(1),f serial,0,0,0,INT AUTO_INCREMENT,f numeric,0,70,40,DECIMAL(65;30),t timestamptz,0,0,0,DATETIME,t uuid,0,0,0,VARCHAR(36),t jsonb,0,0,0,JSON,f oid,0,0,0,BIGINT UNSIGNED,f text,0,0,0,LONGTEXT,f bytea,0,0,0,LONGBLOB,f",
+    ("mysql", "mssql"): "tinyint,1,0,0,bit,f decimal,0,50,10,decimal(38;10),t json,0,0,0,nvarchar(max),t varchar,255,0,0,nvarchar(255),f varbinary,100,0,0,varbinary(100),f set,0,0,0,nvarchar(max),t datetime,0,0,0,datetime2,f",
+    ("mssql", "mysql"): "bit,0,0,0,TINYINT(1),f tinyint,0,0,0,TINYINT UNSIGNED,f nvarchar,-1,0,0,LONGTEXT,f datetime2,0,0,0,DATETIME,f uniqueidentifier,0,0,0,VARCHAR(36),t varbinary,-1,0,0,LONGBLOB,f xml,0,0,0,LONGTEXT,t",
+    ("mssql", "mssql"): "int,0,0,0,int,f nvarchar,50,0,0,nvarchar(50),f decimal,0,10,2,decimal(10;2),f",
+    ("postgres", "postgres"): "int4,0,0,0,int4,f varchar,50,0,0,varchar(50),f jsonb,0,0,0,jsonb,f",
+    ("mysql", "mysql"): "double,0,0,0,double,f json,0,0,0,json,f char,10,0,0,char(10),f",
+}
+
+
+def _rows(text: str) -> list[tuple]:
+    out, held = [], []
+    for word in text.split(" "):
+        held.append(word)
+        if word.endswith((",t", ",f")):
+            n, length, digits, scale, target, lossy = " ".join(held).split(",")
+            out.append((n, int(length), int(digits), int(scale), target.replace(";", ","), lossy == "t"))
+            held = []
+    return out
+
+
+def _type_map(source: str, target: str, rows: list[tuple]) -> None:
+    values = ", ".join(f"({n!r}, {length}, {p}, {s}, {t!r}, {lossy})" for n, length, p, s, t, lossy in rows)
+
+    @query(f"type_map_{source}_{target}", f"SELECT native_type, CAST(length AS INTEGER) AS length, CAST(digits AS INTEGER) AS digits, CAST(scale AS INTEGER) AS scale, target_type, is_lossy FROM (VALUES {values}) AS t(native_type, length, digits, scale, target_type, is_lossy)")
+    def _(spark, d):
+        return types.mapping_table(spark, source, target, "direct", [r[:4] for r in rows])
+
+
+for (_a, _b), _text in _TYPES.items():
+    _type_map(_a, _b, _rows(_text))
+
+
+@query("oversized_rows", "SELECT doc_id, 2 * length(text) + 2 * length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS utf16_bytes FROM documents WHERE 2 * length(text) + 2 * length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')) > 65535")
+def _(spark, d):
+    docs = _t(spark, d, "documents")
+    return convert.route_oversized(docs)[1].select("doc_id", convert.utf16_bytes(F.col("text")).alias("utf16_bytes"))
+
+
+@query("utf16_sizes", "SELECT doc_id, 2 * length(text) + 2 * length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS utf16_bytes FROM documents")
+def _(spark, d):
+    return _t(spark, d, "documents").select("doc_id", convert.utf16_bytes(F.col("text")).alias("utf16_bytes"))
+
+
+_ESCAPED = "replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')"
+
+
+@query("escape_tsv", f"SELECT doc_id, md5({_ESCAPED}) AS escaped_md5, length({_ESCAPED}) AS escaped_chars FROM documents")
+def _(spark, d):
+    e = convert.escape_tsv(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(e).alias("escaped_md5"), F.length(e).cast("long").alias("escaped_chars"))
+
+
+@query("escape_copy", f"SELECT page_id, md5({_ESCAPED.replace('text', 'html')}) AS escaped_md5 FROM pages")
+def _(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.md5(convert.escape_copy(F.col("html"))).alias("escaped_md5"))
+
+
+@query(
+    "epoch2000_encode",
+    "SELECT o_orderkey, CAST(datediff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days, epoch_us(o_orderdate) - 946684800000000 AS micros, CAST(CAST(epoch_us(o_orderdate) + 62135596800000000 AS HUGEINT) * 10 AS VARCHAR) AS ticks FROM orders",
+)
+def _(spark, d):
+    c = F.col("o_orderdate")
+    return _t(spark, d, "orders").select("o_orderkey", convert.days_since_2000(c).alias("days"), convert.micros_since_2000(c).alias("micros"), convert.ticks(c).cast("string").alias("ticks"))
+
+
+@query("date_to_midnight", "SELECT event_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS midnight, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS millis FROM events")
+def _(spark, d):
+    return _t(spark, d, "events").select("event_id", convert.midnight(F.col("ts")).alias("midnight"), convert.millis_text(F.col("ts")).alias("millis"))
+
+
+@query("finite_values", "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, d):
+    odd = F.when(F.col("c_custkey") % 5 == 0, float("nan")).when(F.col("c_custkey") % 5 == 1, float("-inf")).otherwise(F.col("c_acctbal"))
+    return _t(spark, d, "customer").select("c_custkey", convert.finite(odd).alias("c_acctbal"))
+
+
+@query("uuid_and_hex", "SELECT c_custkey, lower(hex(encode(c_name))) AS name_hex FROM customer")
+def _(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", convert.hex_text(F.encode("c_name", "UTF-8")).alias("name_hex"))
+
+
+@query("base10000_digits", "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '' WHEN o_orderkey < 10000 THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey // 10000 AS VARCHAR) || ',' || CAST(o_orderkey % 10000 AS VARCHAR) END AS digits FROM orders")
+def _(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", F.array_join(convert.base10000(F.col("o_orderkey")).cast("array<string>"), ",").alias("digits"))
+
+
+_SIZES = {"region": 104, "nation": 108, "customer": 220, "supplier": 120, "part": 320, "orders": 232, "lineitem": 268}
+
+
+@query("row_size_estimates", " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST({b} AS BIGINT) AS row_bytes" for n, b in _SIZES.items()))
+def _(spark, d):
+    catalog = ParquetCatalog(spark, d)
+    return spark.createDataFrame([(n, tuning.row_bytes(columns_of(catalog.table(n)))) for n in _SIZES], "table_name string, row_bytes long")
+
+
+@query("avg_row_size", "SELECT CAST(sum(n * b) // sum(n) AS BIGINT) AS avg_row_bytes FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n, {b} AS b FROM {n}" for n, b in _SIZES.items()) + ")")
+def _(spark, d):
+    counts = verify.table_counts({n: _t(spark, d, n) for n in _SIZES})
+    sizes = F.create_map(*[F.lit(x) for n, b in _SIZES.items() for x in (n, b)])
+    sized = counts.withColumn("b", sizes[F.col("table_name")])
+    return sized.agg(F.expr("sum(row_count * b) div sum(row_count)").alias("avg_row_bytes"))
+
+
+@query("fallback_batch_rows", "SELECT CAST(c AS INTEGER) AS columns, CAST(greatest(1, least(1000, 2100 // c)) AS INTEGER) AS rows FROM range(1, 41) AS t(c)")
+def _(spark, d):
+    return spark.createDataFrame([(c, tuning.fallback_batch_rows(c)) for c in range(1, 41)], "columns int, rows int")
+
+
+@query("index_columns_by_table", "SELECT table_name, string_agg(c, ',' ORDER BY n) AS columns FROM (VALUES ('orders', 2, 'o_custkey'), ('orders', 1, 'o_orderdate'), ('part', 1, 'p_brand')) AS t(table_name, n, c) GROUP BY table_name")
+def _(spark, d):
+    rows = spark.createDataFrame([("orders", 2, "o_custkey"), ("orders", 1, "o_orderdate"), ("part", 1, "p_brand")], "table_name string, n int, c string")
+    return rows.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), ",").alias("columns"))
+
+
+@query("catalog_columns", " UNION ALL ".join(f"SELECT '{n}' AS table_name, column_name, CAST(ordinal AS INTEGER) AS ordinal FROM (SELECT column_name, row_number() OVER () AS ordinal FROM (DESCRIBE {n}))" for n in ("region", "orders", "events")))
+def _(spark, d):
+    rows = [(n, c, i + 1) for n in ("region", "orders", "events") for i, c in enumerate(_t(spark, d, n).columns)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int")
