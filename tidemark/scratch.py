@@ -45,3 +45,13 @@ def drop(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep_by(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Write ``df`` in buckets of ``column``: later joins and groups by it do not shuffle what was kept."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd")
+    writer.option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
