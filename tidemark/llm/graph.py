@@ -1,7 +1,10 @@
-"""Connected components of large graphs by least labels and pointer jumping.
+"""Connected components of large graphs by contraction.
+
+A round points every node at the least of its neighbours and itself, lets each pointer jump once, and
+replaces edges by edges between the nodes pointed at. Loops and repeated edges go, so the graph shrinks
+by a factor each round (ids should be hashes: then no order of theirs makes long chains). At the
+end the rounds' pointers are followed from the last to the first.
 
-Every node starts with itself as label. A round gives each node the least label among its neighbours' and
-its own, then replaces labels by the labels of the nodes they name, so labels travel ever longer ways.
 Nodes with very many edges cost what their edges cost: minima are taken before the shuffle, and joins
 are between plain exchanges, which adaptive execution may split.
 """
@@ -15,30 +18,30 @@ from tidemark.scratch import drop, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a long, b long); the root is the least node reached.
+    """(node, root) for every node of ``edges`` (a long, b long); each component has one root, a node of it.
 
     Loops and repeated edges do no harm; rows with a null end are left out; no edges give no rows.
     """
-    both = edges.filter("a <> b").select("a", "b")
-    both = keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
-    while True:
-        offered = both.join(label, both["a"] == label["node"]).groupBy("b").agg(F.min("root").alias("least"))
-        near = keep(
-            label.join(offered, label["node"] == offered["b"], "left").select(
-                "node", F.col("root").alias("old"), F.least("root", F.coalesce("least", "root")).alias("root")
-            ),
-            "labels",
-        )
-        over = near.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        jumped = near.join(over, near["root"] == over["at"], "left").select(
-            "node", "old", F.least("root", F.coalesce("next", "root")).alias("root")
-        )
-        after = keep(jumped, "labels")
-        drop(near)
-        drop(label)
-        label = after.select("node", "root")
-        label._tidemark_path = after._tidemark_path
-        if after.filter("root <> old").isEmpty():
-            drop(both)
-            return label
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    live = keep(edges.filter("a <> b").select(low, high).distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not live.isEmpty():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "pointers")
+        onward = least.select(F.col("node").alias("at"), F.col("to").alias("then"))
+        jumped = keep(least.join(onward, least["to"] == onward["at"]).select("node", F.col("then").alias("to")), "pointers")
+        drop(least)
+        maps.append(jumped)
+        left = live.join(jumped, live["a"] == jumped["node"]).select(F.col("to").alias("a"), "b")
+        right = left.join(jumped, left["b"] == jumped["node"]).select("a", F.col("to").alias("b"))
+        shrunk = keep(right.filter("a <> b").select(low, high).distinct(), "edges")
+        drop(live)
+        live = shrunk
+    drop(live)
+    if not maps:
+        return edges.sparkSession.createDataFrame([], "node long, root long")
+    found = maps[-1].withColumnRenamed("to", "root")
+    for earlier in reversed(maps[:-1]):
+        after = found.select(F.col("node").alias("at"), "root")
+        found = keep(earlier.join(after, earlier["to"] == after["at"], "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
+    return found

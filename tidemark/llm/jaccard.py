@@ -24,6 +24,8 @@ do not matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,20 +36,40 @@ from tidemark.llm.common import grouped, scatter, signed, whole_groups, with_key
 from tidemark.llm.graph import components
 from tidemark.llm.substrings import frequent_runs
 from tidemark.llm.text import Words, as_texts, grams, inside, mix, rounds
-from tidemark.scratch import keep
+from tidemark.scratch import keep, keep_by
 
 SHINGLE = 4
 PERCENT = 85
 FREQUENT = 2e-6
 #: Points of a leaf and children of a node of the R-tree.
 FANOUT = 16
+#: Most coordinates of a point.
+GROUPS = 4096
+#: Buckets up to this many sets are compared all at once, larger ones through a tree.
+SMALL = 6
 #: Texts of a tile; components with more are dealt into tiles.
 TILE = 512
 
 
-def needed(a, b, percent: int = PERCENT):
-    """Least intersection with which sets of these sizes are linked."""
-    return -(-(percent * (a + b)) // (100 + percent))
+@dataclasses.dataclass(frozen=True)
+class Rule:
+    """Words of a shingle and the similarity, in percent, from which sets are linked."""
+
+    words: int = SHINGLE
+    percent: int = PERCENT
+
+    def needed(self, a, b):
+        """Least intersection with which sets of these sizes are linked."""
+        return -(-(self.percent * (a + b)) // (100 + self.percent))
+
+    def prefix(self, n):
+        """How many shingles of a set, first in order, one at least is shared with any linked set."""
+        return n - -(-self.percent * n // 100) + 1
+
+
+def by_number(values: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of small numbers under ``most``; short ones sort in linear time."""
+    return np.argsort(values.astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")
 
 
 def sets_of(texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,22 +88,32 @@ def sets_of(texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
                 h = mix(np.array([h], np.uint64) * np.uint64(0x9FB21C651E98DF25) + x)[0]
             short.append(h)
         runs, doc = np.append(runs, np.array(short, np.uint64)), np.append(doc, few)
-    order = np.lexsort((runs, doc))
+    order = np.argsort(runs)
+    order = order[by_number(doc[order], len(words.first))]
     runs, doc = runs[order], doc[order]
     fresh = np.append(True, (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])) if len(runs) else np.zeros(0, bool)
     runs, doc = runs[fresh], doc[fresh]
     return runs, np.searchsorted(doc, np.arange(len(words.first)))
 
 
-def vectors(runs: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Count vector of each set; about one group for every eight shingles, a power of two."""
+def vectors(runs: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Count vector of each set: a group for 8 to 16 shingles, a power of two, up to GROUPS.
+
+    The first byte says how many bytes a count takes.
+    """
     out = []
+    place = (runs >> np.uint64(20)).astype(np.int64)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        groups = 1 << max(2, int((b - a) // 8).bit_length())
-        out.append(np.bincount((runs[a:b] >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16))
+        groups = min(GROUPS, 1 << max(2, int((b - a) // 16).bit_length()))
+        counts = np.bincount(place[a:b] & (groups - 1), minlength=groups)
+        out.append(b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\4" + counts.astype(np.uint32).tobytes())
     return out
 
 
+def counts_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.uint32, offset=1)
+
+
 def fold(matrix: np.ndarray, groups: int) -> np.ndarray:
     """Counts of more groups summed to fewer; the bound still holds."""
     return matrix.reshape(len(matrix), -1, groups).sum(axis=1, dtype=np.int32) if matrix.shape[1] > groups else matrix
@@ -102,7 +134,7 @@ class RTree:
             low, most = np.minimum.reduceat(low, heads), np.maximum.reduceat(most, heads)
             self.levels.append((high, low, most))
 
-    def pairs(self):
+    def pairs(self, rule: Rule):
         """Places i < j of all pairs whose bound reaches what a link needs, in blocks."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -111,10 +143,10 @@ class RTree:
                 a, b = left[at : at + (1 << 13)], right[at : at + (1 << 13)]
                 high, low, most = self.levels[level]
                 # The smaller size of a pair lies in the left node, as places are in order of size.
-                ok = 100 * most[a] >= PERCENT * low[b]
+                ok = 100 * most[a] >= rule.percent * low[b]
                 a, b = a[ok], b[ok]
                 bound = np.minimum(high[a], high[b]).sum(axis=1, dtype=np.int64)
-                ok = bound >= needed(low[a], low[b])
+                ok = bound >= rule.needed(low[a], low[b])
                 a, b = a[ok], b[ok]
                 if not len(a):
                     continue
@@ -151,136 +183,194 @@ class Forest:
 
 def _matrix(packed: list[bytes]) -> np.ndarray:
     """Count vectors as one array with the groups of the coarsest."""
-    lists = [np.frombuffer(x, np.uint16) for x in packed]
+    lists = [counts_of(x) for x in packed]
     groups = min(len(x) for x in lists)
     return np.stack([fold(x[None, :].astype(np.int32), groups)[0] for x in lists]).astype(np.int32)
 
 
-def _candidates(docs: DataFrame, frequent) -> DataFrame:
-    """(k1, k2, rare, hot): of the shingles that a set has to name, those that another set names too."""
-    schema = "route long, n long, token long, k1 long, k2 long, hot boolean"
+def surviving(packed: list[bytes], n: np.ndarray, rule: Rule):
+    """Pairs of places whose bound reaches what a link needs.
+
+    Sets are taken by the number of their groups, each with the next larger ones of like size, so that
+    a small set does not make the points of large ones coarse.
+    """
+    groups = np.array([len(counts_of(x)) for x in packed])
+    for kind in np.unique(groups):
+        own = groups == kind
+        most = n[own].max()
+        near = (groups > kind) & (rule.percent * n <= 100 * most)
+        at = np.flatnonzero(own | near)
+        if len(at) < 2:
+            continue
+        tree = RTree(_matrix([packed[i] for i in at.tolist()]), n[at])
+        order = at[tree.order]
+        for left, right in tree.pairs(rule):
+            a, b = order[left], order[right]
+            ok = own[a] | own[b]
+            yield from zip(a[ok].tolist(), b[ok].tolist(), strict=True)
+
+
+def _rare(frequent: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.ones(len(runs), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)] != runs
+
+
+def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
+    """(k1, tokens): of the shingles that a set has to name, those that another set names too."""
+    schema = "route long, n int, k1 long, token long"
 
     def work(batches):
         for batch in batches:
             for part, texts in rounds(batch, "text"):
-                runs, offsets = sets_of(texts)
+                runs, offsets = sets_of(texts, rule.words)
                 sizes = np.diff(offsets)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
+                k1 = part.column("k1").to_numpy()
                 # Copies of a text in this round name nothing.
-                _, once = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
                 first = np.zeros(len(sizes), bool)
-                first[once] = True
-                hot = np.zeros(len(runs), bool)
-                if len(frequent.value):
-                    at = np.minimum(np.searchsorted(frequent.value, runs), len(frequent.value) - 1)
-                    hot = frequent.value[at] == runs
-                order = np.lexsort((runs, hot, doc))
+                first[np.unique(k1, return_index=True)[1]] = True
+                order = by_number(2 * doc + ~_rare(frequent.value, runs), 2 * len(sizes))
                 place = np.arange(len(runs)) - offsets[doc]
-                prefix = sizes - -(-PERCENT * sizes // 100) + 1
-                use = order[(place < prefix[doc]) & first[doc]]
-                token, doc, hot = runs[use], doc[use], hot[use]
+                use = order[(place < rule.prefix(sizes)[doc]) & first[doc]]
+                token, doc = runs[use], doc[use]
                 _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
                 many = counts[inverse] > 1
                 known = np.unique(token[many])
                 empty = np.zeros(len(known), np.int64)
                 mask = np.append(np.zeros(len(token), bool), np.ones(len(known), bool))
-                route = np.where(many, scatter(k1[doc], signed(token)), mix(token))
+                # A row is its shingle's own, which the route names, unless it is known to be shared.
+                route = np.where(many, scatter(k1[doc], signed(token)), token)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(np.append(route, mix(known)))),
-                        pa.array(np.append(np.where(many, 0, 1), empty + 2).astype(np.int64)),
-                        pa.array(signed(np.append(token, known))),
+                        pa.array(signed(np.append(route, known))),
+                        pa.array(np.append(np.where(many, 0, 1), empty + 2).astype(np.int32)),
                         pa.array(np.append(k1[doc], empty), mask=mask),
-                        pa.array(np.append(k2[doc], empty), mask=mask),
-                        pa.array(np.append(hot, np.zeros(len(known), bool))),
+                        pa.array(np.append(signed(token), empty), mask=np.append(~many, np.ones(len(known), bool))),
                     ],
-                    names=["route", "n", "token", "k1", "k2", "hot"],
+                    names=["route", "n", "k1", "token"],
                 )
 
-    rows = docs.select("k1", "k2", "text").mapInArrow(work, schema)
+    rows = docs.select("k1", "text").mapInArrow(work, schema)
     w = Window.partitionBy("route")
-    both = rows.select("*", F.sum("n").over(w).alias("all"), F.min("k1").over(w).alias("lo"), F.max("k1").over(w).alias("hi"))
+    both = rows.select("*", F.max("n").over(w).alias("most"), F.min("k1").over(w).alias("lo"), F.max("k1").over(w).alias("hi"))
     # Two rows of one text from two tasks name nothing that another set has.
-    shared = (F.col("all") > 1) & ((F.max("n").over(w) > 1) | (F.col("lo") != F.col("hi")))
-    found = both.withColumn("shared", shared).filter(F.col("k1").isNotNull() & ((F.col("n") == 0) | F.col("shared")))
-    return found.groupBy("k1", "k2").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("token"))).alias("rare"), F.collect_set(F.when(F.col("hot"), F.col("token"))).alias("hot")
-    )
-
-
-def _candidate_edges(able: DataFrame) -> DataFrame:
+    shared = (F.col("n") == 0) | (F.col("most") > 1) | (F.col("lo") != F.col("hi"))
+    found = both.filter(F.col("k1").isNotNull() & shared)
+    return found.groupBy("k1").agg(F.collect_set(F.coalesce("token", "route")).alias("tokens"))
+
+
+def _small(cuts: np.ndarray, n: np.ndarray, packed: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of surviving pairs in buckets of at most SMALL rows, all at once; ``cuts``: heads and end of buckets."""
+    size = np.diff(cuts)
+    left, right = [], []
+    for k in range(2, SMALL + 1):
+        heads = cuts[:-1][size == k]
+        i, j = np.triu_indices(k, 1)
+        left.append((heads[:, None] + i).ravel())
+        right.append((heads[:, None] + j).ravel())
+    a, b = np.concatenate(left), np.concatenate(right)
+    ok = 100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])
+    a, b = a[ok], b[ok]
+    length = np.array([len(x) if x[0] == 1 else 0 for x in packed])
+    keep_ = np.zeros(len(a), bool)
+    # Pairs whose vectors have the same two lengths are compared together, at the smaller one.
+    kinds = np.minimum(length[a], length[b]) * (1 << 20) + np.maximum(length[a], length[b])
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        for start in range(0, len(at), 4096):
+            own = at[start : start + 4096]
+            if kind < 1 << 20:  # counts over a byte: one by one
+                for x in own.tolist():
+                    m = _matrix([packed[a[x]], packed[b[x]]])
+                    keep_[x] = np.minimum(m[0], m[1]).sum() >= rule.needed(int(n[a[x]]), int(n[b[x]]))
+                continue
+            groups = int(kind >> 20) - 1
+            sides = []
+            for rows in (a[own], b[own]):
+                out = np.empty((len(rows), groups), np.int32)
+                for width in np.unique(length[rows]):
+                    some = np.flatnonzero(length[rows] == width)
+                    joined = np.frombuffer(b"".join(packed[r] for r in rows[some].tolist()), np.uint8).reshape(len(some), width)
+                    out[some] = fold(joined[:, 1:], groups)
+                sides.append(out)
+            keep_[own] = np.minimum(*sides).sum(axis=1) >= rule.needed(n[a[own]], n[b[own]])
+    return a[keep_], b[keep_]
+
+
+def _candidate_edges(able: DataFrame, frequent, rule: Rule) -> DataFrame:
     """(a, b): a graph in whose components all linked pairs lie."""
 
     def send(batches):
         for batch in batches:
             for part, texts in rounds(batch, "text"):
-                runs, offsets = sets_of(texts)
-                packed = [v.tobytes() for v in vectors(runs, offsets)]
-                rare = part.column("rare")
-                doc = np.repeat(np.arange(part.num_rows), rare.value_lengths().to_numpy())
+                runs, offsets = sets_of(texts, rule.words)
+                packed = vectors(runs, offsets)
+                tokens = part.column("tokens")
+                doc = np.repeat(np.arange(part.num_rows), tokens.value_lengths().to_numpy())
+                token = tokens.flatten().to_numpy()
+                rare = _rare(frequent.value, token.view(np.uint64))
+                doc, token = doc[rare], token[rare]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rare.flatten(),
-                        part.column("k1").take(pa.array(doc)),
-                        pa.array(np.diff(offsets)[doc].astype(np.int64)),
+                        pa.array(token),
+                        pa.array(part.column("k1").to_numpy()[doc]),
+                        pa.array(np.diff(offsets)[doc].astype(np.int32)),
                         pa.array([packed[i] for i in doc.tolist()], pa.binary()),
                     ],
                     names=["token", "k1", "n", "counts"],
                 )
 
+    def hubs(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            doc = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy())
+            token = tokens.flatten().to_numpy().view(np.uint64)
+            hot = ~_rare(frequent.value, token)
+            # A frequent shingle is a node of its own, named apart from texts.
+            node = signed(mix(token[hot] ^ np.uint64(0x73686E676C65)))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("k1").to_numpy()[doc[hot]]), pa.array(node)], names=["a", "b"])
+
     def search(batches):
         for table in whole_groups(batches, "token"):
             token = table.column("token").to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)).tolist()
-            k1, n = table.column("k1").to_numpy(), table.column("n").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+            k1, n = table.column("k1").to_numpy(), table.column("n").to_numpy().astype(np.int64)
             packed = table.column("counts").to_pylist()
-            a, b = [], []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y - x == 2:
-                    m = _matrix(packed[x:y])
-                    small, large = sorted(n[x:y].tolist())
-                    if 100 * small >= PERCENT * large and np.minimum(m[0], m[1]).sum() >= needed(small, large):
-                        a.append(k1[x])
-                        b.append(k1[x + 1])
-                elif y - x > 2:
-                    tree, forest = RTree(_matrix(packed[x:y]), n[x:y]), Forest(y - x)
-                    own = k1[x:y][tree.order]
-                    for left, right in tree.pairs():
-                        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                            if forest.join(i, j):
-                                a.append(own[i])
-                                b.append(own[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    sent = able.filter(F.size("rare") > 0).select("k1", "text", "rare").mapInArrow(send, "token long, k1 long, n long, counts binary")
-    rare = grouped(sent, "token").mapInArrow(search, "a long, b long")
-    # A node of its own for each frequent shingle, named apart from texts.
-    hot = able.select(F.col("k1").alias("a"), F.explode("hot").alias("token")).select("a", F.xxhash64(F.lit("shingle"), "token").alias("b"))
-    return rare.unionByName(hot)
-
-
-def _links(texts: pa.Table, same: np.ndarray):
+            i, j = _small(cuts, n, packed, rule)
+            a, b = [k1[i]], [k1[j]]
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if y - x > SMALL:
+                    forest, own = Forest(y - x), k1[x:y]
+                    pairs = np.array([p for p in surviving(packed[x:y], n[x:y], rule) if forest.join(*p)], dtype=np.int64).reshape(-1, 2)
+                    a.append(own[pairs[:, 0]])
+                    b.append(own[pairs[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    sent = able.select("k1", "text", "tokens").mapInArrow(send, "token long, k1 long, n int, counts binary")
+    near = grouped(sent, "token").mapInArrow(search, "a long, b long")
+    return near.unionByName(able.select("k1", "tokens").mapInArrow(hubs, "a long, b long"))
+
+
+def _links(texts: pa.Table, same: np.ndarray, rule: Rule):
     """Linked pairs among texts (places in the table); ``same`` allows a pair (i, j) by their sides."""
-    runs, offsets = sets_of(as_texts(texts.column("text").combine_chunks()))
+    runs, offsets = sets_of(as_texts(texts.column("text").combine_chunks()), rule.words)
     n = np.diff(offsets)
-    points = _matrix([v.tobytes() for v in vectors(runs, offsets)])
-    tree = RTree(points, n)
-    for left, right in tree.pairs():
-        for i, j in zip(tree.order[left].tolist(), tree.order[right].tolist(), strict=True):
-            if same[i] == same[j] == 0 or same[i] != same[j]:
-                a, b = runs[offsets[i] : offsets[i + 1]], runs[offsets[j] : offsets[j + 1]]
-                if len(a) and len(b):
-                    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
-                    if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                        yield i, j
-
-
-def _verified(members: DataFrame) -> DataFrame:
+    for i, j in surviving(vectors(runs, offsets), n, rule):
+        if same[i] == same[j] == 0 or same[i] != same[j]:
+            a, b = runs[offsets[i] : offsets[i + 1]], runs[offsets[j] : offsets[j + 1]]
+            if len(a) and len(b):
+                both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+                if 100 * both >= rule.percent * (len(a) + len(b) - both):
+                    yield i, j
+
+
+def _verified(able: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, n): forest edges of the links and, with b null, the number of documents linked to text a."""
-    size = members.groupBy("root").agg(F.count("*").alias("size"))
-    dealt = members.join(size, "root").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int"))
+    size = cells.groupBy("root").agg(F.count("*").alias("size"))
+    placed = cells.join(size, "root").select("root", F.col("node").alias("k1"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    # Texts are moved once, to their tiles; finding their cells moves names only.
+    dealt = able.join(keep(placed, "jaccard-cells"), "k1").withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int"))
     # A text goes to the pairs of its tile with every tile; side 0: both tiles are the same one.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = dealt.select("root", "k1", "copies", "text", "tile", other.alias("other"))
@@ -303,7 +393,7 @@ def _verified(members: DataFrame) -> DataFrame:
                 part = table.slice(x, y - x)
                 k1, copies, side = (part.column(c).to_numpy() for c in ("k1", "copies", "side"))
                 forest, links = Forest(y - x), np.zeros(y - x, np.int64)
-                for i, j in _links(part, side):
+                for i, j in _links(part, side, rule):
                     links[i] += copies[j]
                     links[j] += copies[i]
                     if forest.join(i, j):
@@ -319,13 +409,13 @@ def _verified(members: DataFrame) -> DataFrame:
     return grouped(dealt, "cell").mapInArrow(work, "a long, b long, n long")
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, k1, k2, n_shingles) of each row."""
 
     def work(batches):
         for batch in batches:
             for part, texts in rounds(batch, "text"):
-                _, offsets = sets_of(texts)
+                _, offsets = sets_of(texts, rule.words)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array(np.diff(offsets).astype(np.int64))],
                     names=["doc_id", "k1", "k2", "n_shingles"],
@@ -335,27 +425,58 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "k1", "k2", "text").mapInArrow(work, f"doc_id {kind}, k1 long, k2 long, n_shingles long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of each row of ``docs`` (doc_id, text)."""
-    keyed = with_keys(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_runs(keyed, SHINGLE, FREQUENT, lower=True))
-    found = _candidates(keyed, frequent)
-    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    able = keep(texts.join(found, ["k1", "k2"]), "jaccard-texts")
-    cells = components(_candidate_edges(able))
-    members = able.join(cells, able["k1"] == cells["node"]).select("root", "k1", "copies", "text")
-    links = keep(_verified(members), "jaccard-links")
+def classes(keyed: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, k1, k2, text): (doc_id, k1, k2, n_shingles), and (k1, k2, root, component_id, n_links)."""
+    frequent = keyed.sparkSession.sparkContext.broadcast(frequent_runs(keyed, rule.words, FREQUENT, lower=True))
+    found = _candidates(keyed, frequent, rule)
+    texts = keyed.groupBy("k1").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    able = keep_by(texts.join(found, "k1"), "jaccard-texts", "k1")
+    cells = components(_candidate_edges(able, frequent, rule))
+    links = keep(_verified(able, cells, rule), "jaccard-links")
     linked = components(links.filter("b is not null").select("a", "b"))
     degree = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("more"))
-    rows = keep(counted(keyed), "jaccard-rows")
+    rows = keep(counted(keyed, rule), "jaccard-rows")
     own = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     own = own.join(linked, own["k1"] == linked["node"], "left").withColumn("root", F.coalesce("root", "k1")).drop("node")
-    classes = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = own.join(classes, "root").join(degree, F.col("k1") == degree["a"], "left")
-    own = keep(own.select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "jaccard-classes")
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    own = own.join(least, "root").join(degree, F.col("k1") == degree["a"], "left")
+    links_of = F.col("copies") - 1 + F.coalesce("more", F.lit(0))
+    return rows, keep(own.select("k1", "k2", "root", "component_id", links_of.alias("n_links")), "jaccard-classes")
+
+
+_LAST = (1 << 63) - 1
+
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return with_keys(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of each row of ``docs`` (doc_id, text)."""
+    rows, own = classes(keyed_texts(docs), rule)
     return rows.join(own, ["k1", "k2"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
+
+
+def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` without those that a kept row of their class stands for.
+
+    Of each class one row with the least doc_id stays (of equals, one). Rows with an empty set all stay.
+    """
+    columns, whole = docs.columns, F.coalesce(F.col("text"), F.lit(""))
+    rows, own = classes(keyed_texts(docs), rule)
+    placed = rows.filter("n_shingles > 0").join(own, ["k1", "k2"])
+    # A null id comes last: it stays only where no row of the class has another.
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    order = F.struct(ident.alias("_i"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    first = keep(placed.groupBy("root").agg(F.min(order).alias("x")).select("x.*"), "jaccard-first")
+    # The id is part of the key, so copies of one text do not meet in one task.
+    texts = docs.withColumns({"_i": ident, "_k1": F.xxhash64(whole), "_k2": F.xxhash64(F.lit(0x7465), whole)})
+    chosen = texts.join(first, ["_i", "_k1", "_k2"], "left_semi").dropDuplicates(["_i", "_k1", "_k2"])
+    bare = docs.filter(~F.regexp_like(whole, F.lit(r"[^\x20\x09-\x0D]")))
+    return chosen.select(*columns).unionByName(bare)
