@@ -172,7 +172,7 @@ def rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, sca
     weight = [[(first[f"g{i}_{j}"] or 0.0) / n for j in d] for i in d]
     goal = [scale * s / sum(targets.values()) for s in targets.values()]
     steps: list[list[float]] = []
-    at, before = members.withColumn("rate", F.lit(1.0)), math.inf
+    at, before, off_before = members.withColumn("rate", F.lit(1.0)), math.inf, goal
     for _ in range(STEPS):
         now = F.col("_now")
         free = (now > floor).cast("double")
@@ -180,19 +180,27 @@ def rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, sca
         gram = [F.sum(free * F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in d for j in d]
         got = at.withColumn("_now", rate_from(steps, floor)).agg(*sums, *gram).first()
         off = [(got[f"t{i}"] or 0.0) / n - goal[i] for i in d]
-        size = max(map(abs, off))
-        if size <= CLOSE:
+        if max(map(abs, off)) <= CLOSE:
             break
-        # The metric of the documents that are free to move takes fewer steps; the first one always descends.
-        metric = [[(got[f"g{i}_{j}"] or 0.0) / n for j in d] for i in d] if size < 0.7 * before else weight
-        before = size
+        # The squared distance that the steps descend.
+        size = math.sqrt(max(0.0, sum(a * b for a, b in zip(off, solve(weight, off), strict=True))))
+        if size > before and steps:
+            # Too far: take the step back and take the one that always descends.
+            steps.pop()
+            off, metric = off_before, weight
+        elif size < 0.7 * before:
+            # The metric of the documents that are free to move takes fewer steps.
+            metric = [[(got[f"g{i}_{j}"] or 0.0) / n + 0.1 * weight[i][j] for j in d] for i in d]
+        else:
+            metric = weight
         step = solve(metric, off)
-        if max(map(abs, step)) < 1e-9:
+        if max(map(abs, step)) < 1e-6 or 0 <= before - size < 1e-6:
             break
+        before, off_before = min(before, size), off
         steps.append(step)
         if len(steps) == 10:  # so that no expression grows long
-            at = keep(at.withColumn("rate", rate_from(steps, floor)), "mixing-rates")
-            steps = []
+            at = keep(at.withColumn("rate", rate_from(steps[:-1], floor)), "mixing-rates")
+            steps = steps[-1:]
     return at.withColumn("rate", rate_from(steps, floor))
 
 
