@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_KEPT: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _KEPT.append(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._tidemark_path = path
     return kept
@@ -53,5 +55,16 @@ def keep_by(df: DataFrame, label: str, column: str) -> DataFrame:
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd")
-    writer.option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_root(spark)}/{name}"
+    writer.option("path", path).saveAsTable(name)
+    _KEPT.append(path)
     return spark.table(name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this process kept; results that read them must have been written before."""
+    jvm = spark._jvm
+    for path in _KEPT:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _KEPT.clear()
