@@ -56,7 +56,8 @@ class Vocabulary:
         self.merged = np.array([ids[a + b] for a, b in merges], dtype=np.int64)[order]
         text = {i: bytes(byte_of[c] for c in s) for s, i in ids.items()}
         text |= {i: s.encode() for s, i in self.specials.items()}
-        self.bytes = [text.get(i, b"") for i in range(size)]
+        #: Bytes of each id; the last entry stands for a missing id.
+        self.bytes = [text.get(i, b"") for i in range(size + 1)]
         self.split = regex.compile(PATTERN).findall
         marks = "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))
         self.mark = regex.compile(f"({marks})") if marks else None
@@ -181,11 +182,10 @@ def encode(df: DataFrame, content: str, text: str = "text", out: str = "ids") ->
     def work(batches):
         encoder = Encoder(vocabulary(shared.value))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            for a, b in _groups([len(x) if x is not None else 0 for x in column.to_pylist()], 1 << 20):
+            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            for a, b in _groups([len(x) for x in texts], 1 << 20):
                 part = batch.slice(a, b - a)
-                texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
-                ids, offsets = encoder.encode(texts)
+                ids, offsets = encoder.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
@@ -205,7 +205,9 @@ def decode(df: DataFrame, content: str, ids: str = "ids", out: str = "decoded")
             lengths = [n or 0 for n in column.value_lengths().to_pylist()]
             for a, b in _groups(lengths, 1 << 19):
                 part = batch.slice(a, b - a)
-                texts = [decode_ids(vocab, x or []) for x in column.slice(a, b - a).to_pylist()]
+                flat = column.slice(a, b - a).flatten().fill_null(int(vocab.size)).to_numpy(zero_copy_only=False).tolist()
+                ends = np.cumsum([0, *lengths[a:b]]).tolist()
+                texts = [decode_ids(vocab, flat[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 done = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, done], names=[*part.schema.names, out])
 
