@@ -223,3 +223,26 @@ def test_upsert_without_key_is_refused(spark, folder, tmp_path):
     out = _runner(spark, folder, tmp_path, "upsert").run()
     assert (out.status, out.exit_code()) == ("failed", 4)
     assert ParquetCatalog(spark, folder).names() == ["bare", "nation", "region"]
+
+
+def test_jdbc_target(spark, folder, tmp_path):
+    db = jdbc.Database("postgres", jdbc_url=f"jdbc:derby:{tmp_path}/target;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    target = jdbc.JdbcTarget(spark, db, "APP", "postgres", ddl=False)
+    config = Config(Endpoint(path=folder), Endpoint(path="x"), Migration())
+    seen = []
+    out = Runner(spark, config, ParquetSource(spark, folder), target, progress=seen.append).run()
+    assert (out.status, out.rows_transferred, len(seen)) == ("completed", 3, 2)
+    assert target.table(ParquetCatalog(spark, folder).meta("nation")).read().count() == 2
+    jdbc.execute(spark, db, ["CREATE TABLE extra (k INT)", "INSERT INTO extra VALUES (1)"])
+    assert jdbc.query(spark, db, "SELECT k FROM extra").count() == 1
+    with pytest.raises(Exception):
+        jdbc.execute(spark, db, ["INSERT INTO extra VALUES (2)", "nonsense"])
+    assert jdbc.query(spark, db, "SELECT k FROM extra").count() == 1
+
+
+def test_signed_state(tmp_path):
+    path = str(tmp_path / "state.json")
+    states.write_signed(path, [{"table_name": "t", "rows": 3}], b"key")
+    assert states.read_signed(path, b"key") == [{"table_name": "t", "rows": 3}]
+    with pytest.raises(ValueError):
+        states.read_signed(path, b"other")

@@ -9,13 +9,14 @@ import sys
 
 from tidemark.plans.config import Config, ConfigError, load
 from tidemark.plans.runner import EXIT_CODES, FolderTarget, JdbcSource, ParquetSource, Runner
-from tidemark.sources.jdbc import Database
+from tidemark.sources.jdbc import Database, JdbcTarget
 
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     p.add_argument("--config", default="config.yaml")
     p.add_argument("--output-json", action="store_true")
+    p.add_argument("--progress", action="store_true", help="a JSON line on stderr for each table")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("run", "resume", "validate", "health-check"):
         s = sub.add_parser(name)
@@ -27,12 +28,16 @@ def arguments() -> argparse.ArgumentParser:
     return p
 
 
-def runner_of(spark, config: Config) -> Runner:
+def database(side) -> Database:
+    return Database(side.kind(), side.host, side.database, side.port, side.user, side.password, side.ssl_mode)
+
+
+def runner_of(spark, config: Config, progress: bool = False) -> Runner:
     s, t = config.source, config.target
-    source = ParquetSource(spark, s.path) if s.kind() == "parquet" else JdbcSource(spark, Database(s.kind(), s.host, s.database, s.port, s.user, s.password, s.ssl_mode), s.schema)
-    if t.kind() != "parquet":
-        raise ConfigError("the command line writes to target.path; use tidemark.sources.jdbc.write_table for databases")
-    return Runner(spark, config, source, FolderTarget(spark, t.path))
+    source = ParquetSource(spark, s.path) if s.kind() == "parquet" else JdbcSource(spark, database(s), s.schema)
+    kind = "postgres" if s.kind() == "parquet" else s.kind()  # parquet tables are described in its types
+    target = FolderTarget(spark, t.path) if t.kind() == "parquet" else JdbcTarget(spark, database(t), t.schema, kind)
+    return Runner(spark, config, source, target, progress=(lambda e: print(json.dumps(e), file=sys.stderr, flush=True)) if progress else None)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -45,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
         config.target.schema = args.target_schema or config.target.schema
         from pyspark.sql import SparkSession
 
-        runner = runner_of(SparkSession.builder.getOrCreate(), config)
+        runner = runner_of(SparkSession.builder.getOrCreate(), config, args.progress)
     except ConfigError as e:
         print(f"configuration: {e}", file=sys.stderr)
         return EXIT_CODES["config"]

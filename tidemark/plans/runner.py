@@ -98,16 +98,32 @@ class FolderTarget:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/{name}")
+    def table(self, meta: TableMeta) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/{meta.name}")
 
     def state(self) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/_state")
 
+    def finalise(self, tables: list[TableMeta], references: bool = True, checks: bool = True) -> list[dict]:
+        """What the constraints of the source would refuse in the target: files enforce none."""
+        out, names = [], {t.name: t for t in tables}
+        for level in constraints.fk_levels(tables):
+            for name in level:
+                t, df = names[name], self.table(names[name]).read()
+                found = [("primary key", constraints.pk_duplicates(df, list(t.key)))] if t.key else []
+                for f in t.foreign_keys if references else ():
+                    if f.parent in names:
+                        found.append((f.name, constraints.fk_orphans(df, list(f.columns), self.table(names[f.parent]).read(), list(f.parent_columns))))
+                found += [(c.name, constraints.check_violations(df, c.definition)) for c in t.checks] if checks else []
+                out += [{"table": name, "constraint": what, "rows": n} for what, bad in found if (n := bad.count())]
+        return out
+
 
 class Runner:
-    def __init__(self, spark: SparkSession, config: Config, source, target: FolderTarget, clock=None):
+    def __init__(self, spark: SparkSession, config: Config, source, target, clock=None, progress=None):
+        """``progress`` gets a dict for each event of a table."""
         self.spark, self.config, self.source, self.target = spark, config, source, target
+        self.progress = progress or (lambda event: None)
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         self.cancel = threading.Event()
         self.lock = threading.Lock()
@@ -145,7 +161,8 @@ class Runner:
             if self.cancel.is_set():
                 raise Cancelled("cancelled")
             if mode == "drop_recreate" and not result.tables_failed:
-                result.violations = self.violations(tables)
+                m = self.config.migration
+                result.violations = self.target.finalise(tables, m.create_foreign_keys, m.create_check_constraints)
             self._save(rows, "failed" if result.tables_failed else "completed")
             result.status = "failed" if result.tables_failed else "completed"
         except Exception as e:
@@ -166,16 +183,15 @@ class Runner:
         if self.cancel.is_set():
             return (*row, "pending", 0, 0, 0, None, None, None, None, self.clock())
         try:
-            df, store = self.source.read(table), self.target.table(table.name)
+            df, store = self.source.read(table), self.target.table(table)
             if mode == "drop_recreate" or not store.exists():
                 store.publish(df)
                 rows = store.read().count()
             else:
                 column = scan.pick_watermark_column(df, self.config.migration.date_updated_columns)
                 changes = scan.watermark_filter(df, column[0], mark) if column else df
-                target = store.read()
                 rows = changes.count()
-                store.publish(merge.upsert(target, changes.select(*target.columns), list(table.key)))
+                store.merge(changes, list(table.key))
         except Exception as e:
             error = str(e).splitlines()[0]
             with self.lock:
@@ -187,6 +203,8 @@ class Runner:
                 result.tables_success += 1
                 result.rows_transferred += rows
         status = "failed" if error else "completed"
+        with self.lock:
+            self.progress({"event": "table", "table": table.name, "status": status, "rows": rows, "done": result.tables_success + result.tables_failed, "of": result.tables_total})
         return (*row, status, rows, rows, skipped, None, states.mark_of_run(started, bool(error)), None if error else self.clock(), error, self.clock())
 
     def _save(self, rows: list[tuple], status: str) -> None:
@@ -195,26 +213,10 @@ class Runner:
         fresh = self.spark.createDataFrame(ended, states.SCHEMA)
         self.target.state().publish(states.save(self.saved_state(), fresh))
 
-    def violations(self, tables: list[TableMeta]) -> list[dict]:
-        """What the constraints of the source would refuse in the target."""
-        out, names = [], {t.name: t for t in tables}
-        for level in constraints.fk_levels(tables):
-            for name in level:
-                t, df = names[name], self.target.table(name).read()
-                found = []
-                if t.key:
-                    found.append(("primary key", constraints.pk_duplicates(df, list(t.key))))
-                if self.config.migration.create_foreign_keys:
-                    found += [(f.name, constraints.fk_orphans(df, list(f.columns), self.target.table(f.parent).read(), list(f.parent_columns))) for f in t.foreign_keys if f.parent in names]
-                if self.config.migration.create_check_constraints:
-                    found += [(c.name, constraints.check_violations(df, c.definition)) for c in t.checks]
-                out += [{"table": name, "constraint": what, "rows": n} for what, bad in found if (n := bad.count())]
-        return out
-
     def validate(self) -> DataFrame:
         """Counts of both sides by table, for the tables that the filters keep."""
         tables = self.tables()
-        there = {t.name: self.target.table(t.name) for t in tables}
+        there = {t.name: self.target.table(t) for t in tables}
         source = verify.table_counts({t.name: self.source.read(t) for t in tables}) if tables else verify.empty_counts(self.spark)
         found = {n: t.read() for n, t in there.items() if t.exists()}
         return verify.reconcile(source, verify.table_counts(found) if found else verify.empty_counts(self.spark))

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.merge import upsert
+
 
 class VersionedTable:
     """``root`` holds version folders and a pointer file; readers follow the pointer, so they never see half a write."""
@@ -47,6 +49,10 @@ class VersionedTable:
         if old:
             fs.delete(self._fs(f"{self.root}/{old}")[1], True)
 
+    def merge(self, changes: DataFrame, keys: list[str]) -> None:
+        target = self.read()
+        self.publish(upsert(target, changes.select(*target.columns), keys))
+
     def append(self, df: DataFrame) -> None:
         if not self.exists():
             self.publish(df)

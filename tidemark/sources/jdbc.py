@@ -115,3 +115,111 @@ def load_catalog(spark: SparkSession, db: Database, schema: str) -> list[TableMe
 
 def name_in(db: Database, schema: str, table: str) -> str:
     return qualified(db.kind, schema, table)
+
+
+def execute(spark: SparkSession, db: Database, statements: list[str]) -> None:
+    """Statements in one connection and one transaction."""
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for k, v in db.properties().items():
+        properties.setProperty(k, v)
+    # Spark's registry finds drivers that were added to the session later.
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(db.properties()["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(db.url(), properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for sql in statements:
+            statement.execute(sql)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+class JdbcTable:
+    """A table of a target database: replaced whole, or merged through a staging table."""
+
+    def __init__(self, spark: SparkSession, db: Database, schema: str, meta: TableMeta, source_kind: str, ddl: bool = True):
+        self.spark, self.db, self.schema, self.meta, self.source_kind, self.ddl = spark, db, schema, meta, source_kind, ddl
+        self.name = qualified(db.kind, schema, meta.name) if ddl else meta.name
+
+    def exists(self) -> bool:
+        try:
+            self.spark.read.jdbc(self.db.url(), self.name, properties=self.db.properties()).schema
+        except Exception:  # each driver has its own way to say no
+            return False
+        return True
+
+    def read(self) -> DataFrame:
+        return self.spark.read.jdbc(self.db.url(), self.name, properties=self.db.properties())
+
+    def publish(self, df: DataFrame) -> None:
+        from tidemark.functions.convert import sink_ready
+        from tidemark.plans import sqltext
+
+        if self.ddl and self.meta.columns:
+            create = sqltext.create_table(self.source_kind, self.db.kind, self.meta, self.schema)
+            execute(self.spark, self.db, [sqltext.drop_table(self.db.kind, self.schema, self.meta.name), create])
+            write_table(sink_ready(df, self.db.kind), self.db, self.name)
+        else:
+            write_table(sink_ready(df, self.db.kind), self.db, self.name, mode="overwrite")
+
+    def merge(self, changes: DataFrame, keys: list[str]) -> None:
+        """Stage the changes, merge them in the database, drop the stage: one transaction after the load."""
+        from tidemark.functions.convert import sink_ready
+        from tidemark.functions.idents import quote
+        from tidemark.plans import sqltext
+
+        stage = f"stage_{self.meta.name}"[:120]
+        name = quote(self.db.kind, stage)
+        write_table(sink_ready(changes, self.db.kind), self.db, name, mode="overwrite")
+        execute(self.spark, self.db, [sqltext.merge(self.db.kind, self.schema, self.meta.name, stage, changes.columns, keys), f"DROP TABLE {name}"])
+
+
+class JdbcTarget:
+    """Tables and state of a target database; keys, indexes, references and checks are made after the load."""
+
+    def __init__(self, spark: SparkSession, db: Database, schema: str, source_kind: str, ddl: bool = True):
+        self.spark, self.db, self.schema, self.source_kind, self.ddl = spark, db, schema, source_kind, ddl
+
+    def table(self, meta: TableMeta) -> JdbcTable:
+        return JdbcTable(self.spark, self.db, self.schema, meta, self.source_kind, self.ddl)
+
+    def state(self) -> JdbcTable:
+        return JdbcTable(self.spark, self.db, self.schema, TableMeta("sync_state"), self.source_kind, False)
+
+    def finalise(self, tables: list[TableMeta], references: bool = True, checks: bool = True) -> list[dict]:
+        """Constraints, parents first; what a database refuses is reported and the rest goes on."""
+        from tidemark.operators.constraints import fk_levels
+        from tidemark.plans import sqltext
+
+        if not self.ddl:
+            return []
+        kind, names, out = self.db.kind, {t.name: t for t in tables}, []
+
+        def attempt(table: str, what: str, sql: str | None) -> None:
+            if sql:
+                try:
+                    execute(self.spark, self.db, [sql])
+                except Exception as e:  # told, not fatal
+                    out.append({"table": table, "constraint": what, "error": str(e).splitlines()[0]})
+
+        for t in tables:
+            if t.key and kind != "mssql":
+                attempt(t.name, "primary key", sqltext.add_key(kind, self.schema, t))
+            for i in t.indexes:
+                attempt(t.name, i.name, sqltext.add_index(kind, self.schema, t, i))
+        for level in fk_levels(tables):
+            for name in level:
+                for f in names[name].foreign_keys if references else ():
+                    attempt(name, f.name, sqltext.add_reference(kind, self.schema, name, f))
+                for c in names[name].checks if checks else ():
+                    attempt(name, c.name, sqltext.add_check(kind, self.schema, name, c))
+        for t in tables:
+            for c in (c for c in t.columns if c.identity):
+                top = self.table(t).read().agg({c.name: "max"}).first()[0]
+                attempt(t.name, "sequence", sqltext.reset_sequence(kind, self.schema, t.name, c.name, top))
+        return out

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import hmac
+import json
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -125,3 +129,21 @@ class SyncStream:
 def mark_of_run(started: dt.datetime, failed: bool) -> dt.datetime | None:
     """The next mark is the time the table's run began, and only if it succeeded."""
     return None if failed else started
+
+
+def write_signed(path: str, rows: list[dict], secret: bytes) -> None:
+    """State as a file with an HMAC over its content, replaced in one rename; for runs without a state table."""
+    body = json.dumps(rows, sort_keys=True, default=str)
+    sealed = json.dumps({"state": body, "hmac": hmac.new(secret, body.encode(), "sha256").hexdigest()})
+    fd, fresh = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
+    with os.fdopen(fd, "w") as f:
+        f.write(sealed)
+    os.replace(fresh, path)
+
+
+def read_signed(path: str, secret: bytes) -> list[dict]:
+    with open(path) as f:
+        sealed = json.load(f)
+    if not hmac.compare_digest(sealed["hmac"], hmac.new(secret, sealed["state"].encode(), "sha256").hexdigest()):
+        raise ValueError("the state file was changed")
+    return json.loads(sealed["state"])
