@@ -51,8 +51,8 @@ def with_features(df: DataFrame, text: Column, out: str) -> DataFrame:
     """
     columns = df.columns
 
-    def less(chars: str) -> Column:
-        return 1 - F.char_length(F.translate("_text", chars, "")) / F.col("_size")
+    def share(chars: str) -> Column:
+        return 1 - F.char_length(F.regexp_replace("_text", f"[{chars}]+", "")) / F.col("_size")
 
     def bin_of(name: str, base: int, steps: list[float]) -> Column:
         return sum(((F.col(name) >= x).cast("long") for x in steps), F.lit(base).cast("long"))
@@ -62,9 +62,9 @@ def with_features(df: DataFrame, text: Column, out: str) -> DataFrame:
     df = df.withColumns({"_many": F.size("_words"), "_hashes": F.array_distinct(F.transform("_words", lambda w: F.xxhash64(w)))})
     df = df.withColumns(
         {
-            "_upper": less("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-            "_marks": less("!#$%&*|{}<>"),
-            "_digits": less("0123456789"),
+            "_upper": share("A-Z"),
+            "_marks": share("!#$%&*|{}<>"),
+            "_digits": share("0-9"),
             "_kinds": F.size("_hashes") / F.greatest(F.col("_many"), F.lit(1)),
             "_log": F.log10("_size"),
         }
@@ -80,8 +80,8 @@ def with_features(df: DataFrame, text: Column, out: str) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Number of words, split at ASCII white space."""
-    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")).cast("long")
+    """Number of words between ASCII white space."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[float], dict[int, list[float]]]:
