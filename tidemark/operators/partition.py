@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import keep
+
 
 def ntile_bounds(df: DataFrame, key: str, parts: int) -> DataFrame:
     """partition_id, min_key, max_key and row_count of ``parts`` equally filled parts in key order.
@@ -15,7 +17,8 @@ def ntile_bounds(df: DataFrame, key: str, parts: int) -> DataFrame:
     """
     keys = df.select(key).repartitionByRange(F.col(key).asc_nulls_last()).sortWithinPartitions(F.asc_nulls_last(key))
     keys = keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    local = keys.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))
+    # Written once: two runs of a range partitioning may sample different bounds.
+    local = keep(keys.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)), "ntile-keys")
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     heads = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))

@@ -49,12 +49,12 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keep_by(df: DataFrame, label: str, column: str) -> DataFrame:
-    """Write ``df`` in buckets of ``column``: later joins and groups by it do not shuffle what was kept."""
+def keep_by(df: DataFrame, label: str, *columns: str) -> DataFrame:
+    """Write ``df`` in buckets of ``columns``: later joins and groups by them do not shuffle what was kept."""
     spark = df.sparkSession
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd")
+    writer = df.write.bucketBy(buckets, *columns).sortBy(*columns).option("compression", "zstd")
     path = f"{shared_root(spark)}/{name}"
     writer.option("path", path).saveAsTable(name)
     _KEPT.append(path)

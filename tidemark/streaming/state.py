@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.merge import upsert
-from tidemark.operators.scan import latest_by
 
 SCHEMA = T.StructType(
     [
