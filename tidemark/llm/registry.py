@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
+from tidemark.llm import oracles
 
 #: Vocabulary of op2; a deployment may name another file.
 VOCABULARY = "byte_bpe_50k.json"
@@ -102,4 +102,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_jaccard": oracles.JACCARD, "op5_substrings": oracles.SUBSTRINGS, "op6_neardup": oracles.NEARDUP}

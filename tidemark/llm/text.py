@@ -146,9 +146,3 @@ def least(value: np.ndarray, span: int) -> np.ndarray:
         width += step
     return place
 
-
-def key128(data: bytes) -> bytes:
-    """A 16-byte name of a byte string."""
-    import xxhash
-
-    return xxhash.xxh3_128_digest(data)
