@@ -1,7 +1,9 @@
 """The pipeline and the registry."""
 
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,17 @@ def test_registry():
     names = [n.split("_")[0] for n in registry.queries()]
     assert names == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
     assert set(registry.queries()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_agrees_with_sql(spark, name):
+    root = "/root/testdata/sf0.001"
+    df = registry.queries()[name](spark, root)
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{root}/{table}.parquet'")
+    found = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, found.fetchall())) == sorted(tuple(r) for r in df.select(*names).collect())
