@@ -12,4 +12,7 @@ def spark():
 
     s = local_session(4, 4, "4g")
     yield s
+    from tidemark.scratch import clear
+
+    clear(s)
     s.stop()
