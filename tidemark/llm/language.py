@@ -56,10 +56,10 @@ def fit(docs: DataFrame, train: str = "_train", label: str = "lang", text: str =
     counts = rows.groupBy(label).count().orderBy(label).limit(MAX_LABELS + 1).collect()
     if len(counts) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    # A row is drawn if its hash is under its label's share: at most a few times SAMPLE_TEXTS rows are moved.
+    # A row is drawn if its hash is under its label's share: about 1.3 times SAMPLE_TEXTS rows are moved.
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col(label) == r[label], min(1.0, 4.0 * SAMPLE_TEXTS / r["count"])).otherwise(share)
+        share = F.when(F.col(label) == r[label], min(1.0, 1.3 * SAMPLE_TEXTS / r["count"])).otherwise(share)
     order = F.xxhash64(F.col("doc_id"), F.lit("language sample"))
     draw = (F.shiftrightunsigned(order, 11)).cast("double") / float(1 << 53)
     drawn = rows.filter(draw < share).select(label, order.alias("_order"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"))
