@@ -172,13 +172,13 @@ def rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, sca
     weight = [[(first[f"g{i}_{j}"] or 0.0) / n for j in d] for i in d]
     goal = [scale * s / sum(targets.values()) for s in targets.values()]
     steps: list[list[float]] = []
-    at, before, off_before = members.withColumn("rate", F.lit(1.0)), math.inf, goal
+    before, off_before = math.inf, goal
     for _ in range(STEPS):
-        now = F.col("_now")
+        now = F.col("rate")
         free = (now > floor).cast("double")
         sums = [F.sum(now * F.col("n_tokens") * F.col("p")[i]).alias(f"t{i}") for i in d]
         gram = [F.sum(free * F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in d for j in d]
-        got = at.withColumn("_now", rate_from(steps, floor)).agg(*sums, *gram).first()
+        got = members.select("n_tokens", "p", rate_from(steps, floor).alias("rate")).agg(*sums, *gram).first()
         off = [(got[f"t{i}"] or 0.0) / n - goal[i] for i in d]
         if max(map(abs, off)) <= CLOSE:
             break
@@ -194,18 +194,16 @@ def rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, sca
         else:
             metric = weight
         step = solve(metric, off)
-        if max(map(abs, step)) < 1e-6 or 0 <= before - size < 1e-6:
+        if max(map(abs, step)) < 1e-6 or 0 <= before - size < 2e-3 * size:
             break
         before, off_before = min(before, size), off
         steps.append(step)
-        if len(steps) == 10:  # so that no expression grows long
-            at = keep(at.withColumn("rate", rate_from(steps[:-1], floor)), "mixing-rates")
-            steps = steps[-1:]
-    return at.withColumn("rate", rate_from(steps, floor))
+    return members.withColumn("rate", rate_from(steps, floor))
 
 
 def rate_from(steps: list[list[float]], floor: float) -> Column:
-    out = F.col("rate")
+    """Rate of a document with posterior p after these gradient steps."""
+    out = F.lit(1.0)
     for step in steps:
         move = sum((F.col("p")[i] * F.lit(float(v)) for i, v in enumerate(step)), F.lit(0.0))
         out = F.greatest(F.lit(floor), out - move)
