@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import with_keys
-from tidemark.llm.text import ROUND_BYTES, Texts, _BYTE, _STEP, as_texts, least, mix, powers
+from tidemark.llm.text import _BYTE, _STEP, ROUND_BYTES, Texts, as_texts, least, mix, powers
 from tidemark.scratch import keep
 
 LENGTH = 50

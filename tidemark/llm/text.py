@@ -18,7 +18,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of text that one round of array work handles; a longer text makes a round of its own.
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = 1 << 20
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
