@@ -47,8 +47,9 @@ FANOUT = 16
 GROUPS = 4096
 #: Buckets up to this many sets are compared all at once, larger ones through a tree.
 SMALL = 6
-#: Texts of a tile; components with more are dealt into tiles.
-TILE = 512
+#: Least and most texts of a tile, and into how many tiles a component is dealt between the two.
+TILES = (128, 2048)
+SPREAD = 32
 
 
 @dataclasses.dataclass(frozen=True)
@@ -368,7 +369,9 @@ def _links(texts: pa.Table, same: np.ndarray, rule: Rule):
 def _verified(able: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, n): forest edges of the links and, with b null, the number of documents linked to text a."""
     size = cells.groupBy("root").agg(F.count("*").alias("size"))
-    placed = cells.join(size, "root").select("root", F.col("node").alias("k1"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    # A text goes to as many cells as its component has tiles: some tens at most, until tiles are full.
+    tile = F.least(F.greatest(F.ceil(F.col("size") / SPREAD), F.lit(TILES[0])), F.lit(TILES[1]))
+    placed = cells.join(size, "root").select("root", F.col("node").alias("k1"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
     # Texts are moved once, to their tiles; finding their cells moves names only.
     dealt = able.join(keep(placed, "jaccard-cells"), "k1").withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int"))
     # A text goes to the pairs of its tile with every tile; side 0: both tiles are the same one.
