@@ -32,13 +32,13 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import grouped, scatter, signed, whole_groups, with_keys
 from tidemark.llm.text import Words, as_texts, grams, inside, least, mix, rounds
-from tidemark.scratch import keep
+from tidemark.scratch import keep, keep_by
 
 WINDOW = 35
 MINIMISER = 6
 FREQUENT = 1e-5
 #: Runs that are counted before a task reports; few reports keep rare runs out of them.
-ROUND_RUNS = 4_000_000
+ROUND_RUNS = 2_000_000
 _TOP = np.uint64(1 << 63)
 _OTHER_BASE = np.uint64(0xA24BAED4963EE407)
 
@@ -265,9 +265,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataF
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs.select("text"), m))
     starts = candidate_starts(keyed, frequent, window, m)
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    able = keep(texts.join(starts, ["k1", "k2"]), "repeated-texts")
+    able = keep_by(texts.join(starts, ["k1", "k2"]), "repeated-texts", "k1", "k2")
     ranges = repeated_ranges(able, frequent, window, m)
-    ranges = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = keep(ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "repeated-ranges")
     return _cut(able.select("k1", "k2", "text").join(ranges, ["k1", "k2"]))
 
 
