@@ -119,6 +119,20 @@ def test_nearest(embeddings_of, seed, n):
     assert hit >= 0.9 * total
 
 
+def test_nearest_reads_more_lists_of_more():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60_000, 64))
+    index = nearest.Index(x[:6000], 1200)
+    hit = 0
+    for q in range(0, 60_000, 1500):
+        near = np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]
+        centres, far = index.walk(x[q])
+        read = centres[far <= nearest.RATIO * far[0]]
+        row, lists = index.lists(x[near])
+        hit += len(set(row[np.isin(lists, read)].tolist()))
+    assert len(index.centres) > 1000 and hit >= 0.9 * 400
+
+
 def test_nearest_of_little(embeddings_of):
     assert nearest.search(embeddings_of([])).collect() == []
     assert nearest.search(embeddings_of([(100, [1.0, 0.0])])).collect() == []

@@ -4,7 +4,8 @@ Centroids come from k-means on a bounded sample (``SAMPLE`` vectors), and cluste
 their share of it are split until none does. Every vector is put on the list of its nearest centroid and,
 if it lies near a boundary, on up to ``REPLICAS`` - 1 more lists whose centroid is at most ``CLOSURE`` times as
 far. The centroids form a graph of near neighbours in memory; a best-first walk finds the centroids
-near a query, and lists stay while their centroid is at most ``RATIO`` times as far as the nearest.
+near a query, and lists stay while their centroid is at most ``RATIO`` times as far as the nearest. How many
+the walk may find grows with the number of lists: vectors without structure have theirs on ever more of them.
 Lists longer than ``LIST_ROWS`` are dealt into parts, so a vector that a third of the rows repeat does not
 make one task long. All rows of a chosen list are compared, in double precision.
 
@@ -17,6 +18,7 @@ usable query the result is empty. Extra columns do not matter.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ REPLICAS = 4
 CLOSURE = 1.1
 RATIO = 1.35
 DEGREE = 16
+#: Lists a query may read: ``SPREAD`` times the square root of their number, but not under ``WALK``.
 WALK = 48
+SPREAD = 4
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,8 +88,10 @@ class Index:
             entries.append(int(d[entries].min(axis=0).argmax()))
         self.entries = entries
 
-    def walk(self, q: np.ndarray, width: int = WALK) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centroids near q and their distances, nearest first."""
+        width = max(WALK, math.ceil(SPREAD * math.sqrt(len(self.centres))))
+
         def far(nodes):
             return np.sqrt(((self.centres[nodes] - q) ** 2).sum(axis=1))
 
