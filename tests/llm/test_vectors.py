@@ -133,6 +133,20 @@ def test_nearest_reads_more_lists_of_more():
     assert len(index.centres) > 1000 and hit >= 0.9 * 400
 
 
+@pytest.mark.parametrize("times", [2, 12])
+def test_nearest_of_repeated_rows(embeddings_of, times):
+    rows = vectors(8, 400)
+    of_one_id = [(7000, [float(x) for x in np.float32(rows[100][1]) + np.float32(i / 1000)]) for i in range(1, 31)]
+    once = found_nearest(embeddings_of(rows + of_one_id))
+    assert [len([x for x in once if x[0] == q]) for q in (0, 100, 200, 300)] == [10] * 4
+    assert len([x for x in once if x[0] == 100 and x[2] == 7000]) == 1
+    assert found_nearest(embeddings_of((rows + of_one_id) * times)) == once
+
+
+def found_nearest(df):
+    return sorted(tuple(r) for r in nearest.search(df).select("query_id", "rank", "vec_id", "score").collect() if r["query_id"] < 5000)
+
+
 def test_nearest_of_little(embeddings_of):
     assert nearest.search(embeddings_of([])).collect() == []
     assert nearest.search(embeddings_of([(100, [1.0, 0.0])])).collect() == []

@@ -178,10 +178,15 @@ def _of_dim(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int) -> Da
                     continue
                 ids, v = part.column("vec_id").to_numpy(), matrix(part.column("v").combine_chunks(), dim)
                 have, x = ids[~asks], v[~asks]
+                # An id may have several vectors; only its nearest takes a place.
+                several = len(np.unique(have)) < len(have)
                 for query, q in zip(ids[asks], v[asks], strict=True):
                     score = np.sqrt(((x - q) ** 2).sum(axis=1))
-                    order = np.lexsort((have, score))[: 2 * k + 2]
-                    order = order[~((have[order] == query) & (score[order] == 0))][:k]
+                    order = np.lexsort((have, score))
+                    order = order[~((have[order] == query) & (score[order] == 0))]
+                    if several:
+                        order = order[np.sort(np.unique(have[order], return_index=True)[1])]
+                    order = order[:k]
                     out.append((np.full(len(order), query), have[order], score[order]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
@@ -203,6 +208,8 @@ def _of_dim(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int) -> Da
 def search(df: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows of each row whose id is divisible by ``every``."""
     rows = df.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(usable("v") & F.col("vec_id").isNotNull())
+    # Repeats would count as candidates and fill lists.
+    rows = keep(rows.distinct(), "nearest-rows")
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     found = None
     for dim, n in dims(rows, "v"):
