@@ -112,11 +112,10 @@ def _sweep(spans: Column, mirrored: bool) -> Column:
     )
 
 
-def linked(weak: Column, base: Column, scope: int = SCOPE) -> Column:
-    """Of the weak spans those whose complement lies within ``scope`` characters."""
-    parts = F.array_sort(F.concat(base, weak))
+def _near(parts: Column, scope: int) -> Column:
+    """Each span with whether an access identifier, a secret and an endpoint lie within ``scope`` characters."""
     before, after = _sweep(parts, False), F.reverse(_sweep(parts, True))
-    near = F.zip_with(
+    return F.zip_with(
         before,
         after,
         lambda a, b: F.struct(
@@ -128,11 +127,28 @@ def linked(weak: Column, base: Column, scope: int = SCOPE) -> Column:
             (F.least(a["endpoint"], b["endpoint"]) <= scope).alias("endpoint"),
         ),
     )
-    kept = F.filter(
-        near,
-        lambda x: ((x["kind"] == 3) & x["access"]) | ((x["kind"] == 4) & (x["access"] | x["secret"])),
-    )
-    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))).cast(_SPANS)
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))).cast(_SPANS)
+
+
+def linked(df: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """``df`` with those of its ``weak`` spans whose complement lies within ``scope`` characters.
+
+    A second sweep, over keys and the endpoints that have an access identifier beside them, finds the keys
+    that are linked through an endpoint.
+    """
+    none = F.array().cast(_SPANS)
+    parts = F.when(F.size("weak") > 0, _near(F.array_sort(F.concat("base", "weak")), scope))
+    first = df.withColumn("_near", parts)
+    alone = F.filter("_near", lambda x: (x["kind"] == 3) & ~x["access"])
+    carriers = F.filter("_near", lambda x: (x["kind"] == 4) & x["access"])
+    direct = F.filter("_near", lambda x: ((x["kind"] == 3) & x["access"]) | ((x["kind"] == 4) & (x["access"] | x["secret"])))
+    both = F.exists("_near", lambda x: (x["kind"] == 3) & ~x["access"]) & F.exists("_near", lambda x: (x["kind"] == 4) & x["access"])
+    over = F.filter(_near(F.array_sort(_plain(F.concat(alone, carriers))), scope), lambda x: (x["kind"] == 3) & x["endpoint"])
+    found = F.concat(_plain(direct), F.when(both, _plain(over)).otherwise(none))
+    return first.withColumn("weak", F.when(F.size("weak") > 0, F.array_sort(found)).otherwise(none)).drop("_near")
 
 
 def scan(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -147,7 +163,7 @@ def scan(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     weak = F.concat(_spans(whole, KEY, 3), _spans(whole, ENDPOINT, 4))
     none = F.array().cast(_SPANS)
     with_weak = base.withColumn("weak", F.when(able, weak).otherwise(none))
-    return with_weak.withColumn("weak", F.when(F.size("weak") > 0, linked(F.col("weak"), F.col("base"), scope)).otherwise(none))
+    return linked(with_weak, scope)
 
 
 def written(spans: Column) -> Column:
