@@ -279,6 +279,41 @@ def test_suffix_tree_is_one_distribution_and_finds_the_longest_state():
     assert math.isclose(got, total, rel_tol=1e-4)
 
 
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(docs_of):
+    held = [d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2]
+    train = [d for d in range(100) if d not in held]
+    rows = [(train[0], "ab cd " * 700_000), (held[0], "zqxjkv"), *[(d, "zqxjkv") for d in train[1:7]]]
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs_of(rows)).collect()}
+    assert got[held[0]] > -15
+
+
+def test_suffix_tree_in_parts_is_the_whole_tree(docs_of):
+    import pyarrow as pa
+
+    rows = corpus(9, n=80, vocabulary=60) + [(900, ""), (901, "unseen é words")]
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs_of(rows)).collect()}
+    train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+
+    def streamed(texts):
+        texts = text.as_texts(pa.array(texts))
+        return suffixtree.stream(texts, text.Words(texts, lower=True))
+
+    data, heads = streamed(train)
+    classes, share = suffixtree.symbols(np.bincount(data, minlength=256))
+    codes, ok = suffixtree.places(data, heads, classes)
+    codes = codes[ok]
+    levels = []
+    for d in range(6):
+        name, inverse = np.unique((codes >> 6) & ((1 << 6 * d) - 1), return_inverse=True)
+        table = np.zeros((len(name), 64), np.float32)
+        np.add.at(table, (inverse, codes & 63), 1)
+        often = table.sum(axis=1) >= suffixtree.LEAST
+        levels.append((name[often], table[often]))
+    tree = suffixtree.Tree(classes, share, levels)
+    want = tree.scores(*streamed([t for _, t in rows]))
+    assert np.allclose([got[d] for d, _ in rows], want, rtol=1e-4)
+
+
 # ---- op9 ----
 
 

@@ -3,15 +3,16 @@
 A text is the sequence of its words, A-Z lower-cased, each followed by a space, and an end mark. The
 tree holds contexts of up to ``DEPTH`` earlier symbols, across words. A context becomes a state if the
 divergence of its next-symbol counts from those of its shorter suffix outweighs what it costs to describe
-them; the ``STATES`` with the largest gain stay. Distributions are smoothed towards the nearest shorter
-state. Each symbol is scored in the longest state that is a suffix of what precedes it; an automaton over
-the contexts finds it in one step for each symbol, on many blocks of text at a time. Scores are log10
-probabilities of one distribution over all texts.
+them; it must occur ``LEAST`` times, however large the corpus, and there is no limit to the number of states.
+Distributions are smoothed towards the nearest shorter state. Each symbol is scored in the longest state that
+is a suffix of what precedes it. Scores are log10 probabilities of one distribution over all texts.
 
 Symbols of a context are classes of bytes: the ``CLASSES`` - 1 most frequent bytes have one each, the
-rest share one. Counts come from every training text and are summed before and after the shuffle. Rows
-brought to the driver are bounded whatever the input: contexts of at least a 1 / ``CONTEXTS`` share of all
-places, for each length at most CONTEXTS, with the counts of their next symbols.
+rest share one. Counts come from every training text and are summed before and after the shuffle. The tree
+is a table of the values of context and next symbol, grown in parts: contexts that end in the same two symbols
+lie together with all their suffixes of three symbols or more. Only what two symbols tell, at most CLASSES ** 3
+numbers, comes to the driver. Texts are cut into pieces of about ``PIECE`` bytes; a piece asks the table for the
+pairs that occur in it, so what moves is a row for each piece and distinct pair.
 
 The base score needs the count of every word. Words with at least a 1 / ``COMMON`` share of the tokens
 are broadcast (at most COMMON of them); the rest, which no key can make hot, are joined.
@@ -25,19 +26,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import signed
+from tidemark.llm.common import grouped, signed, whole_groups
 from tidemark.llm.language import held_out
 from tidemark.llm.text import SPACE, Texts, Words, rounds
-from tidemark.scratch import keep
+from tidemark.scratch import drop, keep, keep_by
 
 DEPTH = 5
 BITS = 6
 CLASSES = 1 << BITS
-STATES = 1 << 16
-CONTEXTS = 1 << 19
+LEAST = 2
+#: Symbols of a context that all processes know the counts of.
+TOP = 2
+PIECE = 16 << 20
 COMMON = 1 << 21
 PULL = 4.0
 #: Symbols of a block that the automaton walks.
@@ -76,6 +80,8 @@ def contexts(classes: np.ndarray) -> np.ndarray:
 
 
 class Tree:
+    """A whole tree in one process with an automaton over its contexts: for small corpora, and to hold the table against."""
+
     def __init__(self, classes: np.ndarray, byte_share: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
         """``levels``: for each depth from 0 the contexts in order and the counts of their next classes.
 
@@ -104,8 +110,7 @@ class Tree:
             upper, above = name, table
         gain, depth, name = (np.concatenate(x) for x in (gains, depths, names))
         row_of = np.concatenate([np.arange(len(t)) for t in tables])
-        best = np.lexsort((name, depth, -gain))[: STATES - 1]
-        best = best[np.lexsort((name[best], depth[best]))]
+        best = np.lexsort((name, depth))
         self._automaton(depth[best], name[best])
         probability = np.zeros((len(best) + 1, CLASSES), np.float32)
         probability[0] = root / root.sum()
@@ -209,44 +214,132 @@ def known(names: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return names[at] == hashes, at
 
 
-def grow(train: DataFrame, byte_counts: np.ndarray) -> Tree:
+def symbols(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte, and log10 share of each byte in its class."""
     order = np.argsort(-byte_counts, kind="stable")
     classes = np.full(256, CLASSES - 1, np.uint8)
     classes[order[: CLASSES - 1]] = np.arange(CLASSES - 1)
     rest = classes == CLASSES - 1
     share = np.zeros(256)
     share[rest] = np.log10((byte_counts[rest] + 1) / (byte_counts[rest] + 1).sum())
-    shared = train.sparkSession.sparkContext.broadcast(classes)
+    return classes, share
+
+
+def deepen(names: np.ndarray, n: np.ndarray, shorter_n: np.ndarray, shorter_total: np.ndarray, shorter_value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count of the context and probability, of contexts with next symbols and their counts.
+
+    ``shorter_``: the same of the context without its earliest symbol, for each name.
+    """
+    context, of = np.unique(names >> BITS, return_inverse=True)
+    total = np.bincount(of, n, minlength=len(context))
+    p = (shorter_n + 0.5) / (shorter_total + 0.5 * CLASSES)
+    divergence = np.bincount(of, n * np.log2(np.where(n > 0, n / np.maximum(total, 1)[of] / p, 1)), minlength=len(context))
+    gain = divergence - 0.5 * np.log2(total + 1) * np.bincount(of, n > 0, minlength=len(context))
+    state = (gain > 0) & (total >= LEAST)
+    return total[of], np.where(state[of], (n + PULL * shorter_value) / (total[of] + PULL), shorter_value)
+
+
+def top(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, counts of the context, and probabilities for TOP symbols of context and a next one, by their number."""
+    counts = [n.astype(np.float64)]
+    while len(counts[0]) > CLASSES:
+        counts.insert(0, counts[0].reshape(CLASSES, -1).sum(axis=0))
+    before = counts[0] + 1
+    total = np.full(CLASSES, before.sum())
+    value = before / total
+    for own in counts[1:]:
+        names = np.arange(len(own))
+        short = names % len(before)
+        total, value = deepen(names, own, before[short], total[short], value[short])
+        before = own
+    return before, total, value
+
+
+def leaves(codes: np.ndarray, n: np.ndarray, above: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their log10 probabilities; with a code all that share its last TOP symbols are there."""
+    names = np.arange(len(above[0]))
+    before, total, value = above
+    for depth in range(TOP + 1, DEPTH + 1):
+        own, inverse = np.unique(codes & ((1 << BITS * (depth + 1)) - 1), return_inverse=True)
+        counts = np.bincount(inverse, n, minlength=len(own))
+        short = np.searchsorted(names, own & ((1 << BITS * depth) - 1))
+        total, value = deepen(own, counts, before[short], total[short], value[short])
+        names, before = own, counts
+    return names, np.log10(value)
+
+
+def places(data: np.ndarray, heads: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of context and symbol for each place from DEPTH on, and which places are not padding."""
+    own = classes[data]
+    ok = np.ones(len(own), bool)
+    ok[padding(heads)] = False
+    return (contexts(own) << BITS) | own[DEPTH:], ok[DEPTH:]
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of their piece, written once, so that a piece stays what it is."""
+
+    def work(batches):
+        task, piece, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            for part, texts in rounds(batch, "text"):
+                number = pa.array(np.full(part.num_rows, (task << 32) | piece, np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, number], names=[*part.schema.names, "piece"])
+                size += len(texts.data)
+                if size >= PIECE:
+                    piece, size = piece + 1, 0
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return keep_by(rows.mapInArrow(work, f"{schema}, piece long"), "tree-texts", "piece")
+
+
+def asked(cut: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(piece, code, n): codes that occur in a piece and how often in its training texts."""
+    shared = cut.sparkSession.sparkContext.broadcast(classes)
+
+    def said(piece, held):
+        codes, counts = merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), piece, np.int64)), pa.array(codes), pa.array(counts)], names=["piece", "code", "n"])
 
     def work(batches):
+        last, held = None, []
         for batch in batches:
-            held = []
-            for _, texts in rounds(batch, "text"):
-                data, heads = stream(texts, Words(texts, lower=True))
-                own = shared.value[data]
-                ok = np.ones(len(own), bool)
-                ok[padding(heads)] = False
-                codes = ((contexts(own) << BITS) | own[DEPTH:])[ok[DEPTH:]]
-                held.append(np.unique(codes, return_counts=True))
-            if held:
-                codes, counts = merged(held)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    counts = keep(train.select("text").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "tree-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, total / CONTEXTS)
-    levels = []
-    for depth in range(DEPTH + 1):
-        context = F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS * depth) - 1))
-        of = counts.groupBy(context.alias("context"), F.col("code").bitwiseAND(F.lit(CLASSES - 1)).alias("next")).agg(F.sum("n").alias("n"))
-        of = of.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("next", "n")).alias("then"))
-        of = of.filter(F.col("total") >= least).select("context", F.explode("then").alias("x")).select("context", "x.next", "x.n")
-        rows = of.toArrow()
-        name, inverse = np.unique(rows.column("context").to_numpy(), return_inverse=True)
-        table = np.zeros((max(len(name), int(depth == 0)), CLASSES), np.float32)
-        np.add.at(table, (inverse, rows.column("next").to_numpy()), rows.column("n").to_numpy())
-        levels.append((name, table))
-    return Tree(classes, share, levels)
+            numbers = batch.column("piece").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])), len(numbers)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if numbers[a] != last and held:
+                    yield said(last, held)
+                    held = []
+                last = numbers[a]
+                for part, texts in rounds(batch.slice(a, b - a), "text"):
+                    data, heads = stream(texts, Words(texts, lower=True))
+                    codes, ok = places(data, heads, shared.value)
+                    train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(heads))[DEPTH:]
+                    held.append(np.unique(codes[ok & train], return_counts=True))
+                    only = np.unique(codes[ok & ~train])
+                    held.append((only, np.zeros(len(only), np.int64)))
+        if held:
+            yield said(last, held)
+
+    return keep(cut.select("piece", "held_out", "text").mapInArrow(work, "piece long, code long, n long"), "tree-asked")
+
+
+def grow(counts: DataFrame) -> DataFrame:
+    """(code, value): log10 probability of the next symbol in the longest state, for each code of ``counts``."""
+    short = F.col("code").bitwiseAND(F.lit((1 << BITS * (TOP + 1)) - 1))
+    # At most CLASSES ** (TOP + 1) rows.
+    known_top = counts.groupBy(short.alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << BITS * (TOP + 1))
+    n[known_top.column("code").to_numpy()] = known_top.column("n").to_numpy()
+    above = counts.sparkSession.sparkContext.broadcast(top(n))
+
+    def work(batches):
+        for table in whole_groups(batches, "suffix", 50_000):
+            codes, value = leaves(table.column("code").to_numpy(), table.column("n").to_numpy(), above.value)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(value.astype(np.float32))], names=["code", "value"])
+
+    suffix = F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS * TOP) - 1))
+    return grouped(counts.withColumn("suffix", suffix), "suffix").mapInArrow(work, "code long, value float")
 
 
 def score(docs: DataFrame, buckets: int = 7, bucket: int = 2) -> DataFrame:
@@ -266,13 +359,23 @@ def score(docs: DataFrame, buckets: int = 7, bucket: int = 2) -> DataFrame:
     top = vocabulary.filter(F.col("count") >= least).toArrow()
     order = np.argsort(top.column("word").to_numpy().view(np.uint64))
     common = spark.sparkContext.broadcast((top.column("word").to_numpy().view(np.uint64)[order], top.column("count").to_numpy()[order]))
-    tree = spark.sparkContext.broadcast(grow(train, byte_counts))
+    classes, share = symbols(byte_counts)
+    symbol = spark.sparkContext.broadcast((classes, share))
     end = float(np.log10(ends + 1))
     kind = dict(docs.dtypes)["doc_id"]
+    cut = pieces(rows)
+    wanted = asked(cut, classes)
+    counts_of = keep(wanted.groupBy("code").agg(F.sum("n").alias("n")), "tree-counts")
+    values = wanted.select("piece", "code").join(grow(counts_of), "code").select("piece", "code", "value")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, sums double, known long, score double, other array<long>"
 
-    def work(batches):
+    def work(table, lookup):
         names, counts = common.value
-        for batch in batches:
+        classes, share = symbol.value
+        codes, first = np.unique(lookup.column("code").to_numpy(), return_index=True)
+        value = lookup.column("value").to_numpy()[first].astype(np.float64)
+        out = []
+        for batch in table.combine_chunks().to_batches():
             for part, texts in rounds(batch, "text"):
                 words = Words(texts, lower=True)
                 hashes, doc = words.hashes(), words.doc()
@@ -282,21 +385,29 @@ def score(docs: DataFrame, buckets: int = 7, bucket: int = 2) -> DataFrame:
                 found = np.bincount(doc[hit], minlength=rows)
                 offsets = np.append(0, np.cumsum(np.bincount(doc[~hit], minlength=rows))).astype(np.int32)
                 data, heads = stream(texts, words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        pa.array(np.diff(words.first).astype(np.int64) + 1),
-                        pa.array(sums + end),
-                        pa.array(found.astype(np.int64) + (1 if ends else 0)),
-                        pa.array(tree.value.scores(data, heads)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(hashes[~hit]))),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "sums", "known", "score", "other"],
+                code, ok = places(data, heads, classes)
+                own = np.zeros(len(data))
+                own[DEPTH:][ok] = value[np.searchsorted(codes, code[ok])] + share[data[DEPTH:][ok]]
+                out.append(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc_id"),
+                            part.column("held_out"),
+                            pa.array(np.diff(words.first).astype(np.int64) + 1),
+                            pa.array(sums + end),
+                            pa.array(found.astype(np.int64) + (1 if ends else 0)),
+                            pa.array(np.add.reduceat(own, heads[:-1])),
+                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(hashes[~hit]))),
+                        ],
+                        names=["doc_id", "held_out", "n_tokens", "sums", "known", "score", "other"],
+                    )
                 )
+        return pa.Table.from_batches(out)
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, sums double, known long, score double, other array<long>"
-    scored = keep(rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+    scored = cut.groupBy("piece").cogroup(values.groupBy("piece")).applyInArrow(work, schema)
+    scored = keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+    drop(wanted)
+    drop(counts_of)
     rare = scored.select("row", F.explode("other").alias("word"))
     rest = vocabulary.filter(F.col("count") < least)
     more = rare.join(rest, "word").groupBy("row").agg(F.sum(F.log10(F.col("count") + 1.0)).alias("more"), F.count("*").alias("more_known"))
