@@ -55,22 +55,63 @@ def test_near_duplicates(embeddings_of, seed):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("least, most", [(10, 1 << 20), (10, 8 * 8 * 12), (40, 8 * 8 * 3)])
+def test_near_duplicates_over_many_tiles(embeddings_of, monkeypatch, least, most):
+    """Several leaves, and leaves salted into several tiles; blocks smaller than tiles."""
+    monkeypatch.setattr(neardup, "LEAST_TILE", least)
+    monkeypatch.setattr(neardup, "TILE_BYTES", most)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rows = vectors(11, 500) + ODD + [(7, vectors(11)[7][1]), (6000, vectors(11)[7][1])]
+    assert neardup.tiling(500, 8, 8) < 100
+    out = neardup.classes(embeddings_of(rows)).collect()
+    assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in out], key=str) == classes(rows, 0.9)
+
+
+def test_near_duplicates_beside_clashing_columns(spark, embeddings_of):
+    from pyspark.sql import functions as F
+
+    rows = vectors(3, 60)
+    clash = embeddings_of(rows).select("*", *[F.lit(i).alias(c) for i, c in enumerate(["node", "v", "ok", "h1", "h2", "copies", "list", "part", "leaf", "cell"])])
+    assert sorted(tuple(r) for r in neardup.classes(clash).collect()) == sorted(tuple(r) for r in neardup.classes(embeddings_of(rows)).collect())
+    assert sorted(tuple(r) for r in nearest.search(clash).collect()) == sorted(tuple(r) for r in nearest.search(embeddings_of(rows)).collect())
+
+
+def test_tiles_grow_with_rows_until_they_are_full():
+    assert neardup.tiling(100, 64, 6) == neardup.LEAST_TILE
+    assert -(-51_282 // neardup.tiling(51_282, 64, 6)) == 7
+    assert neardup.tiling(10**9, 64, 6) * 64 * 8 == neardup.TILE_BYTES
+
+
 def test_near_duplicates_of_little(embeddings_of):
     assert neardup.classes(embeddings_of([])).collect() == []
     bad = neardup.classes(embeddings_of(ODD[:6])).collect()
     assert all((r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True) for r in bad) and len(bad) == 6
 
 
-def test_tiles_stop_early_and_lose_nothing():
+@pytest.mark.parametrize("block, dense", [(2048, 0.02), (33, 0.02), (33, 1.1), (50, 0.0)])
+@pytest.mark.parametrize("dim", [5, 40])
+def test_tiles_stop_early_and_lose_nothing(monkeypatch, block, dense, dim):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "DENSE", dense)
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(200, 40)) @ np.diag(np.linspace(3, 0.1, 40))
-    x[100:120] = x[:20] + rng.normal(size=(20, 40)) * 0.05
-    layout = neardup.Layout(x, 8)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert (neardup.hits(x, x, layout, 0.9) == (unit @ unit.T >= 0.9)).all()
-    hit = np.zeros((5, 5), bool)
-    hit[0, 3] = hit[3, 0] = hit[3, 4] = hit[4, 3] = True
-    assert neardup.forest(hit).tolist() == [0, 1, 2, 0, 0]
+    x = rng.normal(size=(200, dim)) @ np.diag(np.linspace(3, 0.1, dim))
+    x[100:120] = x[:20] + rng.normal(size=(20, dim)) * 0.05
+    side = neardup.Side(x, neardup.Layout(x, 8))
+    want = side.unit @ side.unit.T >= 0.9
+    got = np.zeros((200, 200), bool)
+    for i, j in neardup.hits(side, side, 0.9):
+        got[i, j] = True
+    assert (got == want).all()
+    half = np.zeros((200, 200), bool)
+    for i, j in neardup.hits(side, side, 0.9, same=True):
+        half[i, j] = True
+    assert (half == np.triu(want, 1)).all()
+
+
+def test_labels_of_linked_pairs():
+    label = neardup.merge(np.arange(7), np.array([0, 3]), np.array([3, 4]))
+    assert label.tolist() == [0, 1, 2, 0, 0, 5, 6]
+    assert neardup.merge(label, np.array([4, 6, 2]), np.array([5, 1, 6])).tolist() == [0, 1, 1, 0, 0, 0, 1]
 
 
 def test_components(spark):
