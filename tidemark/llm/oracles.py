@@ -33,3 +33,26 @@ p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_
 SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, c = vec_id AS kept
 FROM (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY a) LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a) USING (vec_id)
 """
+
+_ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [(0, _ASSIGN), (1, "AKIA[A-Z0-9]+"), (2, "[0-9a-f]+"), (3, "[A-Za-z0-9/+=]+"), (4, "https?://[A-Za-z0-9.-]+(?::[0-9]+)?"), (5, "[A-Za-z0-9./-]+")]
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, {k} AS k, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS f, {f"regexp_extract_all(t, '{p}', 2)" if k == 0 else "NULL"} AS v FROM d" for k, p in _KINDS
+)
+_BESIDE = "EXISTS (SELECT 1 FROM {of} y WHERE y.r = x.r AND {is_} AND greatest(x.s - y.e, y.s - x.e) <= 400)"
+_LISTED = "string_agg(['assign', 'access', 'hex', 'key', 'endpoint'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e)"
+
+#: Matches and the gaps before them give positions; parts are linked by their distance.
+SECRETS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, k, i, f[i] AS f, v[i] AS v, len(g[i]) AS g FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM ({_FOUND}))),
+p AS (SELECT r, k, f, v, sum(g + len(f)) OVER (PARTITION BY r, k ORDER BY i) AS e FROM m),
+q AS (SELECT r, k, e - len(f) AS s, e, f, split_part(f, '/', 1) AS host FROM p
+      WHERE CASE k WHEN 0 THEN len(v) >= 12 WHEN 1 THEN len(f) >= 18 WHEN 2 THEN len(f) >= 16 WHEN 3 THEN len(f) = 40 AND NOT contains(f, '=') WHEN 5 THEN regexp_matches(host, '\.amazonaws\.com[.-]?$') ELSE true END),
+w AS (SELECT r, least(k, 4) AS k, CAST(s AS BIGINT) AS s, CAST(CASE k WHEN 5 THEN s + len(host) ELSE e END AS BIGINT) AS e FROM q),
+a AS (SELECT *, {_BESIDE.format(of="w", is_="y.k = 1")} AS access, {_BESIDE.format(of="w", is_="y.k = 0")} AS secret FROM w x),
+z AS (SELECT *, k < 3 OR access OR (k = 4 AND secret) OR (k = 3 AND {_BESIDE.format(of="a", is_="y.k = 4 AND y.access")}) AS listed FROM a x),
+n AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_LISTED} FILTER (k < 3) AS base, {_LISTED} FILTER (listed) AS spans FROM z GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (r)
+"""

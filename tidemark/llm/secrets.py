@@ -12,13 +12,21 @@ the end of the last access identifier and of the last secret, a pass over the mi
 carries the nearest later ones. A text's intervals never leave its row, so nothing is shuffled, no
 pair is made and a hot source costs what its bytes cost.
 
-Cases: null and empty texts have no spans. Repeated rows are scanned alike; extra columns do not
-matter; an empty table gives an empty result. Of spans with equal starts the kind listed first comes
-first, then the shorter. Positions count code points, ends are exclusive.
+Time is linear in the text and its matches, whatever the text: no pattern repeats a group or starts anew
+inside a run that it has read, sweeps append to lists of ``RUN`` entries, and redaction cuts pieces of
+``PIECE`` characters out of which a span's surroundings are taken.
+
+Cases: null and empty texts have no spans. Very long texts are scanned whole; one takes some ten times its size
+in memory. Repeated rows are scanned alike. ``scan`` replaces columns named base and weak; ``redact``
+and ``report`` leave all other columns as they are, whatever their names. An empty table gives an empty result.
+Of spans with equal starts the kind listed first comes first, then the shorter; a redaction replaces
+what overlapping spans cover once. Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +37,51 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
-ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com"
+URL = r"https?://[A-Za-z0-9.-]++(?::[0-9]++)?"
+#: A host is a whole run of its characters, and no part of a path.
+HOST = r"(?<![A-Za-z0-9./-])[A-Za-z0-9.-]++(?<=\.amazonaws\.com[.-]?)"
+RUN = 256
+PIECE = 1024
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 _FAR = 1 << 30
 
 
-def _spans(text: Column, pattern: str, kind: int, long_enough: Column | None = None, value: int = 0) -> Column:
-    """Spans of all matches; of those whose group ``value`` has 12 characters if that is asked."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def swept(rows: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``out(state, row)`` of each row, an array of ``kind``; ``step(state, row)`` is the state of the next row.
+
+    Appending to an array copies it, so rows are taken in runs: a run's array is short, and so is that of runs.
+    """
+    none = F.array().cast(kind)
+
+    def of_run(before: Column, run: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(before.alias("state"), none.alias("out")),
+            lambda own, row: F.struct(
+                step(own["state"], row).alias("state"),
+                F.concat(own["out"], F.array(out(own["state"], row))).alias("out"),
+            ),
+        )
+
+    def of_all(rows: Column) -> Column:
+        count = F.floor((F.size(rows) - 1) / RUN).cast("int")
+        done = F.aggregate(
+            F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(rows, i * RUN + 1, RUN)),
+            F.array(F.struct(start.alias("state"), none.alias("out"))),
+            lambda whole, run: F.concat(whole, F.array(of_run(F.element_at(whole, -1)["state"], run))),
+        )
+        return F.when(F.size(rows) > 0, F.flatten(F.transform(done, lambda x: x["out"]))).otherwise(none)
+
+    return bound(rows, of_all)
+
+
+def _spans(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
+    """Spans of all matches; if a group ``value`` is named, of those whose group has 12 characters."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(
@@ -43,26 +89,13 @@ def _spans(text: Column, pattern: str, kind: int, long_enough: Column | None = N
         F.transform(found, lambda x: F.char_length(x)),
         lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
     )
+
+    def span(at: Column, x: Column) -> Column:
+        return F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["match"]).alias("stop"))
+
     # The last gap has no match after it: its length is null there and it adds no span.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    walked = F.aggregate(
-        F.filter(lengths, lambda x: x["match"].isNotNull()),
-        start,
-        lambda state, x: F.struct(
-            (state["at"] + x["gap"] + x["match"]).alias("at"),
-            F.concat(
-                state["spans"],
-                F.array(
-                    F.struct(
-                        (state["at"] + x["gap"]).alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (state["at"] + x["gap"] + x["match"]).alias("stop"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda state: state["spans"],
-    )
+    inner = F.filter(lengths, lambda x: x["match"].isNotNull())
+    walked = swept(inner, F.lit(0), lambda at, x: at + x["gap"] + x["match"], span, _SPANS)
     if value:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
         pairs = F.arrays_zip(walked.alias("span"), values.alias("value"))
@@ -71,44 +104,24 @@ def _spans(text: Column, pattern: str, kind: int, long_enough: Column | None = N
 
 
 def _sweep(spans: Column, mirrored: bool) -> Column:
-    """Each span with the distance to the nearest access identifier and secret on one side, at most.
+    """Each span with the distance to the nearest access identifier, secret and endpoint on one side.
 
     The mirrored pass walks the spans backwards; distances are then to what follows.
     """
+    kinds = {"access": 1, "secret": 0, "endpoint": 4}
 
     def gap(edge: Column, x: Column) -> Column:
         return F.greatest(edge - x["stop"], F.lit(0)) if mirrored else F.greatest(x["start"] - edge, F.lit(0))
 
     def nearer(edge: Column, x: Column, holds: Column) -> Column:
-        if mirrored:
-            return F.when(holds, F.least(edge, x["start"])).otherwise(edge)
-        return F.when(holds, F.greatest(edge, x["stop"])).otherwise(edge)
-
-    first = F.lit(_FAR if mirrored else -_FAR)
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,access:int,secret:int,endpoint:int>>")
-    start = F.struct(first.alias("access"), first.alias("secret"), first.alias("endpoint"), none.alias("out"))
-    return F.aggregate(
+        return F.when(holds, F.least(edge, x["start"]) if mirrored else F.greatest(edge, x["stop"])).otherwise(edge)
+
+    return swept(
         F.reverse(spans) if mirrored else spans,
-        start,
-        lambda state, x: F.struct(
-            nearer(state["access"], x, x["kind"] == 1).alias("access"),
-            nearer(state["secret"], x, x["kind"] == 0).alias("secret"),
-            nearer(state["endpoint"], x, x["kind"] == 4).alias("endpoint"),
-            F.concat(
-                state["out"],
-                F.array(
-                    F.struct(
-                        x["start"].alias("start"),
-                        x["kind"].alias("kind"),
-                        x["stop"].alias("stop"),
-                        gap(state["access"], x).alias("access"),
-                        gap(state["secret"], x).alias("secret"),
-                        gap(state["endpoint"], x).alias("endpoint"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda state: state["out"],
+        F.struct(*[F.lit(_FAR if mirrored else -_FAR).alias(name) for name in kinds]),
+        lambda state, x: F.struct(*[nearer(state[name], x, x["kind"] == k).alias(name) for name, k in kinds.items()]),
+        lambda state, x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "stop")], *[gap(state[name], x).alias(name) for name in kinds]),
+        "array<struct<start:int,kind:int,stop:int,access:int,secret:int,endpoint:int>>",
     )
 
 
@@ -160,7 +173,7 @@ def scan(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     )
     # A weak part needs an access identifier or an assigned secret in its text.
     able = F.exists("base", lambda x: x["kind"] < 2)
-    weak = F.concat(_spans(whole, KEY, 3), _spans(whole, ENDPOINT, 4))
+    weak = F.concat(_spans(whole, KEY, 3), _spans(whole, URL, 4), _spans(whole, HOST, 4))
     none = F.array().cast(_SPANS)
     with_weak = base.withColumn("weak", F.when(able, weak).otherwise(none))
     return linked(with_weak, scope)
@@ -179,7 +192,7 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text")).select("doc_id", "base", "weak")
+    found = scan(docs.select("doc_id", "text"))
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
@@ -196,22 +209,25 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``df`` with every span of ``text`` replaced; overlapping spans count as one."""
-    found = scan(df, text)
+    found = scan(df.select(F.struct("*").alias("row"), F.col(text).alias("whole")), "whole")
     spans = F.array_sort(F.concat("base", "weak"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    whole = F.col(text)
-    cut = F.aggregate(
+    # Each span with the end of what those before it cover: where it begins after that, a piece of text stays.
+    behind = swept(
         spans,
-        start,
-        lambda state, x: F.struct(
-            F.greatest(state["at"], x["stop"]).alias("at"),
-            F.when(
-                x["start"] >= state["at"],
-                F.concat(state["parts"], F.array(F.substring(whole, state["at"] + 1, x["start"] - state["at"]), F.lit(mark))),
-            )
-            .otherwise(state["parts"])
-            .alias("parts"),
-        ),
-        lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(whole, state["at"] + 1, F.char_length(whole))),
+        F.lit(0),
+        lambda at, x: F.greatest(at, x["stop"]),
+        lambda at, x: F.struct(at.alias("at"), x["start"].alias("start"), x["stop"].alias("stop")),
+        "array<struct<at:int,start:int,stop:int>>",
     )
-    return found.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(whole)).drop("base", "weak")
+    found = found.withColumn("behind", behind).withColumn("pieces", F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+    def between(start: Column, stop: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        near = F.array_join(F.slice("pieces", first + 1, F.floor(stop / PIECE).cast("int") - first + 1), "")
+        return F.substring(near, start - first * PIECE + 1, stop - start)
+
+    parts = F.transform(F.filter("behind", lambda x: x["start"] >= x["at"]), lambda x: F.concat(between(x["at"], x["start"]), F.lit(mark)))
+    last = F.array_max(F.transform("behind", lambda x: x["stop"]))
+    cut = F.concat(F.array_join(parts, ""), between(last, F.char_length("whole")))
+    clean = F.when(F.size("behind") > 0, cut).otherwise(F.col("whole"))
+    return found.select(F.col("row").withField(f"`{text}`", clean).alias("row")).select("row.*")
