@@ -132,6 +132,34 @@ def test_language_never_learns_from_held_out_rows(docs_of):
     assert {r["lang_pred"] for r in language.identify(docs_of(rows)).collect()} == {"en"}
 
 
+def test_language_dictionaries_come_from_whole_texts(docs_of, monkeypatch):
+    """What tells the languages apart may stand at the end of long texts, and repeated rows gather nowhere."""
+    monkeypatch.setattr(language, "DICTIONARY_BYTES", 4 << 10)
+    rng = random.Random(7)
+    rows = [(i, "0 zz " * 4_000 + speech(rng, lang := "en de".split()[i % 2], 8_000), lang) for i in range(16)]
+    rows += [(100 + i, speech(rng, "de", 40), None) for i in range(20)] + [(3, rows[3][1], "de")] * 40
+    out = {r["doc_id"]: r for r in language.identify(docs_of(rows)).collect()}
+    assert {out[100 + i]["lang_pred"] for i in range(20)} == {"de"}
+
+
+def test_language_takes_any_number_of_labels(docs_of, monkeypatch):
+    monkeypatch.setattr(language, "TOTAL_BYTES", 16 << 10)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=5)) + f"q{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}q" for _ in range(30)), f"l{i % 100}") for i in range(800)]
+    out = language.identify(docs_of(rows)).collect()
+    assert len({r["lang_pred"] for r in out}) == 100
+
+
+def test_language_rejects_narrow_margins_of_any_length(docs_of):
+    rng = random.Random(9)
+    rows = [(i, speech(rng, lang := "en de".split()[i % 2], 100), lang) for i in range(200)]
+    both = " ".join(speech(rng, "en de".split()[k % 2], 1) for k in range(4_000))
+    rows += [(300, both, None), (301, speech(rng, "en", 3000), None), (302, "qqq", None), (303, speech(rng, "de", 12), None)]
+    out = {r["doc_id"]: r for r in language.identify(docs_of(rows)).collect()}
+    assert [out[i]["rejected"] for i in (301, 302, 303)] == [False, True, False]
+    assert all(r["rejected"] == (r["score"] <= language.MIN_MARGIN) for r in out.values())
+
+
 # ---- op4 ----
 
 
