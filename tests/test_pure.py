@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tidemark.functions import idents, tuning, types
 from tidemark.operators import constraints, partition, scan
-from tidemark.model import ForeignKey, TableMeta
+from tidemark.model import ColumnMeta, ForeignKey, TableMeta
 from tidemark.plans import config, sqltext
 
 MAPPINGS = [
@@ -195,3 +195,10 @@ def test_sql_text():
     assert "WHEN MATCHED AND (t.[b] <> s.[b]" in sqltext.merge("mssql", "s", "t", "st", ["a", "b"], ["a"])
     assert sqltext.reset_sequence("mysql", "s", "t", "a", 9) == "ALTER TABLE `s`.`t` AUTO_INCREMENT = 10"
     assert sqltext.reset_sequence("mssql", "s", "t", "a", 9) is None
+
+
+def test_spatial_columns_are_read_as_text():
+    t = TableMeta("t", (ColumnMeta("id", "int"), ColumnMeta("g", "geometry")))
+    assert sqltext.as_text("mssql", "[s].[t]", t) == "SELECT [id], [g].STAsText() AS [g] FROM [s].[t]"
+    assert sqltext.as_text("postgres", "t", t) == 'SELECT "id", ST_AsText("g") AS "g" FROM t'
+    assert not sqltext.spatial(t.columns[0])

@@ -156,6 +156,140 @@ def test_versions(spark, tmp_path):
     assert not t.exists()
 
 
+def test_readers_keep_the_version_they_began_with(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.publish(spark.range(3).toDF("k"))
+    old = t.read()
+    t.append(spark.range(3, 5).toDF("k"))
+    assert old.count() == 3 and t.read().count() == 5
+    t.publish(spark.range(9).toDF("k"))
+    assert t.read().count() == 9 and t.version() == 3
+    t.publish(spark.range(1).toDF("k"))
+    left = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")]
+    assert len(left) == 2 and len(list((tmp_path / "t" / "_pointers").glob("[0-9]*"))) == 2
+
+
+def test_a_crash_before_the_pointer_leaves_the_table(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.publish(spark.range(3).toDF("k"))
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "point", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            t.publish(spark.range(100).toDF("k"))
+    assert t.exists() and t.read().count() == 3
+
+
+def test_values_with_bars_do_not_hash_alike(spark):
+    a = spark.createDataFrame([(1, "a|vb", "c"), (2, "x", "y"), (3, "a\\", "|v")], "id int, x string, y string")
+    b = spark.createDataFrame([(1, "a", "b|vc"), (2, "x", "y"), (3, "a\\|v", "")], "id int, x string, y string")
+    assert dict(verify.hash_diff(a, b, ["id"], ["x", "y"]).collect()) == {1: "different", 3: "different"}
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "UTC", "Asia/Tokyo"])
+def test_watermarks_are_instants_whatever_the_session_says(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 08:00:00Z'), (2, timestamp'2024-01-01 10:00:00Z'), (3, timestamp'2024-01-01 12:00:00Z'), (4, null) AS t(id, at)")
+        got = scan.watermark_filter(df, "at", dt.datetime(2024, 1, 1, 10), now=dt.datetime(2024, 2, 1))
+        assert sorted(r["id"] for r in got.collect()) == [3, 4]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_decimals_go_to_groups_of_four_and_back(spark):
+    import decimal
+
+    values = ["0", "1", "-1", "9999", "10000", "-123456789.0125", "0.0001", "-0.00000001", "5.5", "100000000.00000001", None]
+    df = spark.createDataFrame([(decimal.Decimal(v) if v else None,) for v in values], "d decimal(38,8)")
+    packed = df.select("d", convert.signed_base10000(F.col("d"), 8).alias("p"))
+    got = packed.select("d", convert.decimal_text(F.col("p.digits"), F.col("p.weight"), F.col("p.negative"), F.col("p.scale")).alias("t")).collect()
+    assert all((r["t"] is None) if r["d"] is None else decimal.Decimal(r["t"]) == r["d"] for r in got)
+    one = spark.sql("SELECT array(12, 3400) AS digits, 0 AS weight, true AS negative, 2 AS scale, array(5) AS few, -2 AS low, 9 AS deep")
+    assert one.select(convert.decimal_text(F.col("digits"), F.col("weight"), F.col("negative"), F.col("scale"))).first()[0] == "-12.34"
+    assert one.select(convert.decimal_text(F.col("few"), F.col("low"), F.lit(False), F.col("deep"))).first()[0] == "0.000000050"
+
+
+def test_uuids(spark):
+    text = "00112233-4455-6677-8899-aabbccddeeff"
+    df = spark.createDataFrame([(text,)], "u string").select(convert.uuid_bytes(F.col("u")).alias("b"))
+    assert df.select(convert.uuid_text(F.col("b"))).first()[0] == text
+    assert spark.sql("SELECT X'00' AS b").select(convert.uuid_text(F.col("b"))).first()[0] is None
+
+
+def test_packed_texts_come_back(spark):
+    df = spark.createDataFrame([(1, "a" * 5000), (2, None), (3, ""), (4, "é\U0001f600")], "id int, t string")
+    packed = convert.packed_texts(df, "t")
+    assert len(packed.filter("id = 1").first()["t"]) < 200 and packed.dtypes[1] == ("t", "binary")
+    assert rows(convert.unpacked_texts(packed, "t")) == rows(df)
+
+
+def test_catalog_parts_make_tables(spark):
+    parts = {
+        "columns": [("t", "id", "int", None, 32, 0, "NO", 1, 1), ("t", "p", "varchar", 50, None, None, "YES", 2, 0), ("t", "at", "timestamp", None, None, None, "YES", 3, 0), ("u", "k", "int", None, None, None, "NO", 1, 0)],
+        "keys": [("t", "p", 2), ("t", "id", 1)],
+        "rows": [("t", 12), ("u", -1)],
+        "references": [("t", "fk2", 2, "p", "u", "k2", "NO_ACTION", "CASCADE"), ("t", "fk2", 1, "id", "u", "k", "NO_ACTION", "CASCADE"), ("t", "fk1", 1, "p", "v", "k", "SET NULL", "NO ACTION")],
+        "checks": [("t", "c1", "(id > 0)")],
+        "indexes": [("t", "ix", 1, 2, "id", 0), ("t", "ix", 1, 1, "p", 0), ("t", "ix", 1, 3, "at", 1)],
+    }
+    t, u = jdbc.assemble({n: spark.createDataFrame(parts[n], kind) for n, kind in jdbc._PARTS.items()}, "s")
+    assert (t.key, t.rows, u.rows, u.key) == (("id", "p"), 12, 0, ()) and [c.identity for c in t.columns] == [True, False, False]
+    fk1, fk2 = t.foreign_keys
+    assert (fk1.parent, fk1.on_delete) == ("v", "SET NULL") and (fk2.columns, fk2.parent_columns, fk2.on_delete, fk2.on_update) == (("id", "p"), ("k", "k2"), "NO ACTION", "CASCADE")
+    assert (t.indexes[0].columns, t.indexes[0].included, t.indexes[0].unique) == (("p", "id"), ("at",), True)
+    assert t.checks[0].definition == "(id > 0)" and u.indexes == u.foreign_keys == u.checks == ()
+    for kind in ("postgres", "mysql", "mssql"):
+        assert set(jdbc._CATALOG[kind]) <= set(jdbc._PARTS) and all("{schema}" in q for q in jdbc._CATALOG[kind].values())
+        assert "BASE TABLE" in jdbc._CATALOG[kind]["columns"] and "{kind}" not in jdbc._CATALOG[kind]["columns"]
+
+
+def test_catalog_of_a_database_reaches_keys_and_finalisation(spark, tmp_path, monkeypatch):
+    """Derby's own catalog stands for PostgreSQL's: identity, key, index, reference and check are loaded, made and enforced."""
+    db = jdbc.Database("postgres", jdbc_url=f"jdbc:derby:{tmp_path}/cat;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    make = ['CREATE TABLE "par" ("id" INT NOT NULL)', 'CREATE TABLE "chi" ("id" INT NOT NULL, "p" INT, "v" INT)', 'INSERT INTO "par" VALUES 1', 'INSERT INTO "chi" VALUES (1, 1, 5)', 'CREATE VIEW "vw" AS SELECT * FROM "par"']
+    jdbc.execute(spark, db, make)
+    owned = "FROM SYS.SYSTABLES t JOIN SYS.SYSSCHEMAS s ON s.SCHEMAID = t.SCHEMAID WHERE t.TABLETYPE = 'T' AND s.SCHEMANAME = {schema}"
+    columns = owned.replace("WHERE", "JOIN SYS.SYSCOLUMNS c ON c.REFERENCEID = t.TABLEID WHERE")
+    kinds = "CASE WHEN c.COLUMNNAME = 'id' THEN 1 ELSE 0 END"
+    fake = {
+        "columns": f"SELECT t.TABLENAME AS table_name, c.COLUMNNAME AS column_name, 'int4' AS data_type, 0 AS character_maximum_length, 0 AS numeric_precision, 0 AS numeric_scale, CASE WHEN c.COLUMNNAME = 'id' THEN 'NO' ELSE 'YES' END AS is_nullable, c.COLUMNNUMBER AS ordinal_position, {kinds} AS is_identity {columns}",
+        "keys": f"SELECT t.TABLENAME AS table_name, 'id' AS column_name, 1 AS ordinal_position {owned}",
+        "references": f"SELECT t.TABLENAME AS table_name, 'fk' AS name, 1 AS ordinal_position, 'p' AS column_name, 'par' AS parent, 'id' AS parent_column, 'NO_ACTION' AS on_delete, 'NO_ACTION' AS on_update {owned} AND t.TABLENAME = 'chi'",
+        "checks": f"SELECT t.TABLENAME AS table_name, 'ck' AS name, '([v] > 0)' AS definition {owned} AND t.TABLENAME = 'chi'",
+        "indexes": f"SELECT t.TABLENAME AS table_name, 'ix' AS name, 1 AS is_unique, 1 AS ordinal_position, 'v' AS column_name, 0 AS is_included {owned} AND t.TABLENAME = 'chi'",
+    }
+    monkeypatch.setitem(jdbc._CATALOG, "postgres", fake)
+    tables = jdbc.load_catalog(spark, db, "APP")
+    assert [t.name for t in tables] == ["chi", "par"]
+    refused = jdbc.JdbcTarget(spark, db, "APP", "postgres").finalise(tables)
+    assert {r["constraint"] for r in refused} == {"sequence"}  # Derby has no setval
+    for bad in ("VALUES (1, 1, 6)", "VALUES (2, 9, 6)", "VALUES (2, 1, 5)", "VALUES (2, 1, -1)"):
+        with pytest.raises(Exception):
+            jdbc.execute(spark, db, [f'INSERT INTO "chi" {bad}'])
+    jdbc.execute(spark, db, ['INSERT INTO "chi" VALUES (2, 1, 6)'])
+    table = jdbc.JdbcTarget(spark, db, "APP", "postgres").table(tables[0])
+    assert table.has_primary_key() and table.exists()
+
+
+def test_deadlocks_are_retried(monkeypatch):
+    class Dead(Exception):
+        pass
+
+    turns = []
+
+    def work():
+        turns.append(1)
+        if len(turns) < 3:
+            raise Dead("deadlock")
+        return "done"
+
+    monkeypatch.setattr(jdbc, "deadlocked", lambda e: isinstance(e, Dead))
+    assert jdbc.retried(work, wait=0) == "done" and len(turns) == 3
+    with pytest.raises(ValueError):
+        jdbc.retried(lambda: (_ for _ in ()).throw(ValueError("other")), wait=0)
+
+
 def test_tsv(spark, tmp_path):
     write_tsv(spark.createDataFrame([("a\tb", None, 1)], "x string, y string, z int"), f"file://{tmp_path}/o")
     assert [r[0] for r in spark.read.text(f"file://{tmp_path}/o").collect()] == ["a\\tb\t\\N\t1"]
@@ -210,6 +344,75 @@ def test_runs(spark, folder, tmp_path):
     assert json.dumps(full.as_dict())
 
 
+class Halting(FolderTarget):
+    """Fails, or stops the run, before the n-th range is written."""
+
+    def __init__(self, spark, root, at, stop=None):
+        super().__init__(spark, root)
+        self.at, self.stop, self.staged = at, stop, []
+
+    def table(self, meta):
+        outer = self
+
+        class Table(VersionedTable):
+            def stage(self, df, run, part):
+                if len(outer.staged) == outer.at:
+                    if outer.stop:
+                        outer.stop()
+                    else:
+                        raise OSError("disk gone")
+                outer.staged.append(part)
+                return super().stage(df, run, part)
+
+        return Table(self.spark, f"{self.root}/{meta.name}")
+
+
+@pytest.mark.parametrize("how", ["error", "cancel"])
+def test_a_run_goes_on_from_the_ranges_it_had_copied(spark, tmp_path, how):
+    root = f"file://{tmp_path}/src"
+    rows_of = [(k, f"c{k}", k % 7) for k in [-5, *range(0, 40), 1000]] + [(None, "none", 0)]
+    spark.createDataFrame(rows_of, "c_custkey long, c_name string, c_nationkey int").repartition(3).write.parquet(f"{root}/customer.parquet")
+    spark.createDataFrame([(0, "r")], "r_regionkey int, r_name string").write.parquet(f"{root}/region.parquet")
+    config = Config(Endpoint(path=root), Endpoint(path=f"file://{tmp_path}/dst"), Migration(target_mode="drop_recreate", chunk_size=5, parallel_readers=6, workers=1))
+    target = Halting(spark, config.target.path, 3)
+    first = Runner(spark, config, ParquetSource(spark, root), target)
+    target.stop = first.cancel.set if how == "cancel" else None
+    out = first.run()
+    assert out.status == ("cancelled" if how == "cancel" else "failed")
+    assert not target.table(ParquetCatalog(spark, root).meta("customer")).exists()
+    saved = {r["table_name"]: r["table_status"] for r in first.saved_state().collect()}
+    assert saved["customer"] == "failed" and saved.get("region", "completed") == "completed"
+    before = target.staged[:]
+    whole = FolderTarget(spark, config.target.path)
+    seen = []
+    again = Halting(spark, config.target.path, 99)
+    second = Runner(spark, config, ParquetSource(spark, root), again, progress=seen.append).run(resume=True)
+    assert (second.status, second.run_id) == ("completed", out.run_id)
+    assert before[0] == 0 and again.staged[0] >= 3
+    got = whole.table(ParquetCatalog(spark, root).meta("customer")).read()
+    assert rows(got) == sorted(rows_of, key=str)
+    assert seen[-1]["rows"] in (len(rows_of), 1)
+    # An ended run is not gone on with.
+    assert Runner(spark, config, ParquetSource(spark, root), whole).run(resume=True).run_id != out.run_id
+
+
+def test_progress_is_told_while_a_table_is_copied(spark, folder, tmp_path):
+    seen = []
+    config = Config(Endpoint(path=folder), Endpoint(path=f"file://{tmp_path}/dst"), Migration(target_mode="drop_recreate"))
+    out = Runner(spark, config, ParquetSource(spark, folder), FolderTarget(spark, config.target.path), progress=seen.append, every=0.01).run()
+    assert out.status == "completed"
+    ticks = [e for e in seen if e["event"] == "progress"]
+    assert ticks and all(e["of"] == 2 for e in ticks) and any("nation" in e["active"] for e in ticks)
+
+
+def test_an_empty_table_is_copied(spark, tmp_path):
+    root = f"file://{tmp_path}/src"
+    spark.createDataFrame([], "r_regionkey int, r_name string").write.parquet(f"{root}/region.parquet")
+    for mode in ("drop_recreate", "upsert"):
+        out = _runner(spark, root, tmp_path, mode).run()
+        assert (out.status, out.rows_transferred, out.table_errors) == ("completed", 0, [])
+
+
 def test_cancelled_run_saves_nothing(spark, folder, tmp_path):
     r = _runner(spark, folder, tmp_path, "drop_recreate")
     r.cancel.set()
@@ -240,6 +443,18 @@ def test_jdbc_target(spark, folder, tmp_path):
     assert jdbc.query(spark, db, "SELECT k FROM extra").count() == 1
 
 
+def test_kept_tables_go_with_their_block(spark):
+    from tidemark import scratch
+
+    with scratch.cleared(spark):
+        one, two = scratch.keep(spark.range(3).toDF("k"), "a"), scratch.keep_by(spark.range(3).toDF("k"), "b", "k")
+        assert one.count() == two.count() == 3
+        name = scratch._TABLES[-1]
+    assert not spark.catalog.tableExists(name)
+    with pytest.raises(Exception):
+        spark.read.parquet(one._tidemark_path).count()
+
+
 def test_signed_state(tmp_path):
     path = str(tmp_path / "state.json")
     states.write_signed(path, [{"table_name": "t", "rows": 3}], b"key")

@@ -37,7 +37,7 @@ def runner_of(spark, config: Config, progress: bool = False) -> Runner:
     source = ParquetSource(spark, s.path) if s.kind() == "parquet" else JdbcSource(spark, database(s), s.schema)
     kind = "postgres" if s.kind() == "parquet" else s.kind()  # parquet tables are described in its types
     target = FolderTarget(spark, t.path) if t.kind() == "parquet" else JdbcTarget(spark, database(t), t.schema, kind)
-    return Runner(spark, config, source, target, progress=(lambda e: print(json.dumps(e), file=sys.stderr, flush=True)) if progress else None)
+    return Runner(spark, config, source, target, progress=(lambda e: print(json.dumps(e), file=sys.stderr, flush=True)) if progress else None, every=0.5 if progress else None)
 
 
 def main(argv: list[str] | None = None) -> int:

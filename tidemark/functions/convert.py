@@ -104,6 +104,85 @@ def base10000(c: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(groups)
 
 
+def decimal_text(digits: Column, weight: Column, negative: Column, scale: Column) -> Column:
+    """The number of base-10000 ``digits``, the first worth 10000 ** weight, with ``scale`` decimals, as text."""
+
+    def group(i: Column) -> Column:
+        return F.lpad(F.coalesce(F.get(digits, i), F.lit(0)).cast("string"), F.lit(4), F.lit("0"))
+
+    def groups(low: Column, high: Column) -> Column:
+        some = F.transform(F.sequence(low, high), group)
+        return F.when(low <= high, F.array_join(some, "")).otherwise("")
+
+    whole = F.regexp_replace(groups(F.least(F.lit(0), weight), weight), "^0+(?=.)", "")
+    whole = F.when(whole == "", "0").otherwise(whole)
+    # Digits before the first one are zero where the number is under one.
+    first = F.least(weight + 1, F.lit(0))
+    lead = F.repeat(F.lit("0000"), F.greatest(-weight - 1, F.lit(0)))
+    last = F.greatest(F.size(digits) - 1, weight + 1 + F.ceil(scale / 4).cast("int"))
+    tail = F.concat(lead, groups(F.greatest(weight + 1, F.lit(0)), last))
+    fraction = F.rpad(F.substring(tail, F.lit(1), scale), scale, F.lit("0"))
+    text = F.when(scale > 0, F.concat(whole, F.lit("."), fraction)).otherwise(whole)
+    text = F.when(negative & F.regexp_like(text, F.lit("[1-9]")), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(digits.isNotNull(), text)
+
+
+def signed_base10000(c: Column, scale: int) -> Column:
+    """A decimal as (negative, scale, digits, weight): groups of four digits around the point, most significant first."""
+    plain = F.abs(c.cast(f"decimal(38,{scale})"))
+    parts = F.split(plain.cast("string"), r"\.")
+    whole = F.when(parts[0] == "0", "").otherwise(parts[0])
+    width = F.ceil(F.length(whole) / 4).cast("int") * 4
+    after = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    text = F.concat(F.lpad(whole, width, F.lit("0")), F.rpad(after, F.ceil(F.length(after) / 4).cast("int") * 4, F.lit("0")))
+    count = (F.length(text) / 4).cast("int")
+    groups = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * 4 + 1, F.lit(4)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(c.isNotNull(), F.struct((c < 0).alias("negative"), F.lit(scale).alias("scale"), groups.alias("digits"), ((width / 4).cast("int") - 1).alias("weight")))
+
+
+def uuid_text(c: Column) -> Column:
+    """Sixteen bytes as a uuid in lower case."""
+    h = hex_text(c)
+    return F.when(F.octet_length(c) == 16, F.concat_ws("-", *[h.substr(a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+
+
+def uuid_bytes(c: Column) -> Column:
+    return F.unhex(F.replace(c, F.lit("-"), F.lit("")))
+
+
+def packed_texts(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the text of ``column`` as LZ4 blocks, four bytes of its size first; null stays null."""
+    import pyarrow as pa
+
+    at = df.schema.fieldNames().index(column)
+    kind = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in df.schema.fields])
+
+    def work(batches):
+        codec = pa.Codec("lz4_raw")
+        for batch in batches:
+            raw = [None if v is None else v.encode() for v in batch.column(at).to_pylist()]
+            out = [None if v is None else len(v).to_bytes(4, "little") + codec.compress(v, asbytes=True) for v in raw]
+            yield batch.set_column(at, column, pa.array(out, pa.binary()))
+
+    return df.mapInArrow(work, kind)
+
+
+def unpacked_texts(df: DataFrame, column: str) -> DataFrame:
+    """What ``packed_texts`` was given."""
+    import pyarrow as pa
+
+    at = df.schema.fieldNames().index(column)
+    kind = T.StructType([T.StructField(f.name, T.StringType()) if f.name == column else f for f in df.schema.fields])
+
+    def work(batches):
+        codec = pa.Codec("lz4_raw")
+        for batch in batches:
+            out = [None if v is None else codec.decompress(v[4:], int.from_bytes(v[:4], "little"), asbytes=True).decode() for v in batch.column(at).to_pylist()]
+            yield batch.set_column(at, column, pa.array(out, pa.string()))
+
+    return df.mapInArrow(work, kind)
+
+
 def sink_ready(df: DataFrame, sink: str) -> DataFrame:
     """Values as the sink takes them: SQL Server no NaN, MySQL no zone."""
     for f in df.schema.fields:

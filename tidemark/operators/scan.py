@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class WatermarkError(ValueError):
@@ -46,11 +47,19 @@ def row_slice(df: DataFrame, keys: list[str], first: int, last: int) -> DataFram
     return numbered.filter(F.col("row_num").between(first, last))
 
 
-def since(column: str, mark: dt.datetime, overlap: dt.timedelta = dt.timedelta(0)) -> Column:
-    """Rows newer than the mark, or never stamped; the mark counts in milliseconds and is excluded."""
+def since(column: str, mark: dt.datetime, overlap: dt.timedelta = dt.timedelta(0), zoned: bool = False) -> Column:
+    """Rows newer than the mark (UTC), or never stamped; the mark counts in milliseconds and is excluded.
+
+    A ``zoned`` column holds instants: it is compared with an instant, whatever the session's time zone.
+    """
     at = mark - overlap
     at = at.replace(microsecond=at.microsecond // 1000 * 1000)
-    return (F.col(column) > F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")) | F.col(column).isNull()
+    if zoned:
+        micros = (at - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+        bound = F.timestamp_micros(F.lit(micros).cast("long"))
+    else:
+        bound = F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+    return (F.col(column) > bound) | F.col(column).isNull()
 
 
 def watermark_filter(df: DataFrame, column: str, mark: dt.datetime | None, now: dt.datetime | None = None, overlap: dt.timedelta = dt.timedelta(0)) -> DataFrame:
@@ -61,7 +70,7 @@ def watermark_filter(df: DataFrame, column: str, mark: dt.datetime | None, now:
         check_watermark(mark, now)
     except WatermarkError:
         return df
-    return df.filter(since(column, mark, overlap))
+    return df.filter(since(column, mark, overlap, isinstance(df.schema[column].dataType, T.TimestampType)))
 
 
 def check_watermark(mark: dt.datetime, now: dt.datetime | None = None) -> None:

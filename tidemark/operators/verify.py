@@ -22,8 +22,16 @@ def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def row_hash(columns: list[str]) -> Column:
-    """md5 of the values as text; nulls are marked, so that they differ from empty text and keep their place."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]))
+    """md5 of the values as text; nulls are marked, so that they differ from empty text and keep their place.
+
+    A bar or backslash in a value is escaped: no value can look like the end of one and the start of another.
+    """
+
+    def text(name: str) -> Column:
+        value = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(F.concat(F.lit("v"), value), F.lit("n"))
+
+    return F.md5(F.concat_ws("|", *[text(c) for c in columns]))
 
 
 def bucket_diff(source: DataFrame, target: DataFrame, key: str, width: int) -> DataFrame:

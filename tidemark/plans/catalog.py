@@ -406,29 +406,90 @@ def _(spark, d):
 
 # Types of each database with length, digits and scale, and what they become under the profile direct.
 _TYPES = {
-    ("mssql", "postgres"): "bit,0,0,0,boolean,f tinyint,0,0,0,smallint,f int,0,0,0,integer,f decimal,0,10,2,numeric(10;2),f decimal,0,0,0,numeric,f nvarchar,100,0,0,varchar(100),f nvarchar,-1,0,0,text,f datetime2,0,0,0,timestamp,f datetimeoffset,0,0,0,timestamptz,f uniqueidentifier,0,0,0,uuid,f money,0,0,0,numeric(19;4),f",
-    ("postgres", "mssql"): "bool,0,0,0,bit,f int4,0,0,0,int,f numeric,0,10,2,decimal(10;2),f numeric,0,0,0,decimal(38;10),f varchar,100,0,0,nvarchar(100),f text,0,0,0,nvarchar(max),f date,0,0,0,datetime2,t jsonb,0,0,0,nvarchar(max),t _int4,0,0,0,nvarchar(max),t uuid,0,0,0,uniqueidentifier,f inet,0,0,0,varchar(50),t",
-    ("mysql", "postgres"): "tinyint,1,0,0,boolean,f tinyint,4,0,0,smallint,f json,0,0,0,jsonb,f enum,0,0,0,text,t year,0,0,0,smallint,f bit,8,0,0,bit varying,f longblob,0,0,0,bytea,f double,0,0,0,double precision,f varchar,0,0,0,text,f",
-    ("postgres", "mysql"): "bool,0,0,0,TINYINT(1),f serial,0,0,0,INT AUTO_INCREMENT,f numeric,0,70,40,DECIMAL(65;30),t timestamptz,0,0,0,DATETIME,t uuid,0,0,0,VARCHAR(36),t jsonb,0,0,0,JSON,f oid,0,0,0,BIGINT UNSIGNED,f text,0,0,0,LONGTEXT,f bytea,0,0,0,LONGBLOB,f",
-    ("mysql", "mssql"): "tinyint,1,0,0,bit,f decimal,0,50,10,decimal(38;10),t json,0,0,0,nvarchar(max),t varchar,255,0,0,nvarchar(255),f varbinary,100,0,0,varbinary(100),f set,0,0,0,nvarchar(max),t datetime,0,0,0,datetime2,f",
-    ("mssql", "mysql"): "bit,0,0,0,TINYINT(1),f tinyint,0,0,0,TINYINT UNSIGNED,f nvarchar,-1,0,0,LONGTEXT,f datetime2,0,0,0,DATETIME,f uniqueidentifier,0,0,0,VARCHAR(36),t varbinary,-1,0,0,LONGBLOB,f xml,0,0,0,LONGTEXT,t",
-    ("mssql", "mssql"): "int,0,0,0,int,f nvarchar,50,0,0,nvarchar(50),f decimal,0,10,2,decimal(10;2),f",
-    ("postgres", "postgres"): "int4,0,0,0,int4,f varchar,50,0,0,varchar(50),f jsonb,0,0,0,jsonb,f",
-    ("mysql", "mysql"): "double,0,0,0,double,f json,0,0,0,json,f char,10,0,0,char(10),f",
+    ("mssql", "postgres"): [
+        ("bit", 0, 0, 0, "boolean", False),
+        ("tinyint", 0, 0, 0, "smallint", False),
+        ("int", 0, 0, 0, "integer", False),
+        ("decimal", 0, 10, 2, "numeric(10,2)", False),
+        ("decimal", 0, 0, 0, "numeric", False),
+        ("nvarchar", 100, 0, 0, "varchar(100)", False),
+        ("nvarchar", -1, 0, 0, "text", False),
+        ("datetime2", 0, 0, 0, "timestamp", False),
+        ("datetimeoffset", 0, 0, 0, "timestamptz", False),
+        ("uniqueidentifier", 0, 0, 0, "uuid", False),
+        ("money", 0, 0, 0, "numeric(19,4)", False),
+    ],
+    ("postgres", "mssql"): [
+        ("bool", 0, 0, 0, "bit", False),
+        ("int4", 0, 0, 0, "int", False),
+        ("numeric", 0, 10, 2, "decimal(10,2)", False),
+        ("numeric", 0, 0, 0, "decimal(38,10)", False),
+        ("varchar", 100, 0, 0, "nvarchar(100)", False),
+        ("text", 0, 0, 0, "nvarchar(max)", False),
+        ("date", 0, 0, 0, "datetime2", True),
+        ("jsonb", 0, 0, 0, "nvarchar(max)", True),
+        ("_int4", 0, 0, 0, "nvarchar(max)", True),
+        ("uuid", 0, 0, 0, "uniqueidentifier", False),
+        ("inet", 0, 0, 0, "varchar(50)", True),
+    ],
+    ("mysql", "postgres"): [
+        ("tinyint", 1, 0, 0, "boolean", False),
+        ("tinyint", 4, 0, 0, "smallint", False),
+        ("json", 0, 0, 0, "jsonb", False),
+        ("enum", 0, 0, 0, "text", True),
+        ("year", 0, 0, 0, "smallint", False),
+        ("bit", 8, 0, 0, "bit varying", False),
+        ("longblob", 0, 0, 0, "bytea", False),
+        ("double", 0, 0, 0, "double precision", False),
+        ("varchar", 0, 0, 0, "text", False),
+    ],
+    ("postgres", "mysql"): [
+        ("bool", 0, 0, 0, "TINYINT(1)", False),
+        ("serial", 0, 0, 0, "INT AUTO_INCREMENT", False),
+        ("numeric", 0, 70, 40, "DECIMAL(65,30)", True),
+        ("timestamptz", 0, 0, 0, "DATETIME", True),
+        ("uuid", 0, 0, 0, "VARCHAR(36)", True),
+        ("jsonb", 0, 0, 0, "JSON", False),
+        ("oid", 0, 0, 0, "BIGINT UNSIGNED", False),
+        ("text", 0, 0, 0, "LONGTEXT", False),
+        ("bytea", 0, 0, 0, "LONGBLOB", False),
+    ],
+    ("mysql", "mssql"): [
+        ("tinyint", 1, 0, 0, "bit", False),
+        ("decimal", 0, 50, 10, "decimal(38,10)", True),
+        ("json", 0, 0, 0, "nvarchar(max)", True),
+        ("varchar", 255, 0, 0, "nvarchar(255)", False),
+        ("varbinary", 100, 0, 0, "varbinary(100)", False),
+        ("set", 0, 0, 0, "nvarchar(max)", True),
+        ("datetime", 0, 0, 0, "datetime2", False),
+    ],
+    ("mssql", "mysql"): [
+        ("bit", 0, 0, 0, "TINYINT(1)", False),
+        ("tinyint", 0, 0, 0, "TINYINT UNSIGNED", False),
+        ("nvarchar", -1, 0, 0, "LONGTEXT", False),
+        ("datetime2", 0, 0, 0, "DATETIME", False),
+        ("uniqueidentifier", 0, 0, 0, "VARCHAR(36)", True),
+        ("varbinary", -1, 0, 0, "LONGBLOB", False),
+        ("xml", 0, 0, 0, "LONGTEXT", True),
+    ],
+    ("mssql", "mssql"): [
+        ("int", 0, 0, 0, "int", False),
+        ("nvarchar", 50, 0, 0, "nvarchar(50)", False),
+        ("decimal", 0, 10, 2, "decimal(10,2)", False),
+    ],
+    ("postgres", "postgres"): [
+        ("int4", 0, 0, 0, "int4", False),
+        ("varchar", 50, 0, 0, "varchar(50)", False),
+        ("jsonb", 0, 0, 0, "jsonb", False),
+    ],
+    ("mysql", "mysql"): [
+        ("double", 0, 0, 0, "double", False),
+        ("json", 0, 0, 0, "json", False),
+        ("char", 10, 0, 0, "char(10)", False),
+    ],
 }
 
 
-def _rows(text: str) -> list[tuple]:
-    out, held = [], []
-    for word in text.split(" "):
-        held.append(word)
-        if word.endswith((",t", ",f")):
-            n, length, digits, scale, target, lossy = " ".join(held).split(",")
-            out.append((n, int(length), int(digits), int(scale), target.replace(";", ","), lossy == "t"))
-            held = []
-    return out
-
-
 def _type_map(source: str, target: str, rows: list[tuple]) -> None:
     values = ", ".join(f"({n!r}, {length}, {p}, {s}, {t!r}, {lossy})" for n, length, p, s, t, lossy in rows)
 
@@ -437,8 +498,8 @@ def _type_map(source: str, target: str, rows: list[tuple]) -> None:
         return types.mapping_table(spark, source, target, "direct", [r[:4] for r in rows])
 
 
-for (_a, _b), _text in _TYPES.items():
-    _type_map(_a, _b, _rows(_text))
+for (_a, _b), _rows in _TYPES.items():
+    _type_map(_a, _b, _rows)
 
 
 @query("oversized_rows", "SELECT doc_id, 2 * length(text) + 2 * length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS utf16_bytes FROM documents WHERE 2 * length(text) + 2 * length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')) > 65535")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import threading
 import time
@@ -10,9 +11,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.model import ParquetCatalog, TableMeta
-from tidemark.operators import constraints, merge, scan, verify
+from tidemark.functions import tuning
+from tidemark.model import ParquetCatalog, TableMeta, range_key
+from tidemark.operators import constraints, merge, partition, scan, verify
 from tidemark.plans.config import Config, ConfigError, keeps
 from tidemark.sources import jdbc
 from tidemark.sources.files import VersionedTable
@@ -21,6 +24,8 @@ from tidemark.streaming import state as states
 # Exit codes by kind of failure, and the kinds a retry may mend.
 EXIT_CODES = {"ok": 0, "config": 1, "connection": 2, "transfer": 3, "validation": 4, "cancelled": 5, "state": 6, "io": 7}
 RECOVERABLE = {"connection", "cancelled", "io"}
+#: Rows of a range where the settings name no chunk size: a table of twice as many is copied in ranges.
+RANGE_ROWS = 20_000_000
 
 
 class Cancelled(RuntimeError):
@@ -78,18 +83,25 @@ class ParquetSource:
 
 
 class JdbcSource:
-    def __init__(self, spark: SparkSession, db: jdbc.Database, schema: str, parts: int = 8):
-        self.spark, self.db, self.schema, self.parts = spark, db, schema, parts
+    """Tables of a database; one is read in as many ranges as its approximate rows, memory and readers call for."""
+
+    def __init__(self, spark: SparkSession, db: jdbc.Database, schema: str, readers: int = 0, ram_gb: int = 16):
+        self.spark, self.db, self.schema = spark, db, schema
+        self.readers, self.ram_gb = readers or tuning.readers(spark.sparkContext.defaultParallelism), ram_gb
+
+    def parts(self, table: TableMeta) -> int:
+        cap = tuning.chunk_cap(self.ram_gb << 30, tuning.row_bytes(table.columns, self.db.kind if self.db.kind == "mssql" else "postgres"), tuning.read_ahead(self.ram_gb), self.readers)
+        least = tuning.chunk_rows("drop_recreate", self.ram_gb, cap)
+        return partition.partition_count(table.rows, least, self.readers, least) if table.rows else self.readers
 
     def tables(self) -> list[TableMeta]:
         return jdbc.load_catalog(self.spark, self.db, self.schema)
 
     def read(self, table: TableMeta) -> DataFrame:
-        name = jdbc.name_in(self.db, self.schema, table.name)
         one = table.key[0] if len(table.key) == 1 else None
         whole = table.column(one) if one else None
         ranged = whole is not None and whole.native.lower() in ("int", "integer", "bigint", "smallint", "tinyint", "int2", "int4", "int8", "mediumint")
-        return jdbc.read_table(self.spark, self.db, name, one if ranged else None, self.parts)
+        return jdbc.read_table(self.spark, self.db, jdbc.readable(self.db, self.schema, table), one if ranged else None, self.parts(table))
 
 
 class FolderTarget:
@@ -104,6 +116,10 @@ class FolderTarget:
     def state(self) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/_state")
 
+    def parts(self) -> VersionedTable:
+        """Ranges that runs have copied into tables which are not published yet."""
+        return VersionedTable(self.spark, f"{self.root}/_parts")
+
     def finalise(self, tables: list[TableMeta], references: bool = True, checks: bool = True) -> list[dict]:
         """What the constraints of the source would refuse in the target: files enforce none."""
         out, names = [], {t.name: t for t in tables}
@@ -120,13 +136,17 @@ class FolderTarget:
 
 
 class Runner:
-    def __init__(self, spark: SparkSession, config: Config, source, target, clock=None, progress=None):
-        """``progress`` gets a dict for each event of a table."""
-        self.spark, self.config, self.source, self.target = spark, config, source, target
+    """A run saves the state of each table as it ends, and of each range of a large one, so that another can go on from there."""
+
+    def __init__(self, spark: SparkSession, config: Config, source, target, clock=None, progress=None, every: float | None = None):
+        """``progress`` gets a dict for each event of a table and, with ``every``, where the run stands each so many seconds."""
+        self.spark, self.config, self.source, self.target, self.every = spark, config, source, target, every
         self.progress = progress or (lambda event: None)
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         self.cancel = threading.Event()
         self.lock = threading.Lock()
+        self.saving = threading.Lock()
+        self.active: dict[str, int] = {}
 
     def tables(self) -> list[TableMeta]:
         m = self.config.migration
@@ -144,26 +164,26 @@ class Runner:
             tables = self.tables()
             result.tables_total = len(tables)
             old = self.saved_state()
+            marks = {r["table_name"]: r["last_sync_timestamp"] for r in states.last_sync(old).collect()}
             # Only a run that did not end is gone on with; an ended one never lends its name or its finished tables.
             if resume and (row := states.resumable_run(old, self.config.fingerprint()).select("run_id").first()):
                 result.run_id = row["run_id"]
-                done = old.filter((old.run_id == result.run_id) & (old.table_status == "completed")).select("table_name")
-                finished = {r["table_name"] for r in done.collect()}
-                tables = [t for t in tables if t.name not in finished]
+                tables = self._pending(tables, old.filter(F.col("run_id") == result.run_id), mode)
             if mode == "upsert" and (bare := [t.name for t in tables if not t.key]):
                 raise merge.NoPrimaryKey(f"no primary key: {', '.join(bare)}")
             if dry:
                 result.status = "dry_run"
                 return self._ended(result, clock)
-            marks = {r["table_name"]: r["last_sync_timestamp"] for r in states.last_sync(old).collect()}
-            with ThreadPoolExecutor(self.config.migration.workers or 4) as pool:
+            with self._ticking(result), ThreadPoolExecutor(self.config.migration.workers or 4) as pool:
                 rows = list(pool.map(lambda t: self._one(t, mode, marks.get(t.name), result, began), tables))
             if self.cancel.is_set():
+                if ended := [r for r in rows if r[6] != "pending"]:
+                    self._save(ended, "cancelled", result.run_id)
                 raise Cancelled("cancelled")
             if mode == "drop_recreate" and not result.tables_failed:
                 m = self.config.migration
                 result.violations = self.target.finalise(tables, m.create_foreign_keys, m.create_check_constraints)
-            self._save(rows, "failed" if result.tables_failed else "completed")
+            self._save(rows, "failed" if result.tables_failed else "completed", result.run_id)
             result.status = "failed" if result.tables_failed else "completed"
         except Exception as e:
             result.status = "cancelled" if isinstance(e, Cancelled) else "failed"
@@ -171,27 +191,95 @@ class Runner:
             result.recoverable = result.error_type in RECOVERABLE
         return self._ended(result, clock)
 
+    def _pending(self, tables: list[TableMeta], state: DataFrame, mode: str) -> list[TableMeta]:
+        """Tables that a resumed run still has to do: of a merge with marks all, else those that did not end well."""
+        names = self.spark.createDataFrame([(t.name,) for t in tables], "table_name string")
+        marked = mode == "upsert" and bool(self.config.migration.date_updated_columns)
+        left = {r["table_name"] for r in states.pending_tables(names, state, "upsert", marked).collect()}
+        return [t for t in tables if t.name in left]
+
+    @contextlib.contextmanager
+    def _ticking(self, result: Result):
+        """Tells, each ``every`` seconds, how many tables are done, which are under way and the rows so far."""
+        done = threading.Event()
+
+        def tick():
+            while not done.wait(self.every):
+                with self.lock:
+                    active = dict(self.active)
+                    self.progress({"event": "progress", "done": result.tables_success + result.tables_failed, "of": result.tables_total, "rows": result.rows_transferred + sum(active.values()), "active": sorted(active)})
+
+        teller = threading.Thread(target=tick, daemon=True) if self.every else None
+        if teller:
+            teller.start()
+        try:
+            yield
+        finally:
+            done.set()
+            if teller:
+                teller.join()
+
     def _ended(self, result: Result, clock: float) -> Result:
         result.duration_seconds = time.monotonic() - clock
         result.completed_at = self.clock().isoformat()
         result.rows_per_second = int(result.rows_transferred / max(result.duration_seconds, 1e-3))
         return result
 
+    def _copy(self, table: TableMeta, df: DataFrame, store, run: str) -> int:
+        """The whole table into ``store``: at once, or, if it is large and has an integer key, range by range.
+
+        A range's rows are written apart and its end is saved; a run that goes on starts after the last range of
+        the gapless run of ranges from the first, and all are published together.
+        """
+        m = self.config.migration
+        if not (hasattr(store, "stage") and hasattr(self.target, "parts") and range_key(df, table.key)):
+            return store.publish(df)
+        key, least = table.key[0], m.chunk_size or RANGE_ROWS
+        known, saved = self.target.parts(), None
+        if known.exists():
+            saved = known.read().filter((F.col("run_id") == run) & (F.col("table_name") == table.name) & F.col("error").isNull())
+        point = states.resume_point(saved).first() if saved is not None else None
+        after = point["resume_key"] if point else None
+        done = saved.filter(F.col("range_end") <= after).orderBy("range_end").collect() if after is not None else []
+        folders, rows = [r["folder"] for r in done], sum(r["row_count"] for r in done)
+        left = df if after is None else df.filter(F.col(key) > after)
+        low, high, n = left.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+        parts = partition.partition_count(n, least, m.parallel_readers or 8, 2 * least)
+        if parts < 2 and not folders:
+            return store.publish(df)
+        ranges = partition.equal_width(low, high, parts) if n else []
+        for i, (a, b) in enumerate(ranges):
+            if self.cancel.is_set():
+                raise Cancelled("cancelled")
+            lower, upper = (a - 1 if i or after is not None else None), (b - 1 if i + 1 < len(ranges) else high)
+            own = scan.key_range(left, key, after=lower, upper=upper)
+            if lower is None:
+                own = own.unionByName(left.filter(F.col(key).isNull()))
+            folder, count = store.stage(own, run, len(folders))
+            rows += count
+            folders.append(folder)
+            part = self.spark.createDataFrame([(run, table.name, len(folders), lower, upper, count, folder, None)], states.PARTS)
+            with self.saving:
+                known.append(part)
+            with self.lock:
+                self.active[table.name] = rows
+        store.point(folders)
+        return rows
+
     def _one(self, table: TableMeta, mode: str, mark, result: Result, began: dt.datetime) -> tuple:
         started, error, rows, skipped = self.clock(), None, 0, 0
         row = [result.run_id, self.config.fingerprint(), began, None, "running", table.name]
         if self.cancel.is_set():
             return (*row, "pending", 0, 0, 0, None, None, None, None, self.clock())
+        with self.lock:
+            self.active[table.name] = 0
         try:
             df, store = self.source.read(table), self.target.table(table)
             if mode == "drop_recreate" or not store.exists():
-                store.publish(df)
-                rows = store.read().count()
+                rows = self._copy(table, df, store, result.run_id)
             else:
                 column = scan.pick_watermark_column(df, self.config.migration.date_updated_columns)
-                changes = scan.watermark_filter(df, column[0], mark) if column else df
-                rows = changes.count()
-                store.merge(changes, list(table.key))
+                rows = store.merge(scan.watermark_filter(df, column[0], mark) if column else df, list(table.key))
         except Exception as e:
             error = str(e).splitlines()[0]
             with self.lock:
@@ -204,14 +292,24 @@ class Runner:
                 result.rows_transferred += rows
         status = "failed" if error else "completed"
         with self.lock:
+            self.active.pop(table.name, None)
             self.progress({"event": "table", "table": table.name, "status": status, "rows": rows, "done": result.tables_success + result.tables_failed, "of": result.tables_total})
-        return (*row, status, rows, rows, skipped, None, states.mark_of_run(started, bool(error)), None if error else self.clock(), error, self.clock())
+        out = (*row, status, rows, rows, skipped, None, states.mark_of_run(started, bool(error)), None if error else self.clock(), error, self.clock())
+        self._save([out], "running", result.run_id)
+        return out
 
-    def _save(self, rows: list[tuple], status: str) -> None:
-        at = self.clock()
+    def _save(self, rows: list[tuple], status: str, run: str) -> None:
+        at = None if status == "running" else self.clock()
         ended = [(*r[:3], at, status, *r[5:]) for r in rows]
-        fresh = self.spark.createDataFrame(ended, states.SCHEMA)
-        self.target.state().publish(states.save(self.saved_state(), fresh))
+        with self.saving:
+            fresh = self.spark.createDataFrame(ended, states.SCHEMA)
+            saved = states.save(self.saved_state(), fresh)
+            if at:
+                # The end is that of the whole run: what an earlier part of it had done too.
+                own = F.col("run_id") == run
+                saved = saved.withColumns({"run_status": F.when(own, F.lit(status)).otherwise(F.col("run_status")), "run_completed_at": F.when(own, F.lit(at)).otherwise(F.col("run_completed_at"))})
+                saved = saved.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in states.SCHEMA.fields])
+            self.target.state().publish(saved)
 
     def validate(self) -> DataFrame:
         """Counts of both sides by table, for the tables that the filters keep."""

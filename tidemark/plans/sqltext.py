@@ -24,6 +24,37 @@ def select(dialect: str, schema: str, table: str, columns: list[str], after: str
     return text
 
 
+def spatial(column) -> bool:
+    return column.native.lower() in ("geometry", "geography", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection")
+
+
+def as_text(dialect: str, name: str, table: TableMeta) -> str:
+    """All columns of a table, spatial ones as WKT."""
+
+    def part(c) -> str:
+        q = quote(dialect, c.name)
+        return q if not spatial(c) else f"{q}.STAsText() AS {q}" if dialect == "mssql" else f"ST_AsText({q}) AS {q}"
+
+    return f"SELECT {', '.join(part(c) for c in table.columns)} FROM {name}"
+
+
+# Types of a staging table that are wider than what Spark would choose, or that keep more of a value.
+_STAGED = {
+    "mssql": {"tinyint": "smallint", "timestamp": "datetime2(7)", "timestamp_ntz": "datetime2(7)", "string": "nvarchar(max)"},
+    "mysql": {"timestamp": "datetime(6)", "timestamp_ntz": "datetime(6)", "string": "longtext"},
+    "postgres": {"tinyint": "smallint"},
+}
+
+
+def create_staging(dialect: str, name: str, df, source: str = "postgres") -> str:
+    """A staging table whose types take every value of the changes: one-byte integers as two, times with all their digits."""
+    from tidemark.model import columns_of
+
+    wide = {f.name: _STAGED.get(dialect, {}).get(f.dataType.simpleString()) for f in df.schema.fields}
+    lines = [f"{quote(dialect, c.name)} {wide[c.name] or map_type(source, dialect, c.native, c.length, c.precision, c.scale, 'direct').target}" for c in columns_of(df)]
+    return f"CREATE TABLE {name} ({', '.join(lines)})"
+
+
 def merge(dialect: str, schema: str, table: str, staging: str, columns: list[str], keys: list[str]) -> str:
     """Staged rows into the table: insert or update, or insert only where all columns are keys."""
     q = [quote(dialect, c) for c in columns]

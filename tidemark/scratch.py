@@ -8,6 +8,7 @@ setting; its tables then lie in a temporary folder that goes with the process.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 _KEPT: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -58,13 +60,40 @@ def keep_by(df: DataFrame, label: str, *columns: str) -> DataFrame:
     path = f"{shared_root(spark)}/{name}"
     writer.option("path", path).saveAsTable(name)
     _KEPT.append(path)
+    _TABLES.append(name)
     return spark.table(name)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this process kept; results that read them must have been written before."""
+    for name in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _TABLES.clear()
     jvm = spark._jvm
     for path in _KEPT:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     _KEPT.clear()
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """What is kept in this block goes at its end; write the results inside it."""
+    before, tables = list(_KEPT), list(_TABLES)
+    _KEPT.clear()
+    _TABLES.clear()
+    try:
+        yield
+    finally:
+        clear(spark)
+        _KEPT.extend(before)
+        _TABLES.extend(tables)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """A process that ends in order leaves nothing in the shared folder."""
+    spark = SparkSession.getActiveSession() if _KEPT or _TABLES else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            clear(spark)

@@ -1,16 +1,37 @@
-"""Tables as versioned folders: a new version is written whole and then published by one rename."""
+"""Tables as versioned folders: a new version is written whole and then published by one new pointer file."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.merge import upsert
 
 
+def counting(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """``df`` that counts its rows while something else reads it, and what gives the count afterwards."""
+    seen = Observation()
+
+    def told() -> int:
+        try:
+            return seen.get["n"]
+        except Exception:  # the planner saw that there is nothing to read, and dropped the counter
+            return df.count()
+
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), told
+
+
 class VersionedTable:
-    """``root`` holds version folders and a pointer file; readers follow the pointer, so they never see half a write."""
+    """``root`` holds folders of data and numbered pointers, each a list of the folders of a version.
+
+    A pointer is written aside and renamed to its number, which is one step of the file system; the highest
+    number counts. Until then the version before is what readers get, and whoever began to read it still can:
+    it goes when the version after the next is published. A crash leaves folders that no pointer names.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -19,11 +40,17 @@ class VersionedTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
+    def _pointers(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/_pointers")
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()["value"]
+            return []
+        return sorted(int(n) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.isdigit())
+
+    def _folders(self, number: int) -> list[str]:
+        return [r["value"] for r in self.spark.read.text(f"{self.root}/_pointers/{number:012d}").collect()]
+
+    def version(self) -> int | None:
+        return max(self._pointers(), default=None)
 
     def exists(self) -> bool:
         return self.version() is not None
@@ -32,32 +59,55 @@ class VersionedTable:
         version = self.version()
         if version is None:
             raise FileNotFoundError(f"no table at {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{version}")
-
-    def publish(self, df: DataFrame, buckets: int = 0) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{version}")
-        fs, fresh = self._fs(f"{self.root}/CURRENT-{version}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in self._folders(version)])
+
+    def publish(self, df: DataFrame) -> int:
+        """Replace the table; the number of rows."""
+        folder = f"data-{uuid.uuid4().hex}"
+        df, rows = counting(df)
+        df.write.parquet(f"{self.root}/{folder}")
+        self.point([folder])
+        return rows()
+
+    def point(self, folders: list[str]) -> None:
+        """Publish a version of these folders and delete what only older ones than the last name."""
+        numbers = self._pointers()
+        number = (numbers[-1] if numbers else 0) + 1
+        fs, aside = self._fs(f"{self.root}/_aside-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray("\n".join(folders).encode()))
         out.close()
-        _, current = self._fs(f"{self.root}/CURRENT")
-        old = self.version()
-        if old:
-            fs.delete(current, False)
-        fs.rename(fresh, current)
-        if old:
-            fs.delete(self._fs(f"{self.root}/{old}")[1], True)
-
-    def merge(self, changes: DataFrame, keys: list[str]) -> None:
+        _, place = self._fs(f"{self.root}/_pointers/{number:012d}")
+        fs.mkdirs(place.getParent())
+        if fs.exists(place) or not fs.rename(aside, place):
+            fs.delete(aside, False)
+            raise OSError(f"another writer published version {number} of {self.root}")
+        named = {f for n in [*numbers[-1:], number] for f in self._folders(n)}
+        for n in numbers[:-1]:
+            for f in set(self._folders(n)) - named:
+                fs.delete(self._fs(f"{self.root}/{f}")[1], True)
+            fs.delete(self._fs(f"{self.root}/_pointers/{n:012d}")[1], False)
+
+    def merge(self, changes: DataFrame, keys: list[str]) -> int:
+        """Put the changes in; their number."""
         target = self.read()
-        self.publish(upsert(target, changes.select(*target.columns), keys))
+        changes, rows = counting(changes.select(*target.columns))
+        self.publish(upsert(target, changes, keys))
+        return rows()
 
     def append(self, df: DataFrame) -> None:
-        if not self.exists():
-            self.publish(df)
-        else:
-            df.write.mode("append").parquet(f"{self.root}/{self.version()}")
+        """A version of the folders there are and one more: nothing is copied, and nobody sees half of it."""
+        version = self.version()
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        self.point([*(self._folders(version) if version is not None else []), folder])
+
+    def stage(self, df: DataFrame, run: str, part: int) -> tuple[str, int]:
+        """Write one part of a version that is not published yet; its folder and rows. Writing it again replaces it."""
+        folder = f"part-{run}-{part}"
+        df, rows = counting(df)
+        df.write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        return folder, rows()
 
     def drop(self) -> None:
         fs, p = self._fs(self.root)
@@ -66,8 +116,6 @@ class VersionedTable:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     r"""Tab-separated text as LOAD DATA reads it: escapes as in escape_tsv, null as \N."""
-    from pyspark.sql import functions as F
-
     from tidemark.functions.convert import escape_tsv
 
     line = F.concat_ws("\t", *[escape_tsv(F.col(c).cast("string")) for c in df.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,14 @@ class Database:
         return {k: v for k, v in {"driver": driver, "user": self.user, "password": self.password}.items() if v}
 
 
+def readable(db: Database, schema: str, table: TableMeta) -> str:
+    """What to read of a table: its name, or a query that gives spatial columns as WKT text."""
+    from tidemark.plans import sqltext
+
+    name = qualified(db.kind, schema, table.name)
+    return f"({sqltext.as_text(db.kind, name, table)}) AS t" if any(sqltext.spatial(c) for c in table.columns) else name
+
+
 def read_table(spark: SparkSession, db: Database, table: str, key: str | None = None, parts: int = 1, fetch: int = 10_000) -> DataFrame:
     """The table in half-open key ranges, one task each; without an integer key in one."""
     options = db.properties() | {"fetchsize": str(fetch)}
@@ -64,10 +73,10 @@ def query(spark: SparkSession, db: Database, sql: str) -> DataFrame:
     return spark.read.format("jdbc").option("url", db.url()).options(**db.properties()).option("query", sql).load()
 
 
-def write_table(df: DataFrame, db: Database, table: str, mode: str = "append", column_types: str | None = None, connections: int = 8) -> None:
+def write_table(df: DataFrame, db: Database, table: str, mode: str = "append", column_types: str | None = None, connections: int = 8, rows: int | None = None) -> None:
     """Append or replace; at most ``connections`` tasks write at once, in batches the database takes."""
     width = len(df.columns)
-    rows = {"mssql": fallback_batch_rows(width), "mysql": mysql_batch_rows(width)}.get(db.kind, 10_000)
+    rows = rows or {"mssql": fallback_batch_rows(width), "mysql": mysql_batch_rows(width)}.get(db.kind, 10_000)
     writer = df.write.mode(mode).format("jdbc").option("url", db.url()).options(**db.properties()).option("dbtable", table)
     writer = writer.option("batchsize", rows).option("numPartitions", connections)
     if column_types:
@@ -85,31 +94,125 @@ def check(spark: SparkSession, db: Database, probe: str = "SELECT 1 AS one") ->
     return True, (time.monotonic() - began) * 1000, None
 
 
-# Catalog queries for the columns and keys of a schema.
-_COLUMNS = "SELECT table_name, column_name, data_type, character_maximum_length, numeric_precision, numeric_scale, is_nullable, ordinal_position FROM information_schema.columns WHERE table_schema = {schema}"
+# Catalog queries of the base tables of a schema; each database's give the same columns.
+_COLUMNS = (
+    "SELECT c.table_name, c.column_name, {kind} AS data_type, c.character_maximum_length, c.numeric_precision, c.numeric_scale, c.is_nullable, c.ordinal_position, {identity} AS is_identity"
+    " FROM information_schema.columns c JOIN information_schema.tables t ON t.table_schema = c.table_schema AND t.table_name = c.table_name"
+    " WHERE t.table_type = 'BASE TABLE' AND c.table_schema = {schema}"
+)
 _KEYS = (
     "SELECT k.table_name, k.column_name, k.ordinal_position FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k"
     " ON k.constraint_name = t.constraint_name AND k.table_schema = t.table_schema AND k.table_name = t.table_name WHERE t.constraint_type = 'PRIMARY KEY' AND t.table_schema = {schema}"
 )
+_CHECKS = (
+    "SELECT t.table_name, c.constraint_name AS name, c.check_clause AS definition FROM information_schema.check_constraints c JOIN information_schema.table_constraints t"
+    " ON t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name WHERE t.table_schema = {schema} AND c.check_clause NOT LIKE '%IS NOT NULL'"
+)
+_CATALOG = {
+    "postgres": {
+        "columns": _COLUMNS.replace("{kind}", "CASE WHEN c.data_type IN ('ARRAY', 'USER-DEFINED') THEN c.udt_name ELSE c.data_type END").replace(
+            "{identity}", "CASE WHEN c.is_identity = 'YES' OR c.column_default LIKE 'nextval(%' THEN 1 ELSE 0 END"
+        ),
+        "keys": _KEYS,
+        "rows": "SELECT c.relname AS table_name, CAST(c.reltuples AS bigint) AS n FROM pg_class c JOIN pg_namespace s ON s.oid = c.relnamespace WHERE c.relkind = 'r' AND s.nspname = {schema}",
+        "references": (
+            "SELECT k.table_name, r.constraint_name AS name, k.ordinal_position, k.column_name, p.table_name AS parent, p.column_name AS parent_column, r.delete_rule AS on_delete, r.update_rule AS on_update"
+            " FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON k.constraint_schema = r.constraint_schema AND k.constraint_name = r.constraint_name"
+            " JOIN information_schema.key_column_usage p ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name AND p.ordinal_position = k.position_in_unique_constraint"
+            " WHERE k.table_schema = {schema}"
+        ),
+        "checks": _CHECKS,
+        "indexes": (
+            "SELECT t.relname AS table_name, i.relname AS name, CASE WHEN x.indisunique THEN 1 ELSE 0 END AS is_unique, k.place AS ordinal_position, a.attname AS column_name, CASE WHEN k.place > x.indnkeyatts THEN 1 ELSE 0 END AS is_included"
+            " FROM pg_index x JOIN pg_class t ON t.oid = x.indrelid JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_namespace s ON s.oid = t.relnamespace CROSS JOIN LATERAL unnest(x.indkey) WITH ORDINALITY AS k(number, place)"
+            " JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k.number WHERE NOT x.indisprimary AND x.indpred IS NULL AND s.nspname = {schema}"
+        ),
+    },
+    "mysql": {
+        "columns": _COLUMNS.replace("{kind}", "CASE WHEN c.data_type = 'tinyint' OR c.column_type LIKE '%unsigned' THEN c.column_type ELSE c.data_type END").replace("{identity}", "CASE WHEN c.extra LIKE '%auto_increment%' THEN 1 ELSE 0 END"),
+        "keys": _KEYS,
+        "references": (
+            "SELECT k.table_name, r.constraint_name AS name, k.ordinal_position, k.column_name, k.referenced_table_name AS parent, k.referenced_column_name AS parent_column, r.delete_rule AS on_delete, r.update_rule AS on_update"
+            " FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON k.constraint_schema = r.constraint_schema AND k.constraint_name = r.constraint_name AND k.table_name = r.table_name"
+            " WHERE k.table_schema = {schema}"
+        ),
+        "checks": _CHECKS,
+        "indexes": (
+            "SELECT s.table_name, s.index_name AS name, 1 - s.non_unique AS is_unique, s.seq_in_index AS ordinal_position, s.column_name, 0 AS is_included"
+            " FROM information_schema.statistics s WHERE s.index_name <> 'PRIMARY' AND s.table_schema = {schema}"
+        ),
+    },
+    "mssql": {
+        "columns": _COLUMNS.replace("{kind}", "c.data_type").replace("{identity}", "COLUMNPROPERTY(OBJECT_ID(QUOTENAME(c.table_schema) + '.' + QUOTENAME(c.table_name)), c.column_name, 'IsIdentity')"),
+        "keys": _KEYS,
+        "rows": "SELECT OBJECT_NAME(p.object_id) AS table_name, SUM(p.rows) AS n FROM sys.partitions p WHERE p.index_id IN (0, 1) AND OBJECT_SCHEMA_NAME(p.object_id) = {schema} GROUP BY p.object_id",
+        "references": (
+            "SELECT OBJECT_NAME(f.parent_object_id) AS table_name, f.name, c.constraint_column_id AS ordinal_position, COL_NAME(c.parent_object_id, c.parent_column_id) AS column_name, OBJECT_NAME(f.referenced_object_id) AS parent,"
+            " COL_NAME(c.referenced_object_id, c.referenced_column_id) AS parent_column, f.delete_referential_action_desc AS on_delete, f.update_referential_action_desc AS on_update"
+            " FROM sys.foreign_keys f JOIN sys.foreign_key_columns c ON c.constraint_object_id = f.object_id WHERE OBJECT_SCHEMA_NAME(f.parent_object_id) = {schema}"
+        ),
+        "checks": "SELECT OBJECT_NAME(c.parent_object_id) AS table_name, c.name, c.definition FROM sys.check_constraints c WHERE OBJECT_SCHEMA_NAME(c.parent_object_id) = {schema}",
+        "indexes": (
+            "SELECT OBJECT_NAME(i.object_id) AS table_name, i.name, CAST(i.is_unique AS int) AS is_unique, c.index_column_id AS ordinal_position, COL_NAME(c.object_id, c.column_id) AS column_name, CAST(c.is_included_column AS int) AS is_included"
+            " FROM sys.indexes i JOIN sys.index_columns c ON c.object_id = i.object_id AND c.index_id = i.index_id WHERE i.type > 0 AND i.is_primary_key = 0 AND i.has_filter = 0 AND OBJECT_SCHEMA_NAME(i.object_id) = {schema}"
+        ),
+    },
+}
+#: Columns of each part of a catalog.
+_PARTS = {
+    "columns": "table_name string, column_name string, data_type string, character_maximum_length long, numeric_precision int, numeric_scale int, is_nullable string, ordinal_position int, is_identity int",
+    "keys": "table_name string, column_name string, ordinal_position int",
+    "rows": "table_name string, n long",
+    "references": "table_name string, name string, ordinal_position int, column_name string, parent string, parent_column string, on_delete string, on_update string",
+    "checks": "table_name string, name string, definition string",
+    "indexes": "table_name string, name string, is_unique int, ordinal_position int, column_name string, is_included int",
+}
 
 
 def load_catalog(spark: SparkSession, db: Database, schema: str) -> list[TableMeta]:
-    """Tables of a schema with columns and keys, by name."""
+    """Base tables of a schema with columns, keys, references, checks, indexes and their approximate rows."""
+    from tidemark.functions.idents import literal
+
+    parts = {}
+    for name, kind in _PARTS.items():
+        sql = _CATALOG[db.kind].get(name)
+        found = query(spark, db, sql.format(schema=literal(schema))) if sql else spark.createDataFrame([], kind)
+        parts[name] = found.toDF(*[c.lower() for c in found.columns])
+    return assemble(parts, schema)
+
+
+def assemble(parts: dict[str, DataFrame], schema: str) -> list[TableMeta]:
+    """Metadata of each table out of a catalog's parts: ordered lists by table, joined to the tables' columns."""
     from pyspark.sql import functions as F
 
-    from tidemark.functions.idents import literal
-    from tidemark.model import ColumnMeta
-
-    columns = query(spark, db, _COLUMNS.format(schema=literal(schema)))
-    columns = columns.toDF(*[c.lower() for c in columns.columns])
-    keys = query(spark, db, _KEYS.format(schema=literal(schema)))
-    keys = keys.toDF(*[c.lower() for c in keys.columns])
-    of_key = keys.groupBy("table_name").agg(F.expr("transform(array_sort(collect_list(struct(ordinal_position, column_name))), x -> x.column_name)").alias("key"))
-    rows = columns.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("ordinal_position", *[c for c in columns.columns if c not in ("table_name", "ordinal_position")]))).alias("columns"))
+    from tidemark.model import Check, ColumnMeta, ForeignKey, Index
+
+    def lists(part: str, by: list[str], *columns: str) -> DataFrame:
+        return parts[part].groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ordinal_position", *columns))).alias("x"))
+
+    def of_table(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "table_name"]))).alias(name))
+
+    whole = lists("columns", ["table_name"], *[c for c in parts["columns"].columns if c not in ("table_name", "ordinal_position")]).withColumnRenamed("x", "columns")
+    whole = whole.join(lists("keys", ["table_name"], "column_name").withColumnRenamed("x", "key"), "table_name", "left")
+    whole = whole.join(of_table(lists("references", ["table_name", "name", "parent", "on_delete", "on_update"], "column_name", "parent_column"), "references"), "table_name", "left")
+    whole = whole.join(of_table(lists("indexes", ["table_name", "name", "is_unique"], "column_name", "is_included"), "indexes"), "table_name", "left")
+    whole = whole.join(of_table(parts["checks"].select("table_name", "name", "definition"), "checks"), "table_name", "left")
+    whole = whole.join(parts["rows"].groupBy("table_name").agg(F.max("n").alias("n")), "table_name", "left")
     out = []
-    for r in rows.join(of_key, "table_name", "left").orderBy("table_name").collect():
-        cols = tuple(ColumnMeta(c["column_name"], c["data_type"], c["character_maximum_length"] or 0, c["numeric_precision"] or 0, c["numeric_scale"] or 0, str(c["is_nullable"]).upper() == "YES") for c in r["columns"])
-        out.append(TableMeta(r["table_name"], cols, tuple(r["key"] or ()), schema=schema))
+    for r in whole.orderBy("table_name").collect():
+        columns = tuple(
+            ColumnMeta(c["column_name"], c["data_type"], int(c["character_maximum_length"] or 0), int(c["numeric_precision"] or 0), int(c["numeric_scale"] or 0), str(c["is_nullable"]).upper() == "YES", bool(c["is_identity"]))
+            for c in r["columns"]
+        )
+        references = tuple(
+            ForeignKey(f["name"], tuple(x["column_name"] for x in f["x"]), f["parent"], tuple(x["parent_column"] for x in f["x"]), f["on_delete"].replace("_", " "), f["on_update"].replace("_", " ")) for f in r["references"] or ()
+        )
+        indexes = tuple(
+            Index(i["name"], tuple(x["column_name"] for x in i["x"] if not x["is_included"]), bool(i["is_unique"]), tuple(x["column_name"] for x in i["x"] if x["is_included"])) for i in r["indexes"] or ()
+        )
+        checks = tuple(Check(c["name"], c["definition"]) for c in r["checks"] or ())
+        out.append(TableMeta(r["table_name"], columns, tuple(x["column_name"] for x in r["key"] or ()), references, checks, indexes, max(0, int(r["n"] or 0)), schema))
     return out
 
 
@@ -117,8 +220,41 @@ def name_in(db: Database, schema: str, table: str) -> str:
     return qualified(db.kind, schema, table)
 
 
+# SQL states and vendor codes of a deadlock.
+_DEADLOCK = {"40001", "40P01"}, {1205, 1213}
+
+
+def deadlocked(error) -> bool:
+    """Whether what a driver threw, or its cause, says that a deadlock ended the transaction."""
+    e = getattr(error, "java_exception", None)
+    while e is not None:
+        state, code = getattr(e, "getSQLState", None), getattr(e, "getErrorCode", None)
+        if state is not None and code is not None:
+            try:
+                return state() in _DEADLOCK[0] or code() in _DEADLOCK[1]
+            except Exception:  # not an SQL exception
+                pass
+        e = e.getCause()
+    return False
+
+
+def retried(work, wait: float = 0.2, times: int = 5) -> None:
+    """``work()``, again after a deadlock, each time after twice the wait."""
+    for turn in range(times):
+        try:
+            return work()
+        except Exception as e:
+            if turn + 1 == times or not deadlocked(e):
+                raise
+            time.sleep(wait * 2**turn)
+
+
 def execute(spark: SparkSession, db: Database, statements: list[str]) -> None:
-    """Statements in one connection and one transaction."""
+    """Statements in one connection and one transaction (as far as the database rolls back its DDL); deadlocks are retried."""
+    retried(lambda: _execute(spark, db, statements))
+
+
+def _execute(spark: SparkSession, db: Database, statements: list[str]) -> None:
     jvm = spark._jvm
     properties = jvm.java.util.Properties()
     for k, v in db.properties().items():
@@ -156,27 +292,56 @@ class JdbcTable:
     def read(self) -> DataFrame:
         return self.spark.read.jdbc(self.db.url(), self.name, properties=self.db.properties())
 
-    def publish(self, df: DataFrame) -> None:
-        from tidemark.functions.convert import sink_ready
+    def has_primary_key(self) -> bool:
+        from tidemark.functions.idents import literal
+
+        keys = query(self.spark, self.db, _CATALOG[self.db.kind]["keys"].format(schema=literal(self.schema)))
+        keys = keys.toDF(*[c.lower() for c in keys.columns])
+        return not keys.filter(keys.table_name == self.meta.name).isEmpty()
+
+    def publish(self, df: DataFrame) -> int:
+        """Replace the table; the number of rows there. PostgreSQL fills it unlogged; SQL Server gets rows with oversized texts one by one."""
+        from tidemark.functions.convert import route_oversized, sink_ready
         from tidemark.plans import sqltext
 
-        if self.ddl and self.meta.columns:
-            create = sqltext.create_table(self.source_kind, self.db.kind, self.meta, self.schema)
-            execute(self.spark, self.db, [sqltext.drop_table(self.db.kind, self.schema, self.meta.name), create])
-            write_table(sink_ready(df, self.db.kind), self.db, self.name)
+        ready = sink_ready(df, self.db.kind)
+        if not (self.ddl and self.meta.columns):
+            write_table(ready, self.db, self.name, mode="overwrite")
+            return self.read().count()
+        create = sqltext.create_table(self.source_kind, self.db.kind, self.meta, self.schema, unlogged=self.db.kind == "postgres")
+        made = [sqltext.create_schema(self.db.kind, self.schema)] if self.schema else []
+        execute(self.spark, self.db, [*made, sqltext.drop_table(self.db.kind, self.schema, self.meta.name), create])
+        if self.db.kind == "mssql":
+            usual, large = route_oversized(ready)
+            write_table(usual, self.db, self.name)
+            write_table(large, self.db, self.name, rows=1)
         else:
-            write_table(sink_ready(df, self.db.kind), self.db, self.name, mode="overwrite")
+            write_table(ready, self.db, self.name)
+        if logged := sqltext.set_logged(self.db.kind, self.schema, self.meta.name, True):
+            execute(self.spark, self.db, [logged])
+        return self.read().count()
+
+    def merge(self, changes: DataFrame, keys: list[str]) -> int:
+        """Stage the changes under a name of their own, then merge them and drop the stage; the number of changes.
 
-    def merge(self, changes: DataFrame, keys: list[str]) -> None:
-        """Stage the changes, merge them in the database, drop the stage: one transaction after the load."""
+        The merge is one transaction; where the database commits before DDL (MySQL), the drop is not part of it.
+        """
         from tidemark.functions.convert import sink_ready
         from tidemark.functions.idents import quote
         from tidemark.plans import sqltext
 
-        stage = f"stage_{self.meta.name}"[:120]
+        stage = f"stage_{uuid.uuid4().hex[:12]}_{self.meta.name}"[:60]
         name = quote(self.db.kind, stage)
-        write_table(sink_ready(changes, self.db.kind), self.db, name, mode="overwrite")
-        execute(self.spark, self.db, [sqltext.merge(self.db.kind, self.schema, self.meta.name, stage, changes.columns, keys), f"DROP TABLE {name}"])
+        ready = sink_ready(changes, self.db.kind)
+        if self.ddl:
+            execute(self.spark, self.db, [sqltext.create_staging(self.db.kind, name, ready)])
+        try:
+            write_table(ready, self.db, name, mode="append" if self.ddl else "overwrite")
+            rows = self.spark.read.jdbc(self.db.url(), name, properties=self.db.properties()).count()
+            execute(self.spark, self.db, [sqltext.merge(self.db.kind, self.schema, self.meta.name, stage, changes.columns, keys)])
+        finally:
+            execute(self.spark, self.db, [f"DROP TABLE {name}"])
+        return rows
 
 
 class JdbcTarget:
