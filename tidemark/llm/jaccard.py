@@ -227,10 +227,11 @@ def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
                 runs, offsets = sets_of(texts, rule.words)
                 sizes = np.diff(offsets)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                k1 = part.column("k1").to_numpy()
+                k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
                 # Copies of a text in this round name nothing.
                 first = np.zeros(len(sizes), bool)
-                first[np.unique(k1, return_index=True)[1]] = True
+                by_key = np.lexsort((k2, k1))
+                first[by_key] = np.append(True, (k1[by_key][1:] != k1[by_key][:-1]) | (k2[by_key][1:] != k2[by_key][:-1]))
                 order = by_number(2 * doc + ~_rare(frequent.value, runs), 2 * len(sizes))
                 place = np.arange(len(runs)) - offsets[doc]
                 use = order[(place < rule.prefix(sizes)[doc]) & first[doc]]
@@ -252,7 +253,7 @@ def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
                     names=["route", "n", "k1", "token"],
                 )
 
-    rows = docs.select("k1", "text").mapInArrow(work, schema)
+    rows = docs.select("k1", "k2", "text").mapInArrow(work, schema)
     w = Window.partitionBy("route")
     both = rows.select("*", F.max("n").over(w).alias("most"), F.min("k1").over(w).alias("lo"), F.max("k1").over(w).alias("hi"))
     # Two rows of one text from two tasks name nothing that another set has.
@@ -376,7 +377,7 @@ def _verified(able: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
     dealt = able.join(keep(placed, "jaccard-cells"), "k1").withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int"))
     # A text goes to the pairs of its tile with every tile; side 0: both tiles are the same one.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = dealt.select("root", "k1", "copies", "text", "tile", other.alias("other"))
+    dealt = dealt.select("root", F.col("node").alias("k1"), "copies", "text", "tile", other.alias("other"))
     dealt = dealt.select(
         F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell"),
         F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).alias("side"),
@@ -429,28 +430,35 @@ def counted(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def classes(keyed: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Of rows (doc_id, k1, k2, text): (doc_id, k1, k2, n_shingles), and (k1, k2, root, component_id, n_links)."""
+    """Of rows (doc_id, k1, k2, text): (doc_id, k1, k2, n_shingles), and (k1, k2, c1, c2, component_id, n_links).
+
+    c1 and c2 name the class: its root, and where a text is linked with no other the text itself.
+    """
     frequent = keyed.sparkSession.sparkContext.broadcast(frequent_runs(keyed, rule.words, FREQUENT, lower=True))
     found = _candidates(keyed, frequent, rule)
-    texts = keyed.groupBy("k1").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    able = keep_by(texts.join(found, "k1"), "jaccard-texts", "k1")
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # A number hashed alone keeps a value of its own: no two texts share a node, even if they share k1.
+    able = keep_by(texts.join(found, "k1").withColumn("number", F.monotonically_increasing_id()), "jaccard-texts", "k1")
+    able = able.withColumn("node", F.xxhash64("number")).drop("number")
     cells = components(_candidate_edges(able, frequent, rule))
     links = keep(_verified(able, cells, rule), "jaccard-links")
-    linked = components(links.filter("b is not null").select("a", "b"))
+    linked = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("node", "at")
     degree = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("more"))
+    joined = degree.join(linked, degree["a"] == linked["at"], "left").select("a", "more", "root")
+    named = able.select("k1", "k2", "node").join(joined, F.col("node") == F.col("a")).select("k1", "k2", "more", "root")
     rows = keep(counted(keyed, rule), "jaccard-rows")
     own = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    own = own.join(linked, own["k1"] == linked["node"], "left").withColumn("root", F.coalesce("root", "k1")).drop("node")
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = own.join(least, "root").join(degree, F.col("k1") == degree["a"], "left")
+    own = own.join(named, ["k1", "k2"], "left").withColumns({"c1": F.coalesce("root", "k1"), "c2": F.when(F.col("root").isNull(), F.col("k2"))})
+    least = own.filter("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
+    own = own.join(least, "root", "left")
+    component = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root"))
     links_of = F.col("copies") - 1 + F.coalesce("more", F.lit(0))
-    return rows, keep(own.select("k1", "k2", "root", "component_id", links_of.alias("n_links")), "jaccard-classes")
+    return rows, keep(own.select("k1", "k2", "c1", "c2", component.alias("component_id"), links_of.alias("n_links")), "jaccard-classes")
 
 
 _LAST = (1 << 63) - 1
 
 
-
 def keyed_texts(docs: DataFrame) -> DataFrame:
     return with_keys(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
@@ -471,15 +479,18 @@ def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Of each class one row with the least doc_id stays (of equals, one). Rows with an empty set all stay.
     """
-    columns, whole = docs.columns, F.coalesce(F.col("text"), F.lit(""))
+    whole = F.coalesce(F.col("text"), F.lit(""))
     rows, own = classes(keyed_texts(docs), rule)
     placed = rows.filter("n_shingles > 0").join(own, ["k1", "k2"])
     # A null id comes last: it stays only where no row of the class has another.
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    order = F.struct(ident.alias("_i"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    first = keep(placed.groupBy("root").agg(F.min(order).alias("x")).select("x.*"), "jaccard-first")
-    # The id is part of the key, so copies of one text do not meet in one task.
-    texts = docs.withColumns({"_i": ident, "_k1": F.xxhash64(whole), "_k2": F.xxhash64(F.lit(0x7465), whole)})
-    chosen = texts.join(first, ["_i", "_k1", "_k2"], "left_semi").dropDuplicates(["_i", "_k1", "_k2"])
+    order = F.struct(_rank("doc_id").alias("i"), F.col("k1"), F.col("k2"))
+    first = keep(placed.groupBy("c1", "c2").agg(F.min(order).alias("x")).select("x.*"), "jaccard-first")
+    # The id is part of the key, so copies of one text do not meet in one task. The caller's columns travel as one.
+    texts = docs.select(F.struct("*").alias("row"), _rank("doc_id").alias("i"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(0x7465), whole).alias("k2"))
+    chosen = texts.join(first, ["i", "k1", "k2"], "left_semi").dropDuplicates(["i", "k1", "k2"])
     bare = docs.filter(~F.regexp_like(whole, F.lit(r"[^\x20\x09-\x0D]")))
-    return chosen.select(*columns).unionByName(bare)
+    return chosen.select("row.*").unionByName(bare)
+
+
+def _rank(ident: str):
+    return F.coalesce(F.col(ident).cast("long"), F.lit(_LAST))
