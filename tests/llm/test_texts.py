@@ -544,6 +544,15 @@ def test_suffixes_of_odd_texts(docs_of, odd_texts):
     assert suffixes.report(docs_of([])).collect() == []
 
 
+@pytest.mark.parametrize("bytes_, bucket", [((64, 64), 256), ((600, 600), 64)])
+def test_suffixes_over_many_chunks(docs_of, monkeypatch, bytes_, bucket):
+    """Answers cross chunks and buckets."""
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", bytes_)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", bucket)
+    rows = corpus(21, n=60) + [(900, "ab" * 60), (901, "ab" * 90), (None, "é" * 70), (30, "é" * 71)]
+    assert found(suffixes.report(docs_of(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_held(rows, 50)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 25, 26])
 def test_rolling_hashes(n):
     data = np.random.default_rng(n).integers(0, 4, 200).astype(np.uint8)

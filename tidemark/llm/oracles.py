@@ -56,3 +56,16 @@ n AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN n USING (r)
 """
+
+#: Bytes as hexadecimal digits, cut into pieces first: a substring deep in a long text would be slow.
+SUFFIXES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, c, substr(h, 400 * c + 1, 498) AS p FROM (SELECT r, h, unnest(range(0, len(h) // 400 + 1)) AS c FROM d)),
+s AS (SELECT r, 200 * c + i AS a, substr(p, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, least(200, greatest(len(p) // 2 - 49, 0)))) AS i FROM c)),
+f AS (SELECT g, min(coalesce(doc_id, 9223372036854775807)) AS first FROM s JOIN d USING (r) GROUP BY g HAVING count(*) > 1),
+m AS (SELECT r, a, CASE WHEN a <= lag(a) OVER (PARTITION BY r ORDER BY a) + 50 THEN 0 ELSE 1 END AS fresh FROM s JOIN f USING (g) JOIN d USING (r) WHERE first < coalesce(doc_id, 9223372036854775807)),
+i AS (SELECT r, min(a) AS a, max(a) + 50 AS b FROM (SELECT r, a, sum(fresh) OVER (PARTITION BY r ORDER BY a) AS n FROM m) GROUP BY r, n),
+g AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM i),
+k AS (SELECT r, sum(b - a) AS n, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

@@ -102,4 +102,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_jaccard": oracles.JACCARD, "op5_substrings": oracles.SUBSTRINGS, "op6_neardup": oracles.NEARDUP, "op9_secrets": oracles.SECRETS}
+    return {"op4_jaccard": oracles.JACCARD, "op5_substrings": oracles.SUBSTRINGS, "op6_neardup": oracles.NEARDUP, "op9_secrets": oracles.SECRETS, "op10_suffixes": oracles.SUFFIXES}
