@@ -607,3 +607,35 @@ def test_rates_are_the_least_change(spark):
     easy = mixing.rates(df, {"a": 0.5, "b": 0.5}).collect()
     assert all(abs(sum(r["n_tokens"] * r["p"][i] * r["rate"] for r in easy) / 35 - 0.5) < 1e-3 for i in (0, 1))
     assert mixing.solve([[2.0, 0.0], [0.0, 0.0]], [4.0, 1.0])[0] == 2.0
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.02, "b": 0.02, "c": 0.96}, {"a": 0.9, "b": 0.1, "c": 0.0}])
+def test_totals_are_those_of_a_least_squares_solver(spark, targets):
+    """Numpy's projected gradient, run to the end, in the same metric."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 200, size=60).astype(float)
+    p = rng.dirichlet([0.8, 0.8, 0.8], size=60) * 0.8 + 0.2 / 3
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    out = mixing.rates(df, targets).collect()
+    got = sum(np.array(r["p"]) * r["n_tokens"] * r["rate"] for r in out) / n.sum()
+    goal = np.array([targets[d] for d in targets])
+    metric = np.linalg.inv(p.T @ (n[:, None] * p) / n.sum())
+    r = np.ones(60)
+    for _ in range(20_000):
+        off = (p.T @ (n * r)) / n.sum() - goal
+        r = np.maximum(0, r - 0.5 * p @ metric @ off)
+    best = (p.T @ (n * r)) / n.sum() - goal
+    mine = got - goal
+    assert all(x["rate"] >= 0 for x in out)
+    assert math.sqrt(mine @ metric @ mine) <= math.sqrt(best @ metric @ best) + 0.02
+    assert math.isclose(out[0]["off_target"], np.abs(mine).max(), abs_tol=1e-6)
+
+
+def test_draws_keep_columns_of_any_name(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    names = ["p", "n_tokens", "rate", "_text", "_times", "row", "off_target", "_names"]
+    df = docs_of([(i, f"plain words {i}") for i in range(30)]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    out = mixing.drawn(df, labels, {"good": 0.5, "low": 0.5, "toxic": 0.0})
+    assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}
