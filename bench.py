@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
+from pyspark.sql import functions as F
+
 from tidemark.plans import catalog
 from tidemark.session import local_session
+from tidemark.sources.files import VersionedTable
 
 HEADLINE = [
     "keyset_first_page", "keyset_bounded_range", "offset_page_composite", "full_scan_projection", "row_number_slice", "watermark_incremental",
@@ -19,6 +23,31 @@ HEADLINE = [
 ]
 
 
+#: Rows that are written for the throughput of copies and merges.
+WRITTEN = 10_000_000
+
+
+def written(spark, sf_dir: str, rows: int = WRITTEN) -> dict[str, int]:
+    """Rows a second of a whole copy and of a merge of every row, both written and published."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = orders.count()
+    times = -(-rows // n)
+    copies = orders.crossJoin(F.broadcast(spark.range(times).withColumnRenamed("id", "copy")))
+    many = copies.withColumn("o_orderkey", F.col("o_orderkey").cast("long") * times + F.col("copy")).drop("copy")
+    out = {}
+    with tempfile.TemporaryDirectory(prefix="tidemark-bench-") as root:
+        source, target = (VersionedTable(spark, f"file://{root}/{x}") for x in ("source", "target"))
+        source.publish(many)
+        began = time.perf_counter()
+        count = target.publish(source.read())
+        out["drop_recreate_rows_per_sec"] = int(count / (time.perf_counter() - began))
+        began = time.perf_counter()
+        count = target.merge(source.read().withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
+        out["upsert_written_rows_per_sec"] = int(count / (time.perf_counter() - began))
+        out["written_rows"] = count
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
@@ -37,6 +66,7 @@ def main() -> None:
     found = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(found[1]) if found else None}
     out["upsert_rows_per_sec"] = int(orders / times["upsert_full"])
+    out |= written(spark, sf_dir)
     spark.stop()
     print(json.dumps(out))
 
