@@ -218,8 +218,8 @@ def _rare(frequent: np.ndarray, runs: np.ndarray) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
-    """(k1, tokens): of the shingles that a set has to name, those that another set names too."""
-    schema = "route long, n int, k1 long, token long"
+    """(k1, k2, tokens): of the shingles that a set has to name, those that another set names too."""
+    schema = "route long, n int, k1 long, k2 long, token long"
 
     def work(batches):
         for batch in batches:
@@ -248,18 +248,20 @@ def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
                         pa.array(signed(np.append(route, known))),
                         pa.array(np.append(np.where(many, 0, 1), empty + 2).astype(np.int32)),
                         pa.array(np.append(k1[doc], empty), mask=mask),
+                        pa.array(np.append(k2[doc], empty), mask=mask),
                         pa.array(np.append(signed(token), empty), mask=np.append(~many, np.ones(len(known), bool))),
                     ],
-                    names=["route", "n", "k1", "token"],
+                    names=["route", "n", "k1", "k2", "token"],
                 )
 
     rows = docs.select("k1", "k2", "text").mapInArrow(work, schema)
     w = Window.partitionBy("route")
-    both = rows.select("*", F.max("n").over(w).alias("most"), F.min("k1").over(w).alias("lo"), F.max("k1").over(w).alias("hi"))
+    ends = [f(k).over(w).alias(f"{n}{k}") for k in ("k1", "k2") for n, f in (("lo_", F.min), ("hi_", F.max))]
+    both = rows.select("*", F.max("n").over(w).alias("most"), *ends)
     # Two rows of one text from two tasks name nothing that another set has.
-    shared = (F.col("n") == 0) | (F.col("most") > 1) | (F.col("lo") != F.col("hi"))
-    found = both.filter(F.col("k1").isNotNull() & shared)
-    return found.groupBy("k1").agg(F.collect_set(F.coalesce("token", "route")).alias("tokens"))
+    other = (F.col("lo_k1") != F.col("hi_k1")) | (F.col("lo_k2") != F.col("hi_k2"))
+    found = both.filter(F.col("k1").isNotNull() & ((F.col("n") == 0) | (F.col("most") > 1) | other))
+    return found.groupBy("k1", "k2").agg(F.collect_set(F.coalesce("token", "route")).alias("tokens"))
 
 
 def _small(cuts: np.ndarray, n: np.ndarray, packed: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -349,9 +351,9 @@ def _candidate_edges(able: DataFrame, frequent, rule: Rule) -> DataFrame:
                     b.append(own[pairs[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    sent = able.select("k1", "text", "tokens").mapInArrow(send, "token long, k1 long, n int, counts binary")
+    sent = able.select(F.col("node").alias("k1"), "text", "tokens").mapInArrow(send, "token long, k1 long, n int, counts binary")
     near = grouped(sent, "token").mapInArrow(search, "a long, b long")
-    return near.unionByName(able.select("k1", "tokens").mapInArrow(hubs, "a long, b long"))
+    return near.unionByName(able.select(F.col("node").alias("k1"), "tokens").mapInArrow(hubs, "a long, b long"))
 
 
 def _links(texts: pa.Table, same: np.ndarray, rule: Rule):
@@ -372,9 +374,10 @@ def _verified(able: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
     size = cells.groupBy("root").agg(F.count("*").alias("size"))
     # A text goes to as many cells as its component has tiles: some tens at most, until tiles are full.
     tile = F.least(F.greatest(F.ceil(F.col("size") / SPREAD), F.lit(TILES[0])), F.lit(TILES[1]))
-    placed = cells.join(size, "root").select("root", F.col("node").alias("k1"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
+    placed = cells.join(size, "root").select("root", "node", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
     # Texts are moved once, to their tiles; finding their cells moves names only.
-    dealt = able.join(keep(placed, "jaccard-cells"), "k1").withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int"))
+    placed = able.select("k1", "k2", "node").join(placed, "node").drop("node")
+    dealt = able.join(keep(placed, "jaccard-cells"), ["k1", "k2"]).withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int"))
     # A text goes to the pairs of its tile with every tile; side 0: both tiles are the same one.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = dealt.select("root", F.col("node").alias("k1"), "copies", "text", "tile", other.alias("other"))
@@ -438,7 +441,7 @@ def classes(keyed: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     found = _candidates(keyed, frequent, rule)
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # A number hashed alone keeps a value of its own: no two texts share a node, even if they share k1.
-    able = keep_by(texts.join(found, "k1").withColumn("number", F.monotonically_increasing_id()), "jaccard-texts", "k1")
+    able = keep_by(texts.join(found, ["k1", "k2"]).withColumn("number", F.monotonically_increasing_id()), "jaccard-texts", "k1", "k2")
     able = able.withColumn("node", F.xxhash64("number")).drop("number")
     cells = components(_candidate_edges(able, frequent, rule))
     links = keep(_verified(able, cells, rule), "jaccard-links")
