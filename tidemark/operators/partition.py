@@ -64,8 +64,10 @@ def equal_width_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def range_row_counts(df: DataFrame, key: str, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Rows in each half-open range, empty ones too: one pass, no join."""
+    """Rows in each half-open range, empty ones too: one pass over the rows; without ranges no row."""
     spark = df.sparkSession
+    if not ranges:
+        return spark.createDataFrame([], "partition_id int, row_count long")
     low, width, extra = ranges[0][0], ranges[-1][1] - ranges[-1][0], sum(b - a > ranges[-1][1] - ranges[-1][0] for a, b in ranges)
     at = F.col(key) - low
     cut = extra * (width + 1)

@@ -127,10 +127,13 @@ def _(spark, d):
 
 @query(
     "range_row_counts",
-    "WITH r AS (SELECT i, i * 250 AS a, (i + 1) * 250 AS b FROM range(0, 8) AS t(i)) SELECT CAST(i + 1 AS INTEGER) AS partition_id, count(doc_id) AS row_count FROM r LEFT JOIN labels ON doc_id >= a AND doc_id < b GROUP BY i",
+    "WITH b AS (SELECT min(doc_id) AS lo, max(doc_id) - min(doc_id) + 1 AS w FROM labels), r AS (SELECT i, lo + i * (w // 8) + least(i, w % 8) AS a, lo + (i + 1) * (w // 8) + least(i + 1, w % 8) AS b FROM b, range(0, 8) AS t(i) WHERE i < w)"
+    " SELECT CAST(i + 1 AS INTEGER) AS partition_id, count(doc_id) AS row_count FROM r LEFT JOIN labels ON doc_id >= a AND doc_id < b GROUP BY i",
 )
 def _(spark, d):
-    return partition.range_row_counts(_t(spark, d, "labels"), "doc_id", partition.equal_width(0, 1999, 8))
+    labels = _t(spark, d, "labels")
+    low, high = labels.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return partition.range_row_counts(labels, "doc_id", partition.equal_width(low, high, 8))
 
 
 # ---- counts and keys ----
@@ -341,6 +344,72 @@ def _(spark, d):
     return states.run_summary(_state(spark))
 
 
+# ---- state of runs that the events stand for: a day is a run, a type of event a table ----
+
+_DAYS_SQL = (
+    "WITH st AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, date_trunc('day', ts) AS run_started_at, event_type AS table_name, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'completed' END AS table_status,"
+    " count(*) AS rows_transferred, count(*) FILTER (value < 10) AS rows_skipped, CASE WHEN count(*) % 2 = 0 THEN min(ts) END AS last_sync_timestamp, max(ts) AS updated_at FROM events GROUP BY ALL)"
+)
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp_ntz")
+    runs = _t(spark, d, "events").groupBy(F.date_format(ts, "yyyy-MM-dd").alias("run_id"), F.date_trunc("day", ts).cast("timestamp_ntz").alias("run_started_at"), F.col("event_type").alias("table_name"))
+    n = F.count("*")
+    return runs.agg(
+        F.when(n % 3 == 0, "failed").otherwise("completed").alias("table_status"),
+        n.alias("rows_transferred"),
+        F.count_if(F.col("value") < 10).alias("rows_skipped"),
+        F.when(n % 2 == 0, F.min(ts)).alias("last_sync_timestamp"),
+        F.max(ts).alias("updated_at"),
+    )
+
+
+@query("latest_run_of_events", f"{_DAYS_SQL} SELECT run_id, table_name, table_status FROM st WHERE run_id = (SELECT max(run_id) FROM st)")
+def _(spark, d):
+    return states.latest_run(_days(spark, d)).select("run_id", "table_name", "table_status")
+
+
+@query("last_sync_of_events", f"{_DAYS_SQL} SELECT table_name, CAST(arg_max(last_sync_timestamp, updated_at) AS TIMESTAMP) AS last_sync_timestamp FROM st WHERE table_status = 'completed' AND last_sync_timestamp IS NOT NULL GROUP BY table_name")
+def _(spark, d):
+    return states.last_sync(_days(spark, d))
+
+
+@query("pending_tables_of_events", f"{_DAYS_SQL}, days AS (SELECT DISTINCT run_id FROM st), names AS (SELECT DISTINCT table_name FROM st) SELECT table_name FROM names WHERE table_name NOT IN (SELECT table_name FROM st WHERE table_status = 'completed' AND run_id = (SELECT max(run_id) FROM days))")
+def _(spark, d):
+    state = _days(spark, d)
+    return states.pending_tables(state.select("table_name").distinct(), states.latest_run(state), "upsert")
+
+
+@query(
+    "run_summary_of_events",
+    f"{_DAYS_SQL} SELECT run_id, count(*) FILTER (table_status = 'completed') AS tables_success, count(*) FILTER (table_status = 'failed') AS tables_failed, CAST(coalesce(sum(rows_transferred) FILTER (table_status = 'completed'), 0) AS BIGINT) AS rows_transferred, CAST(coalesce(sum(rows_skipped) FILTER (table_status = 'completed'), 0) AS BIGINT) AS rows_skipped FROM st GROUP BY run_id",
+)
+def _(spark, d):
+    return states.run_summary(_days(spark, d))
+
+
+@query(
+    "progress_of_orders",
+    "SELECT o_orderpriority AS table_name, CAST(sum(o_custkey) AS BIGINT) AS row_count, count(*) AS partitions, arg_min('late ' || o_orderkey, o_orderkey) FILTER (o_custkey % 100 = 7) AS error FROM orders GROUP BY o_orderpriority",
+)
+def _(spark, d):
+    late = F.when(F.col("o_custkey") % 100 == 7, F.concat(F.lit("late "), F.col("o_orderkey").cast("string")))
+    return states.table_progress(_t(spark, d, "orders").select(F.col("o_orderpriority").alias("table_name"), F.col("o_orderkey").alias("partition_id"), F.col("o_custkey").alias("row_count"), late.alias("error")))
+
+
+# The SQL says it another way: the least end that no range of the type leads beyond.
+@query(
+    "resume_points_of_events",
+    "WITH r AS (SELECT event_type, CASE WHEN event_id >= 100 THEN event_id END AS a, event_id + 20 + event_id % 7 AS b FROM events)"
+    " SELECT event_type, CASE WHEN bool_or(a IS NULL) THEN min(b) FILTER (NOT EXISTS (SELECT 1 FROM r AS o WHERE o.event_type = r.event_type AND (o.a IS NULL OR o.a <= r.b) AND o.b > r.b)) END AS resume_key FROM r GROUP BY event_type",
+)
+def _(spark, d):
+    events = _t(spark, d, "events")
+    start = F.when(F.col("event_id") >= 100, F.col("event_id"))
+    return states.resume_point(events.select("event_type", start.alias("range_start"), (F.col("event_id") + 20 + F.col("event_id") % 7).alias("range_end")), by=["event_type"])
+
+
 # ---- verification ----
 
 _LESS = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 3"
@@ -557,6 +626,39 @@ def _(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.array_join(convert.base10000(F.col("o_orderkey")).cast("array<string>"), ",").alias("digits"))
 
 
+_AMOUNTS = "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) - 250000 AS d FROM orders"
+
+
+@query(
+    "signed_base10000_digits",
+    f"WITH a AS ({_AMOUNTS}), w AS (SELECT o_orderkey, d, CAST(floor(abs(d)) AS BIGINT) AS whole, CAST(abs(d) * 100 AS BIGINT) % 100 AS cents FROM a)"
+    " SELECT o_orderkey, d < 0 AS negative, CAST(CASE WHEN whole = 0 THEN -1 WHEN whole < 10000 THEN 0 ELSE 1 END AS INTEGER) AS weight, concat_ws(',', CASE WHEN whole >= 10000 THEN whole // 10000 END, CASE WHEN whole > 0 THEN whole % 10000 END, cents * 100) AS digits, CAST(CAST(d AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM w",
+)
+def _(spark, d):
+    amount = F.col("o_totalprice").cast("decimal(18,2)") - 250000
+    packed = _t(spark, d, "orders").select("o_orderkey", convert.signed_base10000(amount, 2).alias("p"))
+    back = convert.decimal_text(F.col("p.digits"), F.col("p.weight"), F.col("p.negative"), F.col("p.scale"))
+    return packed.select("o_orderkey", "p.negative", "p.weight", F.array_join(F.col("p.digits").cast("array<string>"), ",").alias("digits"), back.alias("amount"))
+
+
+@query(
+    "uuid_round_trip",
+    "SELECT c_custkey, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS uuid, h AS bytes_hex FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)",
+)
+def _(spark, d):
+    named = _t(spark, d, "customer").select("c_custkey", convert.uuid_text(F.unhex(F.md5("c_name"))).alias("uuid"))
+    return named.withColumn("bytes_hex", convert.hex_text(convert.uuid_bytes(F.col("uuid"))))
+
+
+@query("packed_text_round_trip", "SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS text_md5 FROM documents")
+def _(spark, d):
+    packed = convert.packed_texts(_t(spark, d, "documents").select("doc_id", "text"), "text")
+    # The first four bytes are the size, the least significant one first.
+    size = sum((F.conv(F.hex(F.substring("text", i + 1, 1)), 16, 10).cast("long") * 256**i for i in range(4)), F.lit(0))
+    back = convert.unpacked_texts(packed.withColumn("n_bytes", size.cast("long")), "text")
+    return back.select("doc_id", "n_bytes", F.md5("text").alias("text_md5"))
+
+
 _SIZES = {"region": 104, "nation": 108, "customer": 220, "supplier": 120, "part": 320, "orders": 232, "lineitem": 268}
 
 
