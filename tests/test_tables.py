@@ -461,3 +461,11 @@ def test_signed_state(tmp_path):
     assert states.read_signed(path, b"key") == [{"table_name": "t", "rows": 3}]
     with pytest.raises(ValueError):
         states.read_signed(path, b"other")
+
+
+def test_range_counts_cover_the_table_and_empty_ones(spark):
+    df = spark.range(-5, 18).selectExpr("id AS k")
+    got = partition.range_row_counts(df, "k", partition.equal_width(-5, 17, 4)).collect()
+    assert sorted((r["partition_id"], r["row_count"]) for r in got) == [(1, 6), (2, 6), (3, 6), (4, 5)]
+    none = partition.range_row_counts(df.limit(0), "k", partition.equal_width(None, None, 4))
+    assert none.collect() == [] and none.columns == ["partition_id", "row_count"]
