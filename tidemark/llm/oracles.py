@@ -69,3 +69,24 @@ g AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FR
 k AS (SELECT r, sum(b - a) AS n, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM g JOIN d USING (r) GROUP BY r)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
+
+def _centroids(rounds: int = 10) -> str:
+    """Rounds one after the other, each with exact floors of integer means."""
+    nearest = "SELECT r, i, v, min_by({{}}, (d, k)) AS k, min(d) AS d FROM (SELECT v.r, v.i, v.v, c.k, list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n} c) GROUP BY r, i, v"
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS i, list_transform(embedding, lambda x: floor(1024 * greatest(-131072, least(131072, x::DOUBLE)))::BIGINT) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || i) NULLS LAST, v) - 1 AS k, v AS c FROM v QUALIFY k < 8)",
+    ]
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({nearest.format(n=n).format('k')})")
+        steps.append(f"m{n} AS (SELECT k, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT k, v, unnest(range(1, 65)) AS j FROM a{n}) GROUP BY k, j)")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(f, c) AS c FROM c{n} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS f FROM m{n} GROUP BY k) USING (k))")
+    steps.append(f"z AS MATERIALIZED ({nearest.format(n=rounds).format('k')})")
+    return "WITH " + ",\n".join(steps) + (
+        "\nSELECT i AS vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,"
+        f" sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} USING (k)"
+    )
+
+
+CENTROIDS = _centroids()

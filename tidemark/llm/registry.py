@@ -79,6 +79,12 @@ def suffixes(spark, sf_dir):
     return report(_documents(spark, sf_dir))
 
 
+def centroids(spark, sf_dir):
+    from tidemark.llm.centroids import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -97,9 +103,17 @@ def queries():
         "op8_suffixtree": suffixtree,
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,
+        "op12_centroids": centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op4_jaccard": oracles.JACCARD, "op5_substrings": oracles.SUBSTRINGS, "op6_neardup": oracles.NEARDUP, "op9_secrets": oracles.SECRETS, "op10_suffixes": oracles.SUFFIXES}
+    return {
+        "op4_jaccard": oracles.JACCARD,
+        "op5_substrings": oracles.SUBSTRINGS,
+        "op6_neardup": oracles.NEARDUP,
+        "op9_secrets": oracles.SECRETS,
+        "op10_suffixes": oracles.SUFFIXES,
+        "op12_centroids": oracles.CENTROIDS,
+    }
