@@ -85,6 +85,12 @@ def centroids(spark, sf_dir):
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def toxicity(spark, sf_dir):
+    from tidemark.llm.toxicity import classify
+
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -104,6 +110,7 @@ def queries():
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,
         "op12_centroids": centroids,
+        "op13_toxicity": toxicity,
         "pipeline": pipeline,
     }
 
