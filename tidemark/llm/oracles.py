@@ -90,3 +90,23 @@ def _centroids(rounds: int = 10) -> str:
 
 
 CENTROIDS = _centroids()
+
+#: crc32 by its table, which a rule of eight steps makes.
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda h: CAST(ascii(h) AS BIGINT)), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)))"
+_EIGHT = "list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)"
+
+TRIE = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: {_EIGHT}) AS t),
+o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, s, conv_id - conv_id % 20 AS base, CAST({_CRC.format(x="conv_id")} % 4 AS INTEGER) AS h FROM o, crc),
+w AS (SELECT h.conv_id, list_concat(CASE WHEN b.s IS NULL THEN [] ELSE b.s[1 : h.h] END, h.s[h.h + 1 :]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, sha256(CAST(len(s[1 : d]) AS VARCHAR) || coalesce(array_to_string(list_transform(s[1 : d], lambda x: sha256(x.r) || sha256(x.t)), ''), '')) AS k,
+      CASE WHEN d > 0 THEN len({_WORDS.format(text="s[d].t")}) ELSE 0 END AS words, d = len(s) AS last FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM w)),
+n AS (SELECT k, any_value(d) AS d, min(conv_id) AS c, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS e FROM p GROUP BY k),
+u AS (SELECT DISTINCT x.k, y.k AS up, y.d AS d FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.d <= x.d),
+g AS (SELECT up AS k, count(*) AS children FROM u JOIN n USING (k) WHERE n.d = u.d + 1 GROUP BY up),
+t AS (SELECT u.up AS k, count(*) FILTER (g.children IS NULL) AS leaves, sum((n.n - 1) * n.words) AS saved FROM u JOIN n USING (k) LEFT JOIN g USING (k) GROUP BY u.up),
+a AS (SELECT u.k, m.c FROM u JOIN n USING (k) JOIN n m ON m.k = u.up WHERE m.d = n.d - 1)
+SELECT n.c AS conv_id, n.d AS depth, a.c AS parent_conv_id, n.n AS n_convs, coalesce(g.children, 0) AS n_children, t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.e AS ends_sha256
+FROM n JOIN t USING (k) LEFT JOIN g USING (k) LEFT JOIN a USING (k)
+"""

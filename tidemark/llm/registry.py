@@ -79,6 +79,12 @@ def suffixes(spark, sf_dir):
     return report(_documents(spark, sf_dir))
 
 
+def trie(spark, sf_dir):
+    from tidemark.llm.trie import conversations
+
+    return conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def centroids(spark, sf_dir):
     from tidemark.llm.centroids import cluster
 
@@ -109,6 +115,7 @@ def queries():
         "op8_suffixtree": suffixtree,
         "op9_secrets": secrets,
         "op10_suffixes": suffixes,
+        "op11_trie": trie,
         "op12_centroids": centroids,
         "op13_toxicity": toxicity,
         "pipeline": pipeline,
@@ -122,5 +129,6 @@ def oracle_sql():
         "op6_neardup": oracles.NEARDUP,
         "op9_secrets": oracles.SECRETS,
         "op10_suffixes": oracles.SUFFIXES,
+        "op11_trie": oracles.TRIE,
         "op12_centroids": oracles.CENTROIDS,
     }
