@@ -637,3 +637,21 @@ def test_draws_keep_columns_of_any_name(spark, docs_of):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     out = mixing.drawn(df, labels, {"good": 0.5, "low": 0.5, "toxic": 0.0})
     assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def test_targets_go_by_name(spark, docs_of):
+    """Neither their order nor a domain without a target changes what a posterior means."""
+    rows = [(i, ("vile words here " if i % 3 == 0 else "plain words there ") + f"n{i % 7}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    docs = docs_of(rows)
+    listed = lambda t: [tuple(round(r[c], 9) for c in ("p_good", "p_low", "p_toxic", "rate")) for r in mixing.mix(docs, labels, t).orderBy("doc_id").collect()]
+    a = listed({"good": 0.7, "low": 0.1, "toxic": 0.2})
+    assert a == listed({"toxic": 0.2, "low": 0.1, "good": 0.7})
+    two = listed({"toxic": 0.2, "good": 0.8})
+    assert [x[:3] for x in two] == [x[:3] for x in a] and two == listed({"good": 0.8, "low": 0.0, "toxic": 0.2})
+    assert a[0][2] > 0.5 > a[1][2]
+    for wrong in ({"good": 1.0, "bad": 1.0}, {"good": 0.0}, {}, {"good": -1.0, "low": 2.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, labels, wrong)
+        with pytest.raises(ValueError):
+            mixing.drawn(docs, labels, wrong)

@@ -14,7 +14,8 @@ gradients into its own rate.
 
 Cases: null and empty texts have no tokens, the prior as posterior, and a rate like any other. Labels
 that are null in both columns, labels of unknown documents and repeated labels of one document (the first
-by quality and toxic counts) do no harm. Without labels all posteriors are equal. A domain that no text
+by quality and toxic counts) do no harm. Without labels all posteriors are equal. Targets go by name, in any order; a domain without one
+gets none, an unknown one is refused. Ties among features go by their hash. A domain that no text
 has cannot reach its target; the nearest totals are fitted, and ``off_target`` says how far the farthest domain's
 share of tokens stays from its target. Repeated rows get equal rates and equal draws. Very long texts are taken
 whole; a task holds one's distinct words. Extra columns do not matter, whatever their names; an empty table
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     rows = known.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("mixing sample"), "doc_id"), 11).cast("double") / float(1 << 53)
-    known = known.filter(draw < min(1.0, sample / max(rows, 1)))
+    # The sample bounds what is sent to all tasks; no text is shuffled to be found.
+    known = F.broadcast(known.filter(draw < min(1.0, sample / max(rows, 1))))
     seen = known.join(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
     seen = keep(with_features(seen, F.col("text"), "names").select("domain", "names"), "mixing-sample")
     counts = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -167,19 +169,30 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, scale: float = 1.0) -> DataFrame:
+def goals(targets: dict[str, float], domains: list[str]) -> list[float]:
+    """The targets in the order of the domains, summing to one; a domain that is not named is to have no tokens."""
+    if unknown := sorted(set(targets) - set(domains)):
+        raise ValueError(f"no such domain: {', '.join(unknown)}; there are {', '.join(domains)}")
+    if any(not 0 <= s < math.inf for s in targets.values()) or not (total := sum(targets.values())) > 0:
+        raise ValueError("targets must be shares of at least 0, and one above")
+    return [targets.get(name, 0.0) / total for name in domains]
+
+
+def rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0, scale: float = 1.0, domains: list[str] | None = None) -> DataFrame:
     """``members`` (n_tokens, p, ...) with rate and off_target; targets are shares of ``scale`` times all tokens.
 
-    off_target: the largest distance of a domain's expected share from its target, the same for all rows.
+    ``domains`` names the places of p (as the targets are ordered, if not given). off_target: the largest distance of a
+    domain's expected share from its target, the same for all rows.
     """
-    d = range(len(targets))
+    shares = goals(targets, domains or list(targets))
+    d = range(len(shares))
     gram = [F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in d for j in d]
     first = members.agg(F.sum("n_tokens").alias("n"), *gram).first()
     n = float(first["n"] or 0)
     if n == 0:
         return members.withColumns({"rate": F.lit(1.0), "off_target": F.lit(None).cast("double")})
     weight = [[(first[f"g{i}_{j}"] or 0.0) / n for j in d] for i in d]
-    goal = [scale * s / sum(targets.values()) for s in targets.values()]
+    goal = [scale * s for s in shares]
     steps: list[list[float]] = []
     before, off_before, left, slow = math.inf, goal, math.inf, 0
     for turn in range(STEPS + 1):
@@ -221,10 +234,11 @@ def rate_from(steps: list[list[float]], floor: float) -> Column:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 0.0, scale: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, the posterior of each domain, rate and off_target of each row."""
+    goals(targets, DOMAINS)
     model = fit(docs, labels)
     members = keep(posteriors(docs.select("doc_id", "text"), model).drop("text"), "mixing-members")
-    out = rates(members, targets, floor, scale)
-    return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "off_target")
+    out = rates(members, targets, floor, scale, DOMAINS)
+    return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "off_target")
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 0.0, scale: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -232,11 +246,12 @@ def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
     The chance is a hash of the text and doc_id, so a rerun draws alike.
     """
+    goals(targets, DOMAINS)
     model = fit(docs, labels)
     # The caller's columns travel as one, so that no name of theirs meets one of ours.
     packed = docs.select(F.struct("*").alias("row"), F.col("text"))
     rows = keep(posteriors(packed, model).drop("text"), "mixing-members")
-    with_rate = rates(rows, targets, floor, scale)
+    with_rate = rates(rows, targets, floor, scale, DOMAINS)
     luck = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row.doc_id", "row.text"), 11).cast("double") / float(1 << 53)
     times = F.floor(F.col("rate") + luck).cast("int")
     return with_rate.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
