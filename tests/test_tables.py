@@ -469,3 +469,109 @@ def test_range_counts_cover_the_table_and_empty_ones(spark):
     assert sorted((r["partition_id"], r["row_count"]) for r in got) == [(1, 6), (2, 6), (3, 6), (4, 5)]
     none = partition.range_row_counts(df.limit(0), "k", partition.equal_width(None, None, 4))
     assert none.collect() == [] and none.columns == ["partition_id", "row_count"]
+
+
+def derby(tmp_path, name="target"):
+    return jdbc.Database("postgres", jdbc_url=f"jdbc:derby:{tmp_path}/{name};create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+
+
+def test_a_database_keeps_the_state_of_earlier_runs(spark, folder, tmp_path):
+    db = derby(tmp_path)
+    runs = []
+    for only in ("nation", "region", "nation"):
+        config = Config(Endpoint(path=folder), Endpoint(path="x"), Migration(include_tables=[only]))
+        target = jdbc.JdbcTarget(spark, db, "APP", "postgres", ddl=False)
+        out = Runner(spark, config, ParquetSource(spark, folder), target).run()
+        assert (out.status, out.error) == ("completed", None)
+        runs.append((out.run_id, only))
+        saved = target.state().read()
+        assert saved.schema.simpleString() == states.empty(spark).schema.simpleString()
+        found = {(r["run_id"], r["table_name"]): r for r in saved.collect()}
+        assert set(found) == set(runs) and all(r["run_status"] == "completed" and r["run_completed_at"] for r in found.values())
+    marks = {r["table_name"]: r["last_sync_timestamp"] for r in states.last_sync(saved).collect()}
+    assert set(marks) == {"nation", "region"}
+    # Saving the same rows again changes nothing.
+    one = [tuple(r) for r in saved.filter(F.col("run_id") == runs[0][0]).collect()]
+    target.state().save(one, "completed", runs[0][0], None)
+    assert rows(target.state().read()) == rows(saved)
+
+
+class Breaking(jdbc.JdbcTarget):
+    """Fails at the n-th part: before its transaction, or after it, as a process that dies there."""
+
+    at, after = 99, False
+
+    def ledger(self):
+        outer, own = self, super().ledger()
+        put = own.put
+
+        def failing(run, table, part, *rest):
+            if part == outer.at and not outer.after:
+                raise OSError("gone")
+            n = put(run, table, part, *rest)
+            if part == outer.at:
+                raise OSError("gone")
+            return n
+
+        own.put = failing
+        return own
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_a_database_gets_each_part_once(spark, tmp_path, after):
+    root = f"file://{tmp_path}/src"
+    keys = [-(2**62), *range(0, 90), 2**62]
+    spark.createDataFrame([(k, f"c{k % 5}", k % 7) for k in keys], "c_custkey long, c_name string, c_nationkey int").repartition(2).write.parquet(f"{root}/customer.parquet")
+    spark.createDataFrame([(0, "r")], "r_regionkey int, r_name string").write.parquet(f"{root}/region.parquet")
+    config = Config(Endpoint(path=root), Endpoint(path="x"), Migration(chunk_size=10, workers=1))
+    db = derby(tmp_path)
+    target = Breaking(spark, db, "APP", "postgres", ddl=False)
+    target.at, target.after = 4, after
+    first = Runner(spark, config, ParquetSource(spark, root), target).run()
+    assert first.status == "failed" and first.failed_tables == ["customer"]
+    ledger = jdbc.JdbcTarget(spark, db, "APP", "postgres", ddl=False).ledger()
+    assert [p["row_count"] is not None for p in ledger.rows(first.run_id, "customer")] == [i < 4 + after for i in range(10)]
+    whole = jdbc.JdbcTarget(spark, db, "APP", "postgres", ddl=False)
+    second = Runner(spark, config, ParquetSource(spark, root), whole).run(resume=True)
+    assert (second.status, second.run_id) == ("completed", first.run_id)
+    assert sorted(r["c_custkey"] for r in whole.table(ParquetCatalog(spark, root).meta("customer")).read().collect()) == keys
+    assert ledger.rows(first.run_id, "customer") == []
+    state = {r["table_name"]: r for r in whole.state().read().collect()}
+    assert (state["customer"]["rows_transferred"], state["customer"]["run_status"]) == (len(keys), "completed")
+    left = jdbc.query(spark, db, "SELECT TABLENAME AS n FROM SYS.SYSTABLES WHERE TABLENAME LIKE 'part%'")
+    assert left.count() == 0
+
+
+def test_a_resumed_run_checks_the_tables_it_had_finished(spark, folder, tmp_path):
+    """The violations are those of a run that never failed."""
+    spark.createDataFrame([(1, "n", 0), (1, "again", 0), (2, "m", 5), (3, "k", 6)], "n_nationkey int, n_name string, n_regionkey int").write.mode("overwrite").parquet(f"{folder}/nation.parquet")
+    whole = _runner(spark, folder, tmp_path / "whole", "drop_recreate").run()
+    assert len(whole.violations) == 2
+
+    class Failing(FolderTarget):
+        def table(self, meta):
+            if meta.name == "region":
+                raise OSError("gone")
+            return super().table(meta)
+
+    config = Config(Endpoint(path=folder), Endpoint(path=f"file://{tmp_path}/dst"), Migration(target_mode="drop_recreate"))
+    first = Runner(spark, config, ParquetSource(spark, folder), Failing(spark, config.target.path)).run()
+    assert (first.status, first.violations) == ("failed", [])
+    second = Runner(spark, config, ParquetSource(spark, folder), FolderTarget(spark, config.target.path)).run(resume=True)
+    assert (second.status, second.run_id, second.violations) == ("completed", first.run_id, whole.violations)
+
+
+def test_finalising_twice_is_as_once(spark, tmp_path):
+    from tidemark.model import Check, ColumnMeta, ForeignKey, Index, TableMeta
+
+    db = derby(tmp_path)
+    jdbc.execute(spark, db, ['CREATE TABLE "p" ("id" INT NOT NULL)', 'CREATE TABLE "c" ("id" INT NOT NULL, "p" INT, "v" INT)'])
+    columns = (ColumnMeta("id", "int4", nullable=False),)
+    tables = [
+        TableMeta("p", columns, ("id",)),
+        TableMeta("c", (*columns, ColumnMeta("p", "int4"), ColumnMeta("v", "int4")), ("id",), (ForeignKey("fk_c", ("p",), "p", ("id",)),), (Check("ck_c", "([v] > 0)"),), (Index("ix_c", ("v",)),)),
+    ]
+    target = jdbc.JdbcTarget(spark, db, "APP", "postgres")
+    assert target.finalise(tables) == target.finalise(tables) == []
+    key, names = target.made("c")
+    assert key and {"fk_c", "ix_c"} <= names

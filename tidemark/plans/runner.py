@@ -14,24 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import tuning
-from tidemark.model import ParquetCatalog, TableMeta, range_key
-from tidemark.operators import constraints, merge, partition, scan, verify
+from tidemark.model import ParquetCatalog, TableMeta
+from tidemark.operators import constraints, merge, partition, scan, splits, verify
 from tidemark.plans.config import Config, ConfigError, keeps
+from tidemark.plans.progress import Stop, rows_in_flight, tagged
 from tidemark.sources import jdbc
 from tidemark.sources.files import VersionedTable
+from tidemark.sources.ledger import FolderLedger
 from tidemark.streaming import state as states
 
 # Exit codes by kind of failure, and the kinds a retry may mend.
 EXIT_CODES = {"ok": 0, "config": 1, "connection": 2, "transfer": 3, "validation": 4, "cancelled": 5, "state": 6, "io": 7}
 RECOVERABLE = {"connection", "cancelled", "io"}
-#: Rows of a range where the settings name no chunk size: a table of twice as many is copied in ranges.
+#: Rows of a part where the settings name no chunk size: a table of twice as many is copied in parts.
 RANGE_ROWS = 20_000_000
+#: Seconds that work under way gets to end when a run is told to stop.
+GRACE = 5.0
 
 
 class Cancelled(RuntimeError):
     """The run was told to stop; nothing is finalised."""
 
 
+def tag_of(run: str, table: str) -> str:
+    """The tag of a table's jobs; commas separate tags."""
+    return f"{run}:{table.replace(',', ' ')}"
+
+
 def kind_of(error: BaseException) -> str:
     if isinstance(error, ConfigError):
         return "config"
@@ -73,6 +82,7 @@ class Result:
 
 class ParquetSource:
     def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         self.catalog = ParquetCatalog(spark, root)
 
     def tables(self) -> list[TableMeta]:
@@ -81,15 +91,64 @@ class ParquetSource:
     def read(self, table: TableMeta) -> DataFrame:
         return self.catalog.table(table.name)
 
+    def _files(self, table: TableMeta) -> list[tuple[str, int]]:
+        """Paths below the table's folder and bytes, in order; one file is a table too."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table.name}.parquet")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        top, found, walk = fs.getFileStatus(path).getPath().toString(), [], fs.listFiles(path, True)
+        while walk.hasNext():
+            f = walk.next()
+            name = f.getPath().toString()[len(top) :].lstrip("/")
+            if not any(x.startswith(("_", ".")) for x in name.split("/")):
+                found.append((name, f.getLen()))
+        return sorted(found)
+
+    def parts(self, table: TableMeta, rows: int) -> list[dict]:
+        """Bounds of parts of about so many rows: groups of files, so that none is read twice; of few large files ranges
+        of the key, which their statistics prune. Rows come from the files' footers. None where one part is enough."""
+        df = self.read(table)
+        n = df.count()
+        count = -(-n // rows)
+        if n < 2 * rows:
+            return []
+        files = self._files(table)
+        if len(files) < count:
+            if not table.key:
+                return []
+            cuts = [None, *splits.cut_points(df, list(table.key), count, n), None]
+            return [{"after": a, "upto": b} for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) > 2 else []
+        out, held, size, share = [], [], 0, sum(b for _, b in files) / count
+        for name, length in files:
+            held.append(name)
+            size += length
+            if size >= share:
+                out.append({"files": held})
+                held, size = [], 0
+        return [*out, {"files": held}] if held else out
+
+    def read_part(self, table: TableMeta, bound: dict) -> DataFrame:
+        df = self.read(table)
+        if "files" in bound:
+            at = f"{self.root}/{table.name}.parquet"
+            names = [f"{at}/{f}" if f else at for f in bound["files"]]
+            return self.spark.read.option("basePath", at).schema(df.schema).parquet(*names) if names != [at] else df
+        return splits.between(df, list(table.key), bound["after"], bound["upto"])
+
+
+# Native types of whole numbers, and of other values that compare alike in Spark and in a database.
+_WHOLE = {"int", "integer", "bigint", "smallint", "tinyint", "int2", "int4", "int8", "mediumint", "serial", "bigserial"}
+_ALIKE = {"decimal", "numeric", "date"}
+
 
 class JdbcSource:
-    """Tables of a database; one is read in as many ranges as its approximate rows, memory and readers call for."""
+    """Tables of a database; one is read between cut points of its key, as many as its rows, memory and readers call for."""
 
     def __init__(self, spark: SparkSession, db: jdbc.Database, schema: str, readers: int = 0, ram_gb: int = 16):
         self.spark, self.db, self.schema = spark, db, schema
         self.readers, self.ram_gb = readers or tuning.readers(spark.sparkContext.defaultParallelism), ram_gb
 
-    def parts(self, table: TableMeta) -> int:
+    def tasks(self, table: TableMeta) -> int:
         cap = tuning.chunk_cap(self.ram_gb << 30, tuning.row_bytes(table.columns, self.db.kind if self.db.kind == "mssql" else "postgres"), tuning.read_ahead(self.ram_gb), self.readers)
         least = tuning.chunk_rows("drop_recreate", self.ram_gb, cap)
         return partition.partition_count(table.rows, least, self.readers, least) if table.rows else self.readers
@@ -97,11 +156,79 @@ class JdbcSource:
     def tables(self) -> list[TableMeta]:
         return jdbc.load_catalog(self.spark, self.db, self.schema)
 
+    def _kinds(self, table: TableMeta) -> list[str]:
+        return [(c.native if (c := table.column(k)) else "").lower() for k in table.key]
+
+    def _name(self, table: TableMeta) -> str:
+        return jdbc.name_in(self.db, self.schema, table.name)
+
+    def rows(self, table: TableMeta) -> int:
+        """As the catalog tells, else counted by the database."""
+        return table.rows or int(jdbc.query(self.spark, self.db, f"SELECT COUNT(*) AS n FROM {self._name(table)}").first()[0])
+
+    def cut_points(self, table: TableMeta, parts: int, n: int) -> list[list[str | None]]:
+        """Cut points with equally many rows between: numbered by the database, in its own order of text and uuids; where it
+        cannot, from a sample of its keys, if these are numbers or dates."""
+        from tidemark.plans import sqltext
+
+        keys = list(table.key)
+        if not keys or parts < 2 or n < 2:
+            return []
+        try:
+            rows = jdbc.query(self.spark, self.db, sqltext.cut_points(self.db.kind, self.schema, table.name, keys, max(1, -(-n // parts)))).collect()
+            return [[None if v is None else str(v) for v in list(r)[1:]] for r in sorted(rows, key=lambda r: r[0])][: parts - 1]
+        except Exception:  # no window functions there
+            if not set(self._kinds(table)) <= _WHOLE | _ALIKE:
+                return []
+            names = ", ".join(jdbc.quote(self.db.kind, k) for k in keys)
+            return splits.cut_points(jdbc.query(self.spark, self.db, f"SELECT {names} FROM {self._name(table)}").toDF(*keys), keys, parts, n)
+
+    def _between(self, table: TableMeta, cuts: list) -> DataFrame:
+        numbers = {k for k, kind in zip(table.key, self._kinds(table), strict=True) if kind in _WHOLE | {"decimal", "numeric"}}
+        return jdbc.read_between(self.spark, self.db, jdbc.readable(self.db, self.schema, table), list(table.key), cuts, numbers)
+
     def read(self, table: TableMeta) -> DataFrame:
-        one = table.key[0] if len(table.key) == 1 else None
-        whole = table.column(one) if one else None
-        ranged = whole is not None and whole.native.lower() in ("int", "integer", "bigint", "smallint", "tinyint", "int2", "int4", "int8", "mediumint")
-        return jdbc.read_table(self.spark, self.db, jdbc.readable(self.db, self.schema, table), one if ranged else None, self.parts(table))
+        parts = self.tasks(table)
+        cuts = self.cut_points(table, parts, self.rows(table)) if parts > 1 else []
+        return self._between(table, [None, *cuts, None]) if cuts else jdbc.read_table(self.spark, self.db, jdbc.readable(self.db, self.schema, table))
+
+    def parts(self, table: TableMeta, rows: int) -> list[dict]:
+        """Bounds of parts of about so many rows, each with the cut points between which its tasks read."""
+        n = self.rows(table)
+        if n < 2 * rows:
+            return []
+        count = -(-n // rows)
+        cuts = [None, *self.cut_points(table, count * self.readers, n), None]
+        if len(cuts) < 3:
+            return []
+        step = -(-(len(cuts) - 1) // count)
+        return [{"cuts": cuts[i : i + step + 1]} for i in range(0, len(cuts) - 1, step)]
+
+    def read_part(self, table: TableMeta, bound: dict) -> DataFrame:
+        return self._between(table, bound["cuts"])
+
+
+class FolderState:
+    """States of runs as a versioned table."""
+
+    def __init__(self, store: VersionedTable):
+        self.store = store
+
+    def exists(self) -> bool:
+        return self.store.exists()
+
+    def read(self) -> DataFrame:
+        return self.store.read()
+
+    def save(self, rows: list[tuple], status: str, run: str, at: dt.datetime | None) -> None:
+        """The rows of this run; with ``at`` the end is that of the whole run, what an earlier part of it had done too."""
+        spark = self.store.spark
+        saved = states.save(self.read() if self.exists() else states.empty(spark), spark.createDataFrame(rows, states.SCHEMA))
+        if at:
+            own = F.col("run_id") == run
+            saved = saved.withColumns({"run_status": F.when(own, F.lit(status)).otherwise(F.col("run_status")), "run_completed_at": F.when(own, F.lit(at)).otherwise(F.col("run_completed_at"))})
+            saved = saved.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in states.SCHEMA.fields])
+        self.store.publish(saved)
 
 
 class FolderTarget:
@@ -113,12 +240,17 @@ class FolderTarget:
     def table(self, meta: TableMeta) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/{meta.name}")
 
-    def state(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/_state")
+    def state(self) -> FolderState:
+        return FolderState(VersionedTable(self.spark, f"{self.root}/_state"))
 
-    def parts(self) -> VersionedTable:
-        """Ranges that runs have copied into tables which are not published yet."""
-        return VersionedTable(self.spark, f"{self.root}/_parts")
+    def ledger(self) -> FolderLedger:
+        """Parts that runs have copied into tables which are not published yet."""
+        return FolderLedger(VersionedTable(self.spark, f"{self.root}/_parts"))
+
+    def discard(self, parts: list[tuple[str, str]]) -> None:
+        """Delete folders of tables, unless they were published."""
+        for table, folder in parts:
+            VersionedTable(self.spark, f"{self.root}/{table}").discard([folder])
 
     def finalise(self, tables: list[TableMeta], references: bool = True, checks: bool = True) -> list[dict]:
         """What the constraints of the source would refuse in the target: files enforce none."""
@@ -138,9 +270,12 @@ class FolderTarget:
 class Runner:
     """A run saves the state of each table as it ends, and of each range of a large one, so that another can go on from there."""
 
-    def __init__(self, spark: SparkSession, config: Config, source, target, clock=None, progress=None, every: float | None = None):
-        """``progress`` gets a dict for each event of a table and, with ``every``, where the run stands each so many seconds."""
-        self.spark, self.config, self.source, self.target, self.every = spark, config, source, target, every
+    def __init__(self, spark: SparkSession, config: Config, source, target, clock=None, progress=None, every: float | None = None, grace: float = GRACE):
+        """``progress`` gets a dict for each event of a table and, with ``every``, where the run stands each so many seconds.
+
+        Setting ``cancel`` ends a run: work under way gets ``grace`` seconds, then its jobs are interrupted.
+        """
+        self.spark, self.config, self.source, self.target, self.every, self.grace = spark, config, source, target, every, grace
         self.progress = progress or (lambda event: None)
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         self.cancel = threading.Event()
@@ -161,7 +296,7 @@ class Runner:
         mode = self.config.migration.target_mode
         result = Result(uuid.uuid4().hex, "completed", began.isoformat())
         try:
-            tables = self.tables()
+            tables = every = self.tables()
             result.tables_total = len(tables)
             old = self.saved_state()
             marks = {r["table_name"]: r["last_sync_timestamp"] for r in states.last_sync(old).collect()}
@@ -174,7 +309,8 @@ class Runner:
             if dry:
                 result.status = "dry_run"
                 return self._ended(result, clock)
-            with self._ticking(result), ThreadPoolExecutor(self.config.migration.workers or 4) as pool:
+            self._sweep(old)
+            with Stop(self.spark, result.run_id, self.cancel, self.grace), self._ticking(result), ThreadPoolExecutor(self.config.migration.workers or 4) as pool:
                 rows = list(pool.map(lambda t: self._one(t, mode, marks.get(t.name), result, began), tables))
             if self.cancel.is_set():
                 if ended := [r for r in rows if r[6] != "pending"]:
@@ -182,7 +318,8 @@ class Runner:
                 raise Cancelled("cancelled")
             if mode == "drop_recreate" and not result.tables_failed:
                 m = self.config.migration
-                result.violations = self.target.finalise(tables, m.create_foreign_keys, m.create_check_constraints)
+                # All tables, those that an earlier part of the run had done too.
+                result.violations = self.target.finalise(every, m.create_foreign_keys, m.create_check_constraints)
             self._save(rows, "failed" if result.tables_failed else "completed", result.run_id)
             result.status = "failed" if result.tables_failed else "completed"
         except Exception as e:
@@ -191,6 +328,15 @@ class Runner:
             result.recoverable = result.error_type in RECOVERABLE
         return self._ended(result, clock)
 
+    def _sweep(self, state: DataFrame) -> None:
+        """Drop what ended or superseded runs had copied and never published; of runs that the state does not know nothing is touched."""
+        ledger = self.target.ledger()
+        if begun := ledger.runs():
+            last = state.groupBy("config_hash").agg(F.max_by("run_id", F.struct("run_started_at", "run_id")).alias("last"))
+            own = state.filter(F.col("run_id").isin(begun)).join(last, "config_hash")
+            gone = own.filter("run_id <> last OR run_status = 'completed'").select("run_id").distinct()
+            self.target.discard(ledger.forget([r["run_id"] for r in gone.collect()]))
+
     def _pending(self, tables: list[TableMeta], state: DataFrame, mode: str) -> list[TableMeta]:
         """Tables that a resumed run still has to do: of a merge with marks all, else those that did not end well."""
         names = self.spark.createDataFrame([(t.name,) for t in tables], "table_name string")
@@ -207,6 +353,9 @@ class Runner:
             while not done.wait(self.every):
                 with self.lock:
                     active = dict(self.active)
+                flying = {t: rows_in_flight(self.spark, tag_of(result.run_id, t)) for t in active}
+                with self.lock:
+                    active = {t: n + flying[t] for t, n in active.items()}
                     self.progress({"event": "progress", "done": result.tables_success + result.tables_failed, "of": result.tables_total, "rows": result.rows_transferred + sum(active.values()), "active": sorted(active)})
 
         teller = threading.Thread(target=tick, daemon=True) if self.every else None
@@ -225,45 +374,35 @@ class Runner:
         result.rows_per_second = int(result.rows_transferred / max(result.duration_seconds, 1e-3))
         return result
 
-    def _copy(self, table: TableMeta, df: DataFrame, store, run: str) -> int:
-        """The whole table into ``store``: at once, or, if it is large and has an integer key, range by range.
+    def _copy(self, table: TableMeta, store, run: str, begun: tuple) -> int:
+        """The whole table into ``store``: at once, or, if it is large, part by part.
 
-        A range's rows are written apart and its end is saved; a run that goes on starts after the last range of
-        the gapless run of ranges from the first, and all are published together.
+        The plan of the parts is saved first, and ``begun``, the table's state, so that a run that dies can be gone on with. That
+        leaves out the parts that are marked as done. In files all parts are published together; in a database each is committed
+        with its mark.
         """
-        m = self.config.migration
-        if not (hasattr(store, "stage") and hasattr(self.target, "parts") and range_key(df, table.key)):
-            return store.publish(df)
-        key, least = table.key[0], m.chunk_size or RANGE_ROWS
-        known, saved = self.target.parts(), None
-        if known.exists():
-            saved = known.read().filter((F.col("run_id") == run) & (F.col("table_name") == table.name) & F.col("error").isNull())
-        point = states.resume_point(saved).first() if saved is not None else None
-        after = point["resume_key"] if point else None
-        done = saved.filter(F.col("range_end") <= after).orderBy("range_end").collect() if after is not None else []
-        folders, rows = [r["folder"] for r in done], sum(r["row_count"] for r in done)
-        left = df if after is None else df.filter(F.col(key) > after)
-        low, high, n = left.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-        parts = partition.partition_count(n, least, m.parallel_readers or 8, 2 * least)
-        if parts < 2 and not folders:
-            return store.publish(df)
-        ranges = partition.equal_width(low, high, parts) if n else []
-        for i, (a, b) in enumerate(ranges):
+        ledger = self.target.ledger()
+        plan = ledger.rows(run, table.name)
+        if not plan:
+            bounds = self.source.parts(table, self.config.migration.chunk_size or RANGE_ROWS)
+            if len(bounds) < 2:
+                return store.publish(self.source.read(table))
+            self._save([begun], "running", run)
+            with self.saving:
+                ledger.begin(run, table.name, bounds, store)
+            plan = [{"partition_id": i, "bounds": b, "row_count": None} for i, b in enumerate(bounds)]
+        rows = sum(p["row_count"] or 0 for p in plan)
+        for p in plan:
+            if p["row_count"] is not None:
+                continue
             if self.cancel.is_set():
                 raise Cancelled("cancelled")
-            lower, upper = (a - 1 if i or after is not None else None), (b - 1 if i + 1 < len(ranges) else high)
-            own = scan.key_range(left, key, after=lower, upper=upper)
-            if lower is None:
-                own = own.unionByName(left.filter(F.col(key).isNull()))
-            folder, count = store.stage(own, run, len(folders))
-            rows += count
-            folders.append(folder)
-            part = self.spark.createDataFrame([(run, table.name, len(folders), lower, upper, count, folder, None)], states.PARTS)
-            with self.saving:
-                known.append(part)
+            own = self.source.read_part(table, p["bounds"])
+            rows += ledger.put(run, table.name, p["partition_id"], p["bounds"], own, store, self.saving)
             with self.lock:
                 self.active[table.name] = rows
-        store.point(folders)
+        with self.saving:
+            ledger.finish(run, table.name, store)
         return rows
 
     def _one(self, table: TableMeta, mode: str, mark, result: Result, began: dt.datetime) -> tuple:
@@ -274,14 +413,17 @@ class Runner:
         with self.lock:
             self.active[table.name] = 0
         try:
-            df, store = self.source.read(table), self.target.table(table)
-            if mode == "drop_recreate" or not store.exists():
-                rows = self._copy(table, df, store, result.run_id)
-            else:
-                column = scan.pick_watermark_column(df, self.config.migration.date_updated_columns)
-                rows = store.merge(scan.watermark_filter(df, column[0], mark) if column else df, list(table.key))
+            with tagged(self.spark, result.run_id, tag_of(result.run_id, table.name)):
+                store = self.target.table(table)
+                if mode == "drop_recreate" or not store.exists():
+                    begun = (*row, "in_progress", 0, 0, 0, None, None, None, None, self.clock())
+                    rows = self._copy(table, store, result.run_id, begun)
+                else:
+                    df = self.source.read(table)
+                    column = scan.pick_watermark_column(df, self.config.migration.date_updated_columns)
+                    rows = store.merge(scan.watermark_filter(df, column[0], mark) if column else df, list(table.key))
         except Exception as e:
-            error = str(e).splitlines()[0]
+            error = "cancelled" if self.cancel.is_set() else (str(e).splitlines() or [type(e).__name__])[0]
             with self.lock:
                 result.tables_failed += 1
                 result.failed_tables.append(table.name)
@@ -300,16 +442,8 @@ class Runner:
 
     def _save(self, rows: list[tuple], status: str, run: str) -> None:
         at = None if status == "running" else self.clock()
-        ended = [(*r[:3], at, status, *r[5:]) for r in rows]
         with self.saving:
-            fresh = self.spark.createDataFrame(ended, states.SCHEMA)
-            saved = states.save(self.saved_state(), fresh)
-            if at:
-                # The end is that of the whole run: what an earlier part of it had done too.
-                own = F.col("run_id") == run
-                saved = saved.withColumns({"run_status": F.when(own, F.lit(status)).otherwise(F.col("run_status")), "run_completed_at": F.when(own, F.lit(at)).otherwise(F.col("run_completed_at"))})
-                saved = saved.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in states.SCHEMA.fields])
-            self.target.state().publish(saved)
+            self.target.state().save([(*r[:3], at, status, *r[5:]) for r in rows], status, run, at)
 
     def validate(self) -> DataFrame:
         """Counts of both sides by table, for the tables that the filters keep."""

@@ -29,11 +29,17 @@ def spatial(column) -> bool:
 
 
 def as_text(dialect: str, name: str, table: TableMeta) -> str:
-    """All columns of a table, spatial ones as WKT."""
+    """All columns of a table, spatial ones as WKT; PostgreSQL's own shapes, which ST_AsText does not know, as their text."""
 
     def part(c) -> str:
         q = quote(dialect, c.name)
-        return q if not spatial(c) else f"{q}.STAsText() AS {q}" if dialect == "mssql" else f"ST_AsText({q}) AS {q}"
+        if not spatial(c):
+            return q
+        if dialect == "mssql":
+            return f"{q}.STAsText() AS {q}"
+        if dialect == "postgres" and c.native.lower() not in ("geometry", "geography"):
+            return f"CAST({q} AS text) AS {q}"
+        return f"ST_AsText({q}) AS {q}"
 
     return f"SELECT {', '.join(part(c) for c in table.columns)} FROM {name}"
 
@@ -81,6 +87,13 @@ def partition_bounds(dialect: str, schema: str, table: str, key: str, parts: int
     return f"SELECT partition_id, MIN({k}), MAX({k}), COUNT(*) FROM ({inner}) AS p GROUP BY partition_id ORDER BY partition_id"
 
 
+def cut_points(dialect: str, schema: str, table: str, keys: list[str], rows: int) -> str:
+    """Every ``rows``-th key in the database's own order, with its number."""
+    names = ", ".join(quote(dialect, k) for k in keys)
+    inner = f"SELECT {names}, ROW_NUMBER() OVER (ORDER BY {names}) AS row_no FROM {qualified(dialect, schema, table)}"
+    return f"SELECT row_no, {names} FROM ({inner}) AS n WHERE row_no % {rows} = 0"
+
+
 def row_slice(dialect: str, schema: str, table: str, columns: list[str], key: str, first: int, last: int) -> str:
     names, k = ", ".join(quote(dialect, c) for c in columns), quote(dialect, key)
     return f"SELECT {names} FROM (SELECT {names}, ROW_NUMBER() OVER (ORDER BY {k}) AS row_num FROM {qualified(dialect, schema, table)}) AS n WHERE row_num BETWEEN {first} AND {last}"

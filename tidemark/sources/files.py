@@ -109,6 +109,14 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.root}/{folder}")
         return folder, rows()
 
+    def discard(self, folders: list[str]) -> None:
+        """Delete folders that no version names."""
+        named = {f for n in self._pointers() for f in self._folders(n)}
+        for f in folders:
+            if f not in named:
+                fs, p = self._fs(f"{self.root}/{f}")
+                fs.delete(p, True)
+
     def drop(self) -> None:
         fs, p = self._fs(self.root)
         fs.delete(p, True)

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.idents import qualified
+from tidemark.functions.idents import qualified, quote
 from tidemark.functions.tuning import fallback_batch_rows, mysql_batch_rows
 from tidemark.model import TableMeta
+from tidemark.operators import splits
 from tidemark.operators.partition import equal_width, predicates
+from tidemark.sources.files import counting
 
 # URL form, driver class and default port.
 _KINDS = {
@@ -69,8 +71,23 @@ def read_table(spark: SparkSession, db: Database, table: str, key: str | None =
     return spark.read.jdbc(db.url(), table, predicates=predicates(key, ranges), properties=options) if ranges else whole
 
 
-def query(spark: SparkSession, db: Database, sql: str) -> DataFrame:
-    return spark.read.format("jdbc").option("url", db.url()).options(**db.properties()).option("query", sql).load()
+def read_between(spark: SparkSession, db: Database, table: str, keys: list[str], cuts: list, numbers: set[str], fetch: int = 10_000) -> DataFrame:
+    """The rows after the first and up to the last of these cut points (null: open), one task for each pair of neighbours."""
+    tests = [splits.sql_between(db.kind, keys, a, b, numbers) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return spark.read.jdbc(db.url(), table, predicates=tests, properties=db.properties() | {"fetchsize": str(fetch)})
+
+
+def query(spark: SparkSession, db: Database, sql: str, **options: str) -> DataFrame:
+    return spark.read.format("jdbc").option("url", db.url()).options(**db.properties(), **options).option("query", sql).load()
+
+
+def present(spark: SparkSession, db: Database, name: str) -> bool:
+    """Whether a table can be read."""
+    try:
+        spark.read.jdbc(db.url(), name, properties=db.properties()).schema
+    except Exception:  # each driver has its own way to say no
+        return False
+    return True
 
 
 def write_table(df: DataFrame, db: Database, table: str, mode: str = "append", column_types: str | None = None, connections: int = 8, rows: int | None = None) -> None:
@@ -108,6 +125,7 @@ _CHECKS = (
     "SELECT t.table_name, c.constraint_name AS name, c.check_clause AS definition FROM information_schema.check_constraints c JOIN information_schema.table_constraints t"
     " ON t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name WHERE t.table_schema = {schema} AND c.check_clause NOT LIKE '%IS NOT NULL'"
 )
+_ACTION = "CASE c.{} WHEN 'c' THEN 'CASCADE' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT' WHEN 'r' THEN 'RESTRICT' ELSE 'NO ACTION' END"
 _CATALOG = {
     "postgres": {
         "columns": _COLUMNS.replace("{kind}", "CASE WHEN c.data_type IN ('ARRAY', 'USER-DEFINED') THEN c.udt_name ELSE c.data_type END").replace(
@@ -116,12 +134,16 @@ _CATALOG = {
         "keys": _KEYS,
         "rows": "SELECT c.relname AS table_name, CAST(c.reltuples AS bigint) AS n FROM pg_class c JOIN pg_namespace s ON s.oid = c.relnamespace WHERE c.relkind = 'r' AND s.nspname = {schema}",
         "references": (
-            "SELECT k.table_name, r.constraint_name AS name, k.ordinal_position, k.column_name, p.table_name AS parent, p.column_name AS parent_column, r.delete_rule AS on_delete, r.update_rule AS on_update"
-            " FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON k.constraint_schema = r.constraint_schema AND k.constraint_name = r.constraint_name"
-            " JOIN information_schema.key_column_usage p ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name AND p.ordinal_position = k.position_in_unique_constraint"
-            " WHERE k.table_schema = {schema}"
+            f"SELECT t.relname AS table_name, c.conname AS name, k.place AS ordinal_position, a.attname AS column_name, p.relname AS parent, b.attname AS parent_column, {_ACTION.format('confdeltype')} AS on_delete, {_ACTION.format('confupdtype')} AS on_update"
+            " FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace s ON s.oid = t.relnamespace JOIN pg_class p ON p.oid = c.confrelid"
+            " CROSS JOIN LATERAL unnest(c.conkey, c.confkey) WITH ORDINALITY AS k(own, other, place)"
+            " JOIN pg_attribute a ON a.attrelid = c.conrelid AND a.attnum = k.own JOIN pg_attribute b ON b.attrelid = c.confrelid AND b.attnum = k.other"
+            " WHERE c.contype = 'f' AND s.nspname = {schema}"
+        ),
+        "checks": (
+            "SELECT t.relname AS table_name, c.conname AS name, pg_get_expr(c.conbin, c.conrelid) AS definition FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid"
+            " JOIN pg_namespace s ON s.oid = t.relnamespace WHERE c.contype = 'c' AND s.nspname = {schema}"
         ),
-        "checks": _CHECKS,
         "indexes": (
             "SELECT t.relname AS table_name, i.relname AS name, CASE WHEN x.indisunique THEN 1 ELSE 0 END AS is_unique, k.place AS ordinal_position, a.attname AS column_name, CASE WHEN k.place > x.indnkeyatts THEN 1 ELSE 0 END AS is_included"
             " FROM pg_index x JOIN pg_class t ON t.oid = x.indrelid JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_namespace s ON s.oid = t.relnamespace CROSS JOIN LATERAL unnest(x.indkey) WITH ORDINALITY AS k(number, place)"
@@ -220,24 +242,35 @@ def name_in(db: Database, schema: str, table: str) -> str:
     return qualified(db.kind, schema, table)
 
 
-# SQL states and vendor codes of a deadlock.
+# SQL states and vendor codes of a deadlock, and of a name that is taken.
 _DEADLOCK = {"40001", "40P01"}, {1205, 1213}
+_TAKEN = {"42710", "42P07", "X0Y32"}, {2714, 1061, 1826, 3822}
 
 
 def deadlocked(error) -> bool:
     """Whether what a driver threw, or its cause, says that a deadlock ended the transaction."""
+    return _says(error, _DEADLOCK)
+
+
+def _says(error, codes: tuple[set[str], set[int]]) -> bool:
     e = getattr(error, "java_exception", None)
     while e is not None:
         state, code = getattr(e, "getSQLState", None), getattr(e, "getErrorCode", None)
         if state is not None and code is not None:
             try:
-                return state() in _DEADLOCK[0] or code() in _DEADLOCK[1]
+                return state() in codes[0] or code() in codes[1]
             except Exception:  # not an SQL exception
                 pass
         e = e.getCause()
     return False
 
 
+def said(error: Exception) -> str:
+    """First line of what the database said."""
+    inner = getattr(error, "java_exception", None)
+    return (str(inner.getMessage() if inner is not None else error).splitlines() or [type(error).__name__])[0]
+
+
 def retried(work, wait: float = 0.2, times: int = 5) -> None:
     """``work()``, again after a deadlock, each time after twice the wait."""
     for turn in range(times):
@@ -249,24 +282,49 @@ def retried(work, wait: float = 0.2, times: int = 5) -> None:
             time.sleep(wait * 2**turn)
 
 
-def execute(spark: SparkSession, db: Database, statements: list[str]) -> None:
-    """Statements in one connection and one transaction (as far as the database rolls back its DDL); deadlocks are retried."""
+def execute(spark: SparkSession, db: Database, statements: list) -> None:
+    """Statements in one connection and one transaction (as far as the database rolls back its DDL); deadlocks are retried.
+
+    A statement is text, or text and its parameters: pairs of a value and its kind (text, int, long or time).
+    """
     retried(lambda: _execute(spark, db, statements))
 
 
-def _execute(spark: SparkSession, db: Database, statements: list[str]) -> None:
+def connect(spark: SparkSession, db: Database):
     jvm = spark._jvm
     properties = jvm.java.util.Properties()
     for k, v in db.properties().items():
         properties.setProperty(k, v)
     # Spark's registry finds drivers that were added to the session later.
     jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(db.properties()["driver"])
-    connection = jvm.java.sql.DriverManager.getConnection(db.url(), properties)
+    return jvm.java.sql.DriverManager.getConnection(db.url(), properties)
+
+
+def _bind(jvm, statement, place: int, value, kind: str) -> None:
+    types = jvm.java.sql.Types
+    if value is None:
+        statement.setNull(place, {"text": types.VARCHAR, "int": types.INTEGER, "long": types.BIGINT, "time": types.TIMESTAMP}[kind])
+    elif kind == "time":
+        statement.setTimestamp(place, jvm.java.sql.Timestamp.valueOf(value.isoformat(sep=" ")))
+    else:
+        {"text": statement.setString, "int": statement.setInt, "long": statement.setLong}[kind](place, value)
+
+
+def _execute(spark: SparkSession, db: Database, statements: list) -> None:
+    connection = connect(spark, db)
     try:
         connection.setAutoCommit(False)
-        statement = connection.createStatement()
+        plain = connection.createStatement()
         for sql in statements:
-            statement.execute(sql)
+            if isinstance(sql, str):
+                plain.execute(sql)
+                continue
+            text, values = sql
+            prepared = connection.prepareStatement(text)
+            for i, (value, kind) in enumerate(values, 1):
+                _bind(spark._jvm, prepared, i, value, kind)
+            prepared.executeUpdate()
+            prepared.close()
         connection.commit()
     except Exception:
         connection.rollback()
@@ -283,11 +341,7 @@ class JdbcTable:
         self.name = qualified(db.kind, schema, meta.name) if ddl else meta.name
 
     def exists(self) -> bool:
-        try:
-            self.spark.read.jdbc(self.db.url(), self.name, properties=self.db.properties()).schema
-        except Exception:  # each driver has its own way to say no
-            return False
-        return True
+        return present(self.spark, self.db, self.name)
 
     def read(self) -> DataFrame:
         return self.spark.read.jdbc(self.db.url(), self.name, properties=self.db.properties())
@@ -300,26 +354,90 @@ class JdbcTable:
         return not keys.filter(keys.table_name == self.meta.name).isEmpty()
 
     def publish(self, df: DataFrame) -> int:
-        """Replace the table; the number of rows there. PostgreSQL fills it unlogged; SQL Server gets rows with oversized texts one by one."""
-        from tidemark.functions.convert import route_oversized, sink_ready
-        from tidemark.plans import sqltext
+        """Replace the table; the number of rows there, which the database counts."""
+        from tidemark.functions.convert import sink_ready
 
         ready = sink_ready(df, self.db.kind)
         if not (self.ddl and self.meta.columns):
             write_table(ready, self.db, self.name, mode="overwrite")
-            return self.read().count()
+            return self.count(self.name)
+        self.create()
+        self._load(ready, self.name)
+        self.loaded()
+        return self.count(self.name)
+
+    def count(self, name: str) -> int:
+        return int(query(self.spark, self.db, f"SELECT COUNT(*) AS n FROM {name}").first()[0])
+
+    def create(self) -> None:
+        """The table without rows, keys and indexes; PostgreSQL fills it unlogged. Without DDL Spark makes it with its first rows."""
+        from tidemark.plans import sqltext
+
+        if not (self.ddl and self.meta.columns):
+            if self.exists():
+                execute(self.spark, self.db, [f"DROP TABLE {self.name}"])
+            return
         create = sqltext.create_table(self.source_kind, self.db.kind, self.meta, self.schema, unlogged=self.db.kind == "postgres")
         made = [sqltext.create_schema(self.db.kind, self.schema)] if self.schema else []
         execute(self.spark, self.db, [*made, sqltext.drop_table(self.db.kind, self.schema, self.meta.name), create])
-        if self.db.kind == "mssql":
-            usual, large = route_oversized(ready)
-            write_table(usual, self.db, self.name)
-            write_table(large, self.db, self.name, rows=1)
-        else:
-            write_table(ready, self.db, self.name)
-        if logged := sqltext.set_logged(self.db.kind, self.schema, self.meta.name, True):
+
+    def _load(self, ready: DataFrame, name: str, kept: bool = False) -> None:
+        """Append rows that the sink can take. SQL Server gets rows with oversized texts one by one: both kinds of
+        rows come from one read of the source, which is kept, so a source that changes meanwhile cannot give a row to both or none."""
+        from tidemark.functions.convert import route_oversized
+        from tidemark.scratch import drop, keep
+
+        if self.db.kind != "mssql" or not any(f.dataType.simpleString() == "string" for f in ready.schema.fields):
+            return write_table(ready, self.db, name)
+        once = ready if kept else keep(ready, "routed")
+        usual, large = route_oversized(once)
+        write_table(usual, self.db, name)
+        write_table(large, self.db, name, rows=1)
+        if not kept:
+            drop(once)
+
+    def loaded(self) -> None:
+        from tidemark.plans import sqltext
+
+        if self.ddl and (logged := sqltext.set_logged(self.db.kind, self.schema, self.meta.name, True)):
             execute(self.spark, self.db, [logged])
-        return self.read().count()
+
+    def fill_stage(self, stage: str, df: DataFrame) -> int:
+        """Write rows to a new table beside; their number, which must be that of the rows there: a task that ran twice may
+        have left its rows twice, and then all are written again. The source is read once, into a kept table."""
+        from tidemark.functions.convert import sink_ready
+        from tidemark.plans import sqltext
+        from tidemark.scratch import drop, keep
+
+        name = quote(self.db.kind, stage)
+        ready, counted = counting(sink_ready(df, self.db.kind))
+        kept = keep(ready, "part")
+        rows = counted()
+        try:
+            for _ in range(2):
+                if present(self.spark, self.db, name):
+                    self.drop_stage(stage)
+                if self.ddl and self.meta.columns:
+                    execute(self.spark, self.db, [sqltext.create_staging(self.db.kind, name, kept)])
+                    self._load(kept, name, kept=True)
+                else:
+                    write_table(kept, self.db, name, mode="overwrite")
+                if self.count(name) == rows:
+                    return rows
+        finally:
+            drop(kept)
+        raise OSError(f"{stage} does not hold the rows that were written to it")
+
+    def move_stage(self, stage: str, columns: list[str]) -> str:
+        """The statement that takes the staged rows over; without DDL the first stage also tells what the table is like."""
+        if not (self.ddl and self.meta.columns) and not self.exists():
+            like = self.spark.read.jdbc(self.db.url(), quote(self.db.kind, stage), properties=self.db.properties())
+            write_table(like.limit(0), self.db, self.name, mode="overwrite")
+        names = ", ".join(quote(self.db.kind, c) for c in columns)
+        return f"INSERT INTO {self.name} ({names}) SELECT {names} FROM {quote(self.db.kind, stage)}"
+
+    def drop_stage(self, stage: str) -> None:
+        execute(self.spark, self.db, [f"DROP TABLE {quote(self.db.kind, stage)}"])
 
     def merge(self, changes: DataFrame, keys: list[str]) -> int:
         """Stage the changes under a name of their own, then merge them and drop the stage; the number of changes.
@@ -327,7 +445,6 @@ class JdbcTable:
         The merge is one transaction; where the database commits before DDL (MySQL), the drop is not part of it.
         """
         from tidemark.functions.convert import sink_ready
-        from tidemark.functions.idents import quote
         from tidemark.plans import sqltext
 
         stage = f"stage_{uuid.uuid4().hex[:12]}_{self.meta.name}"[:60]
@@ -337,7 +454,7 @@ class JdbcTable:
             execute(self.spark, self.db, [sqltext.create_staging(self.db.kind, name, ready)])
         try:
             write_table(ready, self.db, name, mode="append" if self.ddl else "overwrite")
-            rows = self.spark.read.jdbc(self.db.url(), name, properties=self.db.properties()).count()
+            rows = self.count(name)
             execute(self.spark, self.db, [sqltext.merge(self.db.kind, self.schema, self.meta.name, stage, changes.columns, keys)])
         finally:
             execute(self.spark, self.db, [f"DROP TABLE {name}"])
@@ -353,27 +470,58 @@ class JdbcTarget:
     def table(self, meta: TableMeta) -> JdbcTable:
         return JdbcTable(self.spark, self.db, self.schema, meta, self.source_kind, self.ddl)
 
-    def state(self) -> JdbcTable:
-        return JdbcTable(self.spark, self.db, self.schema, TableMeta("sync_state"), self.source_kind, False)
+    def state(self):
+        from tidemark.sources.ledger import JdbcState
+
+        return JdbcState(self.spark, self.db)
+
+    def ledger(self):
+        from tidemark.sources.ledger import JdbcLedger
+
+        return JdbcLedger(self.spark, self.db)
+
+    def discard(self, parts: list[tuple[str, str]]) -> None:
+        """Nothing lies beside the tables."""
+
+    def made(self, table: str) -> tuple[bool, set[str]]:
+        """Whether the table has a primary key, and names of its indexes and references, as the driver tells."""
+        connection = connect(self.spark, self.db)
+        try:
+            data, at = connection.getMetaData(), (self.schema if self.db.kind == "mysql" else None, None if self.db.kind == "mysql" else self.schema or None)
+
+            def names(found, column: str) -> set[str]:
+                out = set()
+                while found.next():
+                    out.add(str(found.getString(column)).lower())
+                return out
+
+            keys = names(data.getPrimaryKeys(*at, table), "COLUMN_NAME")
+            return bool(keys), names(data.getIndexInfo(*at, table, False, True), "INDEX_NAME") | names(data.getImportedKeys(*at, table), "FK_NAME")
+        finally:
+            connection.close()
 
     def finalise(self, tables: list[TableMeta], references: bool = True, checks: bool = True) -> list[dict]:
-        """Constraints, parents first; what a database refuses is reported and the rest goes on."""
+        """Constraints, parents first; what is there already stays, what a database refuses is reported, and the rest goes on."""
         from tidemark.operators.constraints import fk_levels
         from tidemark.plans import sqltext
 
         if not self.ddl:
             return []
         kind, names, out = self.db.kind, {t.name: t for t in tables}, []
+        keyed, there = {}, {}
+        for t in tables:
+            keyed[t.name], there[t.name] = self.made(t.name)
 
         def attempt(table: str, what: str, sql: str | None) -> None:
-            if sql:
+            if sql and what.lower() not in there[table]:
                 try:
                     execute(self.spark, self.db, [sql])
                 except Exception as e:  # told, not fatal
-                    out.append({"table": table, "constraint": what, "error": str(e).splitlines()[0]})
+                    if not _says(e, _TAKEN):
+                        out.append({"table": table, "constraint": what, "error": said(e)})
 
         for t in tables:
-            if t.key and kind != "mssql":
+            if t.key and kind != "mssql" and not keyed[t.name]:
                 attempt(t.name, "primary key", sqltext.add_key(kind, self.schema, t))
             for i in t.indexes:
                 attempt(t.name, i.name, sqltext.add_index(kind, self.schema, t, i))

@@ -35,8 +35,8 @@ SCHEMA = T.StructType(
     ]
 )
 KEY = ["run_id", "table_name"]
-#: Ranges of tables that a run has copied: keys above range_start up to range_end, both null where open.
-PARTS = "run_id string, table_name string, partition_id int, range_start long, range_end long, row_count long, folder string, error string"
+#: Parts of tables that a run copies: what bounds them (JSON), and once copied their rows and where they lie.
+PARTS = "run_id string, table_name string, partition_id int, bounds string, row_count long, folder string"
 
 
 def save(state: DataFrame, rows: DataFrame) -> DataFrame:
