@@ -2,15 +2,20 @@
 
 import datetime as dt
 import json
+import os
+import threading
+import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import convert
 from tidemark.model import ParquetCatalog
-from tidemark.operators import constraints, merge, partition, scan, verify
+from tidemark.operators import constraints, merge, partition, scan, splits, verify
+from tidemark.plans import sqltext
 from tidemark.plans.config import Config, Endpoint, Migration
-from tidemark.plans.runner import FolderTarget, ParquetSource, Runner
+from tidemark.plans.runner import FolderTarget, JdbcSource, ParquetSource, Runner
 from tidemark.sources import jdbc
 from tidemark.sources.files import VersionedTable, write_tsv
 from tidemark.streaming import state as states
@@ -575,3 +580,221 @@ def test_finalising_twice_is_as_once(spark, tmp_path):
     assert target.finalise(tables) == target.finalise(tables) == []
     key, names = target.made("c")
     assert key and {"fk_c", "ix_c"} <= names
+
+
+def files_of(table):
+    return {f for f in table._folders(table.version()) if not f.startswith("index-")}
+
+
+@pytest.mark.parametrize("keys", [["k"], ["g", "k"]])
+def test_a_merge_rewrites_only_what_it_touches(spark, tmp_path, keys):
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table.file_rows = 50
+    make = lambda ks, v: spark.createDataFrame([(f"g{k // 100}", k, v) for k in ks], "g string, k long, v string")
+    table.publish(make(range(1000), "old").repartition(7))
+    assert table.index() is None and table.merge(make([3], "first"), keys) == 1
+    before = files_of(table)
+    assert len(before) >= 15 and sum(r[1] for r in table.index().rows) == 1000
+    want = {k: "old" for k in range(1000)} | {3: "first"}
+    for ks, most in ((range(410, 420), 2), ([700, 5000, -1], 3), ([6000], 2), ([], 0), (range(0, 1000, 7), 99)):
+        assert table.merge(make(ks, str(len(ks))), keys) == len(ks)
+        want |= {k: str(len(ks)) for k in ks}
+        now = files_of(table)
+        assert len(before - now) <= most
+        before = now
+        assert {r["k"]: r["v"] for r in table.read().collect()} == want and table.read().count() == len(want)
+        assert sum(r[1] for r in table.index().rows) == len(want)
+    assert table.holding(spark.createDataFrame([("g4", 415)], "a string, b long"), keys, ["b"] if keys == ["k"] else ["a", "b"]).count() <= 110
+    table.publish(make([1], "new"))
+    assert rows(table.read()) == [("g0", 1, "new")] and table.index() is None
+
+
+def test_merges_of_odd_keys(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table.file_rows = 3
+    kind = "k string, v int"
+    table.publish(spark.createDataFrame([(None, 0), ("", 1), ("ä", 2), ("\U0001f600", 3), ("z", 4), ("Z", 5), ("￿", 6)], kind))
+    for batch in ([("", 10)], [("\U0001f600", 30), ("￿", 60)], [("aa", 70), ("zz", 80)], [(None, 90)]):
+        table.merge(spark.createDataFrame(batch, kind), ["k"])
+    got = rows(table.read())
+    # A null key equals no key, as in SQL.
+    assert got == sorted([(None, 0), ("", 10), ("ä", 2), ("\U0001f600", 30), ("z", 4), ("Z", 5), ("￿", 60), ("aa", 70), ("zz", 80), (None, 90)], key=str)
+
+
+def test_an_upsert_checks_the_rows_it_brought(spark, folder, tmp_path):
+    _runner(spark, folder, tmp_path, "drop_recreate").run()
+    merged = _runner(spark, folder, tmp_path, "upsert").run()
+    assert (merged.status, merged.violations) == ("completed", [{"table": "nation", "constraint": "fk_n_regionkey", "rows": 1}])
+    spark.createDataFrame([(9, "new", 0), (9, "twice", 0), (10, "orphan", 77)], "n_nationkey int, n_name string, n_regionkey int").write.mode("overwrite").parquet(f"{folder}/nation.parquet")
+    out = _runner(spark, folder, tmp_path, "upsert", exclude_tables=["region"]).run()
+    # The parent is in no run of its own here; its table is not among those that are checked.
+    assert out.violations == [{"table": "nation", "constraint": "primary key", "rows": 1}]
+    out = _runner(spark, folder, tmp_path, "upsert").run()
+    assert out.violations == [{"table": "nation", "constraint": "primary key", "rows": 1}, {"table": "nation", "constraint": "fk_n_regionkey", "rows": 1}]
+
+
+def test_parents_are_read_where_changes_point(spark, tmp_path):
+    target = FolderTarget(spark, f"file://{tmp_path}")
+    metas = [m for m in (ParquetCatalog(spark, "x").metadata[n] for n in ("customer", "orders"))]
+    parent = target.table(metas[0])
+    parent.file_rows = 20
+    parent.publish(spark.range(1000).selectExpr("id AS c_custkey", "'c' AS c_name"))
+    parent.merge(spark.range(1).selectExpr("id AS c_custkey", "'d' AS c_name"), ["c_custkey"])
+    changes = spark.createDataFrame([(1, 500), (2, 501), (3, 5000), (4, None)], "o_orderkey long, o_custkey long")
+    assert len(parent.holding(changes, ["c_custkey"], ["o_custkey"]).inputFiles()) <= 2 < len(parent.read().inputFiles())
+    assert target.check_changes(metas, {"orders": changes}) == [{"table": "orders", "constraint": "fk_o_custkey", "rows": 1}]
+
+
+def test_kept_tables_go_after_the_session_was_stopped(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(sys.path[0])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+from tidemark import scratch
+scratch.keep(spark.range(3).toDF("k"), "a"); b = scratch.keep(spark.range(3).toDF("k"), "b"); scratch.drop(b)
+spark.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, check=True, timeout=120, capture_output=True)
+    ours = lambda: [f for f in os.listdir(tmp_path) if f.startswith(("a-", "b-"))]  # noqa: E731  Spark leaves a folder of its own
+    for _ in range(50):
+        if not ours():
+            break
+        time.sleep(0.2)
+    assert ours() == []
+
+
+def _in_parts(df, keys, cuts):
+    bounds = [None, *cuts, None]
+    return [splits.between(df, keys, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@pytest.mark.parametrize("keys", [["a"], ["a", "b"], ["t"], ["d", "a"]])
+def test_parts_between_cuts_hold_each_row_once(spark, keys):
+    data = [(None if i % 17 == 0 else i // 3 - 40, None if i % 11 == 0 else f"b{i % 5}", dt.datetime(2024, 1, 1 + i % 25, i % 7, 0, 0, i), Decimal(i % 9) / 4 if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(data + data[:40], "a long, b string, t timestamp_ntz, d decimal(9,2)").repartition(4)
+    cuts = splits.cut_points(df, keys, 7)
+    assert 1 < len(cuts) <= 6
+    parts = [rows(p) for p in _in_parts(df, keys, cuts)]
+    assert sorted((r for p in parts for r in p), key=str) == rows(df)
+    numbered = splits.part_numbers(df, keys, cuts).groupBy("part").count().collect()
+    assert sorted((r["part"], r["count"]) for r in numbered) == [(i, len(p)) for i, p in enumerate(parts, 1) if p]
+
+
+def test_cuts_of_skewed_keys_are_balanced(spark, monkeypatch):
+    """Nine keys of ten lie in a hundredth of the range; equal widths would put them in one part."""
+    monkeypatch.setattr(splits, "PER_PART", 200)
+    n = 40_000
+    df = spark.range(n).selectExpr(f"CASE WHEN id % 10 > 0 THEN id ELSE id * 1000 END AS k")
+    sizes = [p.count() for p in _in_parts(df, ["k"], splits.cut_points(df, ["k"], 16))]
+    assert sum(sizes) == n and len(sizes) == 16 and max(sizes) < 2 * n / 16
+    one = spark.range(100).selectExpr("1 AS k")
+    assert splits.cut_points(one, ["k"], 5) == [] and splits.cut_points(one.limit(0), ["k"], 5) == []
+
+
+def test_sql_between_cuts(spark, tmp_path):
+    """The text for databases, on Derby; the first part takes nulls."""
+    db = derby(tmp_path)
+    data = [(i // 4, f"x{i % 4}'", i) for i in range(40)]
+    jdbc.write_table(spark.createDataFrame(data, "a int, b string, v int").selectExpr("a", "CAST(b AS varchar(9)) AS b", "v"), db, "t", mode="overwrite", column_types="b VARCHAR(9)")
+    cuts = [None, ["2", "x1'"], ["7", "x3'"], None]
+    read = jdbc.read_between(spark, db, "t", ["a", "b"], cuts, {"a"})
+    assert read.rdd.getNumPartitions() == 3 and rows(read) == sorted(data, key=str)
+    assert [r["n"] for r in read.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()] == [10, 22, 8]
+    assert splits.sql_between("mysql", ["k"], ["a\\b"], None) == "`k` > 'a\\\\b'"
+    assert "ROW_NUMBER() OVER (ORDER BY [a], [b])" in sqltext.cut_points("mssql", "dbo", "t", ["a", "b"], 9)
+
+
+def test_a_database_is_read_between_balanced_cuts(spark, tmp_path, monkeypatch):
+    from tidemark.model import ColumnMeta, TableMeta
+
+    db = derby(tmp_path)
+    keys = [*range(900), *range(10**9, 10**9 + 100)]
+    jdbc.write_table(spark.createDataFrame([(k, 1) for k in keys], "k long, v int"), db, jdbc.quote("postgres", "t"), mode="overwrite")
+    source = JdbcSource(spark, db, "", readers=4)
+    meta = TableMeta("t", (ColumnMeta("k", "int8"), ColumnMeta("v", "int4")), ("k",))
+    monkeypatch.setattr(JdbcSource, "tasks", lambda self, table: 8)
+    sizes = [r["n"] for r in source.read(meta).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 8 and max(sizes) < 250
+    parts = source.parts(meta, 300)
+    assert len(parts) == 4 and sorted(r["k"] for p in parts for r in source.read_part(meta, p).collect()) == keys
+    # Text is cut by the database's own order or not at all.
+    text = TableMeta("t", (ColumnMeta("k", "text"),), ("k",))
+    assert source.cut_points(text, 4, 1000) == [] and source.parts(meta, 600) == []
+
+
+def test_parts_of_files(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    spark.range(100).selectExpr("id AS c_custkey").repartition(10).write.parquet(f"{root}/customer.parquet")
+    spark.range(60).selectExpr("id AS x").coalesce(1).write.parquet(f"{root}/bare.parquet")
+    source = ParquetSource(spark, root)
+    meta = {t.name: t for t in source.tables()}
+    parts = source.parts(meta["customer"], 25)
+    assert 3 <= len(parts) <= 4 and sorted(f for p in parts for f in p["files"]) == sorted(f for f, _ in source._files(meta["customer"]))
+    assert sorted(r[0] for p in parts for r in source.read_part(meta["customer"], p).collect()) == list(range(100))
+    assert source.parts(meta["bare"], 10) == [] and source.parts(meta["customer"], 60) == []
+
+
+def test_rows_rise_while_one_table_is_copied_whole(spark, tmp_path):
+    root = f"file://{tmp_path}/src"
+    spark.range(400).selectExpr("id AS c_custkey", "'c' AS c_name").repartition(24).write.parquet(f"{root}/customer.parquet")
+    wait = F.pandas_udf(lambda s: (time.sleep(0.25), s)[1], "long")
+
+    class Slow(ParquetSource):
+        def read(self, table):
+            return super().read(table).repartition(24).withColumn("c_custkey", wait("c_custkey"))
+
+    seen = []
+    config = Config(Endpoint(path=root), Endpoint(path=f"file://{tmp_path}/dst"), Migration())
+    out = Runner(spark, config, Slow(spark, root), FolderTarget(spark, config.target.path), progress=seen.append, every=0.2).run()
+    told = [e["rows"] for e in seen if e["event"] == "progress" and e["active"]]
+    assert out.rows_transferred == 400 and any(0 < n < 400 for n in told) and told == sorted(told)
+
+
+def test_cancel_ends_a_long_job_and_leaves_a_run_to_go_on_with(spark, tmp_path):
+    root = f"file://{tmp_path}/src"
+    spark.range(400).selectExpr("id AS c_custkey", "'c' AS c_name").repartition(40).write.parquet(f"{root}/customer.parquet")
+    wait = F.pandas_udf(lambda s: (time.sleep(3), s)[1], "long")
+
+    class Slow(ParquetSource):
+        slow = True
+
+        def read_part(self, table, bound):
+            df = super().read_part(table, bound)
+            return df.repartition(20).withColumn("c_custkey", wait("c_custkey")) if self.slow and started.is_set() else df
+
+    started = threading.Event()
+    config = Config(Endpoint(path=root), Endpoint(path=f"file://{tmp_path}/dst"), Migration(chunk_size=100))
+    target = FolderTarget(spark, config.target.path)
+    runner = Runner(spark, config, Slow(spark, root), target, grace=0.5, progress=lambda e: started.set() if e.get("rows", 0) >= 90 else None, every=0.05)
+    stopper = threading.Thread(target=lambda: (started.wait(60), time.sleep(1), runner.cancel.set()))
+    stopper.start()
+    began = time.monotonic()
+    out = runner.run()
+    stopper.join()
+    assert out.status == "cancelled" and out.exit_code() == 5 and time.monotonic() - began < 25
+    done = [p for p in target.ledger().rows(out.run_id, "customer") if p["row_count"]]
+    assert done
+    again = Slow(spark, root)
+    again.slow = False
+    second = Runner(spark, config, again, target).run(resume=True)
+    assert (second.status, second.run_id, second.rows_transferred) == ("completed", out.run_id, 400)
+    assert sorted(r[0] for r in target.table(again.tables()[0]).read().select("c_custkey").collect()) == list(range(400))
+
+
+def test_what_superseded_runs_left_is_swept(spark, tmp_path):
+    root = f"file://{tmp_path}/src"
+    spark.range(60).selectExpr("id AS c_custkey").repartition(6).write.parquet(f"{root}/customer.parquet")
+    config = Config(Endpoint(path=root), Endpoint(path=f"file://{tmp_path}/dst"), Migration(chunk_size=10))
+    target = Halting(spark, config.target.path, 2)
+    first = Runner(spark, config, ParquetSource(spark, root), target).run()
+    folders = [p["folder"] for p in target.ledger().rows(first.run_id, "customer") if p["folder"]]
+    assert first.status == "failed" and len(folders) == 2 and all(os.path.exists(f"{tmp_path}/dst/customer/{f}") for f in folders)
+    whole = FolderTarget(spark, config.target.path)
+    assert Runner(spark, config, ParquetSource(spark, root), whole).run().status == "completed"
+    # The run that failed is no more the last of its settings: the one after it may sweep.
+    assert Runner(spark, config, ParquetSource(spark, root), whole).run().status == "completed"
+    assert not any(os.path.exists(f"{tmp_path}/dst/customer/{f}") for f in folders) and whole.ledger().runs() == []

@@ -18,6 +18,7 @@ from tidemark.model import ParquetCatalog, TableMeta
 from tidemark.operators import constraints, merge, partition, scan, splits, verify
 from tidemark.plans.config import Config, ConfigError, keeps
 from tidemark.plans.progress import Stop, rows_in_flight, tagged
+from tidemark.scratch import drop
 from tidemark.sources import jdbc
 from tidemark.sources.files import VersionedTable
 from tidemark.sources.ledger import FolderLedger
@@ -266,6 +267,22 @@ class FolderTarget:
                 out += [{"table": name, "constraint": what, "rows": n} for what, bad in found if (n := bad.count())]
         return out
 
+    def check_changes(self, tables: list[TableMeta], changed: dict[str, DataFrame], references: bool = True, checks: bool = True) -> list[dict]:
+        """What the constraints would refuse of the rows that a merge brought. A merge takes no key away, so only these rows can
+        break one; of a parent only the files are read that may hold a key they refer to."""
+        out, names = [], {t.name: t for t in tables}
+        for level in constraints.fk_levels(tables):
+            for name in (n for n in level if n in changed):
+                t, df = names[name], changed[name]
+                found = [("primary key", constraints.pk_duplicates(df, list(t.key)))]
+                for f in t.foreign_keys if references else ():
+                    if f.parent in names and (parent := self.table(names[f.parent])).exists():
+                        there = parent.holding(df, list(f.parent_columns), list(f.columns))
+                        found.append((f.name, constraints.fk_orphans(df, list(f.columns), there, list(f.parent_columns))))
+                found += [(c.name, constraints.check_violations(df, c.definition)) for c in t.checks] if checks else []
+                out += [{"table": name, "constraint": what, "rows": n} for what, bad in found if (n := bad.count())]
+        return out
+
 
 class Runner:
     """A run saves the state of each table as it ends, and of each range of a large one, so that another can go on from there."""
@@ -282,6 +299,7 @@ class Runner:
         self.lock = threading.Lock()
         self.saving = threading.Lock()
         self.active: dict[str, int] = {}
+        self.changed: dict[str, DataFrame] = {}
 
     def tables(self) -> list[TableMeta]:
         m = self.config.migration
@@ -320,12 +338,19 @@ class Runner:
                 m = self.config.migration
                 # All tables, those that an earlier part of the run had done too.
                 result.violations = self.target.finalise(every, m.create_foreign_keys, m.create_check_constraints)
+            elif self.changed:
+                m = self.config.migration
+                result.violations = self.target.check_changes(every, self.changed, m.create_foreign_keys, m.create_check_constraints)
             self._save(rows, "failed" if result.tables_failed else "completed", result.run_id)
             result.status = "failed" if result.tables_failed else "completed"
         except Exception as e:
             result.status = "cancelled" if isinstance(e, Cancelled) else "failed"
             result.error, result.error_type = str(e), kind_of(e)
             result.recoverable = result.error_type in RECOVERABLE
+        finally:
+            for kept in self.changed.values():
+                drop(kept)
+            self.changed.clear()
         return self._ended(result, clock)
 
     def _sweep(self, state: DataFrame) -> None:
@@ -347,7 +372,7 @@ class Runner:
     @contextlib.contextmanager
     def _ticking(self, result: Result):
         """Tells, each ``every`` seconds, how many tables are done, which are under way and the rows so far."""
-        done = threading.Event()
+        done, most = threading.Event(), {}
 
         def tick():
             while not done.wait(self.every):
@@ -355,7 +380,9 @@ class Runner:
                     active = dict(self.active)
                 flying = {t: rows_in_flight(self.spark, tag_of(result.run_id, t)) for t in active}
                 with self.lock:
-                    active = {t: n + flying[t] for t, n in active.items()}
+                    # Between a job's end and its count a table keeps what it had.
+                    active = {t: max(n + flying[t], most.get(t, 0)) for t, n in active.items()}
+                    most.update(active)
                     self.progress({"event": "progress", "done": result.tables_success + result.tables_failed, "of": result.tables_total, "rows": result.rows_transferred + sum(active.values()), "active": sorted(active)})
 
         teller = threading.Thread(target=tick, daemon=True) if self.every else None
@@ -421,7 +448,13 @@ class Runner:
                 else:
                     df = self.source.read(table)
                     column = scan.pick_watermark_column(df, self.config.migration.date_updated_columns)
-                    rows = store.merge(scan.watermark_filter(df, column[0], mark) if column else df, list(table.key))
+                    changes = scan.watermark_filter(df, column[0], mark) if column else df
+                    if hasattr(self.target, "check_changes"):
+                        rows, kept = store.merge_kept(changes, list(table.key))
+                        with self.lock:
+                            self.changed[table.name] = kept
+                    else:
+                        rows = store.merge(changes, list(table.key))
         except Exception as e:
             error = "cancelled" if self.cancel.is_set() else (str(e).splitlines() or [type(e).__name__])[0]
             with self.lock:

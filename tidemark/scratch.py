@@ -2,7 +2,8 @@
 
 A written table cuts lineage: whoever loses an executor reads the files again. The folder is
 ``spark.checkpoint.dir`` of the session. Only a single-process ``local`` master may go without the
-setting; its tables then lie in a temporary folder that goes with the process.
+setting; its tables then lie in a temporary folder that goes with the process. Tables go with their block
+(``cleared``), else when the JVM ends in order; a killed one leaves them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: From so many buckets on, rows are dealt out before they are written: else each task would write a file for each bucket.
+WIDE = 2000
 _LOCAL: list[str] = []
 _KEPT: list[str] = []
 _TABLES: list[str] = []
@@ -38,17 +41,35 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _KEPT.append(path)
+    _remember(spark, path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._tidemark_path = path
     return kept
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    """The file system deletes the folder when the JVM ends in order, even if the session was stopped long before."""
+    _KEPT.append(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that ``keep`` returned; it must not be read afterwards."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._tidemark_path)
+    if df._tidemark_path in _KEPT:
+        _KEPT.remove(df._tidemark_path)
 
 
 def keep_by(df: DataFrame, label: str, *columns: str) -> DataFrame:
@@ -56,10 +77,11 @@ def keep_by(df: DataFrame, label: str, *columns: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(buckets, *columns) if buckets >= WIDE else df
     writer = df.write.bucketBy(buckets, *columns).sortBy(*columns).option("compression", "zstd")
     path = f"{shared_root(spark)}/{name}"
     writer.option("path", path).saveAsTable(name)
-    _KEPT.append(path)
+    _remember(spark, path)
     _TABLES.append(name)
     return spark.table(name)
 
@@ -69,10 +91,8 @@ def clear(spark: SparkSession) -> None:
     for name in _TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     _TABLES.clear()
-    jvm = spark._jvm
     for path in _KEPT:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
     _KEPT.clear()
 
 
@@ -88,12 +108,3 @@ def cleared(spark: SparkSession):
         clear(spark)
         _KEPT.extend(before)
         _TABLES.extend(tables)
-
-
-@atexit.register
-def _at_exit() -> None:
-    """A process that ends in order leaves nothing in the shared folder."""
-    spark = SparkSession.getActiveSession() if _KEPT or _TABLES else None
-    if spark is not None:
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            clear(spark)
