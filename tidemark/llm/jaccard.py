@@ -19,7 +19,8 @@ A document's set: hashes of its distinct ``SHINGLE``-word runs, A-Z lower-cased.
 Cases: null texts and texts without words have empty sets: they link with nothing, copies included. With
 fewer words than a shingle the whole sequence is the one shingle. Repeated rows and equal texts link with
 each other. component_id is the least non-null doc_id of the class (null if there is none). Extra columns
-do not matter; an empty table gives an empty result.
+do not matter; an empty table gives an empty result. Very long texts are read whole; one must fit a task's memory some
+forty times over.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import grouped, scatter, signed, whole_groups, with_keys
 from tidemark.llm.graph import components
 from tidemark.llm.substrings import frequent_runs
-from tidemark.llm.text import Words, as_texts, grams, inside, mix, rounds
+from tidemark.llm.text import Words, grams, inside, mix, rounds
 from tidemark.scratch import keep, keep_by
 
 SHINGLE = 4
@@ -358,8 +359,11 @@ def _candidate_edges(able: DataFrame, frequent, rule: Rule) -> DataFrame:
 
 def _links(texts: pa.Table, same: np.ndarray, rule: Rule):
     """Linked pairs among texts (places in the table); ``same`` allows a pair (i, j) by their sides."""
-    runs, offsets = sets_of(as_texts(texts.column("text").combine_chunks()), rule.words)
-    n = np.diff(offsets)
+    # The work arrays of a text are some forty times as large as it is; those of a cell's texts need not live together.
+    found = [sets_of(part, rule.words) for batch in texts.select(["text"]).to_batches() for _, part in rounds(batch, "text")]
+    runs = np.concatenate([r for r, _ in found])
+    n = np.concatenate([np.diff(o) for _, o in found])
+    offsets = np.append(0, np.cumsum(n))
     for i, j in surviving(vectors(runs, offsets), n, rule):
         if same[i] == same[j] == 0 or same[i] != same[j]:
             a, b = runs[offsets[i] : offsets[i + 1]], runs[offsets[j] : offsets[j + 1]]
