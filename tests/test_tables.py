@@ -10,9 +10,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import convert
+from tidemark.functions import convert, tolerant
 from tidemark.model import ParquetCatalog
-from tidemark.operators import constraints, merge, partition, scan, splits, verify
+from tidemark.operators import constraints, hashtree, merge, partition, scan, splits, verify
 from tidemark.plans import sqltext
 from tidemark.plans.config import Config, Endpoint, Migration
 from tidemark.plans.runner import FolderTarget, JdbcSource, ParquetSource, Runner
@@ -798,3 +798,52 @@ def test_what_superseded_runs_left_is_swept(spark, tmp_path):
     # The run that failed is no more the last of its settings: the one after it may sweep.
     assert Runner(spark, config, ParquetSource(spark, root), whole).run().status == "completed"
     assert not any(os.path.exists(f"{tmp_path}/dst/customer/{f}") for f in folders) and whole.ledger().runs() == []
+
+
+def test_rows_that_do_not_fit_go_to_the_rejects(spark, tmp_path):
+    root = f"file://{tmp_path}/src"
+    data = [(1, "12", "2024-01-01"), (2, "x1", "2024-02-30"), (3, None, None), (4, "70000", "2024-01-02"), (5, "-7", "")]
+    spark.createDataFrame(data, "r_regionkey int, size string, day string").write.parquet(f"{root}/region.parquet")
+    types = {"size": "smallint", "day": "date"}
+    for target in (FolderTarget(spark, f"file://{tmp_path}/dst"), jdbc.JdbcTarget(spark, derby(tmp_path), "APP", "postgres", ddl=False)):
+        config = Config(Endpoint(path=root), Endpoint(path="x"), Migration(convert={"region": types}))
+        out = Runner(spark, config, ParquetSource(spark, root), target).run()
+        assert (out.status, out.rows_transferred) == ("completed", 2)
+        kept = target.table(ParquetCatalog(spark, root).meta("region")).read()
+        assert sorted(r[0] for r in kept.collect()) == [1, 3] and target.state().read().first()["rows_skipped"] == 3
+        bad = target.rejects().read() if isinstance(target, FolderTarget) else jdbc.query(spark, target.db, 'SELECT * FROM "sync_rejects"')
+        got = sorted((json.loads(r["row_key"])["r_regionkey"], r["column_name"], r["value"]) for r in bad.collect())
+        assert got == [(2, "day", "2024-02-30"), (2, "size", "x1"), (4, "size", "70000"), (5, "day", "")]
+    config.migration.reject_limit = 2
+    out = Runner(spark, config, ParquetSource(spark, root), FolderTarget(spark, f"file://{tmp_path}/other")).run()
+    assert out.status == "failed" and "3 rows do not fit, 2 may" in out.table_errors[0]["message"]
+    parts = tolerant.Conversion(spark.createDataFrame(data, "k int, size string, day string"), types, ["k"], nulls=True)
+    assert parts.good.count() == 5 and parts.counts() == {"rows": 5, "rejected": 0, "size": 2, "day": 2} and parts.rejects.count() == 4
+    assert tolerant.Conversion(spark.createDataFrame([], "k int, size string, day string"), types, ["k"], limit=0).counts()["rows"] == 0
+
+
+@pytest.mark.parametrize("keys", [["k"], ["g", "k"]])
+def test_one_changed_row_compares_one_leaf(spark, tmp_path, keys):
+    n, seen = 20_000, []
+    spark.range(n).selectExpr("CASE WHEN id % 10 > 0 THEN id ELSE id * 100000 END AS k", "concat('g', id % 3) AS g", "id % 100 AS v").repartitionByRange(8, *keys).sortWithinPartitions(*keys).write.parquet(f"file://{tmp_path}/a")
+    source = spark.read.parquet(f"file://{tmp_path}/a")
+    target = source.withColumn("v", F.when(F.col("k") == 777, -1).otherwise(F.col("v")))
+    cuts = splits.cut_points(source, keys, 200, n)
+    a, b = (hashtree.tree(x, keys, ["k", "g", "v"], cuts) for x in (source, target))
+    apart = hashtree.differing_leaves(a, b, cuts)
+    assert len(apart) == 1 and hashtree.rows_of_leaves(source, keys, cuts, apart).count() < 2 * n / 200
+    assert max(r["n"] for r in a.filter("level = 0").collect()) < 2 * n / 200
+    assert [r["k"] for r in hashtree.tree_diff(source, target, keys, ["k", "g", "v"], 100).collect()] == [777]
+    assert hashtree.tree_diff(source, source, keys, ["k", "g", "v"], 100).count() == 0
+    other = target.filter("k <> 5").unionByName(spark.createDataFrame([(-9, "g9", 1)], "k long, g string, v long"))
+    got = hashtree.tree_diff(source, other, keys, ["k", "g", "v"], 100, kept=(hashtree.tree(other, keys, ["k", "g", "v"], cuts), cuts))
+    assert sorted((r["k"], r["status"]) for r in got.collect()) == [(-9, "extra"), (5, "missing"), (777, "different")]
+
+
+def test_many_leaves_and_none(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS k", "id AS v")
+    monkeypatch.setattr(hashtree, "SPANS", 3)
+    half = df.withColumn("v", F.when(F.col("k") % 20 == 0, -1).otherwise(F.col("v")))
+    assert hashtree.tree_diff(df, half, ["k"], ["k", "v"], 10).count() == 15
+    assert hashtree.tree_diff(df.limit(0), df.limit(0), ["k"], ["k", "v"], 10).count() == 0
+    assert hashtree.tree_diff(df.limit(0), df, ["k"], ["k", "v"], 10).count() == 300

@@ -22,13 +22,13 @@ PER_PART = 1000
 Cut = Sequence  # one value, as text or null, for each key column
 
 
-def cut_points(df: DataFrame, keys: list[str], parts: int, rows: int | None = None) -> list[list[str | None]]:
-    """At most ``parts`` - 1 cut points of ``df`` in key order, each value as text."""
+def cut_points(df: DataFrame, keys: list[str], parts: int, rows: int | None = None, exact: bool = False) -> list[list[str | None]]:
+    """At most ``parts`` - 1 cut points of ``df`` in key order, each value as text; of all rows if ``exact``."""
     if parts < 2:
         return []
     rows = df.count() if rows is None else rows
     share = PER_PART * parts / max(rows, 1)
-    some = df.select(*keys) if share >= 0.5 else df.select(*keys).sample(share, 20240501)
+    some = df.select(*keys) if exact or share >= 0.5 else df.select(*keys).sample(share, 20240501)
     bounds = ntile_bounds(some.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")), "key", parts)
     texts = [F.col(f"max_key.k{i}").cast("string").alias(f"k{i}") for i in range(len(keys))]
     found = [list(r)[1:] for r in bounds.select("partition_id", *texts).orderBy("partition_id").collect()]

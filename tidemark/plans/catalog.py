@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import convert, tuning, types
+from tidemark import scratch
+from tidemark.functions import convert, copybinary, tolerant, tuning, types
 from tidemark.model import TABLES, ParquetCatalog, columns_of
-from tidemark.operators import constraints, merge, partition, scan, verify
+from tidemark.operators import constraints, hashtree, merge, partition, scan, splits, verify
 from tidemark.plans.config import glob_regex
+from tidemark.scratch import keep
+from tidemark.sources.files import VersionedTable
 from tidemark.streaming import state as states
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,63 +291,6 @@ def _(spark, d):
     return spark.createDataFrame(rows, "table_name string, level int")
 
 
-# ---- state ----
-
-_RANGES = [(None, 100), (100, 200), (150, 260), (300, 400), (260, 280)]
-_STATE_COLUMNS = "run_id, run_status, run_started_at, table_name, table_status, rows_transferred, rows_skipped, last_sync_timestamp, updated_at"
-_STATE = [
-    ("r1", "completed", "2024-01-01 00:00:00", "orders", "completed", 100, 1, "2024-01-01 00:00:00", "2024-01-01 01:00:00"),
-    ("r1", "completed", "2024-01-01 00:00:00", "part", "completed", 50, 0, "2024-01-01 00:10:00", "2024-01-01 01:00:00"),
-    ("r2", "failed", "2024-01-02 00:00:00", "orders", "completed", 20, 2, "2024-01-02 00:00:00", "2024-01-02 01:00:00"),
-    ("r2", "failed", "2024-01-02 00:00:00", "part", "failed", 7, 0, None, "2024-01-02 01:00:00"),
-    ("r2", "failed", "2024-01-02 00:00:00", "nation", "pending", 0, 0, None, "2024-01-02 01:00:00"),
-]
-_STATE_SQL = f"WITH st({_STATE_COLUMNS}) AS (VALUES {', '.join('(' + ', '.join('NULL' if v is None else repr(v) for v in r) + ')' for r in _STATE)})"
-
-
-def _state(spark: SparkSession) -> DataFrame:
-    names = _STATE_COLUMNS.split(", ")
-    df = spark.createDataFrame(_STATE, ", ".join(f"{n} {'long' if n.startswith('rows') else 'string'}" for n in names))
-    for c in ("run_started_at", "last_sync_timestamp", "updated_at"):
-        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
-    return df
-
-
-@query("resume_point", "SELECT CAST(280 AS BIGINT) AS resume_key")
-def _(spark, d):
-    return states.resume_point(spark.createDataFrame(_RANGES, "range_start long, range_end long"))
-
-
-@query("partition_progress_by_table", "SELECT table_name, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS partitions, arg_min(error, id) FILTER (error IS NOT NULL) AS error FROM (VALUES ('a', 1, 10, NULL), ('a', 2, 20, 'late'), ('a', 3, 5, 'later'), ('b', 1, 7, NULL)) AS p(table_name, id, n, error) GROUP BY table_name")
-def _(spark, d):
-    parts = spark.createDataFrame([("a", 1, 10, None), ("a", 2, 20, "late"), ("a", 3, 5, "later"), ("b", 1, 7, None)], "table_name string, partition_id int, row_count long, error string")
-    return states.table_progress(parts)
-
-
-@query("latest_run_state", f"{_STATE_SQL} SELECT table_name, table_status FROM st WHERE run_id = (SELECT run_id FROM st ORDER BY run_started_at DESC LIMIT 1)")
-def _(spark, d):
-    return states.latest_run(_state(spark)).select("table_name", "table_status")
-
-
-@query("last_sync_timestamp", f"{_STATE_SQL} SELECT table_name, CAST(arg_max(last_sync_timestamp, updated_at) AS TIMESTAMP) AS last_sync_timestamp FROM st WHERE table_status = 'completed' AND last_sync_timestamp IS NOT NULL GROUP BY table_name")
-def _(spark, d):
-    return states.last_sync(_state(spark))
-
-
-@query("pending_tables", f"{_STATE_SQL} SELECT DISTINCT table_name FROM st WHERE run_id = 'r2' AND table_status <> 'completed'")
-def _(spark, d):
-    own = _state(spark).filter("run_id = 'r2'")
-    return states.pending_tables(own.select("table_name").distinct(), own, "upsert")
-
-
-@query(
-    "run_summary",
-    f"{_STATE_SQL} SELECT run_id, count(*) FILTER (table_status = 'completed') AS tables_success, count(*) FILTER (table_status = 'failed') AS tables_failed, CAST(coalesce(sum(rows_transferred) FILTER (table_status = 'completed'), 0) AS BIGINT) AS rows_transferred, CAST(coalesce(sum(rows_skipped) FILTER (table_status = 'completed'), 0) AS BIGINT) AS rows_skipped FROM st GROUP BY run_id",
-)
-def _(spark, d):
-    return states.run_summary(_state(spark))
-
-
 # ---- state of runs that the events stand for: a day is a run, a type of event a table ----
 
 _DAYS_SQL = (
@@ -457,6 +404,174 @@ def _(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", verify.row_hash(["o_orderkey", "o_orderstatus"]).alias("row_md5"))
 
 
+# ---- parts between cuts, merges in files, trees, frames, rejects ----
+
+
+@query("rows_by_tuple_parts", "SELECT conv_id, turn, role, text FROM conversations")
+def _(spark, d):
+    """The table as eight scans between cut points of its composite key: each row once."""
+    rows = _t(spark, d, "conversations")
+    return _between_cuts(rows, ["conv_id", "turn"], 8)
+
+
+@query("rows_by_text_parts", "SELECT p_partkey, p_name, p_type FROM part")
+def _(spark, d):
+    return _between_cuts(_t(spark, d, "part").select("p_partkey", "p_name", "p_type"), ["p_type", "p_name"], 5)
+
+
+def _between_cuts(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    bounds = [None, *splits.cut_points(df, keys, parts), None]
+    each = [splits.between(df, keys, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_TUPLES = "SELECT conv_id, turn, ntile(6) OVER (ORDER BY conv_id, turn) AS b FROM conversations"
+
+
+@query(
+    "tuple_partition_bounds",
+    f"SELECT CAST(b AS INTEGER) AS partition_id, arg_min(conv_id, (conv_id, turn)) AS first_conv, arg_min(turn, (conv_id, turn)) AS first_turn, arg_max(conv_id, (conv_id, turn)) AS last_conv, arg_max(turn, (conv_id, turn)) AS last_turn, count(*) AS row_count FROM ({_TUPLES}) GROUP BY b",
+)
+def _(spark, d):
+    keys = _t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("key"))
+    named = {"first_conv": "min_key.conv_id", "first_turn": "min_key.turn", "last_conv": "max_key.conv_id", "last_turn": "max_key.turn"}
+    return partition.ntile_bounds(keys, "key", 6).select("partition_id", *[F.col(c).alias(n) for n, c in named.items()], "row_count")
+
+
+# Nine keys of ten lie in a thousandth of the range.
+_SKEWED = "SELECT CASE WHEN event_id % 10 > 0 THEN event_id ELSE event_id * 1000 END AS k FROM events"
+
+
+@query("skewed_parts", f"SELECT CAST(b AS BIGINT) AS part, count(*) AS row_count, min(k) AS min_key, max(k) AS max_key FROM (SELECT k, ntile(12) OVER (ORDER BY k) AS b FROM ({_SKEWED})) GROUP BY b")
+def _(spark, d):
+    skewed = _t(spark, d, "events").select(F.when(F.col("event_id") % 10 > 0, F.col("event_id")).otherwise(F.col("event_id") * 1000).alias("k"))
+    cuts = splits.cut_points(skewed, ["k"], 12, exact=True)
+    return skewed.withColumn("part", hashtree.leaf_of(skewed, ["k"], cuts).cast("long") + 1).groupBy("part").agg(F.count("*").alias("row_count"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+
+
+def _aside(spark: SparkSession, name: str) -> VersionedTable:
+    """A versioned table in the shared folder, of this run alone."""
+    return VersionedTable(spark, f"{scratch.shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+@query(
+    "merge_in_files",
+    "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 40 AND 60 OR o_orderkey % 1000 = 7 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders"
+    " UNION ALL SELECT -1 - o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 1000 = 7",
+)
+def _(spark, d):
+    """Two merges into a table of files: the first puts it in key order, the second rewrites what its keys touch."""
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = _aside(spark, "merged-orders")
+    table.file_rows = 1000
+    table.publish(orders)
+    table.merge(orders.filter("o_orderkey BETWEEN 40 AND 60").withColumn("o_orderstatus", F.lit("Z")), ["o_orderkey"])
+    sparse = orders.filter("o_orderkey % 1000 = 7")
+    fresh = sparse.select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    table.merge(sparse.withColumn("o_orderstatus", F.lit("Z")).unionByName(fresh), ["o_orderkey"])
+    return table.read()
+
+
+@query(
+    "state_saved_twice",
+    f"{_DAYS_SQL} SELECT run_id, table_name, CASE WHEN rows_transferred % 2 = 0 THEN 'completed' ELSE table_status END AS table_status, rows_transferred + CASE WHEN rows_transferred % 2 = 0 THEN 1 ELSE 0 END AS rows_transferred FROM st",
+)
+def _(spark, d):
+    """Every run of the events is saved, then half of the rows again as they ended: earlier runs stay."""
+    days = keep(_days(spark, d).select("run_id", "table_name", "table_status", "rows_transferred"), "days")
+    store = _aside(spark, "state")
+    store.publish(states.save(days.limit(0), days))
+    again = days.filter("rows_transferred % 2 = 0").withColumns({"table_status": F.lit("completed"), "rows_transferred": F.col("rows_transferred") + 1})
+    for _ in range(2):
+        store.publish(states.save(store.read(), again))
+    return store.read()
+
+
+@query("hash_tree_diff", _DIFF)
+def _(spark, d):
+    return hashtree.tree_diff(*_perturbed(spark, d), ["o_orderkey"], _COMPARED, 500)
+
+
+_LEAVES = "SELECT ntile(9) OVER (ORDER BY c_custkey) - 1 AS leaf, md5(concat_ws('|', 'v' || c_custkey, 'v' || c_name)) AS h FROM customer"
+
+
+@query(
+    "hash_tree_nodes",
+    f"WITH r AS (SELECT leaf, count(*) AS n, sum(CAST(CAST('0x' || h[1:15] AS BIGINT) AS DECIMAL(38,0))) AS s FROM ({_LEAVES}) GROUP BY leaf), l0 AS (SELECT leaf AS node, n, md5(n || ':' || s) AS hash FROM r),"
+    + ", ".join(f"l{i} AS (SELECT node // 4 AS node, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM l{i - 1} GROUP BY node // 4)" for i in (1, 2))
+    + " SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2",
+)
+def _(spark, d):
+    customer = _t(spark, d, "customer")
+    return hashtree.tree(customer, ["c_custkey"], ["c_custkey", "c_name"], splits.cut_points(customer, ["c_custkey"], 9, exact=True), 4)
+
+
+def _field(value: str) -> str:
+    """A value's bytes, given as hexadecimal digits, with their number before them."""
+    return f"printf('%08x', length({value}) // 2) || lower({value})"
+
+
+_FRAME = " || ".join(
+    ["'0006'", *[_field(x) for x in ("printf('%016x', o_orderkey)", "printf('%016x', o_custkey)", "hex(encode(o_orderstatus))", "hex(CAST(CAST(o_totalprice AS BIT) AS BLOB))", "printf('%016x', CAST(epoch_us(o_orderdate) - 946684800000000 AS BIGINT))", "hex(encode(o_orderpriority))")]]
+)
+
+
+@query("binary_copy_frames", f"SELECT o_orderkey, md5(unhex({_FRAME})) AS frame_md5 FROM orders")
+def _(spark, d):
+    orders = _t(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    return orders.select("o_orderkey", F.md5(copybinary.frame(orders)).alias("frame_md5"))
+
+
+@query("binary_copy_round_trip", "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value, CASE WHEN event_id % 7 > 0 THEN props END AS props, CAST(value AS DECIMAL(12,4)) AS amount FROM events")
+def _(spark, d):
+    """Streams of the whole table, cut into chunks and read again."""
+    events = _t(spark, d, "events").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "props": F.when(F.col("event_id") % 7 > 0, F.col("props")), "amount": F.col("value").cast("decimal(12,4)")})
+    return copybinary.read_chunks(copybinary.chunks(events), events.schema)
+
+
+# A text of each event whose number does not fit a small integer, or is none: in one of nine it has a letter.
+_TYPED = "SELECT event_id, CAST(user_id * 700 AS VARCHAR) || CASE WHEN event_id % 9 = 4 THEN 'x' ELSE '' END AS a, CASE WHEN event_id % 5 > 0 THEN regexp_extract(props, '[0-9]+') ELSE event_type END AS b FROM events"
+_FITS = "TRY_CAST(a AS SMALLINT) IS NOT NULL AND (b IS NULL OR TRY_CAST(b AS INTEGER) IS NOT NULL)"
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    a = F.concat((F.col("user_id") * 700).cast("string"), F.when(F.col("event_id") % 9 == 4, "x").otherwise(""))
+    b = F.when(F.col("event_id") % 5 > 0, F.regexp_extract("props", "[0-9]+", 0)).otherwise(F.col("event_type"))
+    return _t(spark, d, "events").select("event_id", a.alias("a"), b.alias("b"))
+
+
+@query("converted_rows", f"SELECT event_id, TRY_CAST(a AS SMALLINT) AS a, TRY_CAST(b AS INTEGER) AS b FROM ({_TYPED}) WHERE {_FITS}")
+def _(spark, d):
+    return tolerant.Conversion(_typed(spark, d), {"a": "smallint", "b": "int"}, ["event_id"]).good
+
+
+@query(
+    "rejected_values",
+    f"SELECT event_id, 'a' AS column_name, a AS value FROM ({_TYPED}) WHERE TRY_CAST(a AS SMALLINT) IS NULL UNION ALL SELECT event_id, 'b', b FROM ({_TYPED}) WHERE TRY_CAST(b AS INTEGER) IS NULL",
+)
+def _(spark, d):
+    return tolerant.Conversion(_typed(spark, d), {"a": "smallint", "b": "int"}, ["event_id"]).rejects
+
+
+@query(
+    "orphans_of_changes",
+    "SELECT event_id, user_id FROM (SELECT event_id, CASE WHEN event_id % 50 = 3 THEN -user_id - 1 ELSE user_id END AS user_id FROM events WHERE event_id % 20 = 3) WHERE user_id NOT IN (SELECT c_custkey FROM customer)",
+)
+def _(spark, d):
+    """Of changed events only; of the parents only the files that may hold a key they refer to."""
+    customer = _t(spark, d, "customer")
+    parents = _aside(spark, "parents")
+    parents.file_rows = 500
+    parents.publish(customer)
+    parents.merge(customer.filter("c_custkey = 0"), ["c_custkey"])
+    user = F.when(F.col("event_id") % 50 == 3, -F.col("user_id") - 1).otherwise(F.col("user_id"))
+    changes = _t(spark, d, "events").filter("event_id % 20 = 3").select("event_id", user.alias("user_id"))
+    return constraints.fk_orphans(changes, ["user_id"], parents.holding(changes, ["c_custkey"], ["user_id"]), ["c_custkey"])
+
+
 # ---- names, types, values ----
 
 _NAMES = ["dbo.Users", "dbo.UserLogs", "TempData", "log_2024", "dbo.Posts"]

@@ -64,6 +64,10 @@ class Migration:
     create_indexes: bool = True
     create_foreign_keys: bool = True
     create_check_constraints: bool = True
+    #: By table, the types that columns are converted to; rows that do not fit go to a table of rejects.
+    convert: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Most rejected rows of a table before it fails; no limit if not given.
+    reject_limit: int | None = None
 
 
 @dataclass
@@ -143,6 +147,10 @@ def validate(config: Config) -> Config:
     for name in _COUNTS:
         if getattr(config.migration, name) == 0:
             raise ConfigError(f"migration.{name} must be at least 1")
+    if config.migration.reject_limit is not None and config.migration.reject_limit < 0:
+        raise ConfigError("migration.reject_limit must be at least 0")
+    if not all(isinstance(c, dict) and all(isinstance(t, str) for t in c.values()) for c in config.migration.convert.values()):
+        raise ConfigError("migration.convert must give each table's columns a type")
     for option in ("include_tables", "exclude_tables"):
         for pattern in getattr(config.migration, option):
             if not re.fullmatch(r"[A-Za-z0-9_.*?]+", pattern):

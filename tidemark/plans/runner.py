@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import tuning
+from tidemark.functions.tolerant import Conversion
 from tidemark.model import ParquetCatalog, TableMeta
-from tidemark.operators import constraints, merge, partition, scan, splits, verify
+from tidemark.operators import constraints, hashtree, merge, partition, scan, splits, verify
 from tidemark.plans.config import Config, ConfigError, keeps
 from tidemark.plans.progress import Stop, rows_in_flight, tagged
 from tidemark.scratch import drop
@@ -253,6 +254,13 @@ class FolderTarget:
         for table, folder in parts:
             VersionedTable(self.spark, f"{self.root}/{table}").discard([folder])
 
+    def rejects(self) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/_rejects")
+
+    def reject(self, rows: DataFrame) -> None:
+        """Keep values that did not fit: run_id, table_name, row_key, column_name, value."""
+        self.rejects().append(rows)
+
     def finalise(self, tables: list[TableMeta], references: bool = True, checks: bool = True) -> list[dict]:
         """What the constraints of the source would refuse in the target: files enforce none."""
         out, names = [], {t.name: t for t in tables}
@@ -432,6 +440,23 @@ class Runner:
             ledger.finish(run, table.name, store)
         return rows
 
+    def _convert(self, table: TableMeta, types: dict[str, str], store, run: str, mode: str) -> tuple[int, int]:
+        """Rows whose values fit go on, the others to the rejects; the numbers of both. Too many fail the table before anything is written."""
+        parts = Conversion(self.source.read(table), types, list(table.key), self.config.migration.reject_limit)
+        try:
+            counts = parts.counts()
+            if counts["rejected"]:
+                key = F.to_json(F.struct(*table.key)) if table.key else F.lit(None).cast("string")
+                with self.saving:
+                    self.target.reject(parts.rejects.select(F.lit(run).alias("run_id"), F.lit(table.name).alias("table_name"), key.alias("row_key"), "column_name", "value"))
+            if mode == "drop_recreate" or not store.exists():
+                store.publish(parts.good)
+            else:
+                store.merge(parts.good, list(table.key))
+            return counts["rows"] - counts["rejected"], counts["rejected"]
+        finally:
+            parts.close()
+
     def _one(self, table: TableMeta, mode: str, mark, result: Result, began: dt.datetime) -> tuple:
         started, error, rows, skipped = self.clock(), None, 0, 0
         row = [result.run_id, self.config.fingerprint(), began, None, "running", table.name]
@@ -442,7 +467,9 @@ class Runner:
         try:
             with tagged(self.spark, result.run_id, tag_of(result.run_id, table.name)):
                 store = self.target.table(table)
-                if mode == "drop_recreate" or not store.exists():
+                if types := self.config.migration.convert.get(table.name):
+                    rows, skipped = self._convert(table, types, store, result.run_id, mode)
+                elif mode == "drop_recreate" or not store.exists():
                     begun = (*row, "in_progress", 0, 0, 0, None, None, None, None, self.clock())
                     rows = self._copy(table, store, result.run_id, begun)
                 else:
@@ -486,6 +513,12 @@ class Runner:
         found = {n: t.read() for n, t in there.items() if t.exists()}
         return verify.reconcile(source, verify.table_counts(found) if found else verify.empty_counts(self.spark))
 
+    def differences(self, name: str) -> DataFrame:
+        """Keys of a table whose rows are missing, extra or different in the target, by trees of hashes."""
+        table = next(t for t in self.tables() if t.name == name)
+        source, target = self.source.read(table), self.target.table(table).read()
+        return hashtree.tree_diff(source, target.select(*source.columns), list(table.key), source.columns)
+
     def health(self) -> dict:
         out = {}
         for side, probe in (("source", lambda: self.source.tables()), ("target", lambda: self.target.state().exists())):

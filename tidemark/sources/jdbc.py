@@ -480,6 +480,10 @@ class JdbcTarget:
 
         return JdbcLedger(self.spark, self.db)
 
+    def reject(self, rows: DataFrame) -> None:
+        """Append values that did not fit to the table sync_rejects."""
+        write_table(rows, self.db, quote(self.db.kind, "sync_rejects"))
+
     def discard(self, parts: list[tuple[str, str]]) -> None:
         """Nothing lies beside the tables."""
 
