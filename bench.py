@@ -19,7 +19,8 @@ HEADLINE = [
     "watermark_null_inclusive", "ntile_partition_bounds", "equal_width_ranges", "range_row_counts", "table_row_counts", "min_max_pk", "upsert_full",
     "upsert_incremental", "upsert_null_overwrite", "upsert_composite_pk", "merge_change_actions", "merge_noop_filtered", "dedupe_latest_by_key",
     "pk_duplicate_keys", "fk_orphans_lineitem_l_orderkey", "check_violations", "count_reconciliation", "bucket_count_diff", "row_hash_diff", "tiered_diff",
-    "row_md5", "utf16_sizes", "escape_tsv", "epoch2000_encode",
+    "row_md5", "utf16_sizes", "escape_tsv", "epoch2000_encode", "rows_by_tuple_parts", "tuple_partition_bounds", "merge_in_files", "hash_tree_diff", "binary_copy_frames",
+    "binary_copy_round_trip", "converted_rows", "rejected_values", "orphans_of_changes",
 ]
 
 
@@ -37,6 +38,7 @@ def written(spark, sf_dir: str, rows: int = WRITTEN) -> dict[str, int]:
     out = {}
     with tempfile.TemporaryDirectory(prefix="tidemark-bench-") as root:
         source, target = (VersionedTable(spark, f"file://{root}/{x}") for x in ("source", "target"))
+        target.file_rows = 100_000
         source.publish(many)
         began = time.perf_counter()
         count = target.publish(source.read())
@@ -45,6 +47,15 @@ def written(spark, sf_dir: str, rows: int = WRITTEN) -> dict[str, int]:
         count = target.merge(source.read().withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
         out["upsert_written_rows_per_sec"] = int(count / (time.perf_counter() - began))
         out["written_rows"] = count
+        # Changes of a thousandth of the rows, next to each other, into the table that the merge before left in key order.
+        before = set(target._folders(target.version()))
+        low = n * times // 2
+        few = target.read().filter((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < low + count // 1000))
+        began = time.perf_counter()
+        changed = target.merge(few.withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
+        out["small_merge_sec"] = round(time.perf_counter() - began, 3)
+        files = {f for f in target._folders(target.version()) if not f.startswith("index-")}
+        out["small_merge_rows"], out["small_merge_files_written"], out["small_merge_files"] = changed, len(files - before), len(files)
     return out
 
 
