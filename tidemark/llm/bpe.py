@@ -7,7 +7,9 @@ worker keeps the ids of those it has seen, up to ``CACHE_WORDS``.
 
 Cases: a null or empty text has no ids and decodes to an empty text. Rows are independent: repeated
 rows and extra columns pass through, an empty table gives an empty table. Strings of the special
-tokens in a text become the special ids, as the public library does by default.
+tokens in a text become the special ids, as the public library does by default. Of equal lowest ranks the leftmost pair
+merges first. Very long texts are encoded whole, in rounds of array work; a single word of a megabyte needs a round over its
+symbols for each rank that occurs in it.
 """
 
 from __future__ import annotations

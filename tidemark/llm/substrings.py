@@ -17,7 +17,8 @@ with their number, and the rows that own them go on by a hash of their own, alre
 at most one row for each round and distinct string. Equal texts are one text with a number of copies.
 
 Cases: null texts have no words. Repeated rows repeat each other's windows. Texts shorter than a window
-lose nothing. Extra columns do not matter; an empty table gives an empty result.
+lose nothing. Of equal minimisers in a window the first counts; which one it is changes no result. Very long texts are read whole;
+one must fit a task's memory some ten times over. Extra columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ shuffled once, to their chunk; copies of a text that one task reads travel as on
 
 Cases: a null text is empty. Of equal texts those with the smallest doc_id stand for all; the others lose
 every byte if the text has ``LENGTH`` bytes. A null doc_id counts as larger than any; rows with equal
-doc_id do not hold anything before each other. Extra columns do not matter; empty tables give empty
+doc_id do not hold anything before each other. Very long texts are read whole; one must fit a task's memory some ten times over. Extra columns do not matter; empty tables give empty
 results.
 """
 
