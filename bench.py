@@ -19,8 +19,12 @@ HEADLINE = [
     "watermark_null_inclusive", "ntile_partition_bounds", "equal_width_ranges", "range_row_counts", "table_row_counts", "min_max_pk", "upsert_full",
     "upsert_incremental", "upsert_null_overwrite", "upsert_composite_pk", "merge_change_actions", "merge_noop_filtered", "dedupe_latest_by_key",
     "pk_duplicate_keys", "fk_orphans_lineitem_l_orderkey", "check_violations", "count_reconciliation", "bucket_count_diff", "row_hash_diff", "tiered_diff",
-    "row_md5", "utf16_sizes", "escape_tsv", "epoch2000_encode", "rows_by_tuple_parts", "tuple_partition_bounds", "merge_in_files", "hash_tree_diff", "binary_copy_frames",
-    "binary_copy_round_trip", "converted_rows", "rejected_values", "orphans_of_changes",
+    "row_md5", "utf16_sizes", "escape_tsv", "epoch2000_encode",
+]
+#: Timed apart, once each, so that the total stays that of the same queries.
+MORE = [
+    "rows_by_tuple_parts", "tuple_partition_bounds", "merge_in_files", "hash_tree_diff", "binary_copy_frames", "binary_copy_round_trip", "converted_rows",
+    "rejected_values", "orphans_of_changes",
 ]
 
 
@@ -47,7 +51,8 @@ def written(spark, sf_dir: str, rows: int = WRITTEN) -> dict[str, int]:
         count = target.merge(source.read().withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
         out["upsert_written_rows_per_sec"] = int(count / (time.perf_counter() - began))
         out["written_rows"] = count
-        # Changes of a thousandth of the rows, next to each other, into the table that the merge before left in key order.
+        # Changes of a thousandth of the rows, next to each other, into a table in key order.
+        target.merge(target.read().limit(1), ["o_orderkey"])  # the first small merge puts the table in key order
         before = set(target._folders(target.version()))
         low = n * times // 2
         few = target.read().filter((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < low + count // 1000))
@@ -73,9 +78,15 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - began)
         times[name] = round(best, 4)
+    more = {}
+    for name in MORE:
+        began = time.perf_counter()
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        more[name] = round(time.perf_counter() - began, 4)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     found = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(found[1]) if found else None}
+    out["more_queries"] = more
     out["upsert_rows_per_sec"] = int(orders / times["upsert_full"])
     out |= written(spark, sf_dir)
     spark.stop()

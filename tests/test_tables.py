@@ -596,14 +596,16 @@ def test_a_merge_rewrites_only_what_it_touches(spark, tmp_path, keys):
     before = files_of(table)
     assert len(before) >= 15 and sum(r[1] for r in table.index().rows) == 1000
     want = {k: "old" for k in range(1000)} | {3: "first"}
-    for ks, most in ((range(410, 420), 2), ([700, 5000, -1], 3), ([6000], 2), ([], 0), (range(0, 1000, 7), 99)):
+    for ks, most in ((range(410, 420), 2), ([700, 5000, -1], 3), ([6000], 2), ([], 0), (range(0, 1000, 7), 99), (range(300, 306), 2)):
         assert table.merge(make(ks, str(len(ks))), keys) == len(ks)
         want |= {k: str(len(ks)) for k in ks}
         now = files_of(table)
-        assert len(before - now) <= most
+        assert len(before - now) <= most and table.index() is not None
         before = now
         assert {r["k"]: r["v"] for r in table.read().collect()} == want and table.read().count() == len(want)
         assert sum(r[1] for r in table.index().rows) == len(want)
+    assert table.merge(make(range(0, 1000, 3), "many"), keys) == 334 and table.index() is None
+    assert table.merge(make([3], "again"), keys) == 1 and sum(r[1] for r in table.index().rows) == len(want)
     assert table.holding(spark.createDataFrame([("g4", 415)], "a string, b long"), keys, ["b"] if keys == ["k"] else ["a", "b"]).count() <= 110
     table.publish(make([1], "new"))
     assert rows(table.read()) == [("g0", 1, "new")] and table.index() is None
@@ -640,6 +642,7 @@ def test_parents_are_read_where_changes_point(spark, tmp_path):
     parent.file_rows = 20
     parent.publish(spark.range(1000).selectExpr("id AS c_custkey", "'c' AS c_name"))
     parent.merge(spark.range(1).selectExpr("id AS c_custkey", "'d' AS c_name"), ["c_custkey"])
+    assert parent.index() is not None
     changes = spark.createDataFrame([(1, 500), (2, 501), (3, 5000), (4, None)], "o_orderkey long, o_custkey long")
     assert len(parent.holding(changes, ["c_custkey"], ["o_custkey"]).inputFiles()) <= 2 < len(parent.read().inputFiles())
     assert target.check_changes(metas, {"orders": changes}) == [{"table": "orders", "constraint": "fk_o_custkey", "rows": 1}]

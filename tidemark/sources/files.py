@@ -16,6 +16,8 @@ from tidemark.scratch import drop, keep
 
 #: Rows of a file of a table that is kept in key order.
 FILE_ROWS = 1_000_000
+#: A batch times so much as large as the table is merged into it whole.
+LARGE = 4
 
 
 def counting(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
@@ -166,7 +168,12 @@ class VersionedTable:
             fs.delete(self._fs(f"{self.root}/_pointers/{n:012d}")[1], False)
 
     def merge(self, changes: DataFrame, keys: list[str]) -> int:
-        """Put the changes in; their number."""
+        """Put the changes in; their number. A batch of a quarter of the table or more rewrites it as it comes, without an order."""
+        target = self.read()
+        if LARGE * changes.count() >= target.count():
+            changes, counted = counting(changes.select(*target.columns))
+            self.publish(upsert(target, changes, keys))
+            return counted()
         rows, kept = self.merge_kept(changes, keys)
         drop(kept)
         return rows
@@ -175,7 +182,8 @@ class VersionedTable:
         """Put the changes in; their number, and the changes as a kept table.
 
         Of an indexed table only files whose key range holds a key of theirs are read and written, and with them small
-        ones of together no more than a file's rows. The first merge of a table rewrites it in key order and indexes it.
+        ones of together no more than a file's rows. The first small merge of a table rewrites it in key order and indexes it; one
+        of a quarter of its rows or more writes all of it, without order or index.
         """
         target = self.read()
         changes, counted = counting(changes.select(*target.columns))
@@ -183,6 +191,9 @@ class VersionedTable:
         rows, index = counted(), self.index()
         if not rows:
             return 0, kept
+        if LARGE * rows >= target.count():
+            self.publish(upsert(target, kept, keys))
+            return rows, kept
         if index is None or index.keys != keys:
             merged, n, left = upsert(target, kept, keys), None, []
         else:
