@@ -33,143 +33,155 @@ class Mapping:
     warning: str | None = None
 
 
-# Native spellings of each dialect. A trailing ~ marks a kind that does not hold all of the type.
+# Native spellings of each dialect by the kind that they are read as.
 _SPELLINGS = {
-    "mssql": """
-        Boolean: bit
-        UInt8: tinyint
-        Int16: smallint
-        Int32: int, integer
-        Int64: bigint
-        Decimal: decimal, numeric
-        Money: money
-        SmallMoney: smallmoney
-        Float64: float
-        Float32: real
-        Char: char, nchar
-        Varchar: varchar, nvarchar
-        Text: text, ntext
-        Binary: binary
-        Varbinary: varbinary
-        Blob: image
-        Date: date
-        Time: time
-        DateTime: datetime, datetime2, smalldatetime
-        DateTimeTz: datetimeoffset
-        Uuid: uniqueidentifier
-        Xml: xml
-        Geometry~: geometry
-        Geography~: geography
-    """,
-    "postgres": """
-        Boolean: bool, boolean
-        Int16: int2, smallint, smallserial
-        Int32: int4, integer, int, serial
-        Int64: int8, bigint, bigserial, oid
-        Float32: float4, real
-        Float64: float8, double precision
-        Decimal: numeric, decimal
-        Money: money
-        Char: char, character, bpchar
-        Varchar: varchar, character varying, name
-        Text: text
-        Blob: bytea
-        Date: date
-        Time: time, time without time zone
-        Time~: timetz, time with time zone
-        DateTime: timestamp, timestamp without time zone
-        DateTimeTz: timestamptz, timestamp with time zone
-        Interval: interval
-        Uuid: uuid
-        Json: json
-        JsonBinary~: jsonb
-        Xml: xml
-        Bit: bit
-        VarBit: varbit, bit varying
-        InetAddr: inet
-        CidrAddr: cidr
-        MacAddr: macaddr, macaddr8
-        Point: point
-        Line: line, lseg
-        Polygon: box, path, polygon, circle
-        TsVector: tsvector
-        TsQuery: tsquery
-        Int4Range: int4range
-        Int8Range: int8range
-        NumRange: numrange
-        TsRange: tsrange
-        TsTzRange: tstzrange
-        DateRange: daterange
-    """,
-    "mysql": """
-        Boolean: bool, boolean
-        Int16: tinyint, smallint
-        Int32: mediumint, int, integer
-        Int64: bigint
-        Float32: float
-        Float64: double, double precision, real
-        Decimal: decimal, numeric, dec, fixed
-        Char: char
-        Varchar: varchar
-        Text: tinytext, text, mediumtext, longtext
-        Binary: binary
-        Varbinary: varbinary
-        Blob: tinyblob, blob, mediumblob, longblob
-        Date: date
-        Time: time
-        DateTime: datetime, timestamp
-        Year: year
-        Json: json
-        Bit: bit
-        Enum~: enum
-        Set~: set
-        Geometry~: geometry, point, linestring, polygon, multipoint, multilinestring, multipolygon, geometrycollection
-    """,
+    "mssql": {
+        "Boolean": ("bit",),
+        "UInt8": ("tinyint",),
+        "Int16": ("smallint",),
+        "Int32": ("int", "integer"),
+        "Int64": ("bigint",),
+        "Decimal": ("decimal", "numeric"),
+        "Money": ("money",),
+        "SmallMoney": ("smallmoney",),
+        "Float64": ("float",),
+        "Float32": ("real",),
+        "Char": ("char", "nchar"),
+        "Varchar": ("varchar", "nvarchar"),
+        "Text": ("text", "ntext"),
+        "Binary": ("binary",),
+        "Varbinary": ("varbinary",),
+        "Blob": ("image",),
+        "Date": ("date",),
+        "Time": ("time",),
+        "DateTime": ("datetime", "datetime2", "smalldatetime"),
+        "DateTimeTz": ("datetimeoffset",),
+        "Uuid": ("uniqueidentifier",),
+        "Xml": ("xml",),
+        "Geometry": ("geometry",),
+        "Geography": ("geography",),
+    },
+    "postgres": {
+        "Boolean": ("bool", "boolean"),
+        "Int16": ("int2", "smallint", "smallserial"),
+        "Int32": ("int4", "integer", "int", "serial"),
+        "Int64": ("int8", "bigint", "bigserial", "oid"),
+        "Float32": ("float4", "real"),
+        "Float64": ("float8", "double precision"),
+        "Decimal": ("numeric", "decimal"),
+        "Money": ("money",),
+        "Char": ("char", "character", "bpchar"),
+        "Varchar": ("varchar", "character varying", "name"),
+        "Text": ("text",),
+        "Blob": ("bytea",),
+        "Date": ("date",),
+        "Time": ("time", "time without time zone", "timetz", "time with time zone"),
+        "DateTime": ("timestamp", "timestamp without time zone"),
+        "DateTimeTz": ("timestamptz", "timestamp with time zone"),
+        "Interval": ("interval",),
+        "Uuid": ("uuid",),
+        "Json": ("json",),
+        "JsonBinary": ("jsonb",),
+        "Xml": ("xml",),
+        "Bit": ("bit",),
+        "VarBit": ("varbit", "bit varying"),
+        "InetAddr": ("inet",),
+        "CidrAddr": ("cidr",),
+        "MacAddr": ("macaddr", "macaddr8"),
+        "Point": ("point",),
+        "Line": ("line", "lseg"),
+        "Polygon": ("box", "path", "polygon", "circle"),
+        "TsVector": ("tsvector",),
+        "TsQuery": ("tsquery",),
+        "Int4Range": ("int4range",),
+        "Int8Range": ("int8range",),
+        "NumRange": ("numrange",),
+        "TsRange": ("tsrange",),
+        "TsTzRange": ("tstzrange",),
+        "DateRange": ("daterange",),
+    },
+    "mysql": {
+        "Boolean": ("bool", "boolean"),
+        "Int16": ("tinyint", "smallint"),
+        "Int32": ("mediumint", "int", "integer"),
+        "Int64": ("bigint",),
+        "Float32": ("float",),
+        "Float64": ("double", "double precision", "real"),
+        "Decimal": ("decimal", "numeric", "dec", "fixed"),
+        "Char": ("char",),
+        "Varchar": ("varchar",),
+        "Text": ("tinytext", "text", "mediumtext", "longtext"),
+        "Binary": ("binary",),
+        "Varbinary": ("varbinary",),
+        "Blob": ("tinyblob", "blob", "mediumblob", "longblob"),
+        "Date": ("date",),
+        "Time": ("time",),
+        "DateTime": ("datetime", "timestamp"),
+        "Year": ("year",),
+        "Json": ("json",),
+        "Bit": ("bit",),
+        "Enum": ("enum",),
+        "Set": ("set",),
+        "Geometry": ("geometry", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection"),
+    },
+}
+# Spellings whose kind does not hold all of the type.
+_PARTLY = {
+    "mssql": ("geometry", "geography"),
+    "postgres": ("timetz", "time with time zone", "jsonb"),
+    "mysql": ("enum", "set", "geometry", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection"),
 }
 
-# Kind, then the type in SQL Server, PostgreSQL, MySQL and Spark. ~ marks loss, {n} the length.
-_TARGETS = """
-    Boolean    | bit               | boolean          | TINYINT(1)       | boolean
-    UInt8      | tinyint           | smallint         | TINYINT UNSIGNED | smallint
-    Int16      | smallint          | smallint         | SMALLINT         | smallint
-    Int32      | int               | integer          | INT              | int
-    Int64      | bigint            | bigint           | BIGINT           | bigint
-    Float32    | real              | real             | FLOAT            | float
-    Float64    | float             | double precision | DOUBLE           | double
-    Money      | money             | numeric(19,4)    | DECIMAL(19,4)    | decimal(19,4)
-    SmallMoney | smallmoney        | numeric(10,4)    | DECIMAL(10,4)    | decimal(10,4)
-    Text       | nvarchar(max)     | text             | LONGTEXT         | string
-    Blob       | varbinary(max)    | bytea            | LONGBLOB         | binary
-    Date       | date              | date             | DATE             | date
-    Time       | time              | time             | TIME             | bigint
-    DateTime   | datetime2         | timestamp        | DATETIME         | timestamp_ntz
-    DateTimeTz | datetimeoffset    | timestamptz      | ~DATETIME        | timestamp
-    Interval   | ~nvarchar(100)    | interval         | ~VARCHAR(100)    | ~string
-    Year       | smallint          | smallint         | YEAR             | smallint
-    Uuid       | uniqueidentifier  | uuid             | ~VARCHAR(36)     | string
-    Json       | ~nvarchar(max)    | json             | JSON             | string
-    JsonBinary | ~nvarchar(max)    | jsonb            | JSON             | string
-    Xml        | xml               | xml              | ~LONGTEXT        | string
-    InetAddr   | ~varchar(50)      | inet             | ~VARCHAR(50)     | string
-    CidrAddr   | ~varchar(50)      | cidr             | ~VARCHAR(50)     | string
-    MacAddr    | ~char(17)         | macaddr          | ~CHAR(17)        | string
-    Point      | ~nvarchar(max)    | point            | ~TEXT            | string
-    Line       | ~nvarchar(max)    | line             | ~TEXT            | string
-    Polygon    | ~nvarchar(max)    | polygon          | ~TEXT            | string
-    Geometry   | ~nvarchar(max)    | ~text            | ~TEXT            | string
-    Geography  | ~nvarchar(max)    | ~text            | ~TEXT            | string
-    TsVector   | ~nvarchar(max)    | tsvector         | ~LONGTEXT        | string
-    TsQuery    | ~nvarchar(max)    | tsquery          | ~LONGTEXT        | string
-    Int4Range  | ~nvarchar(100)    | int4range        | ~VARCHAR(100)    | string
-    Int8Range  | ~nvarchar(100)    | int8range        | ~VARCHAR(100)    | string
-    NumRange   | ~nvarchar(100)    | numrange         | ~VARCHAR(100)    | string
-    TsRange    | ~nvarchar(100)    | tsrange          | ~VARCHAR(100)    | string
-    TsTzRange  | ~nvarchar(100)    | tstzrange        | ~VARCHAR(100)    | string
-    DateRange  | ~nvarchar(100)    | daterange        | ~VARCHAR(100)    | string
-    Enum       | ~nvarchar(255)    | ~text            | ~TEXT            | string
-    Set        | ~nvarchar(max)    | ~text            | ~TEXT            | string
-    Unknown    | ~nvarchar(max)    | ~text            | ~LONGTEXT        | ~string
-"""
+# The type of each kind in SQL Server, PostgreSQL, MySQL and Spark.
+_TARGETS = {
+    "Boolean": ("bit", "boolean", "TINYINT(1)", "boolean"),
+    "UInt8": ("tinyint", "smallint", "TINYINT UNSIGNED", "smallint"),
+    "Int16": ("smallint", "smallint", "SMALLINT", "smallint"),
+    "Int32": ("int", "integer", "INT", "int"),
+    "Int64": ("bigint", "bigint", "BIGINT", "bigint"),
+    "Float32": ("real", "real", "FLOAT", "float"),
+    "Float64": ("float", "double precision", "DOUBLE", "double"),
+    "Money": ("money", "numeric(19,4)", "DECIMAL(19,4)", "decimal(19,4)"),
+    "SmallMoney": ("smallmoney", "numeric(10,4)", "DECIMAL(10,4)", "decimal(10,4)"),
+    "Text": ("nvarchar(max)", "text", "LONGTEXT", "string"),
+    "Blob": ("varbinary(max)", "bytea", "LONGBLOB", "binary"),
+    "Date": ("date", "date", "DATE", "date"),
+    "Time": ("time", "time", "TIME", "bigint"),
+    "DateTime": ("datetime2", "timestamp", "DATETIME", "timestamp_ntz"),
+    "DateTimeTz": ("datetimeoffset", "timestamptz", "DATETIME", "timestamp"),
+    "Interval": ("nvarchar(100)", "interval", "VARCHAR(100)", "string"),
+    "Year": ("smallint", "smallint", "YEAR", "smallint"),
+    "Uuid": ("uniqueidentifier", "uuid", "VARCHAR(36)", "string"),
+    "Json": ("nvarchar(max)", "json", "JSON", "string"),
+    "JsonBinary": ("nvarchar(max)", "jsonb", "JSON", "string"),
+    "Xml": ("xml", "xml", "LONGTEXT", "string"),
+    "InetAddr": ("varchar(50)", "inet", "VARCHAR(50)", "string"),
+    "CidrAddr": ("varchar(50)", "cidr", "VARCHAR(50)", "string"),
+    "MacAddr": ("char(17)", "macaddr", "CHAR(17)", "string"),
+    "Point": ("nvarchar(max)", "point", "TEXT", "string"),
+    "Line": ("nvarchar(max)", "line", "TEXT", "string"),
+    "Polygon": ("nvarchar(max)", "polygon", "TEXT", "string"),
+    "Geometry": ("nvarchar(max)", "text", "TEXT", "string"),
+    "Geography": ("nvarchar(max)", "text", "TEXT", "string"),
+    "TsVector": ("nvarchar(max)", "tsvector", "LONGTEXT", "string"),
+    "TsQuery": ("nvarchar(max)", "tsquery", "LONGTEXT", "string"),
+    "Int4Range": ("nvarchar(100)", "int4range", "VARCHAR(100)", "string"),
+    "Int8Range": ("nvarchar(100)", "int8range", "VARCHAR(100)", "string"),
+    "NumRange": ("nvarchar(100)", "numrange", "VARCHAR(100)", "string"),
+    "TsRange": ("nvarchar(100)", "tsrange", "VARCHAR(100)", "string"),
+    "TsTzRange": ("nvarchar(100)", "tstzrange", "VARCHAR(100)", "string"),
+    "DateRange": ("nvarchar(100)", "daterange", "VARCHAR(100)", "string"),
+    "Enum": ("nvarchar(255)", "text", "TEXT", "string"),
+    "Set": ("nvarchar(max)", "text", "TEXT", "string"),
+    "Unknown": ("nvarchar(max)", "text", "LONGTEXT", "string"),
+}
+# Kinds of which the type there loses something.
+_LOSSY = {
+    "mssql": ("Interval", "Json", "JsonBinary", "InetAddr", "CidrAddr", "MacAddr", "Point", "Line", "Polygon", "Geometry", "Geography", "TsVector", "TsQuery", "Int4Range", "Int8Range", "NumRange", "TsRange", "TsTzRange", "DateRange", "Enum", "Set", "Unknown"),
+    "postgres": ("Geometry", "Geography", "Enum", "Set", "Unknown"),
+    "mysql": ("DateTimeTz", "Interval", "Uuid", "Xml", "InetAddr", "CidrAddr", "MacAddr", "Point", "Line", "Polygon", "Geometry", "Geography", "TsVector", "TsQuery", "Int4Range", "Int8Range", "NumRange", "TsRange", "TsTzRange", "DateRange", "Enum", "Set", "Unknown"),
+    "spark": ("Interval", "Unknown"),
+}
 
 # Sized kinds, as (most length, form up to it, form beyond it); None: a length does not occur.
 _SIZED = {
@@ -195,68 +207,58 @@ _DECIMAL = {"mssql": "decimal({p},{s})", "postgres": "numeric({p},{s})", "mysql"
 _DEFAULT_DIGITS = {"mssql": 18, "postgres": 38, "mysql": 10}
 _DEFAULT_LENGTH = {"Char": 1, "Binary": 1, "Bit": 1, "Varchar": 255, "Varbinary": 255, "VarBit": 0}
 
-# Rules of the direct profile that differ from the canonical route, as
-# spellings | when | target. When: no length given (len0), no precision (p0), bits (over one bit), or always.
+# Rules of the direct profile that differ from the canonical route: spellings, when, type, whether it loses. When: always, or
+# no length (len0), a length (sized), no precision (p0), more than one bit (bits), more than 64 (long). "?" stands for any other spelling.
 _DIRECT = {
-    ("mssql", "postgres"): """
-        decimal, numeric             | p0     | numeric
-        char, nchar, varchar, nvarchar | len0 | text
-        geometry, geography, ?       | always | text
-    """,
-    ("postgres", "mssql"): """
-        numeric, decimal             | p0     | decimal(38,10)
-        char, character, bpchar      | len0   | nvarchar(max)
-        name                         | always | nvarchar(128)
-        date                         | always | ~datetime2
-        timetz, time with time zone  | always | ~datetimeoffset
-    """,
-    ("mysql", "postgres"): """
-        decimal, numeric, dec, fixed | p0     | numeric
-        char, varchar                | len0   | text
-        json                         | always | jsonb
-        bit                          | bits   | bit varying
-        bit                          | long   | bytea
-    """,
-    ("postgres", "mysql"): """
-        numeric, decimal             | p0     | DECIMAL(10,0)
-        char, character, bpchar      | len0   | TEXT
-        serial                       | always | INT AUTO_INCREMENT
-        bigserial                    | always | BIGINT AUTO_INCREMENT
-        smallserial                  | always | SMALLINT AUTO_INCREMENT
-        oid                          | always | BIGINT UNSIGNED
-        jsonb                        | always | JSON
-    """,
-    ("mysql", "mssql"): """
-        tinyint                      | always | tinyint
-        decimal, numeric, dec, fixed | p0     | decimal(18,0)
-        char, varchar                | len0   | nvarchar(max)
-        binary, varbinary            | len0   | varbinary(max)
-        binary, varbinary            | sized  | varbinary({n})
-    """,
-    ("mssql", "mysql"): """
-        decimal, numeric             | p0     | DECIMAL(10,0)
-        char, nchar                  | len0   | TEXT
-        varchar, nvarchar            | len0   | LONGTEXT
-        binary, varbinary, image     | len0   | LONGBLOB
-        binary, varbinary, image     | sized  | VARBINARY({n})
-    """,
+    ("mssql", "postgres"): [
+        (("decimal", "numeric"), "p0", "numeric", False),
+        (("char", "nchar", "varchar", "nvarchar"), "len0", "text", False),
+        (("geometry", "geography", "?"), "always", "text", False),
+    ],
+    ("postgres", "mssql"): [
+        (("numeric", "decimal"), "p0", "decimal(38,10)", False),
+        (("char", "character", "bpchar"), "len0", "nvarchar(max)", False),
+        (("name",), "always", "nvarchar(128)", False),
+        (("date",), "always", "datetime2", True),
+        (("timetz", "time with time zone"), "always", "datetimeoffset", True),
+    ],
+    ("mysql", "postgres"): [
+        (("decimal", "numeric", "dec", "fixed"), "p0", "numeric", False),
+        (("char", "varchar"), "len0", "text", False),
+        (("json",), "always", "jsonb", False),
+        (("bit",), "bits", "bit varying", False),
+        (("bit",), "long", "bytea", False),
+    ],
+    ("postgres", "mysql"): [
+        (("numeric", "decimal"), "p0", "DECIMAL(10,0)", False),
+        (("char", "character", "bpchar"), "len0", "TEXT", False),
+        (("serial",), "always", "INT AUTO_INCREMENT", False),
+        (("bigserial",), "always", "BIGINT AUTO_INCREMENT", False),
+        (("smallserial",), "always", "SMALLINT AUTO_INCREMENT", False),
+        (("oid",), "always", "BIGINT UNSIGNED", False),
+        (("jsonb",), "always", "JSON", False),
+    ],
+    ("mysql", "mssql"): [
+        (("tinyint",), "always", "tinyint", False),
+        (("decimal", "numeric", "dec", "fixed"), "p0", "decimal(18,0)", False),
+        (("char", "varchar"), "len0", "nvarchar(max)", False),
+        (("binary", "varbinary"), "len0", "varbinary(max)", False),
+        (("binary", "varbinary"), "sized", "varbinary({n})", False),
+    ],
+    ("mssql", "mysql"): [
+        (("decimal", "numeric"), "p0", "DECIMAL(10,0)", False),
+        (("char", "nchar"), "len0", "TEXT", False),
+        (("varchar", "nvarchar"), "len0", "LONGTEXT", False),
+        (("binary", "varbinary", "image"), "len0", "LONGBLOB", False),
+        (("binary", "varbinary", "image"), "sized", "VARBINARY({n})", False),
+    ],
 }
 #: Longest value for which a sized direct rule holds; beyond it the length counts as none.
 _DIRECT_MOST = {"mssql": 8000, "mysql": 65535, "postgres": 10485760}
 
 
-def _spelling_table(text: str) -> dict[str, tuple[str, bool]]:
-    out = {}
-    for line in text.strip().splitlines():
-        kind, _, names = line.strip().partition(": ")
-        for name in names.split(", "):
-            out[name] = (kind.rstrip("~"), kind.endswith("~"))
-    return out
-
-
-_KINDS = {d: _spelling_table(text) for d, text in _SPELLINGS.items()}
-_FORMS = {cells[0]: dict(zip(("mssql", "postgres", "mysql", "spark"), cells[1:], strict=True)) for cells in ([c.strip() for c in line.split("|")] for line in _TARGETS.strip().splitlines())}
-KINDS = sorted({*_FORMS, "Decimal", "Array", *(k for k, _ in _SIZED), "Bit"})
+_KINDS = {d: {name: (kind, name in _PARTLY[d]) for kind, names in kinds.items() for name in names} for d, kinds in _SPELLINGS.items()}
+KINDS = sorted({*_TARGETS, "Decimal", "Array", *(k for k, _ in _SIZED), "Bit"})
 
 
 def dialect(name: str) -> str:
@@ -314,9 +316,8 @@ def from_canonical(target: str, c: Canonical) -> Mapping:
             return Mapping("string" if c.kind in ("Char", "Varchar") else "binary")
         most, form, beyond = _SIZED[c.kind, target]
         return Mapping(form.format(n=c.length) if 0 < c.length <= most else beyond)
-    form = _FORMS[c.kind][target]
-    lossy = form.startswith("~")
-    return Mapping(form.lstrip("~"), lossy, f"{c.name or c.kind} kept as {form.lstrip('~')}" if lossy else None)
+    form, lossy = _TARGETS[c.kind][(*DIALECTS, "spark").index(target)], c.kind in _LOSSY[target]
+    return Mapping(form, lossy, f"{c.name or c.kind} kept as {form}" if lossy else None)
 
 
 def _direct(source: str, target: str, native: str, length: int, precision: int) -> Mapping | None:
@@ -324,15 +325,12 @@ def _direct(source: str, target: str, native: str, length: int, precision: int)
     if name == "tinyint" and length == 1 and source == "mysql":
         return None
     most = _DIRECT_MOST[target]
-    for line in _DIRECT.get((source, target), "").strip().splitlines():
-        names, when, form = (c.strip() for c in line.split("|"))
-        wanted = names.split(", ")
+    for wanted, when, form, lossy in _DIRECT.get((source, target), ()):
         if name not in wanted and not (unknown and "?" in wanted):
             continue
         none = length <= 0 or length > most
         if {"always": True, "len0": none, "sized": not none, "p0": precision <= 0, "bits": 1 < length <= 64, "long": length > 64}[when]:
-            lossy = form.startswith("~")
-            return Mapping(form.lstrip("~").format(n=length), lossy, f"{native} kept as {form.lstrip('~')}" if lossy else None)
+            return Mapping(form.format(n=length), lossy, f"{native} kept as {form}" if lossy else None)
     return None
 
 
