@@ -1,4 +1,4 @@
-"""Command line: run, resume, validate and health-check."""
+"""Command line: run, resume, preflight, validate and health-check."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import signal
 import sys
 
 from tidemark.plans.config import Config, ConfigError, load
-from tidemark.plans.runner import EXIT_CODES, FolderTarget, JdbcSource, ParquetSource, Runner
-from tidemark.sources.jdbc import Database, JdbcTarget
+from tidemark.plans.connect import source_of, target_of, types_of
+from tidemark.plans.runner import EXIT_CODES, Runner
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -18,7 +18,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--output-json", action="store_true")
     p.add_argument("--progress", action="store_true", help="a JSON line on stderr for each table")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("run", "resume", "validate", "health-check"):
+    for name in ("run", "resume", "preflight", "validate", "health-check"):
         s = sub.add_parser(name)
         s.add_argument("--source-schema")
         s.add_argument("--target-schema")
@@ -28,15 +28,8 @@ def arguments() -> argparse.ArgumentParser:
     return p
 
 
-def database(side) -> Database:
-    return Database(side.kind(), side.host, side.database, side.port, side.user, side.password, side.ssl_mode)
-
-
 def runner_of(spark, config: Config, progress: bool = False) -> Runner:
-    s, t = config.source, config.target
-    source = ParquetSource(spark, s.path) if s.kind() == "parquet" else JdbcSource(spark, database(s), s.schema)
-    kind = "postgres" if s.kind() == "parquet" else s.kind()  # parquet tables are described in its types
-    target = FolderTarget(spark, t.path) if t.kind() == "parquet" else JdbcTarget(spark, database(t), t.schema, kind)
+    source, target = source_of(spark, config.source), target_of(spark, config.target, config.source.kind())
     return Runner(spark, config, source, target, progress=(lambda e: print(json.dumps(e), file=sys.stderr, flush=True)) if progress else None, every=0.5 if progress else None)
 
 
@@ -62,6 +55,11 @@ def main(argv: list[str] | None = None) -> int:
         rows = [r.asDict() for r in runner.validate().orderBy("table_name").collect()]
         print(json.dumps(rows))
         return EXIT_CODES["ok" if all(r["is_match"] for r in rows) else "validation"]
+    if args.command == "preflight":
+        found = runner.preflight(types_of(config.source.kind()), config.target.kind())
+        rows = [r.asDict() for r in found.filter("n_refused > 0 OR is_lossy").orderBy("table_name", "column_name").collect()]
+        print(json.dumps(rows))
+        return EXIT_CODES["validation" if any(r["n_refused"] for r in rows) else "ok"]
     signal.signal(signal.SIGTERM, lambda *_: runner.cancel.set())
     result = runner.run(dry=getattr(args, "dry_run", False), resume=args.command == "resume")
     print(json.dumps(result.as_dict()) if args.output_json else f"{result.status}: {result.tables_success} of {result.tables_total} tables, {result.rows_transferred} rows")

@@ -150,8 +150,9 @@ def uuid_bytes(c: Column) -> Column:
     return F.unhex(F.replace(c, F.lit("-"), F.lit("")))
 
 
-def packed_texts(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the text of ``column`` as LZ4 blocks, four bytes of its size first; null stays null."""
+def packed_texts(df: DataFrame, column: str, least: int = 64) -> DataFrame:
+    """``df`` with the text of ``column`` as four bytes of its size in UTF-8 and its bytes: an LZ4 block if it has ``least`` bytes or
+    more and the block is smaller, else as they are. So a text whose bytes are as many as its size says is not packed. Null stays null."""
     import pyarrow as pa
 
     at = df.schema.fieldNames().index(column)
@@ -159,9 +160,13 @@ def packed_texts(df: DataFrame, column: str) -> DataFrame:
 
     def work(batches):
         codec = pa.Codec("lz4_raw")
+
+        def body(v: bytes) -> bytes:
+            return min(v, codec.compress(v, asbytes=True), key=len) if len(v) >= least else v
+
         for batch in batches:
             raw = [None if v is None else v.encode() for v in batch.column(at).to_pylist()]
-            out = [None if v is None else len(v).to_bytes(4, "little") + codec.compress(v, asbytes=True) for v in raw]
+            out = [None if v is None else len(v).to_bytes(4, "little") + body(v) for v in raw]
             yield batch.set_column(at, column, pa.array(out, pa.binary()))
 
     return df.mapInArrow(work, kind)
@@ -176,8 +181,12 @@ def unpacked_texts(df: DataFrame, column: str) -> DataFrame:
 
     def work(batches):
         codec = pa.Codec("lz4_raw")
+
+        def body(size: int, v: bytes) -> bytes:
+            return v if len(v) == size else codec.decompress(v, size, asbytes=True)
+
         for batch in batches:
-            out = [None if v is None else codec.decompress(v[4:], int.from_bytes(v[:4], "little"), asbytes=True).decode() for v in batch.column(at).to_pylist()]
+            out = [None if v is None else body(int.from_bytes(v[:4], "little"), v[4:]).decode() for v in batch.column(at).to_pylist()]
             yield batch.set_column(at, column, pa.array(out, pa.string()))
 
     return df.mapInArrow(work, kind)

@@ -7,6 +7,7 @@ driver. Pages exist for callers that want one.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,3 +96,19 @@ def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in ``order``; the filter on the rank is pushed below the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def marks(tables: dict[str, DataFrame], candidates: list[str]) -> DataFrame:
+    """table_name, column_name, mark and n_nulls of each table that has one of the columns: the greatest value, and the rows without."""
+    found = [(name, df, picked[0]) for name, df in tables.items() if (picked := pick_watermark_column(df, candidates))]
+    parts = [df.agg(F.max(c).cast("timestamp_ntz").alias("mark"), F.count_if(F.col(c).isNull()).alias("n_nulls")).select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "mark", "n_nulls") for name, df, c in found]
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "table_name string, column_name string, mark timestamp_ntz, n_nulls long")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ordered_texts(df: DataFrame, by: list[str], column: str, order: list[str], name: str, mark: str = ",") -> DataFrame:
+    """The texts of a group in order, joined; nulls are left out. A group must be small by nature: its text is one value."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in (column, *order)]
+    joined = F.expr(f"listagg(CAST({quoted[0]} AS STRING), '{mark}') WITHIN GROUP (ORDER BY {', '.join(quoted[1:])})")
+    return df.groupBy(*by).agg(joined.alias(name))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark import scratch
 from tidemark.functions import convert, copybinary, tolerant, tuning, types
-from tidemark.model import TABLES, ParquetCatalog, columns_of
-from tidemark.operators import constraints, hashtree, merge, partition, scan, splits, verify
-from tidemark.plans.config import glob_regex
+from tidemark.model import TABLES, ColumnMeta, ParquetCatalog, columns_of
+from tidemark.operators import constraints, hashtree, merge, partition, preflight, scan, splits, verify
+from tidemark.plans.config import glob_regex, keeps
 from tidemark.scratch import keep
 from tidemark.sources.files import VersionedTable
 from tidemark.streaming import state as states
@@ -806,3 +806,145 @@ def _(spark, d):
 def _(spark, d):
     rows = [(n, c, i + 1) for n in ("region", "orders", "events") for i, c in enumerate(_t(spark, d, n).columns)]
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int")
+
+
+# ---- what the target's types would refuse ----
+
+_DOCUMENTS_OF_MSSQL = (ColumnMeta("doc_id", "bigint", nullable=False), ColumnMeta("text", "nvarchar", 4000), ColumnMeta("lang", "nchar", 2, nullable=False), ColumnMeta("source", "varchar", 4), ColumnMeta("n_chars", "tinyint"))
+_EVENTS_OF_MYSQL = (
+    ColumnMeta("event_id", "int"), ColumnMeta("ts", "datetime"), ColumnMeta("user_id", "tinyint"), ColumnMeta("event_type", "char", 5), ColumnMeta("value", "decimal", 0, 4, 1), ColumnMeta("props", "varchar", 12),
+)
+_LINES_OF_MSSQL = (
+    ColumnMeta("l_orderkey", "smallint"), ColumnMeta("l_quantity", "decimal", 0, 3, 2), ColumnMeta("l_extendedprice", "decimal", 0, 6, 2), ColumnMeta("l_discount", "decimal", 0, 2, 2),
+    ColumnMeta("l_returnflag", "nchar", 1), ColumnMeta("l_linestatus", "uniqueidentifier"), ColumnMeta("l_shipdate", "datetime2"),
+)
+
+
+def _fit_sql(table: str, columns: list[tuple[str, str, bool, str]]) -> str:
+    """columns: name, type in the target, whether it loses, and when a value is refused."""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS target_type, {lossy} AS is_lossy, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS n_refused FROM {table}" for c, kind, lossy, bad in columns
+    )
+
+
+@query(
+    "types_refuse_documents_mysql",
+    _fit_sql(
+        "documents",
+        [
+            ("doc_id", "BIGINT", False, "doc_id IS NULL"),
+            ("text", "VARCHAR(4000)", False, "length(text) > 4000"),
+            ("lang", "CHAR(2)", False, "lang IS NULL OR length(lang) > 2"),
+            ("source", "VARCHAR(4)", False, "length(source) > 4"),
+            ("n_chars", "TINYINT UNSIGNED", False, "n_chars NOT BETWEEN 0 AND 255"),
+        ],
+    ),
+)
+def _(spark, d):
+    return preflight.fit(_t(spark, d, "documents"), _DOCUMENTS_OF_MSSQL, "mssql", "mysql")
+
+
+@query(
+    "types_refuse_events_mssql",
+    _fit_sql(
+        "events",
+        [
+            ("event_id", "int", False, "event_id NOT BETWEEN -2147483648 AND 2147483647"),
+            ("ts", "datetime2", False, "year(ts) NOT BETWEEN 1 AND 9999"),
+            ("user_id", "tinyint", False, "user_id NOT BETWEEN 0 AND 255"),
+            ("event_type", "nchar(5)", False, "length(event_type) > 5"),
+            ("value", "decimal(4,1)", False, "value IS NOT NULL AND TRY_CAST(value AS DECIMAL(4,1)) IS NULL"),
+            ("props", "nvarchar(12)", False, "length(props) + length(regexp_replace(props, '[\\x{0}-\\x{FFFF}]', '', 'g')) > 12"),
+        ],
+    ),
+)
+def _(spark, d):
+    return preflight.fit(_t(spark, d, "events"), _EVENTS_OF_MYSQL, "mysql", "mssql")
+
+
+@query(
+    "types_refuse_lineitem_postgres",
+    _fit_sql(
+        "lineitem",
+        [
+            ("l_orderkey", "smallint", False, "l_orderkey NOT BETWEEN -32768 AND 32767"),
+            ("l_quantity", "numeric(3,2)", False, "l_quantity >= 9.995"),
+            ("l_extendedprice", "numeric(6,2)", False, "l_extendedprice >= 9999.995"),
+            ("l_discount", "numeric(2,2)", False, "l_discount >= 0.995"),
+            ("l_returnflag", "char(1)", False, "length(l_returnflag) > 1"),
+            ("l_linestatus", "uuid", False, "l_linestatus IS NOT NULL"),
+            ("l_shipdate", "timestamp", False, "false"),
+        ],
+    ),
+)
+def _(spark, d):
+    return preflight.fit(_t(spark, d, "lineitem"), _LINES_OF_MSSQL, "mssql", "postgres")
+
+
+@query(
+    "refused_documents_mysql",
+    "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN doc_id IS NULL THEN 'doc_id' END, CASE WHEN length(text) > 4000 THEN 'text' END, CASE WHEN lang IS NULL OR length(lang) > 2 THEN 'lang' END,"
+    " CASE WHEN length(source) > 4 THEN 'source' END, CASE WHEN n_chars NOT BETWEEN 0 AND 255 THEN 'n_chars' END) AS refused FROM documents) WHERE refused <> ''",
+)
+def _(spark, d):
+    rows = preflight.refused_rows(_t(spark, d, "documents"), _DOCUMENTS_OF_MSSQL, "mssql", "mysql")
+    return rows.select("doc_id", F.array_join("refused_columns", ",").alias("refused"))
+
+
+# ---- what a run does with the given tables ----
+
+# Columns of each table, as facts of the data.
+_WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
+
+
+@query(
+    "insert_batches_by_table",
+    "SELECT table_name, CAST(n_columns AS INTEGER) AS n_columns, row_count, CAST(ceil(row_count / least(1000, 2100 // n_columns)) AS BIGINT) AS mssql_batches, CAST(ceil(row_count / (65535 // n_columns)) AS BIGINT) AS mysql_batches FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {n} AS n_columns, count(*) AS row_count FROM {t}" for t, n in _WIDTHS.items())
+    + ")",
+)
+def _(spark, d):
+    """Statements that plain inserts of each table take in two databases."""
+    tables = {t: _t(spark, d, t) for t in ALL}
+    widths = {t: len(df.columns) for t, df in tables.items()}
+    of_table = lambda f: F.create_map(*[F.lit(x) for t, n in widths.items() for x in (t, f(n))])[F.col("table_name")]
+    batches = lambda f: F.ceil(F.col("row_count") / of_table(f)).alias
+    return verify.table_counts(tables).select("table_name", of_table(int).alias("n_columns"), "row_count", batches(tuning.fallback_batch_rows)("mssql_batches"), batches(tuning.mysql_batch_rows)("mysql_batches"))
+
+
+@query("kept_table_rows", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("orders", "events", "documents", "labels", "part", "region")))
+def _(spark, d):
+    """Rows of the tables that a run with these filters takes."""
+    names = [t for t in ParquetCatalog(spark, d).names() if keeps(t, ["*s", "p?rt", "REG*"], ["conv*", "page?", "embeddings"])]
+    return verify.table_counts({t: _t(spark, d, t) for t in names})
+
+
+@query(
+    "marks_by_table",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, max({c}) AS mark, count(*) - count({c}) AS n_nulls FROM {t}" for t, c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate"))),
+)
+def _(spark, d):
+    """The column that marks changes in each table that has one, its greatest value, and the rows without."""
+    return scan.marks({t: _t(spark, d, t) for t in ALL}, ["updated_at", "TS", "o_orderdate", "l_shipdate", "value"])
+
+
+@query(
+    "load_levels",
+    " UNION ALL ".join(
+        f"SELECT CAST({level} AS INTEGER) AS load_level, '{t}' AS table_name, count(*) AS row_count FROM {t}"
+        for level, names in enumerate((("part", "region"), ("nation",), ("customer", "supplier"), ("events", "orders"), ("lineitem",)))
+        for t in names
+    ),
+)
+def _(spark, d):
+    """In which order the tables are given their references, and the rows that each level holds."""
+    levels = constraints.fk_levels(list(TABLES.values()))
+    level = F.create_map(*[F.lit(x) for i, names in enumerate(levels) for t in names for x in (t, i)])[F.col("table_name")]
+    return verify.table_counts({t: _t(spark, d, t) for t in TABLES}).select(level.alias("load_level"), "table_name", "row_count")
+
+
+@query("ordered_lines_by_order", "SELECT l_orderkey, string_agg(l_partkey || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    """An order has few lines, so its text is short."""
+    lines = _t(spark, d, "lineitem").withColumn("part", F.concat_ws(":", "l_partkey", "l_suppkey"))
+    return scan.ordered_texts(lines, ["l_orderkey"], "part", ["l_linenumber", "l_partkey", "l_suppkey"], "parts")

@@ -129,8 +129,10 @@ def load(path: str) -> Config:
 
 
 def validate(config: Config) -> Config:
+    from tidemark.plans.connect import kinds
+
     for name, side in (("source", config.source), ("target", config.target)):
-        if side.kind() == "parquet":
+        if side.kind() not in DIALECTS and side.kind() in kinds()[f"{name}s"]:
             continue
         for need in ("host", "database"):
             if not getattr(side, need):

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import functools
 import threading
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import tuning
 from tidemark.functions.tolerant import Conversion
+from tidemark.functions.types import DIALECTS
 from tidemark.model import ParquetCatalog, TableMeta
-from tidemark.operators import constraints, hashtree, merge, partition, scan, splits, verify
+from tidemark.operators import constraints, hashtree, merge, partition, preflight, scan, splits, verify
 from tidemark.plans.config import Config, ConfigError, keeps
 from tidemark.plans.progress import Stop, rows_in_flight, tagged
 from tidemark.scratch import drop
@@ -513,6 +515,17 @@ class Runner:
         found = {n: t.read() for n, t in there.items() if t.exists()}
         return verify.reconcile(source, verify.table_counts(found) if found else verify.empty_counts(self.spark))
 
+    def preflight(self, source: str, sink: str) -> DataFrame:
+        """table_name and, of each column, what the target's type loses and how many values it would refuse, before anything is written.
+
+        ``source`` is the dialect that describes the columns. Files refuse nothing: for a sink that is no database there are no rows.
+        """
+        found = []
+        for t in self.tables() if sink in DIALECTS else ():
+            need = tuple(replace(c, nullable=False) if c.name in t.key else c for c in t.columns)
+            found.append(preflight.fit(self.source.read(t), need, source, sink).select(F.lit(t.name).alias("table_name"), "*"))
+        return functools.reduce(DataFrame.unionByName, found) if found else preflight.nothing(self.spark).select(F.lit("").alias("table_name"), "*")
+
     def differences(self, name: str) -> DataFrame:
         """Keys of a table whose rows are missing, extra or different in the target, by trees of hashes."""
         table = next(t for t in self.tables() if t.name == name)

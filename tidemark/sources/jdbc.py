@@ -442,22 +442,18 @@ class JdbcTable:
     def merge(self, changes: DataFrame, keys: list[str]) -> int:
         """Stage the changes under a name of their own, then merge them and drop the stage; the number of changes.
 
-        The merge is one transaction; where the database commits before DDL (MySQL), the drop is not part of it.
+        The source is read once; the stage takes oversized texts as a load does, and holds each change once, or nothing is merged. The
+        merge is one transaction; where the database commits before DDL (MySQL), the drop is not part of it.
         """
-        from tidemark.functions.convert import sink_ready
         from tidemark.plans import sqltext
 
         stage = f"stage_{uuid.uuid4().hex[:12]}_{self.meta.name}"[:60]
-        name = quote(self.db.kind, stage)
-        ready = sink_ready(changes, self.db.kind)
-        if self.ddl:
-            execute(self.spark, self.db, [sqltext.create_staging(self.db.kind, name, ready)])
         try:
-            write_table(ready, self.db, name, mode="append" if self.ddl else "overwrite")
-            rows = self.count(name)
+            rows = self.fill_stage(stage, changes)
             execute(self.spark, self.db, [sqltext.merge(self.db.kind, self.schema, self.meta.name, stage, changes.columns, keys)])
         finally:
-            execute(self.spark, self.db, [f"DROP TABLE {name}"])
+            if present(self.spark, self.db, quote(self.db.kind, stage)):
+                self.drop_stage(stage)
         return rows
 
 
