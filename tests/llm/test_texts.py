@@ -656,3 +656,52 @@ def test_targets_go_by_name(spark, docs_of):
             mixing.mix(docs, labels, wrong)
         with pytest.raises(ValueError):
             mixing.drawn(docs, labels, wrong)
+
+
+def test_jaccard_bound_tells_unrelated_sets_apart():
+    rng = np.random.default_rng(5)
+    runs = [np.sort(rng.integers(0, 1 << 63, size=500, dtype=np.uint64)) for _ in range(200)]
+    near = runs[0].copy()
+    near[::10] = rng.integers(0, 1 << 63, size=50, dtype=np.uint64)
+    runs.append(np.sort(near))
+    offsets = np.append(0, np.cumsum([len(r) for r in runs]))
+    packed, n = jaccard.vectors(np.concatenate(runs), offsets), np.diff(offsets)
+    rule = jaccard.Rule(5, 80)
+    assert {tuple(sorted(p)) for p in jaccard.surviving(packed, n, rule)} == {(0, 200)}
+    # All of a small bucket at once: the same.
+    left, right = jaccard._small(np.array([0, 2]), n[[0, 200]], [packed[0], packed[200]], rule)
+    assert (left.tolist(), right.tolist()) == ([0], [1])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_bound_loses_no_link(seed):
+    rng = np.random.default_rng(seed)
+    rule = jaccard.Rule(5, 80)
+    for size in (1, 3, 30, 127, 256, 257, 3000, 70_000):
+        base = rng.integers(0, 1 << 63, size=size, dtype=np.uint64)
+        # Many shingles in one group: counts over half a byte and over a byte.
+        base[: size // 3] &= ~np.uint64(0xFFF << 20)
+        for share in (0.0, 0.05, 0.1, 0.111):
+            other = np.append(base[int(size * share) :], rng.integers(0, 1 << 63, size=int(size * share), dtype=np.uint64))
+            a, b = np.unique(base), np.unique(other)
+            both = len(np.intersect1d(a, b))
+            if 100 * both < rule.percent * (len(a) + len(b) - both):
+                continue
+            packed, n = jaccard.vectors(np.append(a, b), np.array([0, len(a), len(a) + len(b)])), np.array([len(a), len(b)])
+            assert [jaccard.counts_of(p).sum() for p in packed] == n.tolist()
+            assert len(list(jaccard.surviving(packed, n, rule))) == 1
+            assert len(jaccard._small(np.array([0, 2]), n, packed, rule)[0]) == 1
+
+
+def test_jaccard_names_rare_words_first(spark, docs_of):
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(8)]
+    rows = [(i, " ".join(f"own{i}x{j}" if j % 4 == 0 else rng.choice(common) for j in range(40)) + " " + " ".join(common * 4)) for i in range(60)]
+    keyed = jaccard.keyed_texts(docs_of(rows))
+    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    rule = jaccard.Rule(4, 60)
+    words = jaccard.common_words(keyed)
+    assert len(words[0]) and words[1].min() >= 1
+    by_hash = jaccard._candidates(keyed, none, spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64))), rule)
+    assert by_hash.count() > 0
+    assert jaccard._candidates(keyed, none, spark.sparkContext.broadcast(words), rule).count() == 0

@@ -5,8 +5,9 @@ A document's set: hashes of its distinct ``SHINGLE``-word runs, A-Z lower-cased.
 
 1. Equal texts are one text with a number of copies; from here on a node is a distinct text.
 2. Linked sets share one of the first n - ceil(0.85 n) + 1 shingles of each, in any order that all
-   sets use. The order puts shingles that are frequent in the corpus last (a list of bounded size), then
-   goes by hash. Such shingles that only one set has are dropped.
+   sets use. The order puts shingles that are frequent in the corpus last (a list of bounded size), goes from
+   shingles of rare words to those of common ones (another such list), and then by hash: so texts hardly name
+   what texts share by chance. Such shingles that only one set has are dropped.
 3. In the bucket of a rare shingle each set is a point: its shingles hashed to groups, the number in each
    group its coordinates. The overlap of two sets is at most the sum of coordinate minima. An R-tree packed
    over the points bounds that sum for whole nodes first. Of the pairs that survive, a spanning
@@ -35,17 +36,21 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import grouped, scatter, signed, whole_groups, with_keys
 from tidemark.llm.graph import components
-from tidemark.llm.substrings import frequent_runs
+from tidemark.llm.substrings import counted_runs, frequent_runs
 from tidemark.llm.text import Words, grams, inside, mix, rounds
 from tidemark.scratch import keep, keep_by
 
 SHINGLE = 4
 PERCENT = 85
 FREQUENT = 2e-6
+#: Share of all words from which on a word is common; levels go up by one with each doubling.
+COMMON = 1e-5
 #: Points of a leaf and children of a node of the R-tree.
 FANOUT = 16
-#: Most coordinates of a point.
-GROUPS = 4096
+#: Least and most coordinates of a point.
+GROUPS = (32, 4096)
+#: Coordinates of the pairs that are compared at once.
+BLOCK = 1 << 20
 #: Buckets up to this many sets are compared all at once, larger ones through a tree.
 SMALL = 6
 #: Least and most texts of a tile, and into how many tiles a component is dealt between the two.
@@ -76,11 +81,23 @@ def by_number(values: np.ndarray, most: int) -> np.ndarray:
 
 def sets_of(texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after another, and offsets."""
+    runs, offsets, _ = levelled_sets(texts, n, None)
+    return runs, offsets
+
+
+def levelled_sets(texts, n: int, common: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sets_of``, and the level of each shingle: the sum over its words, 0 for rare ones and for a text with fewer words."""
     words = Words(texts, lower=True)
     hashes = words.hashes()
     counts = np.diff(words.first)
     ok = inside(words.first, n)
     runs, doc = grams(hashes, n)[ok], words.doc()[: len(ok)][ok]
+    level = np.zeros(len(runs), np.int64)
+    if common is not None and len(common[0]) and len(runs):
+        named, own = common[0], grams(hashes, 1)
+        at = np.minimum(np.searchsorted(named, own), len(named) - 1)
+        summed = np.append(0, np.cumsum(np.where(named[at] == own, common[1][at], 0)))
+        level = (summed[n:] - summed[:-n])[ok]
     few = np.flatnonzero((counts > 0) & (counts < n))
     if len(few):
         short = []
@@ -90,29 +107,48 @@ def sets_of(texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
                 h = mix(np.array([h], np.uint64) * np.uint64(0x9FB21C651E98DF25) + x)[0]
             short.append(h)
         runs, doc = np.append(runs, np.array(short, np.uint64)), np.append(doc, few)
+        level = np.append(level, np.zeros(len(few), np.int64))
     order = np.argsort(runs)
     order = order[by_number(doc[order], len(words.first))]
-    runs, doc = runs[order], doc[order]
+    runs, doc, level = runs[order], doc[order], level[order]
     fresh = np.append(True, (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])) if len(runs) else np.zeros(0, bool)
-    runs, doc = runs[fresh], doc[fresh]
-    return runs, np.searchsorted(doc, np.arange(len(words.first)))
+    runs, doc, level = runs[fresh], doc[fresh], level[fresh]
+    return runs, np.searchsorted(doc, np.arange(len(words.first))), level
+
+
+def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common words and their levels, from 1 on."""
+    words, counts, total = counted_runs(docs, 1, COMMON, lower=True)
+    return words, 1 + np.log2(counts / (COMMON * total)).astype(np.int64)
 
 
 def vectors(runs: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Count vector of each set: a group for 8 to 16 shingles, a power of two, up to GROUPS.
+    """Count vector of each set: a power of two of groups, one for 4 to 8 shingles, within GROUPS.
 
-    The first byte says how many bytes a count takes.
+    So unrelated sets hardly pass the bound: with 500 shingles they lie some five deviations below it. The first
+    byte says how many bytes a count takes, 0 being half a byte.
     """
     out = []
     place = (runs >> np.uint64(20)).astype(np.int64)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        groups = min(GROUPS, 1 << max(2, int((b - a) // 16).bit_length()))
+        groups = min(GROUPS[1], max(GROUPS[0], 1 << int(max(b - a - 1, 0) // 8).bit_length()))
         counts = np.bincount(place[a:b] & (groups - 1), minlength=groups)
-        out.append(b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\4" + counts.astype(np.uint32).tobytes())
+        most = counts.max()
+        if most < 16:
+            out.append(b"\0" + (counts[::2] + 16 * counts[1::2]).astype(np.uint8).tobytes())
+        else:
+            out.append(b"\1" + counts.astype(np.uint8).tobytes() if most < 256 else b"\4" + counts.astype(np.uint32).tobytes())
     return out
 
 
+def halves(pairs: np.ndarray) -> np.ndarray:
+    """Counts of half a byte each, along the last axis."""
+    return np.stack([pairs & 15, pairs >> 4], axis=-1).reshape(*pairs.shape[:-1], -1)
+
+
 def counts_of(packed: bytes) -> np.ndarray:
+    if packed[0] == 0:
+        return halves(np.frombuffer(packed, np.uint8, offset=1))
     return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.uint32, offset=1)
 
 
@@ -141,8 +177,9 @@ class RTree:
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, left, right = stack.pop()
-            for at in range(0, len(left), 1 << 13):
-                a, b = left[at : at + (1 << 13)], right[at : at + (1 << 13)]
+            step = max(1, min(1 << 13, BLOCK // self.points.shape[1]))
+            for at in range(0, len(left), step):
+                a, b = left[at : at + step], right[at : at + step]
                 high, low, most = self.levels[level]
                 # The smaller size of a pair lies in the left node, as places are in order of size.
                 ok = 100 * most[a] >= rule.percent * low[b]
@@ -157,9 +194,9 @@ class RTree:
                     yield a[keep_], b[keep_]
                     continue
                 below = len(self.levels[level - 1][1])
-                step = np.arange(FANOUT)
-                x = (a[:, None] * FANOUT + step)[:, :, None]
-                y = (b[:, None] * FANOUT + step)[:, None, :]
+                child = np.arange(FANOUT)
+                x = (a[:, None] * FANOUT + child)[:, :, None]
+                y = (b[:, None] * FANOUT + child)[:, None, :]
                 x, y = np.broadcast_arrays(x, y)
                 ok = (x <= y) & (x < below) & (y < below)
                 stack.append((level - 1, x[ok], y[ok]))
@@ -218,14 +255,14 @@ def _rare(frequent: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)] != runs
 
 
-def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
+def _candidates(docs: DataFrame, frequent, common, rule: Rule) -> DataFrame:
     """(k1, k2, tokens): of the shingles that a set has to name, those that another set names too."""
     schema = "route long, n int, k1 long, k2 long, token long"
 
     def work(batches):
         for batch in batches:
             for part, texts in rounds(batch, "text"):
-                runs, offsets = sets_of(texts, rule.words)
+                runs, offsets, level = levelled_sets(texts, rule.words, common.value)
                 sizes = np.diff(offsets)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
@@ -233,7 +270,8 @@ def _candidates(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
                 first = np.zeros(len(sizes), bool)
                 by_key = np.lexsort((k2, k1))
                 first[by_key] = np.append(True, (k1[by_key][1:] != k1[by_key][:-1]) | (k2[by_key][1:] != k2[by_key][:-1]))
-                order = by_number(2 * doc + ~_rare(frequent.value, runs), 2 * len(sizes))
+                order = by_number(level, int(level.max(initial=0)) + 1)
+                order = order[by_number((2 * doc + ~_rare(frequent.value, runs))[order], 2 * len(sizes))]
                 place = np.arange(len(runs)) - offsets[doc]
                 use = order[(place < rule.prefix(sizes)[doc]) & first[doc]]
                 token, doc = runs[use], doc[use]
@@ -277,27 +315,31 @@ def _small(cuts: np.ndarray, n: np.ndarray, packed: list[bytes], rule: Rule) ->
     a, b = np.concatenate(left), np.concatenate(right)
     ok = 100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])
     a, b = a[ok], b[ok]
-    length = np.array([len(x) if x[0] == 1 else 0 for x in packed])
+    length = np.array([(len(x) - 1) * (2 - x[0]) if x[0] < 2 else 0 for x in packed])
+    halved = np.array([x[0] == 0 for x in packed])
     keep_ = np.zeros(len(a), bool)
     # Pairs whose vectors have the same two lengths are compared together, at the smaller one.
     kinds = np.minimum(length[a], length[b]) * (1 << 20) + np.maximum(length[a], length[b])
     for kind in np.unique(kinds):
         at = np.flatnonzero(kinds == kind)
-        for start in range(0, len(at), 4096):
-            own = at[start : start + 4096]
+        step = max(1, min(4096, BLOCK // max(1, int(kind) & ((1 << 20) - 1))))
+        for start in range(0, len(at), step):
+            own = at[start : start + step]
             if kind < 1 << 20:  # counts over a byte: one by one
                 for x in own.tolist():
                     m = _matrix([packed[a[x]], packed[b[x]]])
                     keep_[x] = np.minimum(m[0], m[1]).sum() >= rule.needed(int(n[a[x]]), int(n[b[x]]))
                 continue
-            groups = int(kind >> 20) - 1
+            groups = int(kind >> 20)
             sides = []
             for rows in (a[own], b[own]):
                 out = np.empty((len(rows), groups), np.int32)
                 for width in np.unique(length[rows]):
-                    some = np.flatnonzero(length[rows] == width)
-                    joined = np.frombuffer(b"".join(packed[r] for r in rows[some].tolist()), np.uint8).reshape(len(some), width)
-                    out[some] = fold(joined[:, 1:], groups)
+                    for half in (False, True):
+                        some = np.flatnonzero((length[rows] == width) & (halved[rows] == half))
+                        if len(some):
+                            joined = np.frombuffer(b"".join(packed[r] for r in rows[some].tolist()), np.uint8).reshape(len(some), -1)[:, 1:]
+                            out[some] = fold(halves(joined) if half else joined, groups)
                 sides.append(out)
             keep_[own] = np.minimum(*sides).sum(axis=1) >= rule.needed(n[a[own]], n[b[own]])
     return a[keep_], b[keep_]
@@ -442,7 +484,8 @@ def classes(keyed: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     c1 and c2 name the class: its root, and where a text is linked with no other the text itself.
     """
     frequent = keyed.sparkSession.sparkContext.broadcast(frequent_runs(keyed, rule.words, FREQUENT, lower=True))
-    found = _candidates(keyed, frequent, rule)
+    common = keyed.sparkSession.sparkContext.broadcast(common_words(keyed))
+    found = _candidates(keyed, frequent, common, rule)
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # A number hashed alone keeps a value of its own: no two texts share a node, even if they share k1.
     able = keep_by(texts.join(found, ["k1", "k2"]).withColumn("number", F.monotonically_increasing_id()), "jaccard-texts", "k1", "k2")

@@ -44,10 +44,10 @@ _TOP = np.uint64(1 << 63)
 _OTHER_BASE = np.uint64(0xA24BAED4963EE407)
 
 
-def frequent_runs(docs: DataFrame, n: int = MINIMISER, share: float = FREQUENT, lower: bool = False) -> np.ndarray:
-    """Sorted hashes of word runs that make up at least ``share`` of all runs; at most 1 / share of them.
+def counted_runs(docs: DataFrame, n: int, share: float, lower: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of word runs that make up at least ``share`` of all runs, how often each occurs, and the number of all runs.
 
-    ``lower`` takes A-Z as a-z.
+    There are at most 1 / share of them. ``lower`` takes A-Z as a-z.
     """
 
     def work(batches):
@@ -73,8 +73,15 @@ def frequent_runs(docs: DataFrame, n: int = MINIMISER, share: float = FREQUENT,
     seen = docs.select("text").mapInArrow(work, "run long, n long, total boolean").groupBy("run", "total").agg(F.sum("n").alias("n"))
     seen = keep(seen, "frequent-runs")
     total = seen.filter("total").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = seen.filter((~F.col("total")) & (F.col("n") >= max(8.0, share * total))).select("run").toPandas()
-    return np.sort(rows["run"].to_numpy(np.int64).view(np.uint64))
+    rows = seen.filter((~F.col("total")) & (F.col("n") >= max(8.0, share * total))).select("run", "n").toPandas()
+    runs = rows["run"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(runs)
+    return runs[order], rows["n"].to_numpy(np.int64)[order], total
+
+
+def frequent_runs(docs: DataFrame, n: int = MINIMISER, share: float = FREQUENT, lower: bool = False) -> np.ndarray:
+    """The hashes that ``counted_runs`` tells."""
+    return counted_runs(docs, n, share, lower)[0]
 
 
 def super_kmers(words: Words, frequent: np.ndarray, window: int, m: int):
