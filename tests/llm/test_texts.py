@@ -705,3 +705,11 @@ def test_jaccard_names_rare_words_first(spark, docs_of):
     by_hash = jaccard._candidates(keyed, none, spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64))), rule)
     assert by_hash.count() > 0
     assert jaccard._candidates(keyed, none, spark.sparkContext.broadcast(words), rule).count() == 0
+
+
+def test_jaccard_hands_out_small_batches_and_restores_the_session(spark, docs_of, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, real = spark.conf.get(key), jaccard._classes
+    monkeypatch.setattr(jaccard, "_classes", lambda *a: seen.append(spark.conf.get(key)) or real(*a))
+    jaccard.representatives(docs_of([(1, "a b c d e f"), (2, "a b c d e f")]))
+    assert seen == ["2000"] and spark.conf.get(key) == before

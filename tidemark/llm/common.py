@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import mix
@@ -54,6 +55,18 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 20_000
         yield pa.Table.from_batches(held)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Jobs that run in this block hand whole texts to Python in smaller batches: each lies in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def grouped(df: DataFrame, key: str) -> DataFrame:
     """All rows of a key in one partition, in order of the key."""
     return df.repartition(key).sortWithinPartitions(key)

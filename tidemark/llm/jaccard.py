@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import grouped, scatter, signed, whole_groups, with_keys
+from tidemark.llm.common import grouped, scatter, signed, small_batches, whole_groups, with_keys
 from tidemark.llm.graph import components
 from tidemark.llm.substrings import counted_runs, frequent_runs
 from tidemark.llm.text import Words, grams, inside, mix, rounds
@@ -485,6 +485,11 @@ def classes(keyed: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """
     frequent = keyed.sparkSession.sparkContext.broadcast(frequent_runs(keyed, rule.words, FREQUENT, lower=True))
     common = keyed.sparkSession.sparkContext.broadcast(common_words(keyed))
+    with small_batches(keyed.sparkSession):
+        return _classes(keyed, frequent, common, rule)
+
+
+def _classes(keyed: DataFrame, frequent, common, rule: Rule) -> tuple[DataFrame, DataFrame]:
     found = _candidates(keyed, frequent, common, rule)
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # A number hashed alone keeps a value of its own: no two texts share a node, even if they share k1.
